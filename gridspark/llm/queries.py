@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,10 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, table, tune
 from .exact_dedup import exact_dedup
+from .token_count import token_counts
+
+#: Folder of the public tokenizer files; every executor must see it.
+TOKENIZERS = os.environ.get("GRIDSPARK_TOKENIZERS", "/opt/tokenizers")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +38,8 @@ with d as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as
      g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(d.t) as text_sha256 from d join g on d.t = g.t
 """
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
