@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, table, tune
 from .exact_dedup import exact_dedup
+from .quality import quality_rules
 from .token_count import token_counts
 
 #: Folder of the public tokenizer files; every executor must see it.
@@ -43,3 +44,8 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(d.t) as tex
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
