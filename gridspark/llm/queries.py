@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, table, tune
 from .exact_dedup import exact_dedup
 from .quality import quality_rules
+from .simhash import near_duplicates
 from .token_count import token_counts
 
 #: Folder of the public tokenizer files; every executor must see it.
@@ -49,3 +50,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
