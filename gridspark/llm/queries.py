@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, table, tune
@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .quality import quality_rules
 from .simhash import near_duplicates
 from .token_count import token_counts
+from .toxicity import toxicity, train
 
 #: Folder of the public tokenizer files; every executor must see it.
 TOKENIZERS = os.environ.get("GRIDSPARK_TOKENIZERS", "/opt/tokenizers")
@@ -56,3 +57,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def held_out(folds: int, fold: int) -> Column:
+    """Whether the CRC-32 of the id as text leaves ``fold``."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"), ~held_out(3, 1))
+    return toxicity(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
