@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, table, tune
 from .exact_dedup import exact_dedup
+from .language_id import language_id
+from .language_id import train as train_language
 from .quality import quality_rules
 from .simhash import near_duplicates
 from .token_count import token_counts
@@ -69,3 +71,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"), ~held_out(3, 1))
     return toxicity(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id(docs, train_language(docs, ~held_out(4, 2)))
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
