@@ -12,6 +12,7 @@ from .common import LOWER, UPPER, table, tune
 from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .language_id import train as train_language
+from .mixing import mix, mix_sql
 from .quality import quality_rules
 from .simhash import near_duplicates
 from .token_count import token_counts
@@ -78,3 +79,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id(docs, train_language(docs, ~held_out(4, 2)))
     return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+
+
+ORACLES["op2_mixing"] = mix_sql()
