@@ -14,6 +14,7 @@ from .language_id import language_id
 from .language_id import train as train_language
 from .mixing import mix, mix_sql
 from .quality import quality_rules
+from .sentencepiece import encode
 from .simhash import near_duplicates
 from .token_count import token_counts
 from .toxicity import toxicity, train
@@ -88,3 +89,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_mixing"] = mix_sql()
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
