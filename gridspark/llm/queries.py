@@ -16,6 +16,7 @@ from .mixing import mix, mix_sql
 from .quality import quality_rules
 from .sentencepiece import encode
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .token_count import token_counts
 from .toxicity import toxicity, train
 
@@ -94,3 +95,10 @@ ORACLES["op2_mixing"] = mix_sql()
 @query
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
