@@ -62,30 +62,63 @@ def rake(cells: DataFrame, dims: Sequence[str], rounds: int) -> DataFrame:
     return out
 
 
+DIMENSIONS = ("source", "lang", "topic")
+
+
+def with_cells(docs: DataFrame, text_col: str, source_col: str, lang_col: str, topic: Column | None) -> DataFrame:
+    """``docs`` with ``_tokens`` and the cell it is in: ``_source, _lang, _topic``."""
+    tokens = F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long")
+    out = docs.withColumns({"_tokens": tokens, "_source": F.col(source_col), "_lang": F.col(lang_col)})
+    return out.withColumn("_topic", form(F.col("_tokens")) if topic is None else topic)
+
+
+def cell_weights(celled: DataFrame, power: float, rounds: int) -> DataFrame:
+    """``source, lang, topic, weight, probability`` for each cell that occurs."""
+    cells = celled.groupBy(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("_tokens").alias("tokens"))
+    raked = rake(tempered_targets(cells, DIMENSIONS, power), DIMENSIONS, rounds)
+    whole = W.partitionBy()
+    total = F.sum(F.col("tokens").cast("double")).over(whole)
+    weight = F.when(F.col("tokens") > 0, F.col("share") * total / F.col("tokens")).otherwise(0.0)
+    weighed = raked.select(*DIMENSIONS, weight.alias("weight"))
+    greatest = F.max(F.when(F.col("weight") > 0, F.col("weight"))).over(whole)
+    return weighed.withColumn("probability", F.coalesce(F.col("weight") / greatest, F.lit(0.0)))
+
+
+def draw(id_col: str, seed: int) -> Column:
+    """The document's number in [0, 1); it is kept if that is below its probability."""
+    return uniform_hash(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), seed)
+
+
+def _join(celled: DataFrame, weights: DataFrame) -> DataFrame:
+    named = weights.select(*(F.col(d).alias(f"_to_{d}") for d in DIMENSIONS), F.col("weight").alias("_weight"), F.col("probability").alias("_probability"))
+    return celled.join(named, [F.col(f"_{d}").eqNullSafe(F.col(f"_to_{d}")) for d in DIMENSIONS])
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
         topic: Column | None = None, power: float = 0.7, rounds: int = 10, seed: int = 42) -> DataFrame:
     """``doc_id, source, lang, topic, tokens, weight, probability, kept`` for every row.
 
+    The targets are the token shares of each source, language and topic raised to ``power`` and scaled to sum to one.
     ``weight`` is the calibrated share over the corpus share of the row's cell, ``probability`` the weight over the largest
-    one, so that a cell most wanted is kept whole and as much as possible of the rest.  NULL and empty texts have no
-    tokens; a cell without tokens has weight 0 and is dropped.  NULL sources and languages are values like any other.
-    Repeated rows of an id share one draw; a NULL id has a draw of its own kind.  An empty table gives an empty result.
+    one, so that a cell most wanted is kept whole and as much as possible of the rest.  Without ``topic`` the kind of text
+    by its length stands for it.  NULL and empty texts have no tokens; a cell without tokens has weight 0 and is dropped.
+    NULL sources and languages are values like any other.  Repeated rows of an id share one draw, and so do rows without an
+    id.  An empty table gives an empty result; other columns are ignored.
     """
-    tokens = F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), tokens.alias("tokens"),
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"),
                        *([] if topic is None else [topic.alias("topic")]))
-    if topic is None:
-        rows = rows.withColumn("topic", form(F.col("tokens")))
-    dims = ["source", "lang", "topic"]
-    cells = rows.groupBy(*dims).agg(F.sum("tokens").alias("tokens"))
-    raked = rake(tempered_targets(cells, dims, power), dims, rounds)
-    whole = W.partitionBy()
-    total = F.sum(F.col("tokens").cast("double")).over(whole)
-    weighed = raked.select(*(F.col(d).alias(f"_{d}") for d in dims), F.when(F.col("tokens") > 0, F.col("share") * total / F.col("tokens")).otherwise(0.0).alias("weight"))
-    weighed = weighed.withColumn("probability", F.coalesce(F.col("weight") / F.max(F.when(F.col("weight") > 0, F.col("weight"))).over(whole), F.lit(0.0)))
-    same = [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in dims]
-    return rows.join(weighed, same).select("doc_id", *dims, "tokens", "weight", "probability").withColumn(
-        "kept", uniform_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), seed) < F.col("probability"))
+    celled = with_cells(rows, "text", "source", "lang", None if topic is None else F.col("topic")).drop("text")
+    return _join(celled, cell_weights(celled, power, rounds)).select(
+        "doc_id", *(F.col(f"_{d}").alias(d) for d in DIMENSIONS), F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"),
+        F.col("_probability").alias("probability"), (draw("doc_id", seed) < F.col("_probability")).alias("kept"))
+
+
+def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+            power: float = 0.7, rounds: int = 10, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` that :func:`mix` keeps, with all their columns. Only the small table of cells is joined to them."""
+    celled = with_cells(docs, text_col, source_col, lang_col, None)
+    kept = _join(celled, cell_weights(celled, power, rounds)).filter(draw(id_col, seed) < F.col("_probability"))
+    return kept.select(*docs.columns)
 
 
 def mix_sql(documents: str = "documents", power: float = 0.7, rounds: int = 10, seed: int = 42) -> str:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table, tune
+from .common import LOWER, UPPER, scratch, table, tune
 from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .language_id import train as train_language
@@ -18,6 +18,7 @@ from .sentencepiece import encode
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
 from .token_count import token_counts
+from .training_order import materialise
 from .toxicity import toxicity, train
 
 #: Folder of the public tokenizer files; every executor must see it.
@@ -102,3 +103,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", scratch(spark), per_shard=1024)
