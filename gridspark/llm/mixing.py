@@ -95,7 +95,7 @@ def _join(celled: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
-        topic: Column | None = None, power: float = 0.7, rounds: int = 10, seed: int = 42) -> DataFrame:
+        topic: Column | None = None, power: float = 0.9, rounds: int = 10, seed: int = 42) -> DataFrame:
     """``doc_id, source, lang, topic, tokens, weight, probability, kept`` for every row.
 
     The targets are the token shares of each source, language and topic raised to ``power`` and scaled to sum to one.
@@ -114,14 +114,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
-            power: float = 0.7, rounds: int = 10, seed: int = 42) -> DataFrame:
+            power: float = 0.9, rounds: int = 10, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` that :func:`mix` keeps, with all their columns. Only the small table of cells is joined to them."""
     celled = with_cells(docs, text_col, source_col, lang_col, None)
     kept = _join(celled, cell_weights(celled, power, rounds)).filter(draw(id_col, seed) < F.col("_probability"))
     return kept.select(*docs.columns)
 
 
-def mix_sql(documents: str = "documents", power: float = 0.7, rounds: int = 10, seed: int = 42) -> str:
+def mix_sql(documents: str = "documents", power: float = 0.9, rounds: int = 10, seed: int = 42) -> str:
     """The same as DuckDB SQL."""
     cases = " ".join(f"when tokens < {bound} then '{name}'" for bound, name in FORMS)
     words = r"[^\x20\x09-\x0D]+"
