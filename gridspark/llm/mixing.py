@@ -43,7 +43,7 @@ def tempered_targets(cells: DataFrame, dims: Sequence[str], power: float) -> Dat
         marginal = cells.groupBy(d).agg(F.sum("tokens").alias("_mass"))
         whole = W.partitionBy()  # over one row per value of the dimension
         tempered = marginal.withColumn("_mass", F.pow(F.col("_mass").cast("double"), F.lit(power)))
-        shares = tempered.select(F.col(d).alias("_value"), (F.col("_mass") / F.sum("_mass").over(whole)).alias(f"target_{d}"))
+        shares = tempered.select(F.col(d).alias("_value"), F.coalesce(F.try_divide("_mass", F.sum("_mass").over(whole)), F.lit(0.0)).alias(f"target_{d}"))
         cells = cells.join(shares, F.col(d).eqNullSafe(F.col("_value"))).drop("_value")
     return cells
 
