@@ -56,7 +56,7 @@ class DoubleArray:
         size = 1 << 12
         self.base, self.check, self.value = array("i", [0]) * size, array("i", [-1]) * size, array("i", [-1]) * size
         place, last = {b"": 0}, defaultdict(int)
-        self.check[0] = 0
+        self.check[0] = -2  # the root is no one's child
         for prefix in sorted(children, key=lambda p: (len(p), p)):  # parents before their children
             s, codes = place[prefix], sorted(children[prefix])
             b = last[min(len(codes), 8)]  # where the last node with about as many children found room
@@ -64,7 +64,7 @@ class DoubleArray:
                 while b + 257 >= len(self.check):
                     for x, fill in ((self.base, 0), (self.check, -1), (self.value, -1)):
                         x.extend([fill] * len(x))
-                if all(self.check[b + c + 1] < 0 for c in codes):
+                if all(self.check[b + c + 1] == -1 for c in codes):
                     break
                 b += 1
             self.base[s] = last[min(len(codes), 8)] = b
@@ -74,18 +74,6 @@ class DoubleArray:
         for word, i in words.items():
             self.value[place[word]] = i
 
-    def prefixes(self, data: bytes, start: int) -> list[tuple[int, int]]:
-        """Ends and values of the entries that begin at ``start``."""
-        base, check, value, s, out = self.base, self.check, self.value, 0, []
-        for i in range(start, len(data)):
-            t = base[s] + data[i] + 1
-            if check[t] != s or t == 0:
-                break
-            s = t
-            if value[s] >= 0:
-                out.append((i + 1, value[s]))
-        return out
-
 
 class Kept(dict):
     """Pieces by word without its marker, by ``encode`` where missing; forgets all when full."""
@@ -108,6 +96,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, trie: DoubleArray | None = None) -> None:
         self.vocabulary = vocabulary
         self.trie = trie or DoubleArray({vocabulary.pieces[i].encode(): i for i in vocabulary.normal})
+        self.base, self.check, self.value = map(list, (self.trie.base, self.trie.check, self.trie.value))  # quicker to read
         self.kept = Kept(self.viterbi)
         self.literal = {i: vocabulary.pieces[i].replace(MARKER, " ").encode() for i in range(len(vocabulary.pieces))}
         self.literal |= {i: bytes([b]) for b, i in vocabulary.bytes.items()}
@@ -115,30 +104,42 @@ class Encoder:
 
     def viterbi(self, word: str) -> tuple[int, ...]:
         """Identifiers of the segmentation with the greatest score; among equals the first found wins."""
-        v, data = self.vocabulary, word.encode("utf-8", "replace")
-        n, unknown = len(data), v.least - UNKNOWN_PENALTY
-        best = [0.0] + [float("-inf")] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        at = 0
-        for char in word:
-            size = len(char.encode("utf-8", "replace"))
-            single = False
-            for end, piece in self.trie.prefixes(data, at):
-                single |= end == at + size
-                if (score := best[at] + v.scores[piece]) > best[end]:
-                    best[end], back[end] = score, (at, piece)
-            if not single and (score := best[at] + unknown) > best[at + size]:
-                best[at + size], back[at + size] = score, (at, v.unknown)
-            at += size
+        data, base, check, value, scores = word.encode("utf-8", "replace"), self.base, self.check, self.value, self.vocabulary.scores
+        n, unknown, none = len(data), self.vocabulary.least - UNKNOWN_PENALTY, float("-inf")
+        best, begin, piece = [none] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for at in range(n):
+            here = best[at]
+            if here == none:  # inside a character
+                continue
+            lead = data[at]
+            single = at + (1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+            covered = False
+            state, end = 0, at
+            while end < n:
+                to = base[state] + data[end] + 1
+                if check[to] != state:
+                    break
+                state, end = to, end + 1
+                if (found := value[state]) >= 0:
+                    if end == single:
+                        covered = True
+                    if (score := here + scores[found]) > best[end]:
+                        best[end], begin[end], piece[end] = score, at, found
+            if not covered and (score := here + unknown) > best[single]:
+                best[single], begin[single], piece[single] = score, at, -1
         out: list[int] = []
-        while at > 0:
-            start, piece = back[at]
-            if piece == v.unknown and v.bytes:
-                out.extend(v.bytes[b] for b in reversed(data[start:at]))
+        while n > 0:
+            start = begin[n]
+            if piece[n] >= 0:
+                out.append(piece[n])
+            elif self.vocabulary.bytes:
+                out.extend(self.vocabulary.bytes[b] for b in reversed(data[start:n]))
             else:
-                out.append(piece)
-            at = start
-        return tuple(reversed(out))
+                out.append(self.vocabulary.unknown)
+            n = start
+        out.reverse()
+        return tuple(out)
 
     def encode(self, text: str | None) -> list[tuple[int, ...]]:
         """Identifiers, word by word."""
