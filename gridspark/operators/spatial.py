@@ -14,8 +14,8 @@ from ..model import Grid
 from .grid import cells_in_polygons
 
 LARGEST_EXACT = (1 << 53) - 1
-#: Points that a bucket of the neighbour search holds on average.
-PER_BUCKET = 256
+#: The fullest bucket of the first round of the neighbour search may hold so many times the points that it should.
+FULLEST = 32
 
 
 def sample_points(points: DataFrame, wide: DataFrame, grid: Grid, layers: Sequence[str], keep_out_of_bounds: bool = False,
@@ -97,16 +97,21 @@ def zonal_all(polygons: DataFrame, cells: DataFrame, grid: Grid, layers: Sequenc
     return joined.toDF(*(c.replace(" ", "_").replace("-", "_") for c in joined.columns))
 
 
-def spatial_knn(points: DataFrame, k: int = 8, targets: DataFrame | None = None, key: str = "point_id", per_bucket: int = PER_BUCKET,
+def spatial_knn(points: DataFrame, k: int = 8, targets: DataFrame | None = None, key: str = "point_id", per_bucket: int | None = None,
                 x: str = "x", y: str = "y") -> DataFrame:
     """``key, neighbour, distance, rank``: the k nearest points of each row of ``targets`` (other points, if that is None).
 
     Exact, with ties by id: points and targets meet in square buckets and their eight neighbours.  A target's result stands
     when it has k neighbours that are all nearer than the border of the nine buckets; the others go round again with the
-    bucket's side doubled, until nine buckets hold everything.
+    bucket's side doubled, until nine buckets hold everything.  The first side gives ``per_bucket`` (2 k) points a bucket on
+    average, and is cut while some bucket is far too full.  Of points at one place only the k + 1 least ids can be anyone's
+    neighbours, so the rest of them are left out.
     """
+    per_bucket = per_bucket or 2 * k
     own = targets is None
     pool = points.select(F.col(key).alias("_n"), F.col(x).alias("_nx"), F.col(y).alias("_ny")).filter("_nx is not null and _ny is not null")
+    place = F.row_number().over(W.partitionBy("_nx", "_ny").orderBy("_n"))
+    pool = pool.withColumn("_k", place).filter(F.col("_k") <= k + 1).drop("_k")
     todo = (points if own else targets).select(F.col(key).alias("_t"), F.col(x).alias("_tx"), F.col(y).alias("_ty")).filter("_tx is not null and _ty is not null")
     low_x, high_x, low_y, high_y, n = pool.agg(F.min("_nx"), F.max("_nx"), F.min("_ny"), F.max("_ny"), F.count("*")).first()
     empty = todo.limit(0).select(F.col("_t").alias(key), F.col("_t").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
@@ -118,6 +123,11 @@ def spatial_knn(points: DataFrame, k: int = 8, targets: DataFrame | None = None,
     extent = max(max(high_x, thx) - min(low_x, tlx), max(high_y, thy) - min(low_y, tly), 1e-9)
     side = max(extent * (min(1.0, per_bucket / n) ** 0.5), 1e-9)
     pool, result = pool.persist(), None
+    while side > extent / (1 << 20):
+        fullest = pool.groupBy(F.floor(F.col("_nx") / side), F.floor(F.col("_ny") / side)).count().agg(F.max("count")).first()[0]
+        if fullest <= FULLEST * per_bucket:
+            break
+        side /= 4
     nine = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1))))
     while True:
         last = side >= extent
