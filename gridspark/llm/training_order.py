@@ -1,10 +1,11 @@
 """Training-order materialisation: packed token sequences in a keyed pseudo-random order, as fixed-stride shards.
 
-Texts are tokenised and packed into sequences of equal length, map partition by map partition.  A sequence's number is
-its place in its partition plus the sequences before that partition; a Feistel permutation of [0, n), keyed by a seed,
+Texts are tokenised and packed into sequences of equal length, map partition by map partition.  A first pass counts the
+sequences of each partition, a second packs them: tokenising twice costs less than keeping the tokens between.  A
+sequence's number is its place in its partition plus the sequences before that partition; a Feistel permutation of [0, n), keyed by a seed,
 turns the number into a global slot.  Its domain is the next power of four, and a value outside [0, n) is permuted again
 until it falls inside (cycle walking), so the order needs no sort, no shuffle buffer and no table of positions.  Slots
-are dealt by ranges and each range is written as shards of fixed-stride binary records: slot ``s`` is record
+are dealt by ranges, and each range is written as a shard of fixed-stride binary records: slot ``s`` is record
 ``s mod per_shard`` of shard ``s div per_shard``, so a reader starts again at any slot with one seek.
 """
 
@@ -14,21 +15,17 @@ import base64
 import hashlib
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow.fs
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .token_count import BLANK_PAIRS, LIST_CHARS, PRETOKEN
-
-KEPT, KEPT_CHARS = 300_000, 64
+#: Fixed value: the byte-level pre-token pattern.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ROUNDS = 6
 _U = np.uint64
 
@@ -56,71 +53,89 @@ def permuted(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.nd
     return out.astype(np.int64)
 
 
-class Tokens(dict):
-    """Identifiers by word (with the blank before it); forgets all when full."""
+class Tokens:
+    """Identifiers of texts under one vocabulary: unsigned 16-bit little-endian."""
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.model = tiktoken.Encoding("words", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={})
+        self.model = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = len(ranks)
+        if self.end >= 1 << 16:
+            raise ValueError("identifiers do not fit into 16 bits")
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.model.encode_ordinary(word)
-        if len(word) <= KEPT_CHARS:
-            if len(self) >= KEPT:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def of(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if len(text) > LIST_CHARS or text.endswith(" ") or any(map(text.__contains__, BLANK_PAIRS)):
-            return self.model.encode_ordinary(text)
-        first, *rest = text.split(" ")
-        return list(chain(self[first], chain.from_iterable(map(self.__getitem__, map(" ".__add__, rest)))))
+    def of(self, text: str | None) -> np.ndarray:
+        """Unsigned 32-bit identifiers."""
+        return self.model.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
 
 
 _tokens: dict[str, Tokens] = {}
 
 
-def pack(docs: DataFrame, path: str, text_col: str = "text", length: int = 2048) -> DataFrame:
-    """Sequences ``part, place, n_tokens, tokens``: unsigned 16-bit little-endian identifiers, ``length`` of them in each.
+def _vocabulary(path: str) -> Tokens:
+    if path not in _tokens:
+        _tokens[path] = Tokens(path)
+    return _tokens[path]
 
-    Every text with a token is followed by the end identifier (the first free one); the last sequence of a partition is
-    filled up with it, ``n_tokens`` counts the ones before that.  NULL and empty texts add nothing.
-    """
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if path not in _tokens:
-            _tokens[path] = Tokens(path)
-        tokens, part, place, held = _tokens[path], TaskContext.get().partitionId(), 0, np.zeros(0, "<u2")
+def count_sequences(docs: DataFrame, path: str, text_col: str = "text", length: int = 2048) -> dict[int, int]:
+    """Number of sequences by map partition: one entry per map task."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens, n = _vocabulary(path), 0
         for batch in batches:
-            streams = [held]
             for text in batch["text"]:
-                if ids := tokens.of(text):
-                    ids.append(tokens.end)
-                    streams.append(np.array(ids, "<u2"))
-            stream = np.concatenate(streams)
-            full = len(stream) // length
-            if full:
-                rows = stream[:full * length].reshape(full, length)
-                yield pd.DataFrame({"part": part, "place": np.arange(place, place + full), "n_tokens": length, "tokens": [r.tobytes() for r in rows]})
-            place, held = place + full, stream[full * length:]
-        if len(held):
-            filled = np.append(held, np.full(length - len(held), tokens.end, "<u2"))
-            yield pd.DataFrame({"part": [part], "place": [place], "n_tokens": [len(held)], "tokens": [filled.tobytes()]})
+                if size := len(tokens.of(text)):
+                    n += size + 1
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [-(-n // length)]})
 
-    return docs.select(F.col(text_col).alias("text")).mapInPandas(packed, "part int, place long, n_tokens int, tokens binary")
+    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(counted, "part int, n long").collect()
+    return {r.part: r.n for r in rows}
 
 
-def slots(index: Column, n: int, key: int) -> Column:
-    @F.pandas_udf("long")
-    def slot(indexes: pd.Series) -> pd.Series:
-        return pd.Series(permuted(indexes.to_numpy(), n, key))
+def pack(docs: DataFrame, path: str, counts: dict[int, int], key: int, text_col: str = "text", length: int = 2048, per_shard: int = 4096) -> DataFrame:
+    """Sequences ``slot, shard, part, place, n_tokens, tokens``: ``length`` unsigned 16-bit little-endian identifiers in each.
 
-    return slot(index)
+    Every text with a token is followed by the end identifier (the first free one); the last sequence of a partition is
+    filled up with it, ``n_tokens`` counts the ones before that.  NULL and empty texts add nothing.  ``counts`` comes from
+    :func:`count_sequences` over the same table; a partition that does not agree with it is an error, so ``docs`` must be
+    read in the same partitions each time, as files are.
+    """
+    before, total = {}, 0
+    for part in sorted(counts):
+        before[part], total = total, total + counts[part]
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens, part, place, held = _vocabulary(path), TaskContext.get().partitionId(), 0, b""
+        end, stride = tokens.end.to_bytes(2, "little"), 2 * length
+
+        def rows(data: bytes, sizes) -> pd.DataFrame:
+            n = len(data) // stride
+            if place + n > counts.get(part, 0):
+                raise RuntimeError(f"partition {part} was read differently the second time; write the documents first")
+            places = np.arange(place, place + n)
+            slot = permuted(places + before[part], total, key)
+            return pd.DataFrame({"slot": slot, "shard": slot // per_shard, "part": part, "place": places, "n_tokens": sizes,
+                                 "tokens": [data[i:i + stride] for i in range(0, n * stride, stride)]})
+
+        for batch in batches:
+            pieces = [held]
+            for text in batch["text"]:
+                ids = tokens.of(text)
+                if len(ids):
+                    pieces += ids.astype("<u2").tobytes(), end
+            stream = b"".join(pieces)
+            cut = len(stream) // stride * stride
+            if cut:
+                yield rows(stream[:cut], length)
+            place, held = place + cut // stride, stream[cut:]
+        if held:
+            yield rows(held + end * ((stride - len(held)) // 2), len(held) // 2)
+            place += 1
+        if place != counts.get(part, 0):
+            raise RuntimeError(f"partition {part} was read differently the second time; write the documents first")
+
+    return docs.select(F.col(text_col).alias("text")).mapInPandas(packed, "slot long, shard long, part int, place long, n_tokens int, tokens binary")
 
 
 def _file(path: str, shard: int) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -165,16 +180,10 @@ def materialise(docs: DataFrame, vocabulary: str, path: str, text_col: str = "te
     computed.  Repeated rows are packed as often as they occur; other columns are ignored; an empty table writes nothing and
     gives an empty result.
     """
-    sequences = written(pack(docs, vocabulary, text_col, length))
-    counts = sequences.groupBy("part").count()  # one row per map task
-    before = counts.select(F.col("part"), (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("before"))
-    n = sequences.count()
-    numbered = sequences.join(before, "part").withColumn("slot", slots(F.col("before") + F.col("place"), n, key))
-    dealt = numbered.withColumn("shard", F.expr(f"slot div {per_shard}"))
-    ranges = max(1, -(-n // per_shard))
-    ordered = dealt.repartitionByRange(ranges, "shard").sortWithinPartitions("slot")
-    index = ordered.select("slot", "shard", "part", "place", "n_tokens", "tokens").mapInPandas(
-        _writer(path), "slot long, shard long, part int, place long, n_tokens int, sha256 string")
+    counts = count_sequences(docs, vocabulary, text_col, length)
+    ranges = max(1, -(-sum(counts.values()) // per_shard))
+    ordered = pack(docs, vocabulary, counts, key, text_col, length, per_shard).repartitionById(ranges, F.col("shard").cast("int")).sortWithinPartitions("slot")
+    index = ordered.mapInPandas(_writer(path), "slot long, shard long, part int, place long, n_tokens int, sha256 string")
     return index.select("slot", "shard", (F.col("slot") % per_shard * (2 * length)).alias("byte_offset"), "n_tokens", "part", "place", "sha256")
 
 

@@ -179,7 +179,7 @@ def test_training_order_round_trip(spark, docs, texts):
     assert [hashlib.sha256(r.tobytes()).hexdigest() for r in records] == [r.sha256 for r in index]
     assert [r.tobytes() for r in training_order.read_from(path, 77, 128, 50)] == [r.tobytes() for r in records[77:]]
     ranks = training_order.Tokens(TIKTOKEN)
-    model = tiktoken.Encoding("plain", pat_str=token_count.PRETOKEN, mergeable_ranks=ranks.model._mergeable_ranks, special_tokens={})
+    model = tiktoken.Encoding("plain", pat_str=training_order.PATTERN, mergeable_ranks=ranks.model._mergeable_ranks, special_tokens={})
     expected = Counter(tuple(model.encode_ordinary(t)) for t in texts.values() if t)
     stream: dict[int, list] = {}
     for r, record in sorted(zip(index, records, strict=True), key=lambda x: (x[0].part, x[0].place)):
