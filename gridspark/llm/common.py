@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_path, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+__all__ = ["DOCUMENT_COLUMNS", "LOWER", "UPPER", "WORD", "drop_written", "lower_ascii", "scratch", "table", "tune", "written"]
+
 #: Python regular expression of a word: a run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,20 +29,8 @@ def tune(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset (tests on one machine), below a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/gridspark-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` once to the shared scratch folder and read it back."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A new path in the folder that driver and executors share."""
+    return shared_path(spark, "corpus")
 
 
 def drop_written(df: DataFrame) -> None:
