@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 _letters = re.compile(r"[^\W\d_]+")
 
 #: Words whose weight a worker keeps.
@@ -34,12 +36,11 @@ KEPT = 200_000
 
 @dataclass(frozen=True)
 class Settings:
-    """``positives`` and ``unlabelled`` are the expected rows of each sample (at most twice as many); ``entries`` bounds the
-    features that each brings to the driver, ``columns`` those that the classifier uses."""
+    """``positives`` and ``unlabelled`` are the expected rows of each sample (at most twice as many), ``columns`` the features
+    that the classifier uses at most."""
 
-    positives: int = 1500
-    unlabelled: int = 5000
-    entries: int = 6_000_000
+    positives: int = 2000
+    unlabelled: int = 8000
     columns: int = 4096
     dense: float = 0.015
     bits: int = 20
@@ -99,34 +100,17 @@ def risk_gradient(margin: np.ndarray, positive: np.ndarray, prior: float) -> tup
     return negative_part + np.where(positive, prior / n_pos * (chance - 1), 0), float(bracket)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, prior: float, settings: Settings = Settings()) -> Model:
-    """Fit by Adam over the whole sample of (slots, values).
-
-    A slot takes part if at least ``least_positive`` positives have it, and it is one of the ``columns`` whose mean among
-    the positives exceeds the unlabelled mean most, by standard deviations.
-    """
-    empty = Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))), settings.bits)
-    if not positive.any():
-        return empty
-    n, size = len(rows), 1 << settings.bits
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s, _ in rows])
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, use: np.ndarray, prior: float, settings: Settings = Settings()) -> Model:
+    """Fit by Adam over the whole sample of (places in ``use``, values); ``use`` has the slots that take part."""
+    k, n = len(use), len(rows)
+    bias = float(np.log(prior / (1 - prior)))
+    if not k or not positive.any():
+        return Model(np.zeros(0, np.int64), np.zeros(0), bias, settings.bits)
+    row = np.repeat(np.arange(n), [len(c) for c, _ in rows])
     col, value = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
-    of_pos = positive[row]
-    seen = np.bincount(col[of_pos], minlength=size)
-    mean = np.bincount(col, value, size) / n
-    spread = np.sqrt(np.maximum(np.bincount(col, value * value, size) / n - mean * mean, 1e-12))
-    gain = (np.bincount(col[of_pos], value[of_pos], size) / positive.sum() - mean) / spread * (seen >= settings.least_positive)
-    use = np.argsort(-gain, kind="stable")[:settings.columns]
-    use = np.sort(use[gain[use] > 0])
-    if not len(use):
-        return empty
-    to = np.full(size, -1)
-    to[use] = np.arange(len(use))
-    known = to[col] >= 0
-    row, col, value = row[known], to[col[known]], value[known].astype(np.float64)
-    k = len(use)
+    value = value.astype(np.float64)
     w, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
-    w[k] = empty.bias
+    w[k] = bias
     for t in range(1, settings.steps + 1):
         margin = np.bincount(row, w[col] * value, n) + w[k]
         by_row, _ = risk_gradient(margin, positive, prior)
@@ -160,14 +144,46 @@ def score(text: Column, model: Model, settings: Settings = Settings()) -> Column
     return scored(text)
 
 
-def slots(text: Column, settings: Settings) -> Column:
-    """Slots and values of a text's features."""
+def _sums(settings: Settings):
+    """Sums by slot over each batch of ``positive, text``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [features(t, lambda w: word_slots(w, settings.bits), settings.dense) for t in batch["text"]]
+            if not any(found):
+                continue
+            slots_ = np.concatenate([np.fromiter(f, np.int64, len(f)) for f in found])
+            share = np.concatenate([np.fromiter(f.values(), np.float64, len(f)) for f in found])
+            of_pos = np.repeat(batch["positive"].to_numpy(bool), list(map(len, found)))
+            slot_, place = np.unique(slots_, return_inverse=True)
+            total = lambda x: np.bincount(place, x, len(slot_))  # noqa: B023, E731
+            yield pd.DataFrame({"slot": slot_, "n_pos": total(of_pos.astype(float)), "sum_pos": total(share * of_pos), "sum": total(share), "sq": total(share * share)})
+
+    return run
 
-    @F.pandas_udf("slots array<int>, shares array<float>")
+
+def select_slots(sample: DataFrame, n: int, n_pos: int, settings: Settings) -> np.ndarray:
+    """The slots that take part: at least ``least_positive`` positives have them, and they are among the ``columns`` whose
+    mean over the positives exceeds the sample's mean most, by standard deviations."""
+    sums = sample.mapInPandas(_sums(settings), "slot long, n_pos double, sum_pos double, sum double, sq double").groupBy("slot").agg(
+        *(F.sum(c).alias(c) for c in ("n_pos", "sum_pos", "sum", "sq"))).filter(F.col("n_pos") >= settings.least_positive)
+    mean = F.col("sum") / n
+    spread = F.sqrt(F.greatest(F.col("sq") / n - mean * mean, F.lit(1e-12)))
+    gain = F.round((F.col("sum_pos") / n_pos - mean) / spread, 9)
+    best = sums.withColumn("gain", gain).filter("gain > 0").orderBy(F.desc("gain"), "slot").limit(settings.columns)
+    return np.sort(np.array([r[0] for r in best.select("slot").collect()], np.int64))
+
+
+def packed_features(text: Column, use: np.ndarray, settings: Settings) -> Column:
+    """Places in ``use`` (32-bit integers) and values (32-bit floats) of a text's features, as bytes."""
+
+    @F.pandas_udf("places binary, shares binary")
     def found(texts: pd.Series) -> pd.DataFrame:
-        all_ = [features(t, lambda w: word_slots(w, settings.bits), settings.dense) for t in texts]
-        return pd.DataFrame({"slots": [np.fromiter(f, np.int32, len(f)) for f in all_],
-                             "shares": [np.fromiter(f.values(), np.float32, len(f)) for f in all_]})
+        place = {s: i for i, s in enumerate(use.tolist())}
+        known = lambda w: [place[s] for s in word_slots(w, settings.bits) if s in place]
+        all_ = [features(t, known, settings.dense) for t in texts]
+        return pd.DataFrame({"places": [np.fromiter(f, np.int32, len(f)).tobytes() for f in all_],
+                             "shares": [np.fromiter(f.values(), np.float32, len(f)).tobytes() for f in all_]})
 
     return found(text)
 
@@ -177,10 +193,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     """Learn from the rows where ``usable`` (a column over ``docs``) holds: those labelled 1, and any as unlabelled.
 
     The class prior is the share of 1 among usable labels (``default_prior`` where there are none); an id with several
-    labels has the greatest.  Both samples are drawn by a hash of the id, so they do not depend on partitioning.
+    labels has the greatest.  Both samples are drawn by a hash of the id, so they do not depend on partitioning.  What the
+    driver gets is bounded by the samples' rows times ``columns``.
     """
     ok = docs.filter((F.lit(True) if usable is None else usable) & F.col(text_col).isNotNull())
-    text = ok.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    text = ok.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     marks = (labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
              .agg(F.max(F.col(label_col).cast("int")).alias("_y")))
     known = ok.select(F.col(id_col).alias("_id")).distinct().join(marks, "_id")
@@ -191,19 +208,16 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     def drawn(most: int, n: int) -> Column:
         return F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) / float(1 << 40) <= min(1.0, most / max(1, n))
 
-    def sample(rows: DataFrame, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        room, out = settings.entries, []
-        for r in rows.select(slots(F.col("_text"), settings).alias("s")).limit(2 * most).select("s.*").toLocalIterator():
-            room -= len(r[0])
-            if room < 0:
-                break
-            out.append((np.array(r[0], np.int32), np.array(r[1], np.float32)))
-        return out
-
     toxic_ids = known.filter((F.col("_y") == 1) & drawn(settings.positives, n_pos)).select("_id").limit(2 * settings.positives)
-    toxic = sample(text.join(F.broadcast(toxic_ids), "_id", "left_semi"), settings.positives)
-    rest = sample(text.filter(drawn(settings.unlabelled, n_all)), settings.unlabelled)
-    return fit([*toxic, *rest], np.arange(len(toxic) + len(rest)) < len(toxic), prior, settings)
+    toxic = text.join(F.broadcast(toxic_ids), "_id", "left_semi").limit(2 * settings.positives).select(F.lit(True).alias("positive"), "text")
+    rest = text.filter(drawn(settings.unlabelled, n_all)).limit(2 * settings.unlabelled).select(F.lit(False).alias("positive"), "text")
+    sample = written(toxic.union(rest))
+    n, n_toxic = sample.agg(F.count("*"), F.count_if("positive")).first()
+    if not n_toxic:
+        return fit([], np.zeros(0, bool), np.zeros(0, np.int64), prior, settings)
+    use = select_slots(sample.repartition(8), n, n_toxic, settings)
+    rows = sample.select("positive", packed_features(F.col("text"), use, settings).alias("f")).select("positive", "f.*").collect()
+    return fit([(np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32)) for r in rows], np.array([r[0] for r in rows], bool), use, prior, settings)
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
