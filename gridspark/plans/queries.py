@@ -497,7 +497,7 @@ def c6_distribution_profile(spark, sf_dir):
 
 @query()
 def c7_ks_normal(spark, sf_dir):
-    return rounded(quality.ks_normal(adapters.points(spark, sf_dir), "l1"), "statistic", "p_value")
+    return rounded(quality.ks_normal(adapters.readings(spark, sf_dir), "l1"), "statistic", "p_value")
 
 
 @query("""--, s as (select pow(count(l1), -0.2) * stddev_samp(l1) as h, min(l1) as lo, max(l1) as hi from points)
@@ -611,8 +611,8 @@ FEATURES = BANDS[:4]
 
 
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points with the bands under them, the class of their cell, and a complete third label."""
-    placed = spatial.sample_points(adapters.points(spark, sf_dir), adapters.cells(spark, sf_dir), GRID, [*BANDS, "cls"])
+    """All readings with the bands under them, the class of their cell, and a complete third label."""
+    placed = spatial.sample_points(adapters.readings(spark, sf_dir), adapters.cells(spark, sf_dir), GRID, [*BANDS, "cls"])
     return prep.impute_mean(placed, ["l3"])
 
 
@@ -908,4 +908,4 @@ def u11_polygonize(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many readings of each kind are missing, normal, or global or spatial outliers."""
-    return c4_cleaning_report(spark, sf_dir)
+    return quality.cleaning_report(quality.flag_outliers(adapters.readings(spark, sf_dir), LABELS), LABELS)

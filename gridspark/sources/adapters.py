@@ -16,14 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One event in five as a reading: ``point_id, x, y, kind, l1, l2, l3``."""
-    return table(spark, sf_dir, "events").filter("event_id % 5 = 0").selectExpr(
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a reading: ``point_id, x, y, kind, l1, l2, l3``."""
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id as point_id", "cast((event_id * 7919) % 1009 as double) as x", "cast((event_id * 104729) % 1013 as double) as y",
         "event_type as kind", "value as l1", "value * (event_id % 7 + 1) as l2",
         "case when event_id % 50 = 0 then null else value + event_id % 11 end as l3")
 
 
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One reading in five, as in the ``points`` of :data:`SQL`; only for queries that are held against that SQL."""
+    return readings(spark, sf_dir).filter("point_id % 5 = 0")
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide cells ``row, col, b1..b12, gap, cls``, 25 columns wide."""
     bands = [f"cast(embedding[{i}] as double) * 1000 as {b}" for i, b in enumerate(BANDS)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridspark.functions.indices import INDICES
 from gridspark.model import Grid
 from gridspark.operators import krige, learn, predict, prep, quality
+from gridspark.plans import queries as plans
 from gridspark.sources import adapters, tables
 from gridspark.sources.scratch import shared_path
 from gridspark.streaming import rowwise
@@ -131,3 +132,14 @@ def test_streams_give_the_batch_result(spark, tmp_path):
     got = streamed(f"{tmp_path}/cells", cells.schema, lambda df: rowwise.flag_against(df, stats, "b1", 1.0), "streamed_flags")
     assert got.filter("b1_global").count() == quality.global_outlier(cells, "b1", 1.0).filter("b1_global").count()
     assert set(INDICES) >= {"ndvi", "evi"}
+
+
+def test_queries_without_sql_take_every_event(spark):
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    assert adapters.readings(spark, SMALL).count() == events.count()
+    x, y = (events.event_id * 7919) % 1009, (events.event_id * 104729) % 1013
+    cells = spark.read.parquet(f"{SMALL}/embeddings.parquet").count()
+    row, col = F.floor((1000 - y) / 50), F.floor(x / 50)
+    placed = events.filter((row >= 0) & (row * 25 + col < cells)).count()
+    assert plans.training(spark, SMALL).count() == placed
+    assert plans.flagship(spark, SMALL).first()["Total"] == events.count()
