@@ -1,0 +1,111 @@
+"""Near copies by the share of common word shingles: MinHash bands propose pairs, exact Jaccard similarity decides.
+
+Texts become sets of 64-bit hashes of five-word shingles; equal sets become one node.  Each node has ``BANDS`` keys of
+``ROWS`` minimum hashes.  Two sets of similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9996 at
+0.8, more above.  Nodes that share a key are one bucket: in buckets of up to ``SMALL`` nodes all pairs are proposed, in
+larger ones each node with the ``HUBS`` that meet most others and with the one before it, in another order for each band,
+so that proposals grow with the rows and not with the square of a bucket; links inside such groups can be missed.  Every proposal is held against the whole sets.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from .common import DOCUMENT_COLUMNS, written
+from .components import components
+
+SEED, SHINGLE, SIMILARITY = 42, 5, 0.8
+BANDS, ROWS, SMALL, HUBS = 20, 5, 64, 3
+#: Shingles whose minimum hashes are taken at once.
+BLOCK = 1024
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct unsigned hashes of the word shingles; a shorter text is one shingle, a text without a word is ``[0]``."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # on bytes both know ASCII only
+    if not words:
+        return np.zeros(1, np.uint64)
+    hash_, join = xxhash.xxh64_intdigest, b" ".join
+    runs = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) > shingle else [words]
+    return np.unique(np.fromiter((hash_(join(r), SEED) for r in runs), np.dtype("<u8")))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """Signed keys of a set, one a band."""
+    factor, mask = _DRAWN
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(hashes), BLOCK):
+        np.minimum(least, ((hashes[None, start:start + BLOCK] ^ mask) * factor).min(axis=1), out=least)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def sketch(text: Column, shingle: int = SHINGLE) -> Column:
+    """Struct of the hash of a text's whole set, the size of the set, and the keys of its bands."""
+
+    @F.pandas_udf("print long, n int, bands array<long>")
+    def sketched(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, shingle) for t in texts]
+        prints = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        return pd.DataFrame({"print": prints, "n": np.array([len(s) for s in sets], np.int32), "bands": [band_keys(s) for s in sets]})
+
+    return sketched(text)
+
+
+def shingles(text: Column, shingle: int = SHINGLE) -> Column:
+    """The whole set, signed."""
+
+    @F.pandas_udf("array<long>")
+    def listed(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle).view(np.int64) for t in texts])
+
+    return listed(text)
+
+
+def proposals(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs ``a < b`` of ``nodes(print, n, bands)`` that share a band's key and whose sizes allow ``similarity``."""
+    keyed = nodes.select("print", "n", "bands", F.posexplode("bands").alias("band", "key"))
+    keyed = keyed.select("band", "key", F.element_at("bands", (F.col("band") + 1) % BANDS + 1).alias("next"), F.struct("print", "n").alias("me"))
+    bucket = W.partitionBy("band", "key")
+    met = written(keyed.withColumn("size", F.count("*").over(bucket)).filter("size > 1"))
+    # the nodes that meet most others stand in the middle of a large group
+    central = met.groupBy("me.print").agg(F.sum("size").alias("degree"))
+    met = met.join(central, met["me.print"] == central["print"]).drop("print")
+    middle = bucket.orderBy(F.desc("degree"), "me").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    row = bucket.orderBy("next", "me")
+    before = F.collect_list("me").over(row.rowsBetween(1 - SMALL, -1))
+    few = met.filter(F.col("size") <= SMALL).select("me", before.alias("others"))
+    many = met.filter(F.col("size") > SMALL).select("me", F.array(*(F.nth_value("me", k).over(middle) for k in range(1, HUBS + 1)), F.lag("me").over(row)).alias("others"))
+    fits = lambda o: o.isNotNull() & (o["print"] != F.col("me.print")) & (
+        F.least(o["n"], F.col("me.n")) >= similarity * F.greatest(o["n"], F.col("me.n")))
+    pairs = few.union(many).select("me", F.explode(F.filter("others", fits)).alias("o"))
+    return pairs.select(F.least("me.print", "o.print").alias("a"), F.greatest("me.print", "o.print").alias("b")).distinct()
+
+
+def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """The columns of ``documents`` of one row of each component of near copies: the one with the least id.
+
+    Rows link when the Jaccard similarity of their shingle sets is ``similarity`` or more; texts without a word link with
+    each other.  The verdict is a row's own: of rows that repeat an id only those go whose text is a copy, one of whole
+    rows that are repeated stays, and a row with a NULL id stays only where its component has no other.
+    """
+    rows = written(docs.select(*DOCUMENT_COLUMNS, F.monotonically_increasing_id().alias("row"), sketch(F.col("text"), shingle).alias("sketch")))
+    nodes = rows.groupBy("sketch.print").agg(F.min("row").alias("row"))
+    pairs = written(proposals(rows.select("row", "sketch.*").join(nodes, ["print", "row"], "left_semi"), similarity))
+    asked = pairs.select(F.col("a").alias("print")).union(pairs.select("b")).distinct().join(nodes, "print")
+    sets = written(rows.select("row", "text").join(asked, "row").select("print", shingles(F.col("text"), shingle).alias("set")))
+    both = (pairs.join(sets.select(F.col("print").alias("a"), F.col("set").alias("set_a")), "a")
+            .join(sets.select(F.col("print").alias("b"), F.col("set").alias("set_b")), "b"))
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    links = both.filter(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+    roots = components(links)
+    verdicts = rows.select("doc_id", "row", F.col("sketch.print").alias("node")).join(roots, "node", "left").select(
+        "row", F.coalesce("root", "node").alias("component"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("place"))
+    kept = verdicts.groupBy("component").agg(F.min("place").alias("kept"), F.count("*").alias("n")).filter("n > 1")
+    losers = verdicts.join(kept, "component").filter("row <> kept.row").select("row")
+    return rows.join(losers, "row", "left_anti").select(*DOCUMENT_COLUMNS)

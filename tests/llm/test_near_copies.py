@@ -1,0 +1,73 @@
+"""The pipeline's near-copy stage against all pairs."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from gridspark.llm import near_copies
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def plain_set(text):
+    words = (text or "").split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def plain_kept(rows):
+    """Ids that stay by brute force over all pairs of rows."""
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = [plain_set(t) for _, t in rows]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), doc), doc)
+    return sorted(least.values())
+
+
+def changed(words, n):
+    out = list(words)
+    for i in random.sample(range(len(out)), n):
+        out[i] = f"other{random.randint(0, 99999)}"
+    return out
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA).repartition(3)
+
+
+@pytest.mark.parametrize("copies", [1, 60])
+def test_against_all_pairs(spark, copies):
+    random.seed(copies)
+    texts = []
+    for _ in range(120 if copies == 1 else 3):
+        words = [f"w{random.randint(0, 9999)}" for _ in range(random.choice([100, 300, 1000]))]
+        texts.append(words)
+        texts += [changed(words, max(1, len(words) * random.choice([3, 10, 15, 20, 40]) // 1000)) for _ in range(copies)]
+    random.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    kept = sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, frame(spark, rows), "").collect())
+    assert kept == plain_kept(rows) and len(kept) < len(rows)
+
+
+def test_recall_by_similarity():
+    """Share of copies that share a band's key, by similarity."""
+    random.seed(1)
+    for n, least in ((3, 0.99), (8, 0.99)):  # of 200 words: about 0.86 and more, about 0.67 and more
+        met = 0
+        for _ in range(100):
+            words = [f"w{random.randint(0, 9999)}" for _ in range(200)]
+            a, b = (near_copies.shingle_set(" ".join(w)) for w in (words, changed(words, n)))
+            similar = len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
+            met += similar < 0.8 or bool((near_copies.band_keys(a) == near_copies.band_keys(b)).any())
+        assert met >= least * 100
