@@ -71,3 +71,12 @@ def test_recall_by_similarity():
             similar = len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
             met += similar < 0.8 or bool((near_copies.band_keys(a) == near_copies.band_keys(b)).any())
         assert met >= least * 100
+
+
+def test_verdicts_are_a_rows_own(spark):
+    """An id with two texts, copies with a NULL id, whole rows repeated."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    rows = [(1, a), (1, b), (2, a), (None, c), (None, c), (3, d), (3, d), (None, d)]
+    stays = lambda stage: sorted((r.doc_id or 0, r.text[0]) for r in stage(spark, frame(spark, rows), "").collect())
+    assert stays(corpus_pipeline.without_copies) == [(0, "c"), (1, "b"), (2, "a"), (3, "d")]
+    assert stays(corpus_pipeline.without_near_copies) == [(0, "c"), (1, "a"), (1, "b"), (3, "d")]
