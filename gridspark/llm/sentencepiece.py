@@ -12,20 +12,24 @@ from __future__ import annotations
 import re
 from array import array
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import Words, expanded, sums
+
 MARKER = "▁"
 #: What an unknown piece costs below the lowest score, as in the library.
 UNKNOWN_PENALTY = 10.0
-#: Words whose pieces a worker keeps, and the characters up to which one is kept.
-KEPT, KEPT_CHARS = 300_000, 64
+#: Bytes up to which words are segmented together.
+TOGETHER = 256
 #: Scores below this mark pieces that are placed by the library's own rules and not by score.
 LEAST_SCORE = -1e8
 
@@ -75,21 +79,6 @@ class DoubleArray:
             self.value[place[word]] = i
 
 
-class Kept(dict):
-    """Pieces by word without its marker, by ``encode`` where missing; forgets all when full."""
-
-    def __init__(self, encode: Callable[[str], tuple[int, ...]]) -> None:
-        self.encode = encode
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.encode(MARKER + word)
-        if len(word) <= KEPT_CHARS:
-            if len(self) >= KEPT:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class Encoder:
     """Encodes and decodes under one vocabulary."""
 
@@ -97,10 +86,15 @@ class Encoder:
         self.vocabulary = vocabulary
         self.trie = trie or DoubleArray({vocabulary.pieces[i].encode(): i for i in vocabulary.normal})
         self.base, self.check, self.value = map(list, (self.trie.base, self.trie.check, self.trie.value))  # quicker to read
-        self.kept = Kept(self.viterbi)
         self.literal = {i: vocabulary.pieces[i].replace(MARKER, " ").encode() for i in range(len(vocabulary.pieces))}
         self.literal |= {i: bytes([b]) for b, i in vocabulary.bytes.items()}
         self.byte_ids = frozenset(vocabulary.bytes.values())
+        self.is_byte = np.zeros(len(vocabulary.pieces), bool)
+        self.is_byte[list(self.byte_ids)] = True
+        self.piece_scores = np.where(self.is_byte, vocabulary.least - UNKNOWN_PENALTY, np.array(vocabulary.scores))
+        self.byte_table = np.array([vocabulary.bytes.get(b, vocabulary.unknown) for b in range(256)], np.int32)
+        self.tables = tuple(np.array(x, np.int64) for x in (self.trie.base, self.trie.check, self.trie.value)) + (np.array(vocabulary.scores),)
+        self.words = Words(self.worked_out)
 
     def viterbi(self, word: str) -> tuple[int, ...]:
         """Identifiers of the segmentation with the greatest score; among equals the first found wins."""
@@ -141,15 +135,110 @@ class Encoder:
         out.reverse()
         return tuple(out)
 
+    def viterbi_of_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`viterbi` of many words at once: identifiers, one word after the other, and the number of each word's.
+
+        One step of the search is taken in all words together: from the same place in each, along the trie as far as it goes.
+        """
+        base, check, value, scores, unknown = *self.tables, self.vocabulary.least - UNKNOWN_PENALTY
+        encoded = [w.encode("utf-8", "replace") for w in words]
+        data, many = np.frombuffer(b"".join(encoded), np.uint8), np.fromiter(map(len, encoded), np.int64, len(words))
+        first = np.cumsum(many) - many
+        node = first + np.arange(len(words))  # of a word's beginning; the node of a place in it is so much further
+        best, begin, piece = np.full(len(data) + len(words), -np.inf), np.zeros(len(data) + len(words), np.int32), np.full(len(data) + len(words), -1, np.int32)
+        best[node] = 0
+        by_length = np.argsort(-many, kind="stable")
+        longer = np.searchsorted(-many[by_length], -np.arange(many.max(initial=0)), side="left")  # words with a byte at each place
+
+        def offered(to: np.ndarray, score: np.ndarray, at: int, found: np.ndarray | int) -> None:
+            up = score > best[to]
+            best[to[up]], begin[to[up]], piece[to[up]] = score[up], at, found[up] if isinstance(found, np.ndarray) else found
+
+        for at, n in enumerate(longer.tolist()):
+            word = by_length[:n]
+            word = word[best[node[word] + at] > -np.inf]  # others are inside a character there
+            if not len(word):
+                continue
+            here, pos, stop, to = best[node[word] + at], first[word] + at, first[word] + many[word], node[word] + at
+            lead = data[pos]
+            single = 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
+            covered, i, state, k = np.zeros(len(word), bool), np.arange(len(word)), np.zeros(len(word), np.int64), 0
+            while len(i):
+                child = base[state] + data[pos] + 1
+                goes = check[child] == state
+                i, state, pos, k = i[goes], child[goes], pos[goes] + 1, k + 1
+                found = value[state]
+                if (hit := found >= 0).any():
+                    j = i[hit]
+                    covered[j] |= single[j] == k
+                    offered(to[j] + k, here[j] + scores[found[hit]], at, found[hit])
+                if not (inside := pos < stop[i]).all():
+                    i, state, pos = i[inside], state[inside], pos[inside]
+            if not covered.all():
+                offered((to + single)[~covered], here[~covered] + unknown, at, -1)
+
+        word, end, parts = np.arange(len(words)), many, []
+        while len(word):  # back from all ends
+            start = begin[node[word] + end].astype(np.int64)
+            parts.append((word, start, end, piece[node[word] + end]))
+            word, end = word[start > 0], start[start > 0]
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        word, start, end, found = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.lexsort((start, word))
+        word, start, end, found = word[order], start[order], end[order], found[order]
+        sizes = np.where((found < 0) & bool(self.vocabulary.bytes), end - start, 1)
+        part = np.repeat(np.arange(len(word)), sizes)
+        place = first[word[part]] + start[part] + np.arange(len(part)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.where(found[part] >= 0, found[part], self.byte_table[data[place]]).astype(np.int32), np.bincount(word, sizes, len(words)).astype(np.int64)
+
+    def cut(self, text: str) -> str:
+        """The text with one blank between each two words, which are what stands after the marker in front of each."""
+        if not self.vocabulary.by_word:
+            return text.replace(" ", MARKER)
+        if "  " in text or MARKER in text or text[:1] == " ":  # runs of markers are not cut
+            return " ".join(w[1:] for w in _words.findall(MARKER + text.replace(" ", MARKER)))
+        return text
+
+    def worked_out(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Of new words: their identifiers, how many each has, how many of them are bytes, the score, and whether decoding gives the word."""
+        marked = [MARKER + w for w in words]
+        long = [i for i, w in enumerate(marked) if len(w) > TOGETHER // 4 and len(w.encode("utf-8", "replace")) > TOGETHER]
+        for i in long:
+            marked[i] = ""
+        flat, sizes = self.viterbi_of_all(marked)
+        if long:
+            alone = {i: np.array(self.viterbi(MARKER + words[i]), np.int32) for i in long}
+            ends = np.cumsum(sizes)
+            flat = np.concatenate([x for i in range(len(words)) for x in (flat[ends[i] - sizes[i]:ends[i]], alone.get(i, flat[:0]))])
+            sizes[long] = [len(alone[i]) for i in long]
+        fallen = sums(self.is_byte[flat].astype(np.int64), sizes)
+        literal = [self.literal[i] for i in flat.tolist()]
+        expected = [b" " + w.replace(MARKER, " ").encode("utf-8", "replace") for w in words]
+        same = sums(np.fromiter(map(len, literal), np.int64, len(literal)), sizes) == np.fromiter(map(len, expected), np.int64, len(words))
+        if b"".join(literal) != b"".join(expected) or not same.all():  # then word by word
+            ends = np.cumsum(sizes)
+            same = np.array([b"".join(literal[end - n:end]) == e for e, n, end in zip(expected, sizes.tolist(), ends.tolist(), strict=True)], bool)
+        return flat, sizes, fallen, sums(self.piece_scores[flat], sizes), same
+
     def encode(self, text: str | None) -> list[tuple[int, ...]]:
         """Identifiers, word by word."""
-        if not text:
-            return []
-        if not self.vocabulary.by_word:
-            return [self.viterbi(MARKER + text.replace(" ", MARKER))]
-        if "  " in text or MARKER in text or text[0] == " ":  # runs of markers are not cut
-            return list(map(self.viterbi, _words.findall(MARKER + text.replace(" ", MARKER))))
-        return list(map(self.kept.__getitem__, text.split(" ")))
+        return [self.viterbi(MARKER + w) for w in self.cut(text).split(" ")] if text else []
+
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """Of texts: all identifiers, one text after the other; then for each text their number, the bytes among them, the score, and
+        whether decoding gives the text.
+
+        Each different word of the batch is looked up once in the worker's table.
+        """
+        lists = pc.split_pattern(pa.array([self.cut(t) if t else None for t in texts], pa.large_string()), " ")
+        coded = lists.values.dictionary_encode()
+        of_word = self.words.codes(coded.dictionary.to_pylist())
+        codes, n_words = of_word[coded.indices.to_numpy()], np.diff(lists.offsets.to_numpy())
+        flat, sizes, (fallen, scores, same) = self.words.flat, self.words.sizes, self.words.facts
+        unmarked = np.array([t is None or MARKER not in t for t in texts], bool)
+        return (expanded(flat, sizes, codes), *(sums(x[codes], n_words) for x in (sizes, fallen, scores)),
+                (sums((~same[codes]).astype(np.int64), n_words) == 0) & unmarked)
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of identifiers: byte pieces to bytes, markers to blanks, without the one put in front."""
@@ -178,25 +267,18 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     built = Encoder(Vocabulary(path))
     shared = docs.sparkSession.sparkContext.broadcast((built.vocabulary, built.trie))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    @F.pandas_udf("ids array<int>, n_pieces long, n_bytes_fallen_back long, score double, decoded_equal boolean")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, shared)
-        scores = np.array(encoder.vocabulary.scores)
-        unknown = encoder.vocabulary.least - UNKNOWN_PENALTY
-        is_byte = np.zeros(len(scores), bool)
-        is_byte[list(encoder.byte_ids)] = True
-        scores[is_byte] = 0
-        for texts in batches:
-            rows = []
-            for text in texts:
-                words = encoder.encode(text)
-                ids = np.fromiter(chain.from_iterable(words), np.int32)
-                fallen = int(is_byte[ids].sum())
-                rows.append((ids, len(ids), fallen, float(scores[ids].sum()) + fallen * unknown, encoder.decode(ids) == (text or "")))
-            yield pd.DataFrame(rows, columns=["ids", "n_pieces", "n_bytes_fallen_back", "score", "decoded_equal"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), encoded(F.col(text_col)).alias("r")).select("doc_id", "r.*")
+        for batch in batches:
+            ids, n, fallen, scores, same = encoder.batch(batch.column("text").to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, *map(pa.array, (n, fallen, scores, same))],
+                                             ["doc_id", "ids", "n_pieces", "n_bytes_fallen_back", "score", "decoded_equal"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(encoded, f"doc_id {kind}, ids array<int>, n_pieces long, n_bytes_fallen_back long, score double, decoded_equal boolean")
 
 
 def decode(ids: Column, path: str) -> Column:
