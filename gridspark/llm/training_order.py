@@ -1,32 +1,46 @@
 """Training-order materialisation: packed token sequences in a keyed pseudo-random order, as fixed-stride shards.
 
-Texts are tokenised and packed into sequences of equal length, map partition by map partition.  A first pass counts the
-sequences of each partition, a second packs them: tokenising twice costs less than keeping the tokens between.  A
-sequence's number is its place in its partition plus the sequences before that partition; a Feistel permutation of [0, n), keyed by a seed,
-turns the number into a global slot.  Its domain is the next power of four, and a value outside [0, n) is permuted again
-until it falls inside (cycle walking), so the order needs no sort, no shuffle buffer and no table of positions.  Slots
-are dealt by ranges, and each range is written as a shard of fixed-stride binary records: slot ``s`` is record
-``s mod per_shard`` of shard ``s div per_shard``, so a reader starts again at any slot with one seek.
+Documents stand in the order of a hash of their id and text, so the corpus is one stream of tokens that depends on its
+rows and on nothing else: not on files, partitions or cores.  Texts are tokenised once, into a table.  Running sums over
+its narrow columns (hash, id, count), dealt into ``BINS`` ranges of the hash, give each document its place in the stream.
+The stream is cut into sequences of equal length; a Feistel permutation of [0, n), keyed by a seed, turns a sequence's
+number into a global slot.  Its domain is the next power of four, and a value outside [0, n) is permuted again until it
+falls inside (cycle walking), so the order needs no shuffle buffer and no table of positions.  Each document's tokens are
+cut where sequences end and sent to the shards of their slots, those that go from one task to one shard as one
+compressed block; only that shuffle carries tokens.  Slots are dealt by ranges, and each range is written as a shard of
+fixed-stride binary records: slot ``s`` is record ``s mod per_shard`` of shard ``s div per_shard``, so a reader starts
+again at any slot with one seek.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
+import pyarrow.parquet
 import tiktoken
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-#: Fixed value: the byte-level pre-token pattern.
+from .common import scratch
+
+#: The byte-level pre-token pattern, and the part of it that only matters for runs of white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+FOR_RUNS = r"|\s+(?!\S)"
 ROUNDS = 6
+#: Ranges of the hash that orders the documents: the driver gets one row of each.
+BINS = 1 << 12
+#: Bytes of tokens that a task gathers before it sends blocks to the shards.
+GATHERED = 32 << 20
 _U = np.uint64
 
 
@@ -53,20 +67,25 @@ def permuted(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.nd
     return out.astype(np.int64)
 
 
+_run = re.compile(r"\s\s")
+
+
 class Tokens:
-    """Identifiers of texts under one vocabulary: unsigned 16-bit little-endian."""
+    """Identifiers of texts under one vocabulary, which has to have less than 2^16 of them."""
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.model = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.full, self.plain = (tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+                                 for pattern in (PATTERN, PATTERN.replace(FOR_RUNS, "")))
         self.end = len(ranks)
         if self.end >= 1 << 16:
             raise ValueError("identifiers do not fit into 16 bits")
 
     def of(self, text: str | None) -> np.ndarray:
-        """Unsigned 32-bit identifiers."""
-        return self.model.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+        """Unsigned 16-bit little-endian identifiers. Without runs of white space the pattern needs no look-ahead, which is quicker."""
+        model = self.full if text and _run.search(text) else self.plain
+        return model.encode_to_numpy(text or "", disallowed_special=()).astype("<u2")
 
 
 _tokens: dict[str, Tokens] = {}
@@ -78,113 +97,174 @@ def _vocabulary(path: str) -> Tokens:
     return _tokens[path]
 
 
-def count_sequences(docs: DataFrame, path: str, text_col: str = "text", length: int = 2048) -> dict[int, int]:
-    """Number of sequences by map partition: one entry per map task."""
+def tokenised(text: Column, path: str) -> Column:
+    """Struct of a text's identifiers (unsigned 16-bit little-endian) with the end identifier after them, and their number; both empty without any."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, n = _vocabulary(path), 0
-        for batch in batches:
-            for text in batch["text"]:
-                if size := len(tokens.of(text)):
-                    n += size + 1
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [-(-n // length)]})
+    @F.pandas_udf("tokens binary, n long")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tokens = _vocabulary(path)
+        end = tokens.end.to_bytes(2, "little")
+        for texts in batches:
+            data = [ids.tobytes() + end if len(ids) else b"" for ids in map(tokens.of, texts)]
+            yield pd.DataFrame({"tokens": data, "n": np.array([len(d) // 2 for d in data], np.int64)})
+
+    return found(text)
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(counted, "part int, n long").collect()
-    return {r.part: r.n for r in rows}
 
+def tokens_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``bin, hash, id, row, n, tokens`` of the rows with a token, written once; ``row`` is the partition and the place in it."""
+    spark, text = docs.sparkSession, F.col(text_col).cast("string")
+    rows = docs.select(F.xxhash64(F.col(id_col), text).alias("hash"), F.col(id_col).cast("string").alias("id"), F.monotonically_increasing_id().alias("row"), tokenised(text, path).alias("r"))
+    table = rows.select(F.shiftrightunsigned("hash", 64 - BINS.bit_length() + 1).alias("bin"), "hash", "id", "row", "r.n", "r.tokens").filter("n > 0")
+    to = scratch(spark)
+    table.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(to)
+    return spark.read.schema(table.schema).parquet(to)
 
-def pack(docs: DataFrame, path: str, counts: dict[int, int], key: int, text_col: str = "text", length: int = 2048, per_shard: int = 4096) -> DataFrame:
-    """Sequences ``slot, shard, part, place, n_tokens, tokens``: ``length`` unsigned 16-bit little-endian identifiers in each.
 
-    Every text with a token is followed by the end identifier (the first free one); the last sequence of a partition is
-    filled up with it, ``n_tokens`` counts the ones before that.  NULL and empty texts add nothing.  ``counts`` comes from
-    :func:`count_sequences` over the same table; a partition that does not agree with it is an error, so ``docs`` must be
-    read in the same partitions each time, as files are.
+def place(table: DataFrame) -> tuple[DataFrame, int]:
+    """``part, row, start`` for each row of :func:`tokens_table`, and the tokens of all: ``start`` is where its tokens begin in the stream.
+
+    Rows stand in the order of their hash, then of their id; where rows are repeated it does not matter which stands first.
     """
+    bins = dict(table.groupBy("bin").agg(F.sum("n")).collect())  # BINS rows at most
     before, total = {}, 0
-    for part in sorted(counts):
-        before[part], total = total, total + counts[part]
-
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, part, place, held = _vocabulary(path), TaskContext.get().partitionId(), 0, b""
-        end, stride = tokens.end.to_bytes(2, "little"), 2 * length
-
-        def rows(data: bytes, sizes) -> pd.DataFrame:
-            n = len(data) // stride
-            if place + n > counts.get(part, 0):
-                raise RuntimeError(f"partition {part} was read differently the second time; write the documents first")
-            places = np.arange(place, place + n)
-            slot = permuted(places + before[part], total, key)
-            return pd.DataFrame({"slot": slot, "shard": slot // per_shard, "part": part, "place": places, "n_tokens": sizes,
-                                 "tokens": [data[i:i + stride] for i in range(0, n * stride, stride)]})
+    for at in sorted(bins):
+        before[at], total = total, total + bins[at]
+    starts = table.sparkSession.createDataFrame(list(before.items()), "bin long, before long")
+    running = F.sum("n").over(W.partitionBy("bin").orderBy("hash", "id", "row").rowsBetween(W.unboundedPreceding, -1))
+    placed = table.select("bin", "hash", "id", "row", "n").withColumn("start", F.coalesce(running, F.lit(0))).join(F.broadcast(starts), "bin")
+    return placed.select(F.shiftright("row", 33).alias("part"), "row", (F.col("start") + F.col("before")).alias("start")), total
+
+
+def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+
+
+def _places_of(path: str, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that one task has tokenised, in order, and where their tokens begin."""
+    fs, base = _open(f"{path}/part={part}")
+    files = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(base)) if f.path.endswith(".parquet")]
+    found = pa.concat_tables([pyarrow.parquet.read_table(f, columns=["row", "start"], filesystem=fs, partitioning=None) for f in files]).sort_by("row")
+    return found["row"].to_numpy(), found["start"].to_numpy()
+
+
+#: A piece of a sequence: its slot and number, the place of its first token in the sequence, and how many it has.
+PIECE = np.dtype([("slot", "<i8"), ("sequence", "<i8"), ("start", "<i4"), ("n", "<i4")])
+
+
+def blocks(table: DataFrame, places: str, total: int, key: int, length: int = 2048, per_shard: int = 4096) -> DataFrame:
+    """``shard, pieces, tokens``: what a task has for a shard, as an array of ``PIECE`` and the compressed tokens of these pieces.
+
+    ``places`` is the path of the table made by :func:`place`, by partition.
+    """
+    n = -(-total // length)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, known, starts = None, None, None
+        found, data, size = [], [], 0
+
+        def sent() -> pd.DataFrame:
+            pieces = np.array(found, PIECE)
+            pieces["slot"] = permuted(pieces["sequence"], n, key)
+            shard = pieces["slot"] // per_shard
+            order = np.lexsort((pieces["start"], pieces["slot"]))
+            cuts = np.flatnonzero(np.diff(shard[order])) + 1
+            packer = zstandard.ZstdCompressor(level=3)
+            groups = np.split(order, cuts)
+            out = pd.DataFrame({"shard": [shard[g[0]] for g in groups], "pieces": [pieces[g].tobytes() for g in groups],
+                                "tokens": [packer.compress(b"".join(data[i] for i in g)) for g in groups]})
+            found.clear()
+            data.clear()
+            return out
 
         for batch in batches:
-            pieces = [held]
-            for text in batch["text"]:
-                ids = tokens.of(text)
-                if len(ids):
-                    pieces += ids.astype("<u2").tobytes(), end
-            stream = b"".join(pieces)
-            cut = len(stream) // stride * stride
-            if cut:
-                yield rows(stream[:cut], length)
-            place, held = place + cut // stride, stream[cut:]
-        if held:
-            yield rows(held + end * ((stride - len(held)) // 2), len(held) // 2)
-            place += 1
-        if place != counts.get(part, 0):
-            raise RuntimeError(f"partition {part} was read differently the second time; write the documents first")
-
-    return docs.select(F.col(text_col).alias("text")).mapInPandas(packed, "slot long, shard long, part int, place long, n_tokens int, tokens binary")
+            for row, tokens in zip(batch["row"].tolist(), batch["tokens"], strict=True):
+                if row >> 33 != part:
+                    part = row >> 33
+                    known, starts = _places_of(places, part)
+                start, tokens = int(starts[np.searchsorted(known, row)]), memoryview(tokens)
+                while len(tokens):
+                    sequence, offset = divmod(start, length)
+                    piece, tokens = bytes(tokens[:2 * (length - offset)]), tokens[2 * (length - offset):]
+                    found.append((0, sequence, offset, len(piece) // 2))
+                    data.append(piece)
+                    start, size = start + len(piece) // 2, size + len(piece)
+                    if size >= GATHERED:
+                        yield sent()
+                        size = 0
+        if found:
+            yield sent()
+
+    return table.select("row", "tokens").mapInPandas(cut, "shard long, pieces binary, tokens binary")
 
 
 def _file(path: str, shard: int) -> tuple[pyarrow.fs.FileSystem, str]:
-    fs, base = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+    fs, base = _open(path)
     return fs, f"{base}/shard-{shard:08d}.bin"
 
 
-def _writer(path: str):
-    """Writes each shard under a name of its own first, so that a task that runs twice leaves whole files only."""
+def _writer(path: str, total: int, end: int, length: int, per_shard: int):
+    """Over blocks sorted by shard: writes each shard under a name of its own first, so that a task that runs twice leaves whole files only."""
+    n = -(-total // length)
+
+    def write(shard: int, pieces: list[bytes], tokens: list[bytes]) -> pd.DataFrame:
+        unpack = zstandard.ZstdDecompressor()
+        found = np.concatenate([np.frombuffer(p, PIECE) for p in pieces])
+        data = np.frombuffer(b"".join(map(unpack.decompress, tokens)), "<u2")
+        slots = np.arange(shard * per_shard, min(n, (shard + 1) * per_shard))
+        records = np.full(len(slots) * length, end, "<u2")
+        to = (found["slot"] - slots[0]) * length + found["start"]
+        ends = np.cumsum(found["n"])
+        if len(data) != len(records) - (total < n * length and (found["sequence"] == n - 1).any()) * (n * length - total):
+            raise RuntimeError(f"shard {shard} is not whole")
+        for at, size, stop in zip(to.tolist(), found["n"].tolist(), ends.tolist(), strict=True):
+            records[at:at + size] = data[stop - size:stop]
+        fs, name = _file(path, shard)
+        fs.create_dir(name.rpartition("/")[0], recursive=True)
+        own = f"{name}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(own) as out:
+            out.write(records)
+        fs.move(own, name)
+        sequence = np.zeros(len(slots), np.int64)
+        sequence[found["slot"] - slots[0]] = found["sequence"]
+        return pd.DataFrame({"slot": slots, "shard": shard, "sequence": sequence, "n_tokens": np.where(sequence == n - 1, total - (n - 1) * length, length),
+                             "sha256": [hashlib.sha256(r).hexdigest() for r in records.reshape(-1, length)]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, out, names = None, None, None
-
-        def close() -> None:
-            if out is not None:
-                out.close()
-                names[0].move(names[1], names[2])
-
+        at, pieces, tokens = None, [], []
         for batch in batches:
-            for shard, rows in batch.groupby("shard", sort=False):
-                if shard != at:
-                    close()
-                    at = shard
-                    fs, name = _file(path, int(shard))
-                    fs.create_dir(name.rpartition("/")[0], recursive=True)
-                    names = fs, f"{name}.{uuid.uuid4().hex}", name
-                    out = fs.open_output_stream(names[1])
-                for record in rows["tokens"]:
-                    out.write(record)
-            done = batch[["slot", "shard", "part", "place", "n_tokens"]].copy()
-            done["sha256"] = [hashlib.sha256(t).hexdigest() for t in batch["tokens"]]
-            yield done
-        close()
+            for shard, piece, token in zip(batch["shard"].tolist(), batch["pieces"], batch["tokens"], strict=True):
+                if shard != at and pieces:
+                    yield write(at, pieces, tokens)
+                    pieces, tokens = [], []
+                at = shard
+                pieces.append(bytes(piece))
+                tokens.append(bytes(token))
+        if pieces:
+            yield write(at, pieces, tokens)
 
     return run
 
 
-def materialise(docs: DataFrame, vocabulary: str, path: str, text_col: str = "text", length: int = 2048, per_shard: int = 4096, key: int = 42) -> DataFrame:
+def materialise(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, per_shard: int = 4096,
+                key: int = 42) -> DataFrame:
     """Write the shards below ``path`` (a folder that all executors share) and return the index of their records.
 
-    One row per sequence: ``slot, shard, byte_offset, n_tokens, part, place, sha256``; files are written when the result is
-    computed.  Repeated rows are packed as often as they occur; other columns are ignored; an empty table writes nothing and
-    gives an empty result.
+    One row per sequence: ``slot, shard, byte_offset, n_tokens, sequence, sha256, path``; files are written when the result
+    is computed, and a task holds one shard.  Every text with a token is followed by the end identifier (the first free one);
+    the last sequence is filled up with it, ``n_tokens`` counts the ones before that.  NULL and empty texts add nothing,
+    repeated rows are packed as often as they occur, a NULL id is a value like any other; other columns are ignored.  An empty
+    table writes nothing and gives an empty result.  The same rows, key and lengths give the same shards in any partitioning.
     """
-    counts = count_sequences(docs, vocabulary, text_col, length)
-    ranges = max(1, -(-sum(counts.values()) // per_shard))
-    ordered = pack(docs, vocabulary, counts, key, text_col, length, per_shard).repartitionById(ranges, F.col("shard").cast("int")).sortWithinPartitions("slot")
-    index = ordered.mapInPandas(_writer(path), "slot long, shard long, part int, place long, n_tokens int, sha256 string")
-    return index.select("slot", "shard", (F.col("slot") % per_shard * (2 * length)).alias("byte_offset"), "n_tokens", "part", "place", "sha256")
+    table = tokens_table(docs, vocabulary, id_col, text_col)
+    found, total = place(table)
+    places = scratch(docs.sparkSession)
+    found.repartition("part").write.partitionBy("part").parquet(places)
+    ranges = max(1, -(-total // (length * per_shard)))
+    ordered = blocks(table, places, total, key, length, per_shard).repartitionById(ranges, F.col("shard").cast("int")).sortWithinPartitions("shard")
+    index = ordered.mapInPandas(_writer(path, total, _vocabulary(vocabulary).end, length, per_shard), "slot long, shard long, sequence long, n_tokens int, sha256 string")
+    return index.select("slot", "shard", (F.col("slot") % per_shard * (2 * length)).alias("byte_offset"), "n_tokens", "sequence", "sha256",
+                        F.concat(F.lit(f"{path}/shard-"), F.lpad(F.col("shard").cast("string"), 8, "0"), F.lit(".bin")).alias("path"))
 
 
 def read_from(path: str, slot: int, length: int = 2048, per_shard: int = 4096) -> Iterator[np.ndarray]:
