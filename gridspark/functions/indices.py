@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import finite
+from .quantiles import medians
 
 OPERATORS: dict[str, Callable[[Column, float], Column]] = {
     ">": lambda c, v: c > v, "<": lambda c, v: c < v, "==": lambda c, v: c == v,
@@ -64,11 +65,9 @@ INDICES: dict[str, Callable[..., Column]] = {f.__name__: f for f in (ndvi, savi,
 
 
 def cap_extremes(bands: DataFrame, names: Sequence[str], limit: float = 100.0) -> DataFrame:
-    """Values above ``limit`` become the median of their whole band. All medians come from one aggregate."""
-    medians = bands.agg(*(F.median(n).alias(f"_median_{n}") for n in names))
-    capped = bands.crossJoin(F.broadcast(medians))  # one row
-    return capped.select(*(F.when(F.col(c) > limit, F.col(f"_median_{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c)
-                           for c in bands.columns))
+    """Values above ``limit`` become the exact median of their whole band. Not lazy: the medians are counted first, all together."""
+    middle = medians(bands, names)
+    return bands.select(*(F.when(F.col(c) > limit, F.lit(middle[c])).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in bands.columns))
 
 
 def indices(bands: DataFrame, config: Mapping[str, Mapping[str, str]], keep: Sequence[str] = ("row", "col"), limit: float | None = 100.0) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .spatial import spatial_knn
 
 
@@ -58,22 +62,31 @@ def fit_variogram(lags: Sequence[tuple[float, float, int]], kind: str = "spheric
 
 
 def _solved(kind: str, nugget: float, sill: float, reach: float):
+    """Estimates and variances of frames of targets; those with as many neighbours are solved as one stack."""
+
+    def solve(near: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, k = near.shape[:2]
+        place, value = near[:, :, :2], near[:, :, 2]
+        a = np.ones((n, k + 1, k + 1))
+        a[:, k, k] = 0
+        apart = place[:, :, None] - place[:, None]
+        a[:, :k, :k] = gamma(np.hypot(apart[..., 0], apart[..., 1]), kind, nugget, sill, reach)
+        b = np.ones((n, k + 1))
+        b[:, :k] = gamma(np.hypot(*np.moveaxis(place - at[:, None], 2, 0)), kind, nugget, sill, reach)
+        try:
+            w = np.linalg.solve(a, b[..., None])[..., 0]
+        except np.linalg.LinAlgError:  # some system of the stack is singular
+            w = np.stack([np.linalg.lstsq(x, y, rcond=None)[0] for x, y in zip(a, b, strict=True)])
+        return (w[:, :k] * value).sum(axis=1), np.maximum(0.0, (w * b).sum(axis=1))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            estimates, variances = [], []
-            for tx, ty, near in zip(batch["tx"], batch["ty"], batch["near"], strict=True):
-                p = np.array([(q["x"], q["y"], q["v"]) for q in near], float)
-                k = len(p)
-                a = np.ones((k + 1, k + 1))
-                a[k, k] = 0
-                a[:k, :k] = gamma(np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1]), kind, nugget, sill, reach)
-                b = np.append(gamma(np.hypot(p[:, 0] - tx, p[:, 1] - ty), kind, nugget, sill, reach), 1.0)
-                try:
-                    w = np.linalg.solve(a, b)
-                except np.linalg.LinAlgError:
-                    w = np.linalg.lstsq(a, b, rcond=None)[0]
-                estimates.append(float(w[:k] @ p[:, 2]))
-                variances.append(float(max(0.0, w @ b)))
+            estimates, variances = np.zeros(len(batch)), np.zeros(len(batch))
+            sizes, at = batch["nx"].map(len).to_numpy(), batch[["tx", "ty"]].to_numpy(float)
+            for k in np.unique(sizes):
+                rows = np.flatnonzero(sizes == k)
+                near = np.stack([np.stack(batch[c].to_numpy()[rows]) for c in ("nx", "ny", "nv")], axis=2).astype(float)
+                estimates[rows], variances[rows] = solve(near, at[rows])
             yield pd.DataFrame({"target": batch["target"], "kriged": estimates, "variance": variances})
 
     return run
@@ -87,22 +100,40 @@ def ordinary_kriging(points: DataFrame, targets: DataFrame, value: str, variogra
     near = spatial_knn(places, k, asked, key="place").withColumnRenamed("place", "target")
     with_values = near.join(places.select(F.col("place").alias("neighbour"), "x", "y", "v"), "neighbour")
     gathered = with_values.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("rank", "x", "y", "v"))).alias("near"))  # k of them
-    ready = gathered.join(asked.select(F.col("place").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty")), "target")
+    ready = gathered.join(asked.select(F.col("place").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty")), "target").select(
+        "target", "tx", "ty", *(F.col(f"near.{c}").alias(f"n{c}") for c in "xyv"))
     kind_of = dict(targets.dtypes)[target_key]
     return ready.mapInPandas(_solved(kind, *variogram), f"target {kind_of}, kriged double, variance double").withColumnRenamed("target", target_key)
 
 
+def usual_lag(points: DataFrame, x: str = "x", y: str = "y", per_point: int = 200) -> float:
+    """An eighth of the diagonal, or less: the distance within which a point has ``per_point`` others on average, so that pairs grow with the points."""
+    w, h, n = points.agg(F.max(x) - F.min(x), F.max(y) - F.min(y), F.count("*")).first()
+    w, h = w or 0.0, h or 0.0
+    crowd = (per_point * max(w, 1e-9) * max(h, 1e-9) / (math.pi * max(n, 1))) ** 0.5
+    return max(min((w * w + h * h) ** 0.5 / 8, crowd) if w and h else (w + h) / 8, 1e-9)
+
+
 def regression_kriging(train: DataFrame, targets: DataFrame, label: str, variogram_kind: str = "spherical", max_lag: float | None = None, k: int = 8,
                        key: str = "point_id") -> DataFrame:
     """``targets`` (with the forest's ``prediction``) and ``rfrk, kriging_variance``: prediction plus kriged training residuals.
 
-    ``train`` has the label and the forest's prediction too.
+    ``train`` has the label and the forest's prediction too.  Pairs up to ``max_lag`` make the variogram, :func:`usual_lag` if
+    that is None.
     """
     residuals = train.withColumn("_residual", F.col(label) - F.col("prediction"))
     if max_lag is None:
-        w, h = residuals.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-        max_lag = max((w * w + h * h) ** 0.5 / 8, 1e-9)
+        max_lag = usual_lag(residuals)
     lags = [(r["distance"], r["gamma"], r["n"]) for r in lag_table(residuals, "_residual", max_lag, key=key).collect()]  # six rows
     variogram = fit_variogram(lags, variogram_kind) if lags else (0.0, 1.0, max_lag)
     kriged = ordinary_kriging(residuals, targets, "_residual", variogram, variogram_kind, k, key, key)
     return targets.join(kriged, key, "left").withColumn("rfrk", F.col("prediction") + F.coalesce("kriged", F.lit(0.0))).withColumnRenamed("variance", "kriging_variance").drop("kriged")
+
+
+def kriging_or_forest(train: DataFrame, targets: DataFrame, label: str, **settings) -> tuple[DataFrame, str | None]:
+    """:func:`regression_kriging`, written; where it fails, at run time too, the forest's prediction as ``rfrk`` without a variance, and why."""
+    try:
+        return written(regression_kriging(train, targets, label, **settings)), None
+    except (ValueError, np.linalg.LinAlgError, PySparkException, Py4JJavaError) as error:
+        nothing = F.lit(None).cast("double")
+        return targets.withColumns({"rfrk": F.col("prediction"), "kriging_variance": nothing}), f"{type(error).__name__}: {error}"

@@ -14,7 +14,6 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,6 +22,8 @@ from pyspark.sql import functions as F
 from .prep import bucket
 
 DEEPEST = 30
+#: Training rows of a partition.
+ROWS = 100_000
 
 
 def forest_parameters(n_estimators: int = 20, max_depth: int | None = None, min_samples_split: int = 2, min_samples_leaf: int = 1) -> dict[str, int]:
@@ -36,9 +37,14 @@ def forest(task: str, label: str, **params: int | None) -> Estimator:
     return kind(featuresCol="features", labelCol=label, seed=42, **forest_parameters(**params))
 
 
+def ordered(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt and ordered by key, so that a fit can be repeated on any cluster: about ``ROWS`` in a partition, eight partitions at least."""
+    return df.repartition(max(8, ceil(df.count() / ROWS)), key).sortWithinPartitions(key)
+
+
 def fit(train: DataFrame, label: str, features: Sequence[str], task: str = "regression", key: str = "point_id", **params: int | None) -> PipelineModel:
-    """Assembler and forest. Rows are dealt and ordered by key first, so that a fit can be repeated."""
-    rows = train.repartition(8, key).sortWithinPartitions(key)
+    """Assembler and forest over :func:`ordered` rows."""
+    rows = ordered(train, key)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), forest(task, label, **params)]).fit(rows)
 
 
@@ -57,19 +63,40 @@ def score(predicted: DataFrame, label: str, task: str) -> float:
     return float(predicted.agg(F.avg((F.col(label) == F.col("prediction")).cast("double"))).first()[0] or 0.0)
 
 
-def cross_validate(train: DataFrame, label: str, features: Sequence[str], task: str, folds: int = 5, key: str = "point_id", **params) -> float:
-    """Mean score over folds by a hash of the key; the folds run side by side."""
-    folded = train.withColumn("_fold", bucket(F.col(key), 7, folds))
+Fold = tuple[DataFrame, DataFrame]
+
+
+def prepared_folds(train: DataFrame, label: str, features: Sequence[str], folds: int, key: str = "point_id") -> list[Fold]:
+    """Training and test rows of each fold by a hash of the key, assembled, ordered and cached: every fit over them shares the work."""
+    assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(train).select(key, label, "features")
+    folded = assembled.withColumn("_fold", bucket(F.col(key), 7, folds))
+    return [(ordered(folded.filter(F.col("_fold") != i), key).persist(), folded.filter(F.col("_fold") == i).persist()) for i in range(folds)]
 
-    def one(i: int) -> float:
-        model = fit(folded.filter(F.col("_fold") != i), label, features, task, key, **params)
-        return score(model.transform(folded.filter(F.col("_fold") == i)), label, task)
 
-    with ThreadPoolExecutor(max_workers=min(folds, 4)) as pool:
-        return sum(pool.map(one, range(folds))) / folds
+def released(folds: list[Fold]) -> None:
+    for fold in folds:
+        for df in fold:
+            df.unpersist()
 
 
-def rfecv(train: DataFrame, label: str, features: Sequence[str], task: str = "regression", always: Sequence[str] = (), folds: int = 3, **params) -> tuple[list[str], list[tuple[int, float]]]:
+def fold_scores(folds: list[Fold], label: str, task: str, **params) -> float:
+    """Mean score over the folds, which run side by side."""
+    def one(fold: Fold) -> float:
+        return score(forest(task, label, **params).fit(fold[0]).transform(fold[1]), label, task)
+
+    with ThreadPoolExecutor(max_workers=min(len(folds), 4)) as pool:
+        return sum(pool.map(one, folds)) / len(folds)
+
+
+def cross_validate(train: DataFrame, label: str, features: Sequence[str], task: str, folds: int = 5, key: str = "point_id", **params) -> float:
+    """Mean score over folds by a hash of the key."""
+    prepared = prepared_folds(train, label, features, folds, key)
+    found = fold_scores(prepared, label, task, **params)
+    released(prepared)
+    return found
+
+
+def rfecv(train: DataFrame, label: str, features: Sequence[str], task: str = "regression", always: Sequence[str] = (), folds: int = 5, **params) -> tuple[list[str], list[tuple[int, float]]]:
     """Features by recursive elimination: the least important goes each time, the number with the best mean score wins.
 
     ``always`` (coordinates) takes part in every fit and is never eliminated.
@@ -90,14 +117,14 @@ def rfecv(train: DataFrame, label: str, features: Sequence[str], task: str = "re
 
 def search(train: DataFrame, label: str, features: Sequence[str], task: str, grid: Sequence[Mapping[str, int | None]], folds: int = 3) -> tuple[dict, float]:
     """The combination with the best mean score, the first of several. Combinations that Spark cannot tell apart run once."""
-    train, tried, best = train.persist(), {}, None
+    prepared, tried, best = prepared_folds(train, label, features, folds), {}, None
     for params in grid:
         known = tuple(sorted(forest_parameters(**params).items()))
         if known not in tried:
-            tried[known] = cross_validate(train, label, features, task, folds, **params)
+            tried[known] = fold_scores(prepared, label, task, **params)
         if best is None or tried[known] > best[1]:
             best = (dict(params), tried[known])
-    train.unpersist()
+    released(prepared)
     return best
 
 
@@ -214,7 +241,7 @@ def leaderboard(train: DataFrame, test: DataFrame, label: str, features: Sequenc
         "NeuralNet": MultilayerPerceptronClassifier(labelCol=label, layers=[len(features), 16, n_classes], maxIter=60, seed=42),
     }
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    a, b = (assembler.transform(df.repartition(4, key).sortWithinPartitions(key)).persist() for df in (train, test))
+    a, b = (assembler.transform(ordered(df, key)).persist() for df in (train, test))
     f1 = MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
     rows = []
     for name, kind in kinds.items():
@@ -260,28 +287,16 @@ def explain_tree(df: DataFrame, label: str, features: Sequence[str], task: str =
     return out
 
 
-def tree_values(model: PipelineModel, path: str) -> DataFrame:
-    """``tree, values``: the prediction of every leaf of a forest regressor, in the order of the leaf numbers that it gives."""
-    from pyspark.sql import SparkSession
-
-    model.stages[-1].write().overwrite().save(path)
-    nodes = SparkSession.getActiveSession().read.parquet(f"{path}/data").select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild")
-    leaves = nodes.filter("leftChild < 0").groupBy(F.col("treeID").alias("tree")).agg(F.sort_array(F.collect_list(F.struct("id", "prediction"))).alias("l"))
-    return leaves.select("tree", F.transform("l", lambda x: x["prediction"]).alias("values"))
-
-
-def tree_uncertainty(model: PipelineModel, df: DataFrame, path: str) -> DataFrame:
-    """Add ``prediction`` and ``uncertainty``: mean and population deviation of the trees' own predictions.
-
-    The leaf values are broadcast; a forest has at most trees times 2 ** depth of them.
-    """
-    values = tree_values(model, path)
-    table = values.agg(F.transform(F.sort_array(F.collect_list(F.struct("tree", "values"))), lambda t: t["values"]).alias("_table"))
-    stage = model.stages[-1]
-    stage.setLeafCol("_leaf")
-    placed = model.transform(df)
-    each = F.transform(vector_to_array("_leaf"), lambda leaf, i: F.col("_table")[i][leaf.cast("int")])
-    with_trees = placed.crossJoin(F.broadcast(table)).withColumn("_each", each)  # one row
-    mean = F.aggregate("_each", F.lit(0.0), lambda s, v: s + v) / F.size("_each")
-    square = F.aggregate("_each", F.lit(0.0), lambda s, v: s + v * v) / F.size("_each")
-    return with_trees.withColumns({"prediction": mean, "uncertainty": F.sqrt(F.greatest(F.lit(0.0), square - mean * mean))}).select(*df.columns, "prediction", "uncertainty")
+def tree_uncertainty(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Add ``prediction`` and ``uncertainty``: mean and population deviation of the predictions of a forest regressor's trees."""
+    assembler, trees = model.stages[0], model.stages[-1].trees
+    placed = assembler.transform(df)
+    for i, tree in enumerate(trees):
+        tree.setFeaturesCol(assembler.getOutputCol()).setPredictionCol(f"_tree_{i}")
+        placed = tree.transform(placed)
+    each = F.array(*(F.col(f"_tree_{i}") for i in range(len(trees))))
+    with_trees = placed.withColumn("_each", each)
+    mean = F.aggregate("_each", F.lit(0.0), lambda s, v: s + v) / len(trees)
+    with_mean = with_trees.withColumn("prediction", mean)
+    square = F.aggregate("_each", F.lit(0.0), lambda s, v: s + (v - F.col("prediction")) * (v - F.col("prediction"))) / len(trees)
+    return with_mean.withColumn("uncertainty", F.sqrt(square)).select(*df.columns, "prediction", "uncertainty")

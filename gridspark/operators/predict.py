@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from ..model import Grid
+from ..sources.scratch import written
 from .grid import study_area_mask
 from .learn import tree_uncertainty
 
@@ -34,13 +38,13 @@ def predict_cells(model: PipelineModel, wide: DataFrame, mask: DataFrame | None
     return wide.select("row", "col").join(predicted, ["row", "col"], "left")
 
 
-def predict_with_uncertainty(model: PipelineModel, wide: DataFrame, path: str, mask: DataFrame | None = None, grid: Grid | None = None) -> DataFrame:
+def predict_with_uncertainty(model: PipelineModel, wide: DataFrame, mask: DataFrame | None = None, grid: Grid | None = None) -> DataFrame:
     """``row, col, prediction, uncertainty`` of every cell, from the trees of the forest."""
     features = available_features(wide, model.stages[0].getInputCols())
     inside = wide.select("row", "col", *features).dropna(subset=features)
     if mask is not None:
         inside = study_area_mask(inside, mask, grid)
-    found = tree_uncertainty(model, inside, path).select("row", "col", "prediction", "uncertainty")
+    found = tree_uncertainty(model, inside).select("row", "col", "prediction", "uncertainty")
     return wide.select("row", "col").join(found, ["row", "col"], "left")
 
 
@@ -51,38 +55,40 @@ def kriging_uncertainty(df: DataFrame, variance: str = "kriging_variance", trees
 
 def layer_statistics(df: DataFrame, column: str) -> DataFrame:
     """One row: min, max, mean, median, population deviation, quartiles and deciles of the valid cells."""
-    q = {"q25": 0.25, "q75": 0.75} | {f"d{i}": i / 10 for i in range(1, 10)}
-    return df.agg(F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"), F.median(column).alias("median"),
-                  F.stddev_pop(column).alias("std"), *(F.percentile(column, s).alias(n) for n, s in q.items()))
-
-
-def _cuts(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
-    return df.agg(F.percentile(column, list(shares)).alias("_cuts"), F.min(column).alias("_lo"), F.max(column).alias("_hi"))
+    q = {"median": 0.5, "q25": 0.25, "q75": 0.75} | {f"d{i}": i / 10 for i in range(1, 10)}
+    found = dict(zip(q, quantiles(df, {column: list(q.values())})[column], strict=True))
+    exact = lambda n: F.lit(found[n]).cast("double").alias(n)
+    return df.agg(F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std")).select(
+        "min", "max", "mean", exact("median"), "std", *(exact(n) for n in q if n != "median"))
 
 
 def quantile_classes(df: DataFrame, column: str, shares: Sequence[float] = SHARES) -> DataFrame:
     """Add ``class``: how many of the cut points are not above the value, from 0; NULL stays NULL."""
-    placed = df.crossJoin(F.broadcast(_cuts(df, column, shares)))  # one row
-    level = F.size(F.filter("_cuts", lambda q: q <= F.col(column)))
-    return placed.withColumn("class", F.when(F.col(column).isNotNull(), level)).drop("_cuts", "_lo", "_hi")
+    cuts = quantiles(df, {column: shares})[column]
+    level = sum(((F.col(column) >= F.lit(q)).cast("int") for q in cuts if q is not None), F.lit(0))
+    return df.withColumn("class", F.when(F.col(column).isNotNull(), level))
 
 
 def quantile_legend(df: DataFrame, column: str, shares: Sequence[float] = SHARES, names: Sequence[str] = ("very low", "low", "medium", "high", "very high")) -> DataFrame:
     """``class, label, lower, upper``."""
-    edges = F.concat(F.array("_lo"), F.col("_cuts"), F.array("_hi"))
-    bounds = _cuts(df, column, shares).select(F.posexplode(F.zip_with(F.slice(edges, 1, len(shares) + 1), F.slice(edges, 2, len(shares) + 1),
-                                                                      lambda a, b: F.struct(a.alias("lower"), b.alias("upper")))).alias("class", "b"))
-    return bounds.select("class", F.element_at(F.array(*map(F.lit, names)), F.col("class") + 1).alias("label"), "b.lower", "b.upper")
+    edges = quantiles(df, {column: [0.0, *shares, 1.0]})[column]
+    rows = [(i, name, low, high) for i, (name, low, high) in enumerate(zip(names, edges, edges[1:], strict=False))]
+    return df.sparkSession.createDataFrame(rows, "class int, label string, lower double, upper double")
+
 
+def predict_all(models: Mapping[str, PipelineModel], wide: DataFrame, mask: DataFrame | None = None, grid: Grid | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+    """``label, row, col, prediction, uncertainty, class`` of every model, and what went wrong with those that are left out.
 
-def predict_all(models: Mapping[str, PipelineModel], wide: DataFrame, mask: DataFrame | None = None, grid: Grid | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """``label, row, col, prediction`` of every model, and what went wrong with those that are left out."""
+    ``uncertainty`` is that of the forest's trees and ``class`` its quantile class.  Each label is written for itself, so one
+    that fails, before or while it is computed, leaves the others as they are; without any that works there is no table.
+    """
     out, failed = None, {}
     for label, model in models.items():
         try:
-            one = predict_cells(model, wide, mask, grid).select(F.lit(label).alias("label"), "row", "col", "prediction")
-        except ValueError as error:
-            failed[label] = str(error)
+            found = written(predict_with_uncertainty(model, wide, mask, grid))
+            one = quantile_classes(found, "uncertainty").select(F.lit(label).alias("label"), "row", "col", "prediction", "uncertainty", "class")
+        except (ValueError, PySparkException, Py4JJavaError) as error:
+            failed[label] = f"{type(error).__name__}: {error}"
             continue
         out = one if out is None else out.union(one)
     return out, failed
@@ -91,5 +97,5 @@ def predict_all(models: Mapping[str, PipelineModel], wide: DataFrame, mask: Data
 def decode_label(df: DataFrame, codes: DataFrame, column: str = "prediction", label: str = "label") -> DataFrame:
     """Add ``class_name`` for a rounded code; NULL and unknown codes are ``Unknown``. ``codes(label, code)`` has one row per class."""
     names = codes.select(F.col("code").alias("_code"), F.col(label).alias("_name"))
-    joined = df.join(F.broadcast(names), F.round(F.col(column)).cast("int") == F.col("_code"), "left")
+    joined = df.join(names, F.round(F.col(column)).cast("int") == F.col("_code"), "left")  # Spark broadcasts few classes, and not many
     return joined.withColumn("class_name", F.coalesce("_name", F.lit("Unknown"))).drop("_code", "_name")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.quantiles import medians
 from ..model import finite
 
 
@@ -30,7 +31,9 @@ def impute_mean(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None
 
 
 def impute_median(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
-    return _impute(df, columns, F.median, fit_on)
+    """NULL becomes the column's exact median, over ``fit_on`` if given. Not lazy: the medians are counted first."""
+    middle = medians(df if fit_on is None else fit_on, columns) if columns else {}
+    return df.select(*(F.coalesce(F.col(c).cast("double"), F.lit(middle[c]).cast("double")).alias(c) if c in middle else F.col(c) for c in df.columns))
 
 
 def impute_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -55,15 +58,22 @@ def select_and_drop(df: DataFrame, label: str, features: Sequence[str], keys: Se
 
 
 def label_codes(df: DataFrame, label: str) -> DataFrame:
-    """``label, code``: the distinct values as text in alphabetical order from 0; kept for decoding."""
+    """``label, code``: the distinct values as text in alphabetical order from 0; kept for decoding.
+
+    Values are dealt by their first two characters, and numbered behind the smaller beginnings: no task orders them all.
+    """
     values = df.filter(F.col(label).isNotNull()).select(F.col(label).cast("string").alias(label)).distinct()
-    return values.withColumn("code", F.row_number().over(W.orderBy(label)) - 1)  # one row per class
+    begun = values.withColumn("_begin", F.left(F.col(label), F.lit(2)))
+    counts = begun.groupBy("_begin").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(W.orderBy("_begin")) - F.col("_n")).drop("_n")  # one row per beginning
+    place = F.row_number().over(W.partitionBy("_begin").orderBy(label))
+    return begun.join(before, "_begin").select(label, (F.col("_before") + place - 1).cast("int").alias("code"))
 
 
 def label_encode(df: DataFrame, label: str) -> DataFrame:
     """Add ``<label>_code``."""
     codes = label_codes(df, label).select(F.col(label).alias("_v"), F.col("code").alias(f"{label}_code"))
-    return df.join(F.broadcast(codes), F.col(label).cast("string") == F.col("_v"), "left").drop("_v")  # one row per class
+    return df.join(codes, F.col(label).cast("string") == F.col("_v"), "left").drop("_v")  # Spark broadcasts few classes, and not many
 
 
 def _classes(df: DataFrame, label: str) -> DataFrame:

@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.quantiles import medians, quantiles
 from .spatial import spatial_knn
 
+#: Bins of the values of a kernel estimate.
+KDE_BINS = 2048
+
 NORMAL, MISSING, GLOBAL, SPATIAL, BOTH = "Normal", "Missing", "Global Outlier", "Spatial Outlier", "Global and Spatial Outlier"
 
 
@@ -76,9 +80,10 @@ def keep_normal(flagged: DataFrame, label: str) -> DataFrame:
 def distribution_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: n, mean, median, sample deviation, CV in percent, skewness and excess kurtosis (population)."""
     long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], list(columns), "column", "v").filter("v is not null")
-    out = long.groupBy("column").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.stddev_samp("v").alias("std"),
+    out = long.groupBy("column").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
                                      F.skewness("v").alias("skewness"), F.kurtosis("v").alias("kurtosis"))
-    return out.withColumn("cv_pct", F.try_divide(F.col("std"), F.col("mean")) * 100)
+    middle = F.create_map(*(F.lit(x) for c, m in medians(df, columns).items() if m is not None for x in (c, m)), F.lit(""), F.lit(None).cast("double"))
+    return out.withColumns({"median": middle[F.col("column")], "cv_pct": F.try_divide(F.col("std"), F.col("mean")) * 100})
 
 
 def ks_normal(df: DataFrame, column: str, alpha: float = 0.05) -> DataFrame:
@@ -92,9 +97,14 @@ def ks_normal(df: DataFrame, column: str, alpha: float = 0.05) -> DataFrame:
 def kde(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     """``x, density`` of a Gaussian kernel estimate (Scott's bandwidth) at equal steps from least to greatest.
 
-    Equal values are counted first, so the work is points times distinct values.
+    Values are counted into ``KDE_BINS`` equal bins first, and stand at their bin's centre, so the work is points times bins.
     """
-    values = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("w"))
+    whole = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
+    placed = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")).crossJoin(F.broadcast(whole))  # one row
+    width = (F.col("hi") - F.col("lo")) / KDE_BINS
+    index = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / F.when(width > 0, width)), F.lit(KDE_BINS - 1))).otherwise(0)
+    values = placed.groupBy(index.alias("b")).agg(F.count("*").alias("w"), F.first(F.col("lo")).alias("_lo"), F.first(width).alias("_width")).select(
+        (F.col("_lo") + (F.col("b") + 0.5) * F.col("_width")).alias("v"), "w")
     stats = df.agg(F.count(column).alias("n"), F.stddev_samp(column).alias("s"), F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
     steps = stats.withColumn("h", F.pow("n", F.lit(-0.2)) * F.col("s")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     at = steps.select("n", "h", (F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / (points - 1)).alias("x"), "i")
@@ -138,8 +148,7 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 def trim_upper(df: DataFrame, columns: Sequence[str], share: float = 0.99) -> DataFrame:
     """For each column in turn, the rows below that quantile of what is left."""
     for c in columns:
-        bound = df.agg(F.percentile(c, share).alias("_q"))
-        df = df.crossJoin(F.broadcast(bound)).filter(F.col(c) < F.col("_q")).drop("_q")  # one row
+        df = df.filter(F.col(c) < F.lit(quantiles(df, {c: [share]})[c][0]))
     return df
 
 

@@ -11,11 +11,14 @@ from pyspark.sql import types as T
 
 from ..functions import geometry
 from ..model import Grid
+from ..sources.scratch import written
 from .grid import cells_in_polygons
 
 LARGEST_EXACT = (1 << 53) - 1
 #: The fullest bucket of the first round of the neighbour search may hold so many times the points that it should.
 FULLEST = 32
+#: Targets that are left over and asked of all points at once: so many are broadcast, nine rows each.
+FEW_TARGETS = 20_000
 
 
 def sample_points(points: DataFrame, wide: DataFrame, grid: Grid, layers: Sequence[str], keep_out_of_bounds: bool = False,
@@ -104,8 +107,10 @@ def spatial_knn(points: DataFrame, k: int = 8, targets: DataFrame | None = None,
     Exact, with ties by id: points and targets meet in square buckets and their eight neighbours.  A target's result stands
     when it has k neighbours that are all nearer than the border of the nine buckets; the others go round again with the
     bucket's side doubled, until nine buckets hold everything.  The first side gives ``per_bucket`` (2 k) points a bucket on
-    average, and is cut while some bucket is far too full.  Of points at one place only the k + 1 least ids can be anyone's
-    neighbours, so the rest of them are left out.
+    average, and is cut while some bucket is far too full.  Targets that are still left when they are ``FEW_TARGETS`` at
+    most, such as points far from all others, are broadcast, so that no bucket is brought together for them.  Of points at
+    one place only the k + 1 least ids can be anyone's neighbours, so the rest of them are left out.  Each round's tables are
+    written to the shared folder.
     """
     per_bucket = per_bucket or 2 * k
     own = targets is None
@@ -122,7 +127,7 @@ def spatial_knn(points: DataFrame, k: int = 8, targets: DataFrame | None = None,
         return empty
     extent = max(max(high_x, thx) - min(low_x, tlx), max(high_y, thy) - min(low_y, tly), 1e-9)
     side = max(extent * (min(1.0, per_bucket / n) ** 0.5), 1e-9)
-    pool, result = pool.persist(), None
+    pool, result, few = written(pool), None, False
     while side > extent / (1 << 20):
         fullest = pool.groupBy(F.floor(F.col("_nx") / side), F.floor(F.col("_ny") / side)).count().agg(F.max("count")).first()[0]
         if fullest <= FULLEST * per_bucket:
@@ -134,7 +139,7 @@ def spatial_knn(points: DataFrame, k: int = 8, targets: DataFrame | None = None,
         bucket = lambda v: F.floor(F.col(v) / side).cast("long")  # noqa: B023, E731
         placed = pool.select("*", bucket("_nx").alias("_bx"), bucket("_ny").alias("_by"))
         asked = todo.select("*", nine.alias("o")).select("_t", "_tx", "_ty", (bucket("_tx") + F.col("o.c")).alias("_bx"), (bucket("_ty") + F.col("o.r")).alias("_by"))
-        met = asked.join(placed, ["_bx", "_by"])
+        met = (F.broadcast(asked) if few else asked).join(placed, ["_bx", "_by"])  # counted below
         if own:
             met = met.filter("_t <> _n")
         square = (F.col("_tx") - F.col("_nx")) * (F.col("_tx") - F.col("_nx")) + (F.col("_ty") - F.col("_ny")) * (F.col("_ty") - F.col("_ny"))
@@ -142,15 +147,18 @@ def spatial_knn(points: DataFrame, k: int = 8, targets: DataFrame | None = None,
         border = F.least(F.col("_tx") - (bucket("_tx") - 1) * side, (bucket("_tx") + 2) * side - F.col("_tx"),
                          F.col("_ty") - (bucket("_ty") - 1) * side, (bucket("_ty") + 2) * side - F.col("_ty"))
         rows = ranked.withColumn("_sure", (F.col("rank") == k) & (F.sqrt("_d2") < border))
-        found = rows.select(F.col("_t").alias(key), F.col("_n").alias("neighbour"), F.sqrt("_d2").alias("distance"), F.col("rank").cast("int"), "_sure").persist()
+        found = rows.select(F.col("_t").alias(key), F.col("_n").alias("neighbour"), F.sqrt("_d2").alias("distance"), F.col("rank").cast("int"), "_sure")
+        found = written(found)
         sure = found.filter("_sure").select(key)
         take = found if last else found.join(sure, key, "left_semi")
         result = take.drop("_sure") if result is None else result.union(take.drop("_sure"))
         if last:
             return result
-        todo = todo.join(sure.withColumnRenamed(key, "_t"), "_t", "left_anti").persist()
-        if not todo.take(1):
+        todo = written(todo.join(sure.withColumnRenamed(key, "_t"), "_t", "left_anti"))
+        left = todo.count()
+        if not left:
             return result
+        few = left <= FEW_TARGETS
         side = min(side * 2, extent)
 
 

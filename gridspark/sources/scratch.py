@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, or below a temporary folder where that is unset (tests on one machine)."""
+    """A new path below ``spark.checkpoint.dir`` or the context's checkpoint folder.
+
+    Where neither is set, a session on one machine gets a temporary folder; on a cluster, whose executors could not read each
+    other's files there, that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
+    if not base and spark.sparkContext.master.split("[")[0] == "local":
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
         base = spark.sparkContext.getCheckpointDir()
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

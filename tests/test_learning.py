@@ -6,12 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridspark.functions import crs, quantiles
 from gridspark.functions.indices import INDICES
 from gridspark.model import Grid
-from gridspark.operators import krige, learn, predict, prep, quality
+from gridspark.operators import krige, learn, predict, prep, quality, spatial
 from gridspark.plans import queries as plans
 from gridspark.sources import adapters, tables
-from gridspark.sources.scratch import shared_path
 from gridspark.streaming import rowwise
 
 SMALL = "/root/testdata/sf0.001"
@@ -28,7 +28,7 @@ def train(spark):
 def test_trees_average_to_the_forests_prediction(spark, train):
     model = learn.fit(train, "v", ["x", "b"], n_estimators=7, max_depth=5)
     plain = {r.point_id: r.prediction for r in model.transform(train).collect()}
-    for r in learn.tree_uncertainty(model, train, shared_path(spark, "forest")).collect():
+    for r in learn.tree_uncertainty(model, train).collect():
         assert r.prediction == pytest.approx(plain[r.point_id]) and r.uncertainty >= 0
 
 
@@ -134,12 +134,88 @@ def test_streams_give_the_batch_result(spark, tmp_path):
     assert set(INDICES) >= {"ndvi", "evi"}
 
 
-def test_queries_without_sql_take_every_event(spark):
-    events = spark.read.parquet(f"{SMALL}/events.parquet")
-    assert adapters.readings(spark, SMALL).count() == events.count()
-    x, y = (events.event_id * 7919) % 1009, (events.event_id * 104729) % 1013
+def test_training_takes_every_event_over_a_cell(spark):
+    events, grid = spark.read.parquet(f"{SMALL}/events.parquet"), adapters.grid(spark, SMALL)
+    x, y = (events.event_id * 7919) % 1009, 1013 - (events.event_id * 104729) % (grid.height * 50 + 13)
     cells = spark.read.parquet(f"{SMALL}/embeddings.parquet").count()
     row, col = F.floor((1000 - y) / 50), F.floor(x / 50)
     placed = events.filter((row >= 0) & (row * 25 + col < cells)).count()
     assert plans.training(spark, SMALL).count() == placed
     assert plans.flagship(spark, SMALL).first()["Total"] == events.count()
+
+
+def test_kriging_that_fails_falls_back_on_the_forest(spark, train):
+    fitted = train.withColumn("prediction", F.col("v") + F.when(F.col("x") > 5, 0.1).otherwise(-0.1))
+    out, error = krige.kriging_or_forest(fitted, fitted, "v", k=4)
+    assert error is None and out.filter("kriging_variance is not null").count() == 240
+    # fails in the job, not in the plan
+    broken = fitted.withColumn("x", F.when(F.raise_error(F.lit("no place")).isNull(), F.col("x")))
+    out, error = krige.kriging_or_forest(broken, fitted, "v", k=4)
+    assert "no place" in error and out.filter("rfrk = prediction and kriging_variance is null").count() == 240
+
+
+def test_a_label_that_fails_in_its_job_leaves_the_others(spark, train):
+    model, other = (learn.fit(train, "v", f, n_estimators=2, max_depth=3) for f in (["x"], ["b"]))
+    wide = train.select("row", "col", "x", F.when(F.raise_error(F.lit("unreadable")).isNull(), F.col("b")).alias("b"))
+    out, failed = predict.predict_all({"good": model, "bad": other}, wide)
+    assert out.select("label").distinct().collect()[0][0] == "good" and "unreadable" in failed["bad"]
+
+
+def test_stacked_kriging_systems_are_those_of_single_points(spark):
+    random.seed(6)
+    points = spark.createDataFrame([(i, random.uniform(0, 9), random.uniform(0, 9), random.uniform(0, 5)) for i in range(60)], "point_id long, x double, y double, v double")
+    nugget, sill, reach = 0.3, 2.0, 5.0
+    got = {r.point_id: r for r in krige.ordinary_kriging(points, points, "v", (nugget, sill, reach), k=5).collect()}
+    rows = points.collect()
+    for t in rows[:20]:
+        near = sorted(rows, key=lambda r: ((r.x - t.x) ** 2 + (r.y - t.y) ** 2, r.point_id))[:5]
+        p = np.array([(r.x, r.y) for r in near])
+        a = np.ones((6, 6))
+        a[:5, :5] = krige.gamma(np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1)), "spherical", nugget, sill, reach)
+        a[5, 5] = 0
+        b = np.append(krige.gamma(np.hypot(*(p - [t.x, t.y]).T), "spherical", nugget, sill, reach), 1.0)
+        w = np.linalg.solve(a, b)
+        assert got[t.point_id].kriged == pytest.approx(w[:5] @ [r.v for r in near]) and got[t.point_id].variance == pytest.approx(w @ b, abs=1e-9)
+
+
+@pytest.mark.parametrize("limit", [1, 7, 10_000])
+def test_quantiles_against_numpy(spark, monkeypatch, limit):
+    monkeypatch.setattr(quantiles, "LIMIT", limit)
+    random.seed(limit)
+    rows = [(random.choice([0.0, -1.5, 1e9, 3.25]) if i % 3 else random.gauss(0, 5), None if i % 7 == 0 else i % 11, float("nan") if i % 2 else 2.0, None) for i in range(501)]
+    df = spark.createDataFrame(rows, "a double, b int, c double, d double")
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = quantiles.quantiles(df, dict.fromkeys("abcd", shares))
+    for i, c in enumerate("abc"):
+        values = [r[i] for r in rows if r[i] is not None and r[i] == r[i]]
+        assert got[c] == pytest.approx(np.quantile(values, shares).tolist())
+    assert got["d"] == [None] * len(shares) and quantiles.medians(df.limit(0), ["a"]) == {"a": None}
+
+
+def test_quantiles_with_infinite_values(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "LIMIT", 2)
+    df = spark.createDataFrame([(float("-inf"),), (float("inf"),), (float("inf"),), (1.0,), (2.0,), (5.0,), (3.0,)], "a double")
+    assert quantiles.quantiles(df, {"a": [0.0, 1 / 6, 0.5, 1.0]})["a"] == [float("-inf"), 1.0, 3.0, float("inf")]
+
+
+def test_lone_points_find_their_neighbours(spark):
+    """Points far from a crowd are asked of all at once."""
+    random.seed(9)
+    rows = [(i, random.uniform(0, 1), random.uniform(0, 1)) for i in range(150)] + [(900, 1e6, 0.0), (901, -4e5, 7e5), (902, 1e6, 1e6)]
+    points = spark.createDataFrame(rows, "point_id long, x double, y double")
+    key = lambda df: sorted((r.point_id, r.rank, r.neighbour) for r in df.collect())
+    assert key(spatial.spatial_knn(points, 3)) == key(spatial.knn_brute_force(points, 3))
+
+
+def test_codes_are_alphabetical(spark):
+    df = spark.createDataFrame([(x,) for x in ["b", "a", "abc", "ab", "", "zeta", "a", None, "é"]], "k string")
+    assert {r.k: r.code for r in prep.label_codes(df, "k").collect()} == {k: i for i, k in enumerate(sorted({"b", "a", "abc", "ab", "", "zeta", "é"}))}
+
+
+def test_projection_of_known_places():
+    """The meridian's quarter of the ellipsoid, and the false easting on the central meridian."""
+    from pyspark.sql import SparkSession
+
+    east, north = crs.to_crs(F.col("lon"), F.col("lat"), 4326, 4544)
+    rows = SparkSession.getActiveSession().createDataFrame([(105.0, 89.9999999999), (105.0, 0.0)], "lon double, lat double").select(east, north).collect()
+    assert rows[0][1] == pytest.approx(10001965.7293, abs=0.01) and rows[1][0] == pytest.approx(500000) and abs(rows[1][1]) < 1e-6

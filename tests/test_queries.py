@@ -44,6 +44,53 @@ def test_against_sql(spark, duck, name):
     spark.catalog.clearCache()
 
 
+def collected(spark, name) -> list:
+    found = plans.QUERIES[name](spark, SMALL).collect()
+    spark.catalog.clearCache()
+    assert found
+    return found
+
+
+#: What holds for the rows of each query without SQL.
+PROPERTIES = {
+    "g3_target_grid": lambda r: all(x.inside for x in r) and len({(x.target_row, x.target_col) for x in r}) > len(r) / 2,
+    "v16_pca": lambda r: all(1 >= x.share_1 >= x.share_2 >= x.share_3 >= 0 for x in r) and abs(sum(x.pca_1 for x in r)) < 1e-3 * len(r),
+    "s9_save_and_load_model": lambda r: all(x.n_features == 6 and x.prediction == x.prediction for x in r),
+    "c7_ks_normal": lambda r: len(r) == 1 and 0 < r[0].statistic < 1 and 0 <= r[0].p_value <= 1 and not r[0].is_normal,
+    "m1_rf_regressor": lambda r: len(r) == 1 and r[0].R2 <= 1 and abs(r[0].RMSE ** 2 - r[0].MSE) < 1e-2 and r[0].MAE <= r[0].RMSE,
+    "m2_rf_classifier": lambda r: len(r) == 1 and 0.15 < r[0].accuracy <= 1 and abs(r[0].accuracy - r[0].recall) < 1e-6,
+    "m3_rfecv": lambda r: sorted(x.n_features for x in r) == list(range(1, 13)) and sum(x.chosen for x in r) == 1 and max(r, key=lambda x: x.score).score == next(x.score for x in r if x.chosen),
+    "m4_random_search": lambda r: {x.parameter: x.value in plans.SPACE[x.parameter] for x in r} == dict.fromkeys(plans.SPACE, True) and len({x.score for x in r}) == 1,
+    "m5_refine_grid": lambda r: all(x.n_grid == 54 for x in r) and {x.parameter: x.value for x in r}["max_depth"] in (1, 6, 11),
+    "m10_feature_importance": lambda r: sorted(x.feature for x in r) == ["b1", "b2", "b3", "x", "y"] and abs(sum(x.l1 for x in r) - 1) < 1e-4 and abs(sum(x.l2 for x in r) - 1) < 1e-4
+    and all((x.l1 == 0) == (x.feature in ("b3", "y")) or x.feature == "b2" for x in r),
+    "m13_hyperparameter_table": lambda r: sorted((x.label, x.parameter) for x in r) == [(n, p) for n in ("l1", "l2") for p in sorted(plans.SPACE)] and all(x.value in plans.SPACE[x.parameter] for x in r),
+    "m17_regression_kriging": lambda r: all(x.kriging_variance is None or x.kriging_variance >= 0 for x in r) and all(x.rfrk is not None for x in r),
+    "m18_choose_model": lambda r: len(r) == 1 and r[0].model in ("RF", "RFRK") and r[0].R2 <= 1,
+    "m19_leaderboard": lambda r: len(r) == 5 and [x.score_test for x in r] == sorted((x.score_test for x in r), reverse=True),
+    "m20_permutation_importance": lambda r: [x.feature for x in r] == ["b1", "b2", "x"],
+    "m21_explain_tree": lambda r: r[0].rule == "all" and r[0].depth == 0 and sum(x.n for x in r if x.depth == 1) == r[0].n,
+    "u1_predict_cells": lambda r: any(x.prediction is None for x in r) and any(x.prediction is not None for x in r),
+    "u2_tree_uncertainty": lambda r: all(x.prediction is not None and x.uncertainty >= 0 for x in r),
+    "u3_kriging_uncertainty": lambda r: all(x.final_uncertainty >= 0 for x in r) and any(x.final_uncertainty != x.uncertainty for x in r),
+    "u7_available_features": lambda r: {x.features for x in r} == {"b3,b1"} and all(x.prediction is not None for x in r),
+    "u8_predict_all": lambda r: {x.label for x in r} == {"l1", "l2"} and {x.left_out for x in r} == {"l3"} and {x["class"] for x in r} <= {None, 0, 1, 2, 3, 4},
+    "u9_predict_type": lambda r: {x.prediction for x in r} <= {None, *map(float, range(10))} and any(x.prediction is not None for x in r),
+}
+
+
 @pytest.mark.parametrize("name", sorted(plans.QUERIES.keys() - plans.ORACLES.keys()))
-def test_runs_without_sql(spark, name):
-    assert plans.QUERIES[name](spark, SMALL).columns
+def test_properties_without_sql(spark, name):
+    assert PROPERTIES[name](collected(spark, name))
+
+
+def test_every_cell_polygon_and_point_of_the_adapters_counts(spark):
+    """Grids and extents follow the tables: points lie over all rows of cells, polygons over all and beyond."""
+    from gridspark.sources import adapters
+
+    grid, cells = adapters.grid(spark, SMALL), adapters.cells(spark, SMALL)
+    assert cells.filter(grid.holds(cells.row, cells.col)).count() == cells.count() == spark.read.parquet(f"{SMALL}/embeddings.parquet").count()
+    points = adapters.points(spark, SMALL)
+    assert points.count() == spark.read.parquet(f"{SMALL}/events.parquet").count()
+    assert points.select(grid.row(points.y)).distinct().count() == grid.height + 1
+    assert adapters.polygons(spark, SMALL).count() == spark.read.parquet(f"{SMALL}/supplier.parquet").count()
