@@ -4,10 +4,11 @@ Any two equal passages of ``length`` bytes hold the same *anchor*: the ``ANCHOR`
 the same place.  So only the suffixes at anchors are sorted, about one in 35, and two passages are compared only if they
 share an anchor.
 
-1. Each text's anchors are found, with a hash of the bytes around each (all that a passage with that anchor can hold).
-2. Anchors are grouped by hash.  Where the surroundings are equal, all but the first are repeated as a whole.  Where
+1. Each text's anchors are found, with a 128-bit digest of the bytes around each (all that a passage with that anchor can
+   hold), under a seed drawn for the run.
+2. Anchors are grouped by hash.  Where the digests are equal, all but the first are repeated as a whole.  Where
    an anchor has different surroundings, the first of each kind is asked for.
-3. The bytes around those are cut out of the texts and sorted by anchor: rightwards as suffixes and leftwards as
+3. The bytes around those are cut out of the texts and sorted by the anchor's own bytes: rightwards as suffixes and leftwards as
    reversed prefixes, with a multikey quicksort of eight-byte characters to a shallow depth and blind tries for the
    groups that remain.  From the two orders and their common prefix lengths follows, for every place of the anchor in
    a passage, which passages are equal; all but the first are repeated.
@@ -15,15 +16,18 @@ share an anchor.
 
 Copies are resolved inside a batch before anything is shuffled, so a passage that a third of all texts share costs one
 row per batch and kind of surroundings.  Anchors with more than ``HOT`` kinds of surroundings are not sorted in one
-task: their passages are grouped by content instead, with partial aggregation.
+task, however many such anchors there are: their passages are grouped by content, with partial aggregation.  Texts are
+looked through in blocks of ``SCANNED`` bytes, so a very long one does not fill a worker.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +41,10 @@ SHALLOW = 16
 BLOCK = 8192
 #: Kinds of surroundings of one anchor beyond which it is left to aggregation.
 HOT = 100_000
+#: Bytes whose anchors are looked for at once, and bytes whose repeated anchors are resolved before anything is sent.
+SCANNED, RESOLVED = 1 << 20, 8 << 20
+#: Places that are cut out of texts at once.
+CUT_ROWS = 20_000
 #: Order of rows without an id: after all others.
 LAST = (1 << 63) - 1
 
@@ -71,12 +79,25 @@ def anchors(data: np.ndarray, length: int, size: int = ANCHOR) -> tuple[np.ndarr
     return at, h[at]
 
 
-def _anchor_rows(length: int):
-    """Rows ``hash, wide, doc, at`` of the anchors; ``at`` is position << 32 | text's checksum, or its complement for one
-    that an earlier one of the batch repeats with all that is around it."""
+def _anchor_rows(length: int, seed: int):
+    """Rows ``hash, wide, more, doc, at`` of the anchors, ``wide`` and ``more`` being the digest of what is around; ``at`` is position
+    << 32 | text's checksum, or its complement for one that an earlier one of the batch repeats with all that is around it."""
     reach = length - ANCHOR
 
+    def sent(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        out = pd.concat(parts, ignore_index=True)
+        h, wide, more, doc, at = (out[c].to_numpy() for c in ("hash", "wide", "more", "doc", "at"))
+        order = np.lexsort((at, doc, more, wide, h))
+        out = out.iloc[order].drop_duplicates()  # of a row that the table has twice, and of places where blocks overlap
+        again = np.zeros(len(out), bool)
+        again[1:] = np.logical_and.reduce([out[c].to_numpy()[1:] == out[c].to_numpy()[:-1] for c in ("hash", "wide", "more")])
+        # a repeated one needs no meeting with others: it is dealt anywhere
+        out["hash"] = np.where(again, out["wide"] ^ out["at"] ^ out["doc"] * 0x5851F42D4C957F2D, out["hash"])
+        out["at"] = np.where(again, ~out["at"], out["at"])
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             texts = [bytes(t) for t in batch["text"]]
             doc, check = batch["doc"].to_numpy(), batch["check"].to_numpy()
@@ -86,30 +107,30 @@ def _anchor_rows(length: int):
             data = b"".join(texts[i] for i in use)
             sizes = np.array([len(texts[i]) for i in use])
             stops = np.cumsum(sizes)
-            at, h = anchors(np.frombuffer(data, np.uint8), length)
-            owner = np.searchsorted(stops, at, side="right")
-            inside = at + ANCHOR <= stops[owner]
-            at, h, owner = at[inside], h[inside], owner[inside]
-            start = stops[owner] - sizes[owner]
-            lo, hi = np.maximum(start, at - reach), np.minimum(stops[owner], at + length)
-            digest = xxhash.xxh3_64_intdigest
-            wide = np.fromiter((digest(data[a:b], c) for a, b, c in zip(lo.tolist(), hi.tolist(), (at - lo).tolist(), strict=True)), np.uint64, len(at)).view(np.int64)
-            row = np.array(use)[owner]
-            out = pd.DataFrame({"hash": h.view(np.int64), "wide": wide, "doc": doc[row], "at": (at - start) << 32 | check[row]})
-            order = np.lexsort((out["at"], out["doc"], wide, out["hash"]))
-            out = out.iloc[order].drop_duplicates()  # of a row that the table has twice
-            again = np.zeros(len(out), bool)
-            again[1:] = (out["hash"].to_numpy()[1:] == out["hash"].to_numpy()[:-1]) & (out["wide"].to_numpy()[1:] == out["wide"].to_numpy()[:-1])
-            # a repeated one needs no meeting with others: it is dealt anywhere
-            out["hash"] = np.where(again, out["wide"] ^ out["at"] ^ out["doc"] * 0x5851F42D4C957F2D, out["hash"])
-            out["at"] = np.where(again, ~out["at"], out["at"])
-            yield out
+            del texts
+            parts = []
+            for begin in range(0, len(data) - length + 1, SCANNED):  # a block has every passage that starts in it
+                at, h = anchors(np.frombuffer(data, np.uint8, min(SCANNED + length - 1, len(data) - begin), begin), length)
+                at += begin
+                owner = np.searchsorted(stops, at, side="right")
+                inside = at + ANCHOR <= stops[owner]
+                at, h, owner = at[inside], h[inside], owner[inside]
+                start = stops[owner] - sizes[owner]
+                lo, hi = np.maximum(start, at - reach), np.minimum(stops[owner], at + length)
+                wide = np.frombuffer(b"".join(digest(data[a:b], c) for a, b, c in zip(lo.tolist(), hi.tolist(), (at - lo + seed).tolist(), strict=True)), np.int64).reshape(-1, 2)
+                row = np.array(use)[owner]
+                parts.append(pd.DataFrame({"hash": h.view(np.int64), "wide": wide[:, 0], "more": wide[:, 1], "doc": doc[row], "at": (at - start) << 32 | check[row]}))
+                if len(parts) * SCANNED >= RESOLVED:
+                    yield sent(parts)
+                    parts = []
+            if parts:
+                yield sent(parts)
 
     return run
 
 
 def _judged(length: int):
-    """Over anchors sorted by (hash, wide, doc, at): spans that are repeated, and those that must be compared (``hash`` set)."""
+    """Over anchors sorted by (hash, wide, more, doc, at): spans that are repeated, and those that must be compared (``hash`` set)."""
     reach = length - ANCHOR
 
     def spans(doc: np.ndarray, at: np.ndarray) -> pd.DataFrame:
@@ -124,25 +145,23 @@ def _judged(length: int):
         last = None  # the last row
         waiting = None  # the first kind of the last group, if there is no second yet
         for batch in batches:
-            h, wide, doc, at = (batch[c].to_numpy() for c in ("hash", "wide", "doc", "at"))
+            h, wide, more, doc, at = (batch[c].to_numpy() for c in ("hash", "wide", "more", "doc", "at"))
             done = at < 0
             if done.any():
                 yield spans(doc[done], ~at[done])
-                h, wide, doc, at = h[~done], wide[~done], doc[~done], at[~done]
+                h, wide, more, doc, at = h[~done], wide[~done], more[~done], doc[~done], at[~done]
             if not len(h):
                 continue
-            twice = np.append(last == (h[0], wide[0], doc[0], at[0]), (h[1:] == h[:-1]) & (wide[1:] == wide[:-1]) & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1]))
-            if twice.any():  # rows that the table has twice
-                h, wide, doc, at = h[~twice], wide[~twice], doc[~twice], at[~twice]
+            same_hash, same_kind = h[1:] == h[:-1], (h[1:] == h[:-1]) & (wide[1:] == wide[:-1]) & (more[1:] == more[:-1])
+            twice = np.append(last == (h[0], wide[0], more[0], doc[0], at[0]), same_kind & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1]))
+            # the first of all is like the last of the batch before, or not
+            new_hash = np.append(last is None or h[0] != last[0], ~same_hash)
+            new_kind = np.append(last is None or (h[0], wide[0], more[0]) != last[:3], ~same_kind)
+            last = h[-1], wide[-1], more[-1], doc[-1], at[-1]
+            if twice.any():  # rows that the table has twice; none of them opens a kind
+                h, doc, at, new_hash, new_kind = h[~twice], doc[~twice], at[~twice], new_hash[~twice], new_kind[~twice]
                 if not len(h):
                     continue
-            new_hash, new_kind = np.ones(len(h), bool), np.ones(len(h), bool)
-            new_hash[1:] = h[1:] != h[:-1]
-            new_kind[1:] = new_hash[1:] | (wide[1:] != wide[:-1])
-            if last:
-                new_hash[0] = h[0] != last[0]
-                new_kind[0] = new_hash[0] or wide[0] != last[1]
-            last = h[-1], wide[-1], doc[-1], at[-1]
             if not new_kind.all():
                 yield spans(doc[~new_kind], at[~new_kind])
             kinds = np.flatnonzero(new_kind)
@@ -166,17 +185,20 @@ def _judged(length: int):
 def _cut(length: int):
     """Bytes around each place that is asked for: ``hash, doc, at, left`` (bytes before the anchor) and ``around``."""
     reach = length - ANCHOR
+    names = ["hash", "doc", "at", "left", "around"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, check, text, asks in zip(batch["doc"], batch["check"], batch["text"], batch["asks"], strict=True):
-                for ask in asks:
-                    place = ask["span"]
-                    lo = max(0, place - reach)
-                    rows.append((ask["hash"], doc, place << 32 | check, place - lo, bytes(text[lo:place + length])))
-            if rows:
-                yield pd.DataFrame(rows, columns=["hash", "doc", "at", "left", "around"])
+            for row in range(batch.num_rows):
+                doc, check, text, asks = (batch.column(c)[row] for c in ("doc", "check", "text", "asks"))
+                text, check, asks = memoryview(text.as_buffer()), check.as_py(), asks.values
+                for first in range(0, len(asks), CUT_ROWS):
+                    part = asks.slice(first, CUT_ROWS)
+                    place = part.field("span").to_numpy()
+                    lo = np.maximum(0, place - reach)
+                    around = [bytes(text[a:b]) for a, b in zip(lo.tolist(), (place + length).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.field("hash"), pa.array(np.full(len(place), doc.as_py())), pa.array(place << 32 | check),
+                                                      pa.array((place - lo).astype(np.int32)), pa.array(around, pa.binary())], names)
 
     return run
 
@@ -300,6 +322,12 @@ def _compared(length: int):
         group = np.cumsum(np.append(0, h[1:] != h[:-1]))
         n_left = block["left"].to_numpy()
         around = block["around"].tolist()
+        own = np.frombuffer(b"".join(a[n:n + ANCHOR] for a, n in zip(around, n_left.tolist(), strict=True)), np.uint64).reshape(-1, ANCHOR // 8)
+        opens = np.append(True, h[1:] != h[:-1])
+        if (own != own[np.flatnonzero(opens)[group]]).any():  # other bytes of the same hash: a group for each
+            order = np.lexsort((*own.T[::-1], group))
+            same = np.append(False, (own[order][1:] == own[order][:-1]).all(axis=1) & (group[order][1:] == group[order][:-1]))
+            block, around, n_left, group = block.iloc[order], [around[i] for i in order], n_left[order], np.cumsum(~same)
         n_right = np.array([len(a) for a in around]) - n_left - ANCHOR
         left = np.frombuffer(b"".join(a[:n][::-1].ljust(size_l, b"\0") for a, n in zip(around, n_left.tolist(), strict=True)), np.uint8).reshape(-1, size_l)
         right = np.frombuffer(b"".join(a[n + ANCHOR:].ljust(size_r, b"\0") for a, n in zip(around, n_left.tolist(), strict=True)), np.uint8).reshape(-1, size_r)
@@ -382,22 +410,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
                        F.crc32(text).alias("check"), text.alias("text"))
-    found = rows.filter(F.octet_length("text") >= length).select("doc", "check", "text").mapInPandas(_anchor_rows(length), "hash long, wide long, doc long, at long")
-    judged = written(found.repartition("hash").sortWithinPartitions("hash", "wide", "doc", "at")
+    found = rows.filter(F.octet_length("text") >= length).select("doc", "check", "text").mapInPandas(_anchor_rows(length, secrets.randbits(62)), "hash long, wide long, more long, doc long, at long")
+    judged = written(found.repartition("hash").sortWithinPartitions("hash", "wide", "more", "doc", "at")
                      .mapInPandas(_judged(length), "hash long, doc long, check long, span long"))
 
     asks = judged.filter("hash is not null").select("doc", "check", "hash", "span").distinct()
-    crowded = asks.groupBy("hash").count().filter(F.col("count") > hot).select("hash", F.lit(True).alias("crowded"))
+    crowded = written(asks.groupBy("hash").count().filter(F.col("count") > hot).select("hash"))
     by_text = asks.groupBy("doc", "check").agg(F.collect_list(F.struct("hash", "span")).alias("asks"))
     first = rows.select("doc", "check", "text").filter(F.octet_length("text") >= length)
-    cuts = first.join(by_text, ["doc", "check"]).mapInPandas(_cut(length), "hash long, doc long, at long, left int, around binary")
-    hashes = crowded.limit(100_000).collect()  # each has over ``hot`` rows; most inputs have none
+    cuts = first.join(by_text, ["doc", "check"]).mapInArrow(_cut(length), "hash long, doc long, at long, left int, around binary")
     known = spans_known(judged)
-    if hashes:
-        mine = F.col("hash").isin([r[0] for r in hashes])
+    if not crowded.isEmpty():  # most inputs have none
         cuts = written(cuts)
-        known = known.union(_hot_spans(cuts.filter(mine).dropDuplicates(["hash", "doc", "at"]), length))
-        cuts = cuts.filter(~mine)
+        known = known.union(_hot_spans(cuts.join(crowded, "hash", "left_semi").dropDuplicates(["hash", "doc", "at"]), length))
+        cuts = cuts.join(crowded, "hash", "left_anti")
     compared = (cuts.repartition("hash").sortWithinPartitions("hash", "doc", "at").mapInPandas(_compared(length), "doc long, check long, span long"))
     spans = known.union(compared).groupBy("doc", "check").agg(F.collect_list("span").alias("packed"))
     cut = rows.join(spans, ["doc", "check"], "left").select(F.col("_id").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), cut_spans(F.col("text"), F.col("packed")).alias("r"))
