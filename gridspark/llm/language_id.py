@@ -9,7 +9,6 @@ a worker's memory depends on the block of windows and not on the length of a tex
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-_letter = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -113,45 +111,49 @@ def scan_gradient(d_states: np.ndarray, keep: list, u: np.ndarray) -> tuple[np.n
 
 
 def add_logits(logits: np.ndarray, codes: np.ndarray, inputs: np.ndarray, u: np.ndarray, out: np.ndarray) -> None:
-    """Add one direction's share to ``logits`` (time, rows, languages), like :func:`scan` but in place and step by step.
+    """Add one direction's share to ``logits`` (languages, time, rows), like :func:`scan` but in place and step by step.
 
-    ``inputs`` has the inputs of the three gates for each byte.  The sigmoid is taken as 0.5 + 0.5 * tanh(x / 2), so the
-    halves are put into the weights beforehand and one call covers both gates.
+    ``inputs`` has the inputs of the three gates for each byte.  The sigmoid is taken as 1 / (1 + exp(-x)) and the hyperbolic
+    tangent as 2 / (1 + exp(-2 x)) - 1, whose factors are put into the weights beforehand.
     """
     h, rows = len(u), codes.shape[1]
-    half = np.concatenate([np.full(2 * h, 0.5), np.ones(h)]).astype(np.float32)
-    inputs, u = inputs * half, u * half
+    factors = np.concatenate([np.full(2 * h, -1), np.full(h, -2)]).astype(np.float32)
+    inputs, u = inputs * factors, u * factors
     gates_in, new_in = np.ascontiguousarray(inputs[:, :2 * h]), np.ascontiguousarray(inputs[:, 2 * h:])
     gates_u, new_u = np.ascontiguousarray(u[:, :2 * h]), np.ascontiguousarray(u[:, 2 * h:])
     state, gates, new = np.zeros((rows, h), np.float32), np.empty((rows, 2 * h), np.float32), np.empty((rows, h), np.float32)
-    gated, step = np.empty((rows, h), np.float32), np.empty((rows, out.shape[1]), np.float32)
-    for t in range(len(codes)):
-        np.matmul(state, gates_u, out=gates)
-        gates += gates_in[codes[t]]
-        np.tanh(gates, out=gates)
-        gates += 1
-        gates *= 0.5
-        np.multiply(gates[:, h:], state, out=gated)
-        np.matmul(gated, new_u, out=new)
-        new += new_in[codes[t]]
-        np.tanh(new, out=new)
-        new -= state
-        new *= gates[:, :h]
-        state += new
-        np.matmul(state, out, out=step)
-        logits[t] += step
+    gates_x, new_x, gated, step, out = np.empty_like(gates), np.empty_like(new), np.empty((rows, h), np.float32), np.empty((out.shape[1], rows), np.float32), np.ascontiguousarray(out.T)
+    with np.errstate(over="ignore"):  # exp(x) may be infinite, then its inverse is zero
+        for t in range(len(codes)):
+            np.matmul(state, gates_u, out=gates)
+            gates += np.take(gates_in, codes[t], axis=0, out=gates_x, mode="clip")
+            np.exp(gates, out=gates)
+            gates += 1
+            np.divide(1, gates, out=gates)
+            np.multiply(gates[:, h:], state, out=gated)
+            np.matmul(gated, new_u, out=new)
+            new += np.take(new_in, codes[t], axis=0, out=new_x, mode="clip")
+            np.exp(new, out=new)
+            new += 1
+            np.divide(2, new, out=new)
+            new -= 1
+            new -= state
+            new *= gates[:, :h]
+            state += new
+            np.matmul(out, state.T, out=step)
+            logits[:, t] += step
 
 
 def position_scores(rows: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
-    """Language probabilities at every position, (time, rows, languages)."""
+    """Language probabilities at every position, (languages, time, rows)."""
     codes, h = np.ascontiguousarray(rows.T), len(w["uf"])
-    logits = np.empty((*codes.shape, len(w["bias"])), np.float32)
-    logits[:] = w["bias"]
-    add_logits(logits, codes, w["embed"] @ w["wf"] + w["cf"], w["uf"], np.ascontiguousarray(w["out"][:h]))
-    add_logits(logits[::-1], codes[::-1], w["embed"] @ w["wb"] + w["cb"], w["ub"], np.ascontiguousarray(w["out"][h:]))
-    logits -= logits.max(axis=2, keepdims=True)
+    logits = np.empty((len(w["bias"]), *codes.shape), np.float32)
+    logits[:] = w["bias"][:, None, None]
+    add_logits(logits, codes, w["embed"] @ w["wf"] + w["cf"], w["uf"], w["out"][:h])
+    add_logits(logits[:, ::-1], codes[::-1], w["embed"] @ w["wb"] + w["cb"], w["ub"], w["out"][h:])
+    logits -= logits.max(axis=0)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=2, keepdims=True)
+    logits /= logits.sum(axis=0)
     return logits
 
 
@@ -233,8 +235,8 @@ def pooled(texts: list[str | None], model: Model, block: int) -> np.ndarray:
         for lo in range(0, len(rows), block):
             part = slice(lo, lo + block)
             scores = position_scores(rows[part], model.weights)
-            scores *= (rows[part].T < 256)[..., None]
-            np.add.at(total, owner[part], scores.sum(axis=0))
+            scores *= rows[part].T < 256
+            np.add.at(total, owner[part], scores.sum(axis=1).T)
         np.add.at(counts, owner, sizes)
 
     waiting, stride = 0, block * model.window
@@ -277,7 +279,7 @@ def identify(text: Column, model: Model, settings: Settings = Settings()) -> Col
     @F.pandas_udf("lang_pred string, score double")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            has = [bool(t) and _letter.search(t) is not None for t in texts]
+            has = [bool(t) and any(map(str.isalpha, t)) for t in texts]
             names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             if model.names and any(has):
                 chance = pooled([t if ok else None for t, ok in zip(texts, has, strict=True)], model, settings.block)
