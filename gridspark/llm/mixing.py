@@ -6,17 +6,21 @@ weights converge to the ones nearest the corpus that meet every marginal.  A doc
 probability proportional to its cell's factor, so the sample's expected tokens have the calibrated shares, and the
 draw is a hash of its id: the same on every run and every partitioning.
 
-Only cells pass through the rounds: as many rows as combinations occur, however many documents there are.
+Targets are the user's, as a table of values and shares for a dimension, or the corpus' own shares, tempered.  Only cells
+pass through the rounds: as many rows as combinations occur, however many documents there are.  Tokens are counted once;
+ids, cells and counts are written as a narrow table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Length classes in tokens, used as the topic where the table has none (less than the bound: the name).
 FORMS = ((100, "note"), (400, "short"), (1600, "article"))
 LONGEST = "long"
@@ -37,15 +41,33 @@ def uniform_hash(key: Column, seed: int) -> Column:
     return F.conv(digest, 16, 10).cast("double") / float(1 << 52)
 
 
-def tempered_targets(cells: DataFrame, dims: Sequence[str], power: float) -> DataFrame:
-    """Cells with ``target_<dim>``: the dimension's token share raised to ``power`` and scaled to sum to one."""
+def one_row(df: DataFrame, other: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``other``, an aggregate of one row."""
+    return df.crossJoin(F.broadcast(other))
+
+
+def tempered_shares(cells: DataFrame, dim: str, power: float) -> DataFrame:
+    """``value, mass``: the tokens of each value of a dimension, raised to ``power``."""
+    return cells.groupBy(F.col(dim).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("mass"))
+
+
+def given_shares(cells: DataFrame, dim: str, targets: DataFrame) -> DataFrame:
+    """``value, mass``: the given share of each value that the cells have tokens for, zero where none is given."""
+    there = cells.groupBy(F.col(dim).alias("value")).agg(F.sum("tokens").alias("tokens"))
+    wanted = targets.select(F.col("value").alias("_wanted"), F.col("share").cast("double").alias("share"))
+    mass = F.when(F.col("tokens") > 0, F.coalesce("share", F.lit(0.0))).otherwise(0.0)
+    return there.join(wanted, F.col("value").eqNullSafe(F.col("_wanted")), "left").select("value", mass.alias("mass"))
+
+
+def with_targets(cells: DataFrame, dims: Sequence[str], power: float, targets: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Cells with ``target_<dim>``, scaled to sum to one over the values that occur: given for the dimensions of ``targets``, tempered for others."""
+    out = cells
     for d in dims:
-        marginal = cells.groupBy(d).agg(F.sum("tokens").alias("_mass"))
-        whole = W.partitionBy()  # over one row per value of the dimension
-        tempered = marginal.withColumn("_mass", F.pow(F.col("_mass").cast("double"), F.lit(power)))
-        shares = tempered.select(F.col(d).alias("_value"), F.coalesce(F.try_divide("_mass", F.sum("_mass").over(whole)), F.lit(0.0)).alias(f"target_{d}"))
-        cells = cells.join(shares, F.col(d).eqNullSafe(F.col("_value"))).drop("_value")
-    return cells
+        shares = given_shares(cells, d, targets[d]) if targets and d in targets else tempered_shares(cells, d, power)
+        whole = one_row(shares, shares.agg(F.sum("mass").alias("_whole")))
+        shares = whole.select(F.col("value").alias("_value"), F.coalesce(F.try_divide("mass", "_whole"), F.lit(0.0)).alias(f"target_{d}"))
+        out = out.join(shares, F.col(d).eqNullSafe(F.col("_value"))).drop("_value")
+    return out
 
 
 def rake(cells: DataFrame, dims: Sequence[str], rounds: int) -> DataFrame:
@@ -53,8 +75,8 @@ def rake(cells: DataFrame, dims: Sequence[str], rounds: int) -> DataFrame:
 
     ``cells`` has ``tokens`` (not negative).  Every round is a window per dimension, so the whole of it is one plan.
     """
-    total = F.sum(F.col("tokens").cast("double")).over(W.partitionBy())
-    out = cells.withColumn("share", F.col("tokens") / F.when(total > 0, total))
+    total = cells.agg(F.sum(F.col("tokens").cast("double")).alias("_total"))
+    out = one_row(cells, total).withColumn("share", F.col("tokens") / F.when(F.col("_total") > 0, F.col("_total")))
     for _ in range(rounds):
         for d in dims:
             found = F.sum("share").over(W.partitionBy(d))
@@ -72,16 +94,14 @@ def with_cells(docs: DataFrame, text_col: str, source_col: str, lang_col: str, t
     return out.withColumn("_topic", form(F.col("_tokens")) if topic is None else topic)
 
 
-def cell_weights(celled: DataFrame, power: float, rounds: int) -> DataFrame:
+def cell_weights(celled: DataFrame, power: float, rounds: int, targets: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """``source, lang, topic, weight, probability`` for each cell that occurs."""
-    cells = celled.groupBy(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("_tokens").alias("tokens"))
-    raked = rake(tempered_targets(cells, DIMENSIONS, power), DIMENSIONS, rounds)
-    whole = W.partitionBy()
-    total = F.sum(F.col("tokens").cast("double")).over(whole)
-    weight = F.when(F.col("tokens") > 0, F.col("share") * total / F.col("tokens")).otherwise(0.0)
+    cells = written(celled.groupBy(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("_tokens").alias("tokens")))
+    raked = written(rake(written(with_targets(cells, DIMENSIONS, power, targets)), DIMENSIONS, rounds))
+    weight = F.when(F.col("tokens") > 0, F.col("share") * F.col("_total") / F.col("tokens")).otherwise(0.0)
     weighed = raked.select(*DIMENSIONS, weight.alias("weight"))
-    greatest = F.max(F.when(F.col("weight") > 0, F.col("weight"))).over(whole)
-    return weighed.withColumn("probability", F.coalesce(F.col("weight") / greatest, F.lit(0.0)))
+    greatest = weighed.agg(F.max(F.when(F.col("weight") > 0, F.col("weight"))).alias("_greatest"))
+    return one_row(weighed, greatest).select(*DIMENSIONS, "weight", F.coalesce(F.col("weight") / F.col("_greatest"), F.lit(0.0)).alias("probability"))
 
 
 def draw(id_col: str, seed: int) -> Column:
@@ -95,41 +115,58 @@ def _join(celled: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
-        topic: Column | None = None, power: float = 0.9, rounds: int = 10, seed: int = 42) -> DataFrame:
+        topic: Column | None = None, power: float = 0.9, rounds: int = 10, seed: int = 42, targets: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """``doc_id, source, lang, topic, tokens, weight, probability, kept`` for every row.
 
-    The targets are the token shares of each source, language and topic raised to ``power`` and scaled to sum to one.
+    ``targets`` has a table ``value, share`` for any of ``source``, ``lang`` and ``topic``; its values are different.  A
+    value that the table does not name gets share 0, so its documents go; one that no document with tokens has cannot be met,
+    and the other shares of its dimension are scaled up to sum to one.  Where two dimensions contradict each other the last
+    one raked, topic, is met.  For a dimension without a table the targets are the corpus' token shares raised to ``power``
+    and scaled to sum to one.
+
     ``weight`` is the calibrated share over the corpus share of the row's cell, ``probability`` the weight over the largest
     one, so that a cell most wanted is kept whole and as much as possible of the rest.  Without ``topic`` the kind of text
-    by its length stands for it.  NULL and empty texts have no tokens; a cell without tokens has weight 0 and is dropped.
+    by its length stands for it.  NULL and empty texts have no tokens and are drawn with their cell; a cell without tokens has
+    weight 0 and is dropped.
     NULL sources and languages are values like any other.  Repeated rows of an id share one draw, and so do rows without an
     id.  An empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"),
                        *([] if topic is None else [topic.alias("topic")]))
-    celled = with_cells(rows, "text", "source", "lang", None if topic is None else F.col("topic")).drop("text")
-    return _join(celled, cell_weights(celled, power, rounds)).select(
+    celled = written(with_cells(rows, "text", "source", "lang", None if topic is None else F.col("topic")).select("doc_id", "_tokens", *(f"_{d}" for d in DIMENSIONS)))
+    return _join(celled, cell_weights(celled, power, rounds, targets)).select(
         "doc_id", *(F.col(f"_{d}").alias(d) for d in DIMENSIONS), F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"),
         F.col("_probability").alias("probability"), (draw("doc_id", seed) < F.col("_probability")).alias("kept"))
 
 
 def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
-            power: float = 0.9, rounds: int = 10, seed: int = 42) -> DataFrame:
-    """The rows of ``docs`` that :func:`mix` keeps, with all their columns. Only the small table of cells is joined to them."""
+            power: float = 0.9, rounds: int = 10, seed: int = 42, targets: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """The rows of ``docs`` that :func:`mix` keeps, with all their columns.
+
+    Texts are read twice, to count the cells and to sample; only the small table of cells is joined to them.
+    """
     celled = with_cells(docs, text_col, source_col, lang_col, None)
-    kept = _join(celled, cell_weights(celled, power, rounds)).filter(draw(id_col, seed) < F.col("_probability"))
+    kept = _join(celled, cell_weights(celled, power, rounds, targets)).filter(draw(id_col, seed) < F.col("_probability"))
     return kept.select(*docs.columns)
 
 
-def mix_sql(documents: str = "documents", power: float = 0.9, rounds: int = 10, seed: int = 42) -> str:
-    """The same as DuckDB SQL."""
+def mix_sql(documents: str = "documents", power: float = 0.9, rounds: int = 10, seed: int = 42, targets: Mapping[str, str] | None = None) -> str:
+    """The same as DuckDB SQL; ``targets`` names a table for a dimension."""
+
+    def target(d: str) -> str:
+        mass = f"select {d}, pow(sum(tokens)::double, {power}) as m from c group by {d}"
+        if targets and d in targets:
+            mass = (f"select {d}, case when n > 0 then coalesce(share, 0) else 0 end as m from (select {d}, sum(tokens) as n from c group by {d})"
+                    f" left join {targets[d]} on {d} is not distinct from value")
+        return f"t_{d} as (select {d}, coalesce(m / nullif(sum(m) over (), 0), 0) as target from ({mass}))"
+
     cases = " ".join(f"when tokens < {bound} then '{name}'" for bound, name in FORMS)
     words = r"[^\x20\x09-\x0D]+"
     ctes = [
         f"r0 as (select doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '{words}')) as tokens from {documents})",
         f"r as (select *, case {cases} else '{LONGEST}' end as topic from r0)",
         "c as (select source, lang, topic, sum(tokens)::bigint as tokens from r group by all)",
-        *(f"t_{d} as (select {d}, m / sum(m) over () as target from (select {d}, pow(sum(tokens)::double, {power}) as m from c group by {d}))" for d in ("source", "lang", "topic")),
+        *map(target, DIMENSIONS),
         "s0 as (select c.*, a.target as ts, b.target as tl, e.target as tt, tokens / nullif(sum(tokens::double) over (), 0) as share from c"
         " join t_source a on c.source is not distinct from a.source join t_lang b on c.lang is not distinct from b.lang"
         " join t_topic e on c.topic is not distinct from e.topic)",
