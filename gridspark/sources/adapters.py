@@ -18,9 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_heights: dict[tuple[str, str], int] = {}
+
+
 def height(spark: SparkSession, sf_dir: str) -> int:
-    """Rows of the grid of :func:`cells`."""
-    return (table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0) // WIDTH + 1
+    """Rows of the grid of :func:`cells`, looked up once a session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _heights:
+        _heights[key] = (table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0) // WIDTH + 1
+    return _heights[key]
 
 
 def grid(spark: SparkSession, sf_dir: str) -> Grid:
