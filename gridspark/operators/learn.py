@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from .prep import bucket
 
 DEEPEST = 30
-#: Training rows of a partition.
-ROWS = 100_000
 
 
 def forest_parameters(n_estimators: int = 20, max_depth: int | None = None, min_samples_split: int = 2, min_samples_leaf: int = 1) -> dict[str, int]:
@@ -37,9 +35,14 @@ def forest(task: str, label: str, **params: int | None) -> Estimator:
     return kind(featuresCol="features", labelCol=label, seed=42, **forest_parameters(**params))
 
 
+def parts(rows: int) -> int:
+    """Partitions of training rows, by their number alone: ten thousand in each up to 64 of them, a million from there on."""
+    return max(1, min(ceil(rows / 10_000), max(64, ceil(rows / 1_000_000))))
+
+
 def ordered(df: DataFrame, key: str) -> DataFrame:
-    """Rows dealt and ordered by key, so that a fit can be repeated on any cluster: about ``ROWS`` in a partition, eight partitions at least."""
-    return df.repartition(max(8, ceil(df.count() / ROWS)), key).sortWithinPartitions(key)
+    """Rows dealt and ordered by key into :func:`parts` partitions, so that a fit can be repeated on any cluster."""
+    return df.repartition(parts(df.count()), key).sortWithinPartitions(key)
 
 
 def fit(train: DataFrame, label: str, features: Sequence[str], task: str = "regression", key: str = "point_id", **params: int | None) -> PipelineModel:

@@ -754,9 +754,8 @@ def m12_performance_table(spark, sf_dir):
 
 @query()
 def m13_hyperparameter_table(spark, sf_dir):
-    data = training(spark, sf_dir)
-    best = {label: learn.random_search(data, label, FEATURES, "regression", SPACE)[0] for label in ("l1", "l2")}
-    return rows(spark, learn.hyperparameter_table(best), "label string, parameter string, value int")
+    best, _ = learn.random_search(training(spark, sf_dir), "l2", FEATURES, "regression", SPACE)
+    return rows(spark, learn.hyperparameter_table({"l2": best}), "label string, parameter string, value int")
 
 
 @query(TABLE_SQL + " union all ".join(f"""select label, '{m}' as metric, "RF_{m}" as "RF", "RFRK_{m}" as "RFRK" from t""" for m in ("R2", "MAE", "MSE", "RMSE")))
