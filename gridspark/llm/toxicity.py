@@ -32,6 +32,8 @@ _letters = re.compile(r"[^\W\d_]+")
 
 #: Words whose weight a worker keeps.
 KEPT = 200_000
+#: Tasks that look through the sample.
+SAMPLE_PARTS = 16
 
 
 @dataclass(frozen=True)
@@ -200,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     text = ok.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     marks = (labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
              .agg(F.max(F.col(label_col).cast("int")).alias("_y")))
-    known = ok.select(F.col(id_col).alias("_id")).distinct().join(marks, "_id")
+    known = ok.select(F.col(id_col).alias("_id")).join(marks, "_id").dropDuplicates(["_id"])  # only labelled ids are made distinct
     n_pos, n_known = known.agg(F.coalesce(F.sum("_y"), F.lit(0)), F.count("*")).first()
     n_all = ok.count()
     prior = min(0.9, max(0.001, n_pos / n_known)) if n_pos else settings.default_prior
@@ -211,11 +213,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     toxic_ids = known.filter((F.col("_y") == 1) & drawn(settings.positives, n_pos)).select("_id").limit(2 * settings.positives)
     toxic = text.join(F.broadcast(toxic_ids), "_id", "left_semi").limit(2 * settings.positives).select(F.lit(True).alias("positive"), "text")
     rest = text.filter(drawn(settings.unlabelled, n_all)).limit(2 * settings.unlabelled).select(F.lit(False).alias("positive"), "text")
-    sample = written(toxic.union(rest))
+    sample = written(toxic.union(rest).repartition(SAMPLE_PARTS))  # at most twice the two samples
     n, n_toxic = sample.agg(F.count("*"), F.count_if("positive")).first()
     if not n_toxic:
         return fit([], np.zeros(0, bool), np.zeros(0, np.int64), prior, settings)
-    use = select_slots(sample.repartition(8), n, n_toxic, settings)
+    use = select_slots(sample, n, n_toxic, settings)
     rows = sample.select("positive", packed_features(F.col("text"), use, settings).alias("f")).select("positive", "f.*").collect()
     return fit([(np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32)) for r in rows], np.array([r[0] for r in rows], bool), use, prior, settings)
 
