@@ -5,7 +5,9 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import sentencepiece as library
 import tiktoken
@@ -130,6 +132,33 @@ def test_removed_bytes_against_all_windows(spark, seed, hot):
         assert bytes(r.kept) == bytes(b for b, gone in zip(data, expected[r.doc_id], strict=True) if not gone)
 
 
+def test_anchors_with_one_hash_are_told_apart(spark):
+    """Two strings of 32 bytes whose rolling hashes are equal, between equal bytes: no 100 bytes are repeated."""
+    a, b = "bf yywlnvigfgmyqffh oettytyjskfv", "ndeyozmqijihvipdnnoeofkxmLM2BNT3"
+    assert suffix_dedup.rolling_hash(np.frombuffer(a.encode(), np.uint8)) == suffix_dedup.rolling_hash(np.frombuffer(b.encode(), np.uint8))
+    random.seed(0)
+    left, right = ("".join(random.choice("abcdefghij ") for _ in range(68)) for _ in range(2))
+    rows = [(1, left + a + right), (2, left + b + right), (3, left + b + "another end " * 6), (4, "x" + left[1:] + a + right)]
+    for hot in (suffix_dedup.HOT, 1):
+        got = {r.doc_id: [tuple(s) for s in r.spans] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()}
+        assert got == {1: [], 2: [], 3: [(0, 100)], 4: [(1, 168)]}
+
+
+def test_long_texts_are_looked_through_in_blocks(monkeypatch):
+    random.seed(2)
+    texts = [bytes(random.choice(b"ab ") for _ in range(n)) for n in (5000, 90, 100, 3000)] + [b"xy" * 900]
+    batch = pd.DataFrame({"doc": range(5), "check": [7] * 5, "text": texts})
+
+    def found() -> set:
+        rows = pd.concat(list(suffix_dedup._anchor_rows(100, 5)(iter([batch.copy()]))))
+        return {(doc, at if at >= 0 else ~at) for doc, at in zip(rows["doc"].tolist(), rows["at"].tolist(), strict=True)}
+
+    whole = found()
+    monkeypatch.setattr(suffix_dedup, "SCANNED", 128)
+    monkeypatch.setattr(suffix_dedup, "RESOLVED", 512)
+    assert found() == whole and len(whole) > 200
+
+
 def test_removed_bytes_on_documents(docs, texts):
     expected = plain_removal([(i, (texts[i] or "").encode()) for i in sorted(texts)])
     got = {r.doc_id: hashlib.sha256(r.kept).hexdigest() for r in suffix_dedup.remove_repeats(docs).collect()}
@@ -178,15 +207,13 @@ def test_training_order_round_trip(spark, docs, texts):
     records = list(training_order.read_from(path, 0, 128, 50))
     assert [hashlib.sha256(r.tobytes()).hexdigest() for r in records] == [r.sha256 for r in index]
     assert [r.tobytes() for r in training_order.read_from(path, 77, 128, 50)] == [r.tobytes() for r in records[77:]]
+    assert {r.path for r in index} == {f"{path}/shard-{i:08d}.bin" for i in range(-(-len(index) // 50))}
+    assert training_order.permuted(np.array([r.sequence for r in index]), len(index), 42).tolist() == list(range(len(index)))
     ranks = training_order.Tokens(TIKTOKEN)
-    model = tiktoken.Encoding("plain", pat_str=training_order.PATTERN, mergeable_ranks=ranks.model._mergeable_ranks, special_tokens={})
-    expected = Counter(tuple(model.encode_ordinary(t)) for t in texts.values() if t)
-    stream: dict[int, list] = {}
-    for r, record in sorted(zip(index, records, strict=True), key=lambda x: (x[0].part, x[0].place)):
-        stream.setdefault(r.part, []).extend(record[:r.n_tokens].tolist())
+    expected = Counter(tuple(ranks.full.encode_ordinary(t)) for t in texts.values() if t)
     found, held = Counter(), []
-    for tokens in stream.values():
-        for t in tokens:
+    for r, record in sorted(zip(index, records, strict=True), key=lambda x: x[0].sequence):
+        for t in record[:r.n_tokens].tolist():
             if t == ranks.end:
                 found[tuple(held)] += 1
                 held = []
@@ -195,6 +222,20 @@ def test_training_order_round_trip(spark, docs, texts):
     assert not held and found == expected
 
 
+def test_training_order_does_not_depend_on_partitions(spark, docs):
+    both = []
+    for n in (3, 7):
+        index = training_order.materialise(docs.repartition(n), TIKTOKEN, scratch(spark), length=128, per_shard=50)
+        both.append(sorted((r.slot, r.sequence, r.n_tokens, r.sha256) for r in index.collect()))
+    assert both[0] == both[1]
+
+
+def test_tokens_with_and_without_runs_of_white_space():
+    ranks = training_order.Tokens(TIKTOKEN)
+    for text in odd_texts(5000):
+        assert ranks.of(text).tolist() == ranks.full.encode_ordinary(text)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 4097])
 def test_slots_are_a_permutation_that_depends_on_the_key(n):
     one, other = (training_order.permuted(np.arange(n), n, key) for key in (1, 2))
@@ -322,6 +363,24 @@ def test_network_gradient():
         assert abs((losses[0] - losses[1]) / 2e-3 - g[k][at]) < 1e-4
 
 
+def test_only_letters_have_a_language(spark):
+    model = language_id.fit(["plain words of one", "otras palabras de otra"] * 3, ["en", "es"] * 3, language_id.Settings(steps=2, batch=4))
+    texts = ["²", "½ ① Ⅷ", "12 _ ٣", "a", "１x", "日", "ª", None, ""]
+    got = language_id.language_id(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        assert (r.lang_pred == "und") == (not any(map(str.isalpha, texts[r.doc_id] or "")))
+
+
+def test_labels_of_positions_are_the_plain_networks():
+    s = language_id.Settings(hidden=5, embedding=4, window=9)
+    w = {k: v * 3 for k, v in language_id.initial(3, s).items()}
+    rows = np.random.default_rng(1).integers(0, 257, (6, 9)).astype(np.int16)
+    embedded = w["embed"][rows.T]
+    states = [language_id.scan(embedded @ w["wf"] + w["cf"], w["uf"]), language_id.scan((embedded @ w["wb"] + w["cb"])[::-1], w["ub"])[::-1]]
+    logits = np.exp(np.concatenate(states, axis=2) @ w["out"] + w["bias"])
+    assert np.abs(language_id.position_scores(rows, w) - (logits / logits.sum(axis=2, keepdims=True)).transpose(2, 0, 1)).max() < 1e-5
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op7_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
@@ -332,7 +391,7 @@ def test_language_held_out(spark):
 
 def test_raked_shares_meet_every_marginal(spark):
     cells = spark.createDataFrame([(s, t, 10 * (s + 1) * (t + 2) + s * t) for s in range(4) for t in range(3)], "s int, t int, tokens long")
-    targets = mixing.tempered_targets(cells, ["s", "t"], 0.5)
+    targets = mixing.with_targets(cells, ["s", "t"], 0.5)
     raked = mixing.rake(targets, ["s", "t"], 12)
     for d in "st":
         for r in raked.groupBy(d).agg(F.sum("share").alias("share"), F.first(f"target_{d}").alias("target")).collect():
@@ -347,3 +406,93 @@ def test_sample_has_the_calibrated_shares(spark):
     wanted = {r.source: r.w for r in mixed.groupBy("source").agg(F.sum("weight").alias("w")).collect()}
     for source in kept:
         assert abs(kept[source] / sum(kept.values()) - wanted[source] / sum(wanted.values())) < 0.02
+
+
+def test_given_targets_against_sql(spark, docs):
+    """Shares for sources and topics, one of a source that does not occur, one that is NULL; languages keep theirs."""
+    named = docs.withColumn("source", F.when(F.col("doc_id") % 11 != 0, F.col("source")))
+    sources = [r[0] for r in named.select("source").distinct().orderBy("source").collect()]
+    wanted = [(v, float(i + 1)) for i, v in enumerate(sources)] + [("nowhere", 5.0)]
+    kinds = [("short", 0.5), ("article", 0.3), ("note", 0.2)]
+    mixed = mixing.mix(named, targets={"source": spark.createDataFrame(wanted, "value string, share double"), "topic": spark.createDataFrame(kinds, "value string, share double")})
+    con = duckdb.connect()
+    con.register("documents", named.toPandas())
+    con.register("by_source", pd.DataFrame(wanted, columns=["value", "share"]))
+    con.register("by_topic", pd.DataFrame(kinds, columns=["value", "share"]))
+    theirs = con.sql(mixing.mix_sql(targets={"source": "by_source", "topic": "by_topic"})).fetchall()
+    mine = [(r.doc_id, r.source, r.lang, r.topic, r.tokens, round(r.weight, 6), round(r.probability, 6), r.kept) for r in mixed.collect()]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(mine, key=key) == sorted(theirs, key=key)
+    assert not any(r[3] == "long" and r[7] for r in mine) and any(r[7] for r in mine)
+    tokens, total = {}, sum(r[4] for r in mine)
+    for r in mine:
+        tokens[r[3]] = tokens.get(r[3], 0) + r[4] * r[5] / total
+    there = sum(v for k, v in kinds if k in tokens)
+    assert all(abs(tokens.get(k, 0) - v / there) < 1e-3 for k, v in kinds if k in tokens)
+
+
+# --- similar texts -------------------------------------------------------------------------------------------------
+
+def shingle_set(text, n=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+def jaccard(a, b) -> float:
+    return len(a & b) / len(a | b)
+
+
+def changed(words, n):
+    out = list(words)
+    for i in random.sample(range(len(out)), n):
+        out[i] = f"other{random.randint(0, 99999)}"
+    return out
+
+
+@pytest.mark.parametrize("part,copies", [(16, 1), (1 << 18, 1), (16, 60)])
+def test_near_copies_against_all_pairs(spark, part, copies):
+    """Copies of similarity 0.88 and more, and texts of 0.65 and less: every one of the first goes, none of the second."""
+    random.seed(copies)
+    texts = []
+    for _ in range(60 if copies == 1 else 3):
+        words = [f"w{random.randint(0, 9999)}" for _ in range(random.choice([150, 300, 1000]))]
+        texts.append(words)
+        for _ in range(copies):
+            texts.append(changed(words, max(1, len(words) * random.choice([3, 10]) // 1000)))
+        texts.append(changed(words, len(words) * 6 // 100))
+    random.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets, root, unsure = [shingle_set(t) for _, t in rows], list(range(len(rows))), []
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            similar = jaccard(a, b)
+            if similar >= 0.88:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+            unsure += [(i, j)] if 0.7 < similar < 0.88 else []
+    assert all(find(i) == find(j) for i, j in unsure)  # copies of one text
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    nodes = docs.select(F.col("doc_id").alias("node"), simhash.long_simhash(F.col("text"), 5).alias("words"))
+    roots = {r.node: r.root for r in components.components(simhash.similar_links(nodes, part=part)).collect()}
+    assert {i: roots.get(i, i) for i in range(len(rows))} == {i: find(i) for i in range(len(rows))}
+    assert sorted(r.doc_id for r in simhash.without_near_copies(docs).collect()) == sorted({find(i) for i in range(len(rows))})
+
+
+def test_share_of_differing_bits():
+    random.seed(3)
+    for n in (4, 12, 30):
+        words = [f"w{random.randint(0, 9999)}" for _ in range(1500)]
+        a, b = " ".join(words), " ".join(changed(words, n * 3))
+        bits = int(np.bitwise_count(simhash.long_fingerprint(a, 5) ^ simhash.long_fingerprint(b, 5)).sum())
+        assert abs(bits / 1024 - simhash.differing_share(jaccard(shingle_set(a), shingle_set(b)))) < 0.05
+    assert not simhash.long_fingerprint(None, 5).any() and (simhash.long_fingerprint("A b", 5) == simhash.long_fingerprint("a  B", 5)).all()
+
+
+def test_ranges_of_population_counts():
+    ranges = simhash.count_ranges({20: 3, 30: 9, 31: 25, 32: 4, 40: 5}, 10)
+    assert ranges == [(20, 20, 1), (30, 30, 1), (31, 31, 3), (32, 40, 1)]
