@@ -5,14 +5,16 @@ counts: the bits are cut into ``sections`` and a tile holds the fingerprints wit
 Flipping one bit moves one count by one, so two tiles whose counts differ by more than the radius in sum cannot hold a
 link, and only pairs of tiles within the radius meet.  A large tile is cut into parts of about ``TILE`` fingerprints;
 each part is held in memory while the fingerprints of its neighbour tiles stream past in sorted order, so a task's
-memory does not depend on the input.  A part reports a spanning forest of what it links and not every pair, which
+memory does not depend on the input.  Below some ten million fingerprints a tile is one part, and what is shuffled is in
+proportion to them; beyond, each visitor goes to every part of a tile.  A part reports a spanning forest of what it links and not every pair, which
 loses no connection.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import product
+from itertools import accumulate, product
 
 import numpy as np
 import pandas as pd
@@ -20,12 +22,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import keep_rows, written
 from .components import components
 
 SEED, SHINGLE = 42, 3
-#: Fingerprints of one part of a tile, and those compared with it at once.
-TILE, STRIP = 4096, 512
+#: Fingerprints of one part of a tile; those of it, and of its visitors, that are compared at once.
+TILE, HELD, STRIP = 1 << 16, 4096, 512
 #: Hashes whose bits are counted at once.
 BLOCK = 1 << 14
 
@@ -74,14 +76,15 @@ def _roots(parent: np.ndarray) -> np.ndarray:
 def _linked(radius: int):
     """Over rows sorted by (tile, part, visitor): links of each part's own fingerprints and of its visitors."""
 
-    def strip_links(own: np.ndarray, ids: np.ndarray, parent: np.ndarray, prints: np.ndarray, names: np.ndarray, out: list) -> np.ndarray:
-        near = np.bitwise_count(own[:, None] ^ prints[None, :]) <= radius
+    def strip_links(own: np.ndarray, ids: np.ndarray, parent: np.ndarray, at: int, prints: np.ndarray, names: np.ndarray, out: list) -> np.ndarray:
+        near = np.bitwise_count(own[at:at + HELD, None] ^ prints[None, :]) <= radius
         if not near.any():
             return parent
         hit = near.any(axis=0)
-        first = near.argmax(axis=0)
+        first = near.argmax(axis=0) + at
         out.append((names[hit], ids[first[hit]]))
         i, j = np.nonzero(near)
+        i += at
         ties = np.unique(np.stack([parent[i], parent[first[j]]]), axis=1)
         extra = []
         for a, b in ties[:, ties[0] != ties[1]].T:  # own fingerprints that share this visitor
@@ -116,8 +119,8 @@ def _linked(radius: int):
                     parent = np.arange(len(own))
                 elif own is None:
                     continue  # visitors of a tile that does not exist
-                for s in range(0, hi - lo, STRIP):
-                    parent = strip_links(own, ids, parent, prints[s:s + STRIP], names[s:s + STRIP], out)
+                for s, o in product(range(0, hi - lo, STRIP), range(0, len(own), HELD)):
+                    parent = strip_links(own, ids, parent, o, prints[s:s + STRIP], names[s:s + STRIP], out)
             if out:
                 links = pd.DataFrame({"a": np.concatenate([o[0] for o in out]), "b": np.concatenate([o[1] for o in out])})
                 yield links[links.a != links.b].drop_duplicates()
@@ -164,3 +167,172 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(fingerprint_links(nodes.filter("node is not null"), radius, sections))
     classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+# --- similar texts: the same comparison over a wide radius, decided by longer fingerprints --------------------------
+
+#: 64-bit words of a long fingerprint.
+WORDS = 16
+_U = np.uint64
+#: Fingerprints of a part at most, and at least where there are few; those compared at once, on either side.
+PART, LEAST_PART, ACROSS, ALONG = 1 << 18, 1 << 12, 512, 256
+
+
+def _further(hashes: np.ndarray) -> np.ndarray:
+    """``WORDS`` well-mixed hashes for each hash."""
+    x = hashes[:, None] + np.arange(1, WORDS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def long_fingerprint(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
+    """``WORDS`` unsigned words over the set of a text's word shingles: a bit is set in over half of the hashes; zero without a word."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # on bytes both know ASCII only
+    if not words:
+        return np.zeros(WORDS, _U)
+    hash_, join = xxhash.xxh64_intdigest, b" ".join
+    runs = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else iter([words])
+    hashes = np.unique(np.fromiter((hash_(join(r), seed) for r in runs), np.dtype("<u8")))
+    ones = np.zeros(64 * WORDS, np.int64)
+    for start in range(0, len(hashes), BLOCK):
+        bits = np.unpackbits(_further(hashes[start:start + BLOCK]).view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def long_simhash(text: Column, shingle: int) -> Column:
+    """Array of the signed words of a text column's long fingerprints."""
+
+    @F.pandas_udf("array<long>")
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([long_fingerprint(t, shingle).view(np.int64) for t in texts])
+
+    return hashed(text)
+
+
+def differing_share(similarity: float) -> float:
+    """Share of differing bits that is expected between sets of a Jaccard similarity: their angle over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of long fingerprints up to which texts are similar: those expected and a standard error, so that more is caught than missed."""
+    n, share = 64 * WORDS, differing_share(similarity)
+    return math.floor(n * share + math.sqrt(n * share * (1 - share)))
+
+
+def count_ranges(counts: dict[int, int], part: int) -> list[tuple[int, int, int]]:
+    """Ranges ``low, high, parts`` of population counts, in order: about ``part`` fingerprints in each, more only in one count, which is cut into parts."""
+    out: list[tuple[int, int, int]] = []
+    held = 0
+    for count in sorted(counts):
+        if out and held + counts[count] <= part:
+            out[-1] = (out[-1][0], count, 1)
+            held += counts[count]
+        else:
+            held = counts[count]
+            out.append((count, count, -(-held // part)))
+    return out
+
+
+def _find(parent: np.ndarray, i: int) -> int:
+    while parent[i] != i:
+        parent[i] = i = parent[parent[i]]
+    return i
+
+
+def _similar(radius: int, limit: int):
+    """Over the fingerprints of one or two parts: a spanning forest of the pairs within ``radius`` bits of the first word and ``limit`` bits of all."""
+    names = [f"w{i}" for i in range(WORDS)]
+
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values(["part", "count", "node"], ignore_index=True)
+        words, node, count = cell[names].to_numpy(np.int64).view(np.uint64), cell["node"].to_numpy(), cell["count"].to_numpy()
+        part = cell["part"].to_numpy()
+        split = int(np.searchsorted(part, part[0], side="right"))
+        same = split == len(cell)  # a part with itself
+        first, parent, links = np.ascontiguousarray(words[:, 0]), np.arange(len(cell)), []
+
+        def joined(i: np.ndarray, j: np.ndarray) -> None:
+            near = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64) <= limit
+            for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True):
+                x, y = _find(parent, a), _find(parent, b)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    links.append((a, b))
+
+        def apart(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            x, y = (np.array([_find(parent, k) for k in np.unique(side)], np.int64)[np.unique(side, return_inverse=True)[1]] for side in (i, j))
+            keep = x != y
+            return i[keep], j[keep], x[keep], y[keep]
+
+        for lo in range(0, split, ACROSS):
+            own = first[lo:min(split, lo + ACROSS)]
+            for at in range(lo if same else split, len(cell), ALONG):
+                stop = min(len(cell), at + ALONG)
+                if count[at] - count[lo + len(own) - 1] > radius or count[lo] - count[stop - 1] > radius:
+                    continue
+                near = np.bitwise_count(own[:, None] ^ first[None, at:stop]) <= radius
+                i, j = np.divmod(np.flatnonzero(near), stop - at)
+                i, j = i + lo, j + at
+                if same:
+                    i, j = i[i < j], j[i < j]
+                if not len(i):
+                    continue
+                i, j, x, y = apart(i, j)  # what is linked already is not looked at again
+                _, one = np.unique(x * len(cell) + y, return_index=True)
+                joined(i[one], j[one])  # one pair of each two groups first, then what that left apart
+                if len(one) < len(i):
+                    joined(*apart(i, j)[:2])
+        ends = np.array(links, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": node[ends[:, 0]], "b": node[ends[:, 1]]})
+
+    return run
+
+
+def similar_links(nodes: DataFrame, similarity: float = 0.8, radius: int = 16, part: int = PART) -> DataFrame:
+    """Links ``a, b`` between ``nodes(node, words)`` of distinct long fingerprints: a spanning forest of the similar pairs.
+
+    Pairs are similar when their fingerprints differ in :func:`most_bits` at ``similarity`` or fewer; they are looked for
+    among the pairs whose first words differ in ``radius`` bits or fewer, which are compared exactly.  Nodes are dealt into
+    parts by ranges of the first word's population count, and each two parts whose counts are within the radius meet in a
+    task.  A task holds two parts, whatever the input, and its links are fewer than its nodes.
+    """
+    counted = nodes.select("node", F.bit_count(F.col("words")[0]).cast("int").alias("count"), *(F.col("words")[i].alias(f"w{i}") for i in range(WORDS)))
+    counts = dict(counted.groupBy("count").count().collect())  # 65 rows at most
+    size = min(part, max(min(part, LEAST_PART), -(-sum(counts.values()) // 10)))
+    ranges = count_ranges(counts, size)
+    starts = [0, *accumulate(n for _, _, n in ranges)]
+    rows = []
+    for low, high, n in ranges:
+        near = [k for k, (low_, high_, _) in enumerate(ranges) if low_ - high <= radius and low - high_ <= radius]
+        rows += [(c, starts[ranges.index((low, high, n))], n, starts[near[0]], starts[near[-1] + 1] - 1) for c in range(low, high + 1)]
+    dealt = nodes.sparkSession.createDataFrame(rows, "count int, start int, parts int, from int, to int")
+    placed = counted.join(F.broadcast(dealt), "count").withColumn("part", F.col("start") + F.pmod(F.xxhash64("w0", "w1"), F.col("parts")).cast("int"))
+    meets = placed.withColumn("other", F.explode(F.sequence("from", "to"))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    return meets.select("low", "high", "part", "count", "node", *(f"w{i}" for i in range(WORDS))).groupBy("low", "high").applyInPandas(
+        _similar(radius, most_bits(similarity)), "a long, b long")
+
+
+def without_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` but those that are near copies of another: of each component the row with the least id stays.
+
+    Rows link when the long fingerprints of their word shingles agree as those of sets of Jaccard similarity ``similarity`` do
+    or better, within a standard error, which is about 0.03.  Texts without a word link with each other, texts of fewer
+    words than a shingle has are one shingle.  The verdict is a row's own: of rows that repeat an id only those go whose text
+    is a copy, one of whole rows that are repeated stays, and a row with a NULL id stays only where its component has no
+    other.  An empty table gives an empty result; all columns are kept.
+    """
+    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    rows = written(docs.select(F.col(id_col).alias("id"), key.alias("key"), F.monotonically_increasing_id().alias("row"), long_simhash(F.col(text_col), shingle).alias("words")))
+    nodes = written(rows.groupBy("words").agg(F.min("row").alias("node"), F.count("*").alias("n")))
+    roots = components(similar_links(nodes.select("node", "words"), similarity, radius))
+    classes = nodes.join(roots, "node", "left").select("words", "n", F.coalesce("root", "node").alias("component"))
+    whole = classes.groupBy("component").agg(F.sum("n").alias("n")).filter("n > 1").select("component")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("place")
+    members = written(rows.select("id", "key", "words", "row", place).join(classes.join(whole, "component").select("words", "component"), "words").select("id", "key", "row", "component", "place"))
+    first = members.groupBy("component").agg(F.min("place").alias("first"))
+    verdicts = members.join(first, "component").select("id", "key", (F.col("row") == F.col("first.row")).alias("kept"))
+    return keep_rows(docs, id_col, key, verdicts)
