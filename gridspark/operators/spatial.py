@@ -125,8 +125,9 @@ def spatial_knn(points: DataFrame, k: int = 8, targets: DataFrame | None = None,
     tlx, thx, tly, thy = todo.agg(F.min("_tx"), F.max("_tx"), F.min("_ty"), F.max("_ty")).first()
     if tlx is None:
         return empty
-    extent = max(max(high_x, thx) - min(low_x, tlx), max(high_y, thy) - min(low_y, tly), 1e-9)
-    side = max(extent * (min(1.0, per_bucket / n) ** 0.5), 1e-9)
+    wide, high = max(high_x, thx) - min(low_x, tlx), max(high_y, thy) - min(low_y, tly)
+    extent, share = max(wide, high, 1e-9), min(1.0, per_bucket / n)
+    side = max((wide * high * share) ** 0.5, extent * share, 1e-9)
     pool, result, few = written(pool), None, False
     while side > extent / (1 << 20):
         fullest = pool.groupBy(F.floor(F.col("_nx") / side), F.floor(F.col("_ny") / side)).count().agg(F.max("count")).first()[0]
