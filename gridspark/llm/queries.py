@@ -12,6 +12,7 @@ from .common import LOWER, UPPER, scratch, table, tune
 from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .language_id import train as train_language
+from .merkle import manifest, manifest_sql
 from .mixing import mix, mix_sql
 from .quality import quality_rules
 from .sentencepiece import encode
@@ -108,3 +109,18 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", scratch(spark), per_shard=1024)
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return manifest(table(spark, sf_dir, "documents"), tampered=tampered).withColumnRenamed("id", "doc_id").drop("source")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned CRC-32 of an ASCII string, bit by bit."""
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint)), "
+            "lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda v, k: xor(v >> 1, (v & 1) * 3988292384))))")
+
+
+ORACLES["op13_merkle"] = manifest_sql(tampered=f"{crc32_sql('cast(doc_id as varchar)')} % 5 = 0")
