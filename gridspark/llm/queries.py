@@ -14,6 +14,7 @@ from .language_id import language_id
 from .language_id import train as train_language
 from .merkle import manifest, manifest_sql
 from .mixing import mix, mix_sql
+from .packing import packed
 from .quality import quality_rules
 from .sentencepiece import encode
 from .simhash import near_duplicates
@@ -21,6 +22,7 @@ from .suffix_dedup import remove_repeats
 from .token_count import token_counts
 from .training_order import materialise
 from .toxicity import toxicity, train
+from .vector_codes import vector_codes, vector_codes_sql
 
 #: Folder of the public tokenizer files; every executor must see it.
 TOKENIZERS = os.environ.get("GRIDSPARK_TOKENIZERS", "/opt/tokenizers")
@@ -124,3 +126,16 @@ def crc32_sql(text: str) -> str:
 
 
 ORACLES["op13_merkle"] = manifest_sql(tampered=f"{crc32_sql('cast(doc_id as varchar)')} % 5 = 0")
+
+
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_vector_codes"] = vector_codes_sql()
