@@ -1,6 +1,8 @@
 """Every corpus operator on odd rows: NULLs in any column, empty and very long texts, ties, repeated rows, clashing names."""
 
+import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gridspark.llm import exact_dedup, language_id, mixing, quality, queries, sentencepiece, simhash, suffix_dedup, token_count, toxicity, training_order
+from gridspark.llm import exact_dedup, language_id, merkle, mixing, packing, quality, queries, sentencepiece, simhash, suffix_dedup, token_count, toxicity, training_order, vector_codes
 from gridspark.llm.common import DOCUMENT_COLUMNS, scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -146,6 +148,86 @@ def test_training_order(spark, docs):
     assert sorted(found) == expected and not held  # repeated rows as often as they occur
 
 
+def test_packing(docs):
+    library = Tokenizer.from_file(BPE)
+    got, expected = packing.packed(docs, BPE, length=64).collect(), []
+    for r in docs.collect():
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 2]
+        cuts = [0, *range(len(ids) % 64 or 64, len(ids) + 1, 64)]
+        expected += [(str(r.doc_id), p, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(expected)
+    ends = Counter()
+    for r in sorted(got, key=lambda r: r.offset):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert all(e <= 64 for e in ends.values())
+
+
+def plain_root(digests: list[str]) -> str:
+    while len(digests) > 1:
+        digests = [hashlib.sha256("".join(digests[i:i + 16]).encode()).hexdigest() for i in range(0, len(digests), 16)]
+    return digests[0]
+
+
+def test_merkle(docs):
+    rows_ = docs.collect()
+    got = merkle.manifest(docs, tampered=F.col("doc_id") % 2 == 1).collect()
+    assert len(got) == len(rows_)
+    value = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r, text: hashlib.sha256("".join(map(value, (r.doc_id, r.source, r.lang, r.n_chars, text))).encode()).hexdigest()
+    assert Counter((r.id, r.source, r.leaf) for r in got) == Counter((r.doc_id, r.source, leaf(r, r.text)) for r in rows_)
+    first = lambda v: (v is not None, v)
+    trees = {}
+    for r in sorted(rows_, key=lambda r: (first(r.source), first(r.doc_id), leaf(r, r.text))):
+        trees.setdefault(r.source, []).append(leaf(r, r.text))
+    subroots = {s: plain_root(leaves) for s, leaves in trees.items()}
+    assert all(r.subroot == subroots[r.source] and r.root == plain_root(list(subroots.values())) for r in got)
+    lowered = lambda t: t and "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    wrong = {leaf(r, r.text) for r in rows_ if r.doc_id and r.doc_id % 2 and lowered(r.text) != r.text}
+    assert all(r.verified == (r.folded_root == r.root) == (r.leaf not in wrong) for r in got)
+
+
+def test_vector_codes(spark):
+    numbers = [0.1, -0.30001, 2.0, 1e-9, -1e-9, 5.5, 0.0, -7.25]
+    good = [[x * (i % 5 + 1) for x in numbers] * 2 for i in range(20)]
+    vectors = [(i, v, i % 3 or None) for i, v in enumerate(good)]
+    vectors += [(20, None, 1), (21, [None, *numbers[1:], *numbers], 1), (22, [float("nan")] * 16, 1), (23, [float("inf")] * 16, 1), (24, numbers, 1), (25, [1.0] * 3, 1),
+                (26, [], 1), (3, good[3], 0), (3, good[3], 0), (None, good[1], None), (27, [1e300] * 16, 2), (28, [1e9] * 16, 2)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit("clash") for c in ("code", "numbers", "error", "_label", "v", "n")})
+    got = vector_codes.vector_codes(df).collect()
+    assert Counter(r.vec_id for r in got) == Counter([*range(20), 3, 3, None, 28])
+    assert len({(r.code, r.error) for r in got if r.vec_id == 3}) == 1
+    kept = [(i, v, n) for i, v, n in vectors if v and len(v) == 16 and all(x is not None and abs(x) < 1e15 for x in v)]
+    expected = plain_codes([(i, [int(np.floor(4096 * x)) for x in v], n) for i, v, n in kept])
+    assert sorted((str(r.vec_id), r.code, r.error, str(r.label_error)) for r in got) == sorted(expected)
+    for rows_ in ([], vectors[20:23]):
+        empty = spark.createDataFrame(rows_, "vec_id long, embedding array<double>, label int")
+        assert vector_codes.vector_codes(empty).collect() == []
+
+
+def plain_codes(vectors: list[tuple]) -> list[tuple]:
+    """Codes by trying every entry with Python's whole numbers."""
+    width = len(vectors[0][1]) // 8
+    parts = {p: [v[p * width:(p + 1) * width] for _, v, _ in vectors] for p in range(8)}
+    square = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    starts = sorted((n for n, (i, _, _) in enumerate(vectors) if i is not None), key=lambda n: vectors[n][:2])[:16]
+    near = {}
+    for p, mine in parts.items():
+        entries = [mine[n] for n in starts]
+        for _ in range(6):
+            chosen = [min(range(len(entries)), key=lambda e: (square(v, entries[e]), e)) for v in mine]
+            for e in set(chosen):
+                members = [v for v, c in zip(mine, chosen, strict=True) if c == e]
+                entries[e] = [sum(x) // len(members) for x in zip(*members, strict=True)]
+        near[p] = [min((square(v, x), e) for e, x in enumerate(entries)) for v in mine]
+    errors = [sum(near[p][n][0] for p in range(8)) for n in range(len(vectors))]
+    labels = Counter()
+    for (_, _, label), error in zip(vectors, errors, strict=True):
+        labels[label] += error
+    fits = lambda v: v if v < 1 << 63 else None
+    return [(str(i), "".join(f"{near[p][n][1]:02x}" for p in range(8)), fits(errors[n]), str(fits(labels[label]))) for n, (i, _, label) in enumerate(vectors)]
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     spark.createDataFrame([(1, 1, 0), (5, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     odd = any(r.doc_id == 8 for r in docs.collect())

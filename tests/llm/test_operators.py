@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridspark.llm import components, exact_dedup, language_id, mixing, quality, queries, sentencepiece, simhash, suffix_dedup, token_count, toxicity, training_order
+from gridspark.llm import components, exact_dedup, language_id, merkle, mixing, packing, quality, queries, sentencepiece, simhash, suffix_dedup, token_count, toxicity, training_order, vector_codes
 from gridspark.llm.common import scratch
 
 SMALL = "/root/testdata/sf0.001"
@@ -496,3 +496,109 @@ def test_share_of_differing_bits():
 def test_ranges_of_population_counts():
     ranges = simhash.count_ranges({20: 3, 30: 9, 31: 25, 32: 4, 40: 5}, 10)
     assert ranges == [(20, 20, 1), (30, 30, 1), (31, 31, 3), (32, 40, 1)]
+
+
+# --- packing -------------------------------------------------------------------------------------------------------
+
+def test_best_fit_over_counts_is_best_fit_piece_by_piece():
+    random.seed(5)
+    for _ in range(200):
+        length = random.choice([1, 2, 7, 20, 64, 100])
+        counts = {s: random.randint(1, random.choice([3, 40])) for s in random.sample(range(1, length + 1), random.randint(1, length))}
+        left: list[int] = []
+        for size in sorted(counts, reverse=True):
+            for _ in range(counts[size]):
+                fits = [c for c in left if c >= size]
+                if fits:
+                    left.remove(min(fits))
+                left.append((min(fits) if fits else length) - size)
+        sizes, ranks = (np.array(a) for a in zip(*((s, r) for s, n in counts.items() for r in range(n)), strict=True))
+        sequence, offset = packing.Places(packing.best_fit(counts, length)).find(sizes, ranks)
+        ends = Counter()
+        for q, o, s in sorted(zip(sequence.tolist(), offset.tolist(), sizes.tolist(), strict=True)):
+            assert ends[q] == o  # no gaps, no overlaps
+            ends[q] += s
+        assert sorted(length - e for e in ends.values()) == sorted(left)
+
+
+def test_best_fit_does_not_grow_with_counts():
+    random.seed(6)
+    small = {s: random.randint(1, 100) for s in range(1, 1025)}
+    large = {s: n * 10 ** 9 for s, n in small.items()}
+    assert len(packing.best_fit(large, 1024)) < 4 * len(packing.best_fit(small, 1024)) + 1024
+
+
+def test_tightest_capacity():
+    tree, there = packing.Capacities(37), set()
+    random.seed(7)
+    for _ in range(500):
+        c = random.randint(1, 37)
+        there ^= {c}
+        tree.set(c, c in there)
+        size = random.randint(1, 37)
+        assert tree.tightest(size) == min((x for x in there if x >= size), default=None)
+
+
+# --- Merkle manifest -----------------------------------------------------------------------------------------------
+
+def test_postorder_places_are_where_the_log_has_them():
+    for leaves in (1, 2, 15, 16, 17, 33, 255, 256, 257, 300, 4095, 4096):
+        log = merkle.Log()
+        for i in range(leaves):
+            log.add(f"{i:064x}")
+        nodes, levels = log.close(False).hex(), len(merkle.widths(leaves)) - 1
+        level = [f"{i:064x}" for i in range(leaves)]
+        for n, width in enumerate(merkle.widths(leaves)):
+            assert len(level) == width
+            for i, digest in enumerate(level):
+                at = 64 * merkle.postorder(n, i, leaves)
+                assert nodes[at:at + 64] == digest
+            level = ["".join(level[i:i + 16]) for i in range(0, width, 16)]
+            level = [merkle.node(run) for run in level] if n < levels else []
+        assert len(nodes) == 64 * sum(merkle.widths(leaves))
+
+
+def test_manifest_over_several_rounds(spark):
+    rows = [(i, "big", i) for i in range(5000)] + [(i, f"s{i % 20}", i) for i in range(5000, 5060)] + [(6000, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_chars long").select("*", F.lit("en").alias("lang"), F.concat(F.lit("Text "), "doc_id").alias("text"))
+    got = {r.id: r for r in merkle.manifest(df.repartition(7), tampered=F.col("doc_id") % 5 == 0).collect()}
+
+    def levels(digests):
+        found = [digests]
+        while len(found[-1]) > 1:
+            found.append([merkle.node("".join(found[-1][i:i + 16])) for i in range(0, len(found[-1]), 16)])
+        return found
+
+    trees = {}
+    for i, source, _ in rows:
+        trees.setdefault(source, []).append(got[i].leaf)
+    trees = {s: levels(t) for s, t in sorted(trees.items(), key=lambda x: (x[0] is not None, x[0] or ""))}
+    top = levels([t[-1][0] for t in trees.values()])
+    seen = Counter()
+    for i, source, _ in rows:
+        path, tree = [], trees[source]
+        for nodes, at in ((tree, seen[source]), (top, list(trees).index(source))):
+            for level in nodes[:-1]:
+                run = at // 16 * 16
+                path += [d for j, d in enumerate(level[run:run + 16]) if j + run != at]
+                at //= 16
+        seen[source] += 1
+        assert got[i].proof_sha256 == hashlib.sha256("".join(path).encode()).hexdigest()
+        assert (got[i].subroot, got[i].root) == (tree[-1][0], top[-1][0]) and got[i].verified == (i % 5 != 0)
+
+
+# --- vector codes --------------------------------------------------------------------------------------------------
+
+def test_pivots_leave_out_distances_and_change_nothing():
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-4000, 4000, (16, 8))
+    parts = (centres[rng.integers(0, 16, 5000)] + rng.integers(-300, 300, (5000, 8))).astype(np.int64)
+    entries = np.concatenate([centres[:14], centres[:1], centres[:1]]).astype(np.int64)  # equal entries tie
+    pivots, tried = parts[:4], []
+    index, least = vector_codes.nearest(parts, vector_codes.distances(parts, pivots), entries, pivots, tried)
+    every = ((parts[:, None, :] - entries[None]) ** 2).sum(axis=2)
+    assert (index == every.argmin(axis=1)).all() and (least == every.min(axis=1)).all()
+    assert sum(tried) < 0.5 * every.size
+    huge = parts.astype(object) * 10 ** 12
+    index_huge, least_huge = vector_codes.nearest(huge, vector_codes.distances(huge, huge[:4]), entries.astype(object) * 10 ** 12, huge[:4])
+    assert (index_huge == index).all() and (least_huge == least.astype(object) * 10 ** 24).all()

@@ -42,7 +42,7 @@ def test_against_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_op1_scores_every_text(spark, texts):
@@ -146,3 +146,26 @@ def test_op10_base_counts(spark, texts):
         assert r.base_failed == (len(words) < 20 or 100 * len(repeated) > 30 * len(words))
         assert not (r.kept and r.base_failed)
     assert any(r.kept for r in got.values()) and not all(r.kept for r in got.values())
+
+
+def test_op11_packs_the_librarys_tokens(spark, texts):
+    library = Tokenizer.from_file(f"{queries.TOKENIZERS}/byte_bpe_50k.json")
+    got, expected = queries.QUERIES["op11_packing"](spark, SMALL).collect(), {}
+    for i, text in texts.items():
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        for piece, (start, stop) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            expected[i, piece] = (start, stop - start, zlib.crc32(np.array(ids[start:stop], "<u4").tobytes()))
+    assert len(got) == len(expected) and {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == expected
+    sequences: dict[int, list] = {}
+    for r in sorted(got, key=lambda r: r.offset):
+        assert r.offset == sum(sequences.setdefault(r.sequence_id, []))
+        sequences[r.sequence_id].append(r.length)
+    assert all(sum(s) <= 1024 for s in sequences.values())
+    left: list[int] = []  # best fit decreasing, piece by piece
+    for size in sorted((r.length for r in got), reverse=True):
+        fits = [c for c in left if c >= size]
+        if fits:
+            left.remove(min(fits))
+        left.append((min(fits) if fits else 1024) - size)
+    assert sorted(left) == sorted(1024 - sum(s) for s in sequences.values())
