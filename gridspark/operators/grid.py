@@ -9,11 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.crs import to_crs
-from ..functions.geometry import contains, touches_box
 from ..model import Grid
-
-#: Cells along a side of the tiles by which cells and polygons meet.
-TILE = 32
+from .scan import cells_in_spans, spans
 
 
 def mosaic(parts: DataFrame, order: str = "part", key: Sequence[str] = ("row", "col", "band")) -> DataFrame:
@@ -88,30 +85,14 @@ def check_consistency(grids: DataFrame, properties: Sequence[str] = ("epsg", "px
     return compared.filter(~F.col("expected").eqNullSafe(F.col("found")))
 
 
-def polygon_tiles(polygons: DataFrame, grid: Grid, tile: int = TILE) -> DataFrame:
-    """Each polygon once per tile of cells that its box meets: ``tile_r, tile_c`` and its columns."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-
-    def block(index, low, high, last):
-        lo, hi = F.greatest(F.lit(0), index(low)), F.least(F.lit(last - 1), index(high))
-        return F.when(lo <= hi, F.sequence(F.floor(lo / tile).cast("int"), F.floor(hi / tile).cast("int")))
-
-    rows = block(grid.row, F.array_max(ys), F.array_min(ys), grid.height)
-    cols = block(grid.col, F.array_min(xs), F.array_max(xs), grid.width)
-    return polygons.withColumn("tile_r", F.explode(rows)).withColumn("tile_c", F.explode(cols))
+def cells_in_polygons(cells: DataFrame, polygons: DataFrame, grid: Grid, all_touched: bool = False, how: str = "inner") -> DataFrame:
+    """Cells joined to the polygons that hold their centre, or touch them, by scan conversion: see :mod:`.scan`.
 
-
-def cells_in_polygons(cells: DataFrame, polygons: DataFrame, grid: Grid, all_touched: bool = False, how: str = "inner", tile: int = TILE) -> DataFrame:
-    """Cells joined to the polygons that hold their centre, or touch them: an equi-join on tiles, then the exact test."""
-    tiled = cells.withColumns({"tile_r": F.floor(F.col("row") / tile).cast("int"), "tile_c": F.floor(F.col("col") / tile).cast("int")})
-    x, y = grid.center_x(F.col("col")), grid.center_y(F.col("row"))
-    inside = (touches_box(F.col("ring"), x - grid.dx / 2, y - grid.dy / 2, x + grid.dx / 2, y + grid.dy / 2) if all_touched
-              else contains(F.col("ring"), x, y))
-    shapes = polygon_tiles(polygons, grid, tile).withColumnsRenamed({"tile_r": "_tile_r", "tile_c": "_tile_c"})
-    same = (F.col("tile_r") == F.col("_tile_r")) & (F.col("tile_c") == F.col("_tile_c")) & inside
-    return tiled.join(shapes, same, how).drop("tile_r", "tile_c", "_tile_r", "_tile_c")
+    ``polygons`` have a ``ring``, or ``rings`` with holes and parts, and any other columns, which are joined to the cells.
+    """
+    return cells_in_spans(cells, spans(polygons, grid, all_touched), how)
 
 
 def study_area_mask(cells: DataFrame, polygons: DataFrame, grid: Grid, all_touched: bool = False) -> DataFrame:
     """Cells inside any of the polygons."""
-    return cells_in_polygons(cells, polygons.select("ring"), grid, all_touched, "left_semi")
+    return cells_in_polygons(cells, polygons.select("rings" if "rings" in polygons.columns else "ring"), grid, all_touched, "left_semi")

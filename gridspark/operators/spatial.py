@@ -52,6 +52,36 @@ def clean_polygons(polygons: DataFrame) -> DataFrame:
     return polygons.filter(F.col("ring").isNotNull() & geometry.is_valid(F.col("ring")))
 
 
+def crossed_shapes(polygons: DataFrame, key: str = "poly_id") -> DataFrame:
+    """``key`` of each polygon of which two edges cross, of one ring or of two.
+
+    A sweep as a join: edges meet by strips across the axis along which they are short, as many strips as keep an edge's copies at
+    two on average, so that a boundary of n edges takes about n comparisons and not their square.
+    """
+    edges = polygons.select(F.col(key).alias("_key"), F.posexplode(geometry.shape_edges(geometry.rings_of(polygons))).alias("_at", "e")).select("_key", "_at", "e.*")
+    extent = lambda a, b: F.max(F.greatest(a, b)) - F.min(F.least(a, b))
+    sizes = edges.groupBy("_key").agg(
+        F.count("*").alias("_n"), F.min(F.least("ax", "bx")).alias("_x0"), F.min(F.least("ay", "by")).alias("_y0"), extent("ax", "bx").alias("_w"), extent("ay", "by").alias("_h"),
+        F.sum(F.abs(F.col("bx") - F.col("ax"))).alias("_dx"), F.sum(F.abs(F.col("by") - F.col("ay"))).alias("_dy"))
+    across = F.coalesce(F.expr("try_divide(_dx, _w) < try_divide(_dy, _h)"), F.lit(False))
+    sizes = sizes.select("_key", across.alias("_across"), F.when(across, F.col("_x0")).otherwise(F.col("_y0")).alias("_low"),
+                         F.when(across, F.expr("try_divide(_n * _w, _dx) / _w")).otherwise(F.expr("try_divide(_n, _dy)")).alias("_per"))
+    low, high = (F.when(F.col("_across"), f("ax", "bx")).otherwise(f("ay", "by")) for f in (F.least, F.greatest))
+    strip = lambda v: F.coalesce(F.floor((v - F.col("_low")) * F.col("_per")), F.lit(0))
+    dealt = edges.join(sizes, "_key").withColumn("_strip", F.explode(F.sequence(strip(low), strip(high)))).select("_key", "_strip", "_at", "ax", "ay", "bx", "by")
+    other = dealt.select(*(F.col(c).alias(f"o{c}") for c in dealt.columns))
+    e, o = ({c: F.col(f"{prefix}{c}") for c in ("ax", "ay", "bx", "by")} for prefix in ("", "o"))
+    same = (F.col("_key") == F.col("o_key")) & (F.col("_strip") == F.col("o_strip")) & (F.col("_at") < F.col("o_at"))
+    return dealt.join(other, same).filter(geometry.proper_crossing(e, o)).select(F.col("_key").alias(key)).distinct()
+
+
+def clean_shapes(polygons: DataFrame, key: str = "poly_id") -> DataFrame:
+    """Polygons with ``rings`` that are all closed and have an area, and of which no edges cross; ``key`` tells them apart."""
+    shaped = lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1)) & (geometry.area(r) > 0) & (geometry.area(r) < float("inf"))
+    closed = polygons.filter(F.coalesce((F.size("rings") > 0) & F.forall("rings", lambda r: F.coalesce(shaped(r), F.lit(False))), F.lit(False)))
+    return closed.join(crossed_shapes(closed, key), key, "left_anti")
+
+
 def polygon_faults(polygons: DataFrame) -> DataFrame:
     """One row: ``n_null, n_invalid, n_valid``."""
     ok = geometry.is_valid(F.col("ring"))
@@ -67,11 +97,14 @@ def area_change(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def polygon_measures(polygons: DataFrame) -> DataFrame:
-    """Add area, centroid and bounding box."""
-    ring = F.col("ring")
-    cx, cy = geometry.centroid(ring)
-    box = geometry.bounds(ring)
-    return polygons.withColumns({"area": geometry.area(ring), "Centroid_X": cx, "Centroid_Y": cy,
+    """Add area, centroid and bounding box; holes of ``rings`` are left out of the first two."""
+    if "rings" in polygons.columns:
+        rings = F.col("rings")
+        area, (cx, cy), box = geometry.shape_area(rings), geometry.shape_centroid(rings), geometry.bounds(F.flatten(rings))
+    else:
+        ring = F.col("ring")
+        area, (cx, cy), box = geometry.area(ring), geometry.centroid(ring), geometry.bounds(ring)
+    return polygons.withColumns({"area": area, "Centroid_X": cx, "Centroid_Y": cy,
                                  "XMin": box["minx"], "YMin": box["miny"], "XMax": box["maxx"], "YMax": box["maxy"]})
 
 
@@ -83,13 +116,19 @@ def zonal_stats(polygons: DataFrame, cells: DataFrame, grid: Grid, key: str = "p
 
     The most frequent value wins, the smallest of several.  Polygons without a cell are absent here.
     """
-    inside = cells_in_polygons(cells.filter(F.col("value").isNotNull()), polygons.select(key, "ring"), grid, all_touched)
+    cells = cells.filter(F.col("value").isNotNull())
+    shape = "rings" if "rings" in polygons.columns else "ring"
+    inside = cells_in_polygons(cells, polygons.select(key, shape), grid, all_touched)
     values = inside.groupBy(key, "layer", "value").agg(F.count("*").alias("_n"))
-    weighted = values.groupBy(key, "layer").agg(
-        F.sum("_n").alias("count"), F.sum(F.col("value") * F.col("_n")).alias("_s"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.min_by("value", F.struct(-F.col("_n"), F.col("value"))).alias("majority"))
-    spread = inside.groupBy(key, "layer").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    return weighted.join(spread, [key, "layer"]).select(key, "layer", *ZONAL)
+    # sums of distances from the layer's mean, so that squares of large values do not cancel; a row per layer
+    means = cells.groupBy(F.col("layer").alias("_layer")).agg(F.avg("value").alias("_m"))
+    off, n = F.col("value") - F.col("_m"), F.col("_n")
+    sums = values.join(F.broadcast(means), F.col("layer") == F.col("_layer")).groupBy(key, "layer").agg(
+        F.sum("_n").alias("count"), F.sum(off * n).alias("_s"), F.sum(off * off * n).alias("_q"), F.first("_m").alias("_m"), F.min("value").alias("min"),
+        F.max("value").alias("max"), F.min_by("value", F.struct(-n, F.col("value"))).alias("majority"))
+    shift = F.col("_s") / F.col("count")
+    return sums.select(key, "layer", (F.col("_m") + shift).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / F.col("count") - shift * shift)).alias("std"),
+                       *ZONAL[2:])
 
 
 def zonal_all(polygons: DataFrame, cells: DataFrame, grid: Grid, layers: Sequence[str], key: str = "poly_id", all_touched: bool = True) -> DataFrame:

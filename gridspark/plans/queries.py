@@ -407,6 +407,44 @@ def p5_polygon_measures(spark, sf_dir):
     return rounded(measured, "area", "Centroid_X", "Centroid_Y")
 
 
+@query("""select poly_id, round((maxx - minx) * (maxy - miny) * 8 / 9 + a2, 6) as area, round((minx + maxx) / 2, 6) as "Centroid_X",
+ round(((miny + maxy) / 2 * (maxx - minx) * (maxy - miny) * 8 / 9 + (miny - 350) * a2) / ((maxx - minx) * (maxy - miny) * 8 / 9 + a2), 6) as "Centroid_Y",
+ minx as "XMin", case when poly_id % 2 = 0 then miny - 400 else miny end as "YMin", maxx as "XMax", maxy as "YMax"
+from (select *, case when poly_id % 2 = 0 then (maxx - minx) * 100 else 0 end as a2 from polygons)""", "polygons")
+def p5_measures_of_shapes(spark, sf_dir):
+    measured = spatial.polygon_measures(adapters.holed_polygons(spark, sf_dir).select("poly_id", "rings")).drop("rings")
+    return rounded(measured, "area", "Centroid_X", "Centroid_Y")
+
+
+@query("select poly_id from polygons where poly_id % 5 <> 1", "polygons")
+def p3_clean_shapes(spark, sf_dir):
+    """Of every fifth polygon the hole is moved across its border, so that edges of two rings cross."""
+    moved = F.transform("rings", lambda r, i: F.transform(r, lambda p: F.struct((p["x"] + F.when(i == 1, 60.0).otherwise(0.0)).alias("x"), p["y"].alias("y"))))
+    shapes = adapters.holed_polygons(spark, sf_dir).withColumn("rings", F.when(F.col("poly_id") % 5 == 1, moved).otherwise(F.col("rings")))
+    return spatial.clean_shapes(shapes).select("poly_id")
+
+
+#: Whether a cell's centre is in a polygon of ``adapters.holed_polygons``; left and lower borders belong to an area, right and upper ones do not.
+IN_SHAPE = """(x >= minx and x < maxx and y >= miny and y < maxy and not (x >= minx + (maxx - minx) / 3 and x < maxx - (maxx - minx) / 3
+ and y >= miny + (maxy - miny) / 3 and y < maxy - (maxy - miny) / 3) or poly_id % 2 = 0 and x >= minx and x < maxx and y >= miny - 400 and y < miny - 300)"""
+
+
+@query(f"""--, placed as (select "row", col, b1, (col + 0.5) * 50 as x, 1000 - ("row" + 0.5) * 50 as y from cells)
+select "row", col, b1 from placed where exists (select 1 from polygons where {IN_SHAPE})""", "cells polygons")
+def g9_mask_of_shapes(spark, sf_dir):
+    return G.study_area_mask(adapters.cells(spark, sf_dir).select("row", "col", "b1"), adapters.holed_polygons(spark, sf_dir), adapters.grid(spark, sf_dir))
+
+
+@query(f"""--, placed as (select *, (col + 0.5) * 50 as x, 1000 - ("row" + 0.5) * 50 as y from cells),
+met as (select poly_id, b1 from polygons join placed on {IN_SHAPE}),
+modes as (select poly_id, b1, row_number() over (partition by poly_id order by count(*) desc, b1) as k from met group by 1, 2)
+select s.*, m.b1 as majority from (select poly_id, 'b1' as layer, round(avg(b1), 6) as mean, round(stddev_pop(b1), 6) as std, min(b1) as "min", max(b1) as "max", count(*) as "count" from met group by 1) s
+join modes m on m.poly_id = s.poly_id and k = 1""", "cells polygons")
+def p6_zonal_of_shapes(spark, sf_dir):
+    cells = adapters.long_cells(spark, sf_dir, ["b1"])
+    return rounded(spatial.zonal_stats(adapters.holed_polygons(spark, sf_dir), cells, adapters.grid(spark, sf_dir), all_touched=False), "mean", "std")
+
+
 def _touched(layers: str) -> str:
     return f"""--, long as (unpivot (select "row", col, {layers} from cells) on {layers} into name layer value value),
 met as (select poly_id, layer, value from polygons p join long on col * 50 <= maxx and (col + 1) * 50 >= minx and 1000 - ("row" + 1) * 50 <= maxy and 1000 - "row" * 50 >= miny),

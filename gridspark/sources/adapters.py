@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Grid
@@ -82,6 +82,19 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             corner("minx", "maxy"), corner("minx", "miny")))
 
 
+def holed_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polygons without their middle third, and with a second part below for even suppliers: ``rings`` in place of ``ring``."""
+    boxes = polygons(spark, sf_dir).drop("ring").withColumns({"wide": F.expr("(maxx - minx) / 3"), "high": F.expr("(maxy - miny) / 3")})
+
+    def box(minx: str, maxx: str, miny: str, maxy: str) -> Column:
+        corner = lambda x, y: F.struct(F.expr(x).alias("x"), F.expr(y).alias("y"))
+        return F.array(corner(minx, miny), corner(maxx, miny), corner(maxx, maxy), corner(minx, maxy), corner(minx, miny))
+
+    outer, hole = box("minx", "maxx", "miny", "maxy"), box("minx + wide", "maxx - wide", "miny + high", "maxy - high")
+    part = box("minx", "maxx", "miny - 400", "miny - 300")
+    return boxes.withColumn("rings", F.when(F.col("poly_id") % 2 == 0, F.array(part, hole, outer)).otherwise(F.array(outer, hole))).drop("wide", "high")
+
+
 def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A layer's grid for each supplier, some with another cell size or projection."""
     return table(spark, sf_dir, "supplier").selectExpr(

@@ -131,10 +131,10 @@ def test_polygon_faults_and_measures(spark):
 def test_cells_in_polygons(spark):
     polygons = shapes(spark, SHAPES[:2])
     cells = five(spark)
-    centre = {(r.poly_id, r.row, r.col) for r in G.cells_in_polygons(cells, polygons, FIVE, tile=2).collect()}
+    centre = {(r.poly_id, r.row, r.col) for r in G.cells_in_polygons(cells, polygons, FIVE).collect()}
     assert {(4 - r, c) for p, r, c in centre if p == 0} >= {(0, 0), (0, 3), (1, 0)} and (0, 1, 2) not in centre
     assert {(r, c) for p, r, c in centre if p == 1} == {(2, c) for c in range(5)}
-    touched = {(r.poly_id, r.row, r.col) for r in G.cells_in_polygons(cells, polygons, FIVE, all_touched=True, tile=2).collect()}
+    touched = {(r.poly_id, r.row, r.col) for r in G.cells_in_polygons(cells, polygons, FIVE, all_touched=True).collect()}
     assert centre < touched and {(r, c) for p, r, c in touched if p == 1} == {(2, c) for c in range(5)}
     assert G.study_area_mask(cells, polygons, FIVE).count() == len({x[1:] for x in centre})
 
