@@ -11,14 +11,10 @@ from pyspark.sql import types as T
 
 from ..functions import geometry
 from ..model import Grid
-from ..sources.scratch import written
+from . import nearest
 from .grid import cells_in_polygons
 
 LARGEST_EXACT = (1 << 53) - 1
-#: The fullest bucket of the first round of the neighbour search may hold so many times the points that it should.
-FULLEST = 32
-#: Targets that are left over and asked of all points at once: so many are broadcast, nine rows each.
-FEW_TARGETS = 20_000
 
 
 def sample_points(points: DataFrame, wide: DataFrame, grid: Grid, layers: Sequence[str], keep_out_of_bounds: bool = False,
@@ -139,67 +135,14 @@ def zonal_all(polygons: DataFrame, cells: DataFrame, grid: Grid, layers: Sequenc
     return joined.toDF(*(c.replace(" ", "_").replace("-", "_") for c in joined.columns))
 
 
-def spatial_knn(points: DataFrame, k: int = 8, targets: DataFrame | None = None, key: str = "point_id", per_bucket: int | None = None,
-                x: str = "x", y: str = "y") -> DataFrame:
+def spatial_knn(points: DataFrame, k: int = 8, targets: DataFrame | None = None, key: str = "point_id", x: str = "x", y: str = "y") -> DataFrame:
     """``key, neighbour, distance, rank``: the k nearest points of each row of ``targets`` (other points, if that is None).
 
-    Exact, with ties by id: points and targets meet in square buckets and their eight neighbours.  A target's result stands
-    when it has k neighbours that are all nearer than the border of the nine buckets; the others go round again with the
-    bucket's side doubled, until nine buckets hold everything.  The first side gives ``per_bucket`` (2 k) points a bucket on
-    average, and is cut while some bucket is far too full.  Targets that are still left when they are ``FEW_TARGETS`` at
-    most, such as points far from all others, are broadcast, so that no bucket is brought together for them.  Of points at
-    one place only the k + 1 least ids can be anyone's neighbours, so the rest of them are left out.  Each round's tables are
-    written to the shared folder.
+    Exact, with ties by id, in arrays over adaptive tiles: see :mod:`.nearest`.  Points of equal ids are one point to themselves; rows
+    without a finite place are left out.
     """
-    per_bucket = per_bucket or 2 * k
-    own = targets is None
-    pool = points.select(F.col(key).alias("_n"), F.col(x).alias("_nx"), F.col(y).alias("_ny")).filter("_nx is not null and _ny is not null")
-    place = F.row_number().over(W.partitionBy("_nx", "_ny").orderBy("_n"))
-    pool = pool.withColumn("_k", place).filter(F.col("_k") <= k + 1).drop("_k")
-    todo = (points if own else targets).select(F.col(key).alias("_t"), F.col(x).alias("_tx"), F.col(y).alias("_ty")).filter("_tx is not null and _ty is not null")
-    low_x, high_x, low_y, high_y, n = pool.agg(F.min("_nx"), F.max("_nx"), F.min("_ny"), F.max("_ny"), F.count("*")).first()
-    empty = todo.limit(0).select(F.col("_t").alias(key), F.col("_t").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
-    if not n:
-        return empty
-    tlx, thx, tly, thy = todo.agg(F.min("_tx"), F.max("_tx"), F.min("_ty"), F.max("_ty")).first()
-    if tlx is None:
-        return empty
-    wide, high = max(high_x, thx) - min(low_x, tlx), max(high_y, thy) - min(low_y, tly)
-    extent, share = max(wide, high, 1e-9), min(1.0, per_bucket / n)
-    side = max((wide * high * share) ** 0.5, extent * share, 1e-9)
-    pool, result, few = written(pool), None, False
-    while side > extent / (1 << 20):
-        fullest = pool.groupBy(F.floor(F.col("_nx") / side), F.floor(F.col("_ny") / side)).count().agg(F.max("count")).first()[0]
-        if fullest <= FULLEST * per_bucket:
-            break
-        side /= 4
-    nine = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1))))
-    while True:
-        last = side >= extent
-        bucket = lambda v: F.floor(F.col(v) / side).cast("long")  # noqa: B023, E731
-        placed = pool.select("*", bucket("_nx").alias("_bx"), bucket("_ny").alias("_by"))
-        asked = todo.select("*", nine.alias("o")).select("_t", "_tx", "_ty", (bucket("_tx") + F.col("o.c")).alias("_bx"), (bucket("_ty") + F.col("o.r")).alias("_by"))
-        met = (F.broadcast(asked) if few else asked).join(placed, ["_bx", "_by"])  # counted below
-        if own:
-            met = met.filter("_t <> _n")
-        square = (F.col("_tx") - F.col("_nx")) * (F.col("_tx") - F.col("_nx")) + (F.col("_ty") - F.col("_ny")) * (F.col("_ty") - F.col("_ny"))
-        ranked = met.withColumn("_d2", square).withColumn("rank", F.row_number().over(W.partitionBy("_t").orderBy("_d2", "_n"))).filter(F.col("rank") <= k)
-        border = F.least(F.col("_tx") - (bucket("_tx") - 1) * side, (bucket("_tx") + 2) * side - F.col("_tx"),
-                         F.col("_ty") - (bucket("_ty") - 1) * side, (bucket("_ty") + 2) * side - F.col("_ty"))
-        rows = ranked.withColumn("_sure", (F.col("rank") == k) & (F.sqrt("_d2") < border))
-        found = rows.select(F.col("_t").alias(key), F.col("_n").alias("neighbour"), F.sqrt("_d2").alias("distance"), F.col("rank").cast("int"), "_sure")
-        found = written(found)
-        sure = found.filter("_sure").select(key)
-        take = found if last else found.join(sure, key, "left_semi")
-        result = take.drop("_sure") if result is None else result.union(take.drop("_sure"))
-        if last:
-            return result
-        todo = written(todo.join(sure.withColumnRenamed(key, "_t"), "_t", "left_anti"))
-        left = todo.count()
-        if not left:
-            return result
-        few = left <= FEW_TARGETS
-        side = min(side * 2, extent)
+    placed = lambda df: df.select(F.col(key), F.col(x).alias("x"), F.col(y).alias("y"))
+    return nearest.knn(placed(points), None if targets is None else placed(targets), k, key)
 
 
 def knn_brute_force(points: DataFrame, k: int = 8, key: str = "point_id", x: str = "x", y: str = "y") -> DataFrame:

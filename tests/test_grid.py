@@ -158,7 +158,7 @@ def test_nearest_neighbours_against_all_pairs(spark, kind):
             "clustered": lambda i: ((random.gauss(0, 1e-3), random.gauss(0, 1e-3)) if i % 10 else (random.uniform(-9, 9), random.uniform(-9, 9)))}[kind]
     points = spark.createDataFrame([(i, *map(float, spot(i))) for i in range(5 if kind == "few" else 300)], "point_id long, x double, y double")
     rows = lambda df: sorted((r.point_id, r.rank, r.neighbour, round(r.distance, 9)) for r in df.collect())
-    assert rows(spatial.spatial_knn(points, 8, per_bucket=8)) == rows(spatial.knn_brute_force(points, 8))
+    assert rows(spatial.spatial_knn(points, 8)) == rows(spatial.knn_brute_force(points, 8))
 
 
 @pytest.mark.parametrize("tile", [2, 64])
