@@ -10,48 +10,40 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tiles import neighbourhood
+
 #: Neighbours that a gap is filled from, in rows and columns from it.
 GAP_OFFSETS = tuple((r, c) for r in range(-2, 2) for c in range(-2, 2) if (r, c) != (0, 0))
-STATISTICS = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max}
-
-
-def _offsets(pairs: Sequence[tuple[int, int]]) -> Column:
-    return F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in pairs)))
+STATISTICS = ("mean", "median", "min", "max")
 
 
 def fill_nodata(cells: DataFrame, value: str, offsets: Sequence[tuple[int, int]] = GAP_OFFSETS) -> DataFrame:
     """``row, col, value, filled``: NULL becomes the mean of the valid neighbours, or the layer's mean without one.
 
-    Only the gaps' neighbours take part in the join.
+    Neighbours are looked up for gaps only, in array tiles.
     """
+    means = neighbourhood(cells, value, offsets, ["mean"], False, F.col(value).isNull()).select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("mean").alias("_near"))
     base = cells.select("row", "col", F.col(value).alias("_v"))
-    near = (base.filter(F.col("_v").isNull()).select(F.col("row").alias("_r"), F.col("col").alias("_c"), _offsets(offsets).alias("o"))
-            .select("_r", "_c", (F.col("_r") + F.col("o.r")).alias("row"), (F.col("_c") + F.col("o.c")).alias("col")))
-    means = near.join(base.filter(F.col("_v").isNotNull()), ["row", "col"]).groupBy("_r", "_c").agg(F.avg("_v").alias("_near"))
     whole = base.agg(F.avg("_v").alias("_all"))
     return (base.join(means, (F.col("row") == F.col("_r")) & (F.col("col") == F.col("_c")), "left").crossJoin(F.broadcast(whole))  # one row
             .select("row", "col", F.coalesce("_v", "_near", "_all").alias(value), F.col("_v").isNull().alias("filled")))
 
 
-def _mirrored(index: Column, size: Column) -> Column:
-    return F.when(index < 0, -1 - index).when(index >= size, 2 * size - 1 - index).otherwise(index)
-
-
-def focal(cells: DataFrame, value: str, statistic: str = "mean", window: int = 3, only: Column | None = None) -> DataFrame:
-    """``row, col, focal``: a statistic over the window around each cell (those where ``only`` holds), mirrored at the edges.
+def focal_statistics(cells: DataFrame, value: str, statistics: Sequence[str] = STATISTICS, window: int = 3, only: Column | None = None) -> DataFrame:
+    """``row, col`` and each statistic over the window around each cell (those where ``only`` holds), mirrored at the edges, in one pass.
 
     The grid is the cells' bounding box from (0, 0); absent and NULL cells do not count.
     """
-    if statistic not in STATISTICS:
-        raise ValueError(f"unknown statistic: {statistic}")
+    if unknown := [s for s in statistics if s not in STATISTICS]:
+        raise ValueError(f"unknown statistic: {unknown[0]}")
     half = window // 2
     pairs = [(r, c) for r in range(-half, window - half) for c in range(-half, window - half)]
-    extent = cells.agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w"))
-    asked = (cells if only is None else cells.filter(only)).select(F.col("row").alias("_r"), F.col("col").alias("_c"))
-    looked = asked.crossJoin(F.broadcast(extent)).select("_r", "_c", "_h", "_w", _offsets(pairs).alias("o")).select(  # one row
-        "_r", "_c", _mirrored(F.col("_r") + F.col("o.r"), F.col("_h")).alias("row"), _mirrored(F.col("_c") + F.col("o.c"), F.col("_w")).alias("col"))
-    found = looked.join(cells.select("row", "col", F.col(value).alias("_v")), ["row", "col"])
-    return found.groupBy(F.col("_r").alias("row"), F.col("_c").alias("col")).agg(STATISTICS[statistic]("_v").alias("focal"))
+    return neighbourhood(cells, value, pairs, statistics, True, only)
+
+
+def focal(cells: DataFrame, value: str, statistic: str = "mean", window: int = 3, only: Column | None = None) -> DataFrame:
+    """``row, col, focal``: one statistic of :func:`focal_statistics`."""
+    return focal_statistics(cells, value, [statistic], window, only).withColumnRenamed(statistic, "focal")
 
 
 def fill_where(cells: DataFrame, value: str, mask: Column, method: str = "mean", custom: float | None = None, window: int = 3) -> DataFrame:

@@ -293,11 +293,8 @@ near as (select l."row", l.col, n.b1 as v from looked l join cells n on n."row"
 
 @query(FOCAL_SQL + """select "row", col, round(avg(v), 6) as mean, round(median(v), 6) as median, min(v) as least, max(v) as greatest from near group by 1, 2""", "cells")
 def v3_focal(spark, sf_dir):
-    cells, out = adapters.cells(spark, sf_dir).select("row", "col", "b1"), None
-    for statistic, name in (("mean", "mean"), ("median", "median"), ("min", "least"), ("max", "greatest")):
-        one = V.focal(cells, "b1", statistic).withColumnRenamed("focal", name)
-        out = one if out is None else out.join(one, ["row", "col"])
-    return rounded(out, "mean", "median")
+    found = V.focal_statistics(adapters.cells(spark, sf_dir), "b1").withColumnsRenamed({"min": "least", "max": "greatest"})
+    return rounded(found, "mean", "median")
 
 
 @query(FOCAL_SQL + """select c."row", c.col, round(case when c.b1 > 100 then f else c.b1 end, 6) as b1 from cells c join (select "row", col, avg(v) as f from near group by 1, 2) n on n."row" = c."row" and n.col = c.col""", "cells")
