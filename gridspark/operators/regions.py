@@ -1,4 +1,4 @@
-"""Regions of equal cells."""
+"""Regions of equal cells, and their borders as shapes."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import signed_area
+from ..model import Grid
 from ..sources.scratch import written
 
 TILE = 64
@@ -78,3 +80,78 @@ def polygonize(cells: DataFrame, value: str, width: int, tile: int = TILE) -> tu
     other = labelled.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("region").alias("_region"))
     edges = looked.join(other, ["_r", "_c"], "left").filter(~F.col("region").eqNullSafe(F.col("_region"))).select("region", "row", "col", "side")
     return regions, edges
+
+
+#: Directions of a border edge, clockwise around its cell: the cell beyond it, the corner where it begins (rows and columns from the cell's upper left).
+_SIDES = (("N", (-1, 0), (0, 0)), ("E", (0, 1), (0, 1)), ("S", (1, 0), (1, 1)), ("W", (0, -1), (1, 0)))
+
+
+def _following(edges: DataFrame) -> DataFrame:
+    """``region, id, next, row, col, side, turns``: each border edge with the one after it, the region on its right.
+
+    Where an edge ends, the region may go on diagonally (turn left), straight on, or not (turn right around the cell).  The first
+    that is there is taken, so areas of the region that touch in a corner are one border and what lies between them two.
+    """
+    at = {s: i for i, (s, _, _) in enumerate(_SIDES)}
+    side = F.col("side")
+    steps = []
+    for i, (s, (out_r, out_c), _) in enumerate(_SIDES):
+        ahead_r, ahead_c = _SIDES[(i + 1) % 4][1]  # the direction in which this edge runs
+        left, right = _SIDES[(i + 3) % 4][0], _SIDES[(i + 1) % 4][0]
+        tried = [(0, ahead_r + out_r, ahead_c + out_c, left), (1, ahead_r, ahead_c, s), (2, 0, 0, right)]
+        steps.append(F.when(side == s, F.array(*(F.struct(F.lit(k).alias("k"), (F.col("row") + r).alias("row"), (F.col("col") + c).alias("col"), F.lit(t).alias("side")) for k, r, c, t in tried))))
+    number = lambda row, col, s: F.struct(row.cast("long"), col.cast("long"), F.element_at(F.create_map(*(F.lit(x) for p in at.items() for x in p)), s))
+    tried = edges.select("region", "row", "col", "side", F.explode(F.coalesce(*steps)).alias("t"))
+    there = edges.select(F.col("region").alias("_region"), F.col("row").alias("_row"), F.col("col").alias("_col"), F.col("side").alias("_side"))
+    met = tried.join(there, (F.col("region") == F.col("_region")) & (F.col("t.row") == F.col("_row")) & (F.col("t.col") == F.col("_col")) & (F.col("t.side") == F.col("_side")))
+    first = met.groupBy("region", "row", "col", "side").agg(F.min("t.k").alias("turns"), F.min_by(F.struct("t.row", "t.col", "t.side"), "t.k").alias("n"))
+    return first.select("region", number(F.col("row"), F.col("col"), side).alias("id"), number(F.col("n.row"), F.col("n.col"), F.col("n.side")).alias("next"), "row", "col", "side",
+                        (F.col("n.side") != side).alias("turns"))
+
+
+def _doubled(links: DataFrame, least: bool) -> DataFrame:
+    """Pointer doubling over ``id, to, best, steps``, a row an edge: until every ``to`` has come to an end, or to where it has been.
+
+    ``best`` becomes the least id ahead and ``steps`` the number of edges up to the end; each round doubles how far an edge sees and is written.
+    """
+    while True:
+        ahead = links.select(F.col("id").alias("_id"), F.col("to").alias("_to"), F.col("best").alias("_best"), F.col("steps").alias("_steps"))
+        joined = links.join(ahead, F.col("to") == F.col("_id"), "left")
+        better = F.least("best", F.coalesce("_best", "best"))
+        new = written(joined.select("id", F.col("_to").alias("to"), better.alias("best"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
+                                    (F.col("to").isNotNull() if not least else better != F.col("best")).alias("_moved")))
+        links = new.drop("_moved")
+        if new.filter("_moved").isEmpty():
+            return links
+
+
+def region_rings(edges: DataFrame) -> DataFrame:
+    """``region, ring, corners``: each closed border of a region, of the edges of :func:`polygonize`, as its corners in order.
+
+    List ranking by pointer doubling: the least edge that an edge comes to names its ring; the ring is opened there, and the
+    edges left to its end tell the order.  Rounds grow with the logarithm of the longest border.  Corners are ``row, col`` of the grid's lines.
+    """
+    following = written(_following(edges))
+    named = _doubled(following.select("id", F.col("next").alias("to"), F.least("id", "next").alias("best"), F.lit(1).cast("long").alias("steps")), True)
+    rings = written(following.join(named.select("id", F.col("best").alias("ring")), "id"))
+    last = F.col("next") == F.col("ring")
+    order = _doubled(rings.select("id", F.when(~last, F.col("next")).alias("to"), F.col("id").alias("best"), F.lit(1).cast("long").alias("steps")), False)
+    begins = F.coalesce(*(F.when(F.col("side") == s, F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col"))) for s, _, (r, c) in
+                          ((s, None, _SIDES[(i + 1) % 4][2]) for i, (s, _, _) in enumerate(_SIDES))))  # where the edge ends
+    corners = rings.join(order.select("id", "steps"), "id").filter("turns").select("region", "ring", F.struct((-F.col("steps")).alias("at"), begins.alias("corner")).alias("c"))
+    found = corners.groupBy("region", "ring").agg(F.sort_array(F.collect_list("c")).alias("c"))
+    ordered = F.transform("c", lambda c: c["corner"])
+    return found.select("region", "ring", F.concat(ordered, F.slice(ordered, 1, 1)).alias("corners"))
+
+
+def region_shapes(cells: DataFrame, value: str, grid: Grid, tile: int = TILE) -> DataFrame:
+    """``region, value, n, rings``: the shape of each region with its holes, as the operators for polygons take it.
+
+    The outer border comes first and runs clockwise on the map, holes the other way.
+    """
+    regions, edges = polygonize(cells, value, grid.width, tile)
+    point = lambda c: F.struct((grid.x0 + c["col"] * grid.dx).cast("double").alias("x"), (grid.y0 - c["row"] * grid.dy).cast("double").alias("y"))
+    rings = region_rings(edges).select("region", F.transform("corners", point).alias("ring"))
+    placed = F.struct(signed_area(F.col("ring")).alias("area"), F.col("ring")).alias("r")
+    shapes = rings.select("region", placed).groupBy("region").agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["ring"]).alias("rings"))
+    return regions.select("region", "value", "n").join(shapes, "region")

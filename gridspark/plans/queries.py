@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.crs import to_crs, unproject
+from ..functions.geometry import edges
 from ..functions.indices import INDICES, cap_extremes, condition_mask, indices, safe_divide
 from ..model import Grid
 from ..operators import cells as V
@@ -953,6 +954,21 @@ def u11_polygonize(spark, sf_dir):
     return regions.polygonize(cells, "v", adapters.WIDTH, tile=8)[0]
 
 
+@query(REGIONS_SQL + """, placed as (select c.*, region from regions join cells c using (cell)),
+borders as (select p.region, count(*) as edges from placed p, (values (0, 1), (0, -1), (1, 0), (-1, 0)) d(r, c)
+  where not exists (select 1 from placed o where o.region = p.region and o."row" = p."row" + d.r and o.col = p.col + d.c) group by 1)
+select region, any_value(v) as value, count(*) as n, round(count(*) * 2500.0, 6) as area, round(any_value(edges) * 50.0, 6) as perimeter,
+ round(avg((col + 0.5) * 50), 6) as "Centroid_X", round(avg(1000 - ("row" + 0.5) * 50), 6) as "Centroid_Y", min(col) * 50.0::double as "XMin", 1000 - (max("row") + 1) * 50.0::double as "YMin",
+ (max(col) + 1) * 50.0::double as "XMax", 1000 - min("row") * 50.0::double as "YMax" from placed join borders using (region) group by region""")
+def u11_region_shapes(spark, sf_dir):
+    """Regions as shapes with holes: their measures must be those of their cells."""
+    cells = adapters.cells(spark, sf_dir).withColumn("v", F.col("cls") % 2)
+    shapes = regions.region_shapes(cells, "v", adapters.grid(spark, sf_dir), tile=8)
+    length = lambda r: F.aggregate(edges(r), F.lit(0.0), lambda t, e: t + F.abs(e["bx"] - e["ax"]) + F.abs(e["by"] - e["ay"]))
+    around = F.aggregate(F.transform("rings", length), F.lit(0.0), lambda t, v: t + v)
+    return rounded(spatial.polygon_measures(shapes.withColumn("perimeter", around)).drop("rings"), "area", "perimeter", "Centroid_X", "Centroid_Y")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many readings of each kind are missing, normal, or global or spatial outliers."""
     return quality.cleaning_report(quality.flag_outliers(adapters.points(spark, sf_dir), LABELS), LABELS)
