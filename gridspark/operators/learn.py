@@ -13,7 +13,7 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -99,36 +99,77 @@ def cross_validate(train: DataFrame, label: str, features: Sequence[str], task:
     return found
 
 
+#: Fits that are submitted side by side; Spark's scheduler deals their tasks to whatever cores there are.
+SIDE_BY_SIDE = 16
+
+
+def selection_score(predicted: DataFrame, label: str, task: str) -> float:
+    """What elimination chooses by: the negative root of the mean squared error, or accuracy."""
+    if task == "regression":
+        return -float(regression_metrics(predicted, label, "prediction").first()["RMSE"] or 0.0)
+    return score(predicted, label, task)
+
+
+def eliminated(train: DataFrame, label: str, names: Sequence[str], always: int, task: str, test: DataFrame | None = None, stop: int = 1, **params) -> tuple[list[str], dict[int, float]]:
+    """The ``stop`` features left when the least important goes each time, and the score on ``test`` by number of features.
+
+    ``train`` and ``test`` have ``features`` assembled of ``names`` and ``always`` more, which take part in every fit and are never
+    eliminated.  Importance is that of a fit over ``train`` alone, the first by name goes of several.
+    """
+    left, scores = list(range(len(names))), {}
+    while True:
+        chosen = [*left, *range(len(names), len(names) + always)]
+        slicer = VectorSlicer(inputCol="features", outputCol="_chosen", indices=chosen)
+        model = forest(task, label, **params).setFeaturesCol("_chosen").fit(slicer.transform(train))
+        if test is not None:
+            scores[len(left)] = selection_score(model.transform(slicer.transform(test)), label, task)
+        if len(left) <= stop:
+            return [names[i] for i in left], scores
+        importance = model.featureImportances.toArray()
+        left.remove(min(left, key=lambda i: (importance[left.index(i)], names[i])))  # noqa: B023
+
+
 def rfecv(train: DataFrame, label: str, features: Sequence[str], task: str = "regression", always: Sequence[str] = (), folds: int = 5, **params) -> tuple[list[str], list[tuple[int, float]]]:
-    """Features by recursive elimination: the least important goes each time, the number with the best mean score wins.
+    """Features by recursive elimination with cross-validation, and the mean score of each number of features.
 
-    ``always`` (coordinates) takes part in every fit and is never eliminated.
+    Each fold eliminates on its own training rows, so no test row has a say in the features that it judges; folds run
+    side by side over rows assembled once.  The number with the best mean score wins, the least of several, and an
+    elimination over all rows says which features these are.  Scores are negative RMSE or accuracy.  ``always`` (coordinates)
+    takes part in every fit and is never eliminated.
     """
-    train = train.persist()
-    left, history, best = list(features), [], (float("-inf"), list(features))
-    while left:
-        names = [*left, *always]
-        mean = cross_validate(train, label, names, task, folds, **params)
-        history.append((len(left), mean))
-        if mean >= best[0]:
-            best = (mean, list(left))
-        importance = dict(zip(names, fit(train, label, names, task, **params).stages[-1].featureImportances.toArray(), strict=True))
-        left.remove(min(left, key=lambda n: (importance[n], n)))
-    train.unpersist()
-    return best[1], history
+    names = list(features)
+    prepared = prepared_folds(train, label, [*names, *always], folds)
+    with ThreadPoolExecutor(max_workers=min(folds, SIDE_BY_SIDE)) as pool:
+        found = [f.result()[1] for f in [pool.submit(eliminated, a, label, names, len(always), task, b, **params) for a, b in prepared]]
+    released(prepared)
+    history = [(n, sum(f[n] for f in found) / folds) for n in range(len(names), 0, -1)]
+    n = min(history, key=lambda h: (-h[1], h[0]))[0]
+    whole = ordered(VectorAssembler(inputCols=[*names, *always], outputCol="features").transform(train).select("point_id", label, "features"), "point_id").persist()
+    chosen, _ = eliminated(whole, label, names, len(always), task, stop=n, **params)
+    whole.unpersist()
+    return chosen, history
 
 
 def search(train: DataFrame, label: str, features: Sequence[str], task: str, grid: Sequence[Mapping[str, int | None]], folds: int = 3) -> tuple[dict, float]:
-    """The combination with the best mean score, the first of several. Combinations that Spark cannot tell apart run once."""
-    prepared, tried, best = prepared_folds(train, label, features, folds), {}, None
-    for params in grid:
-        known = tuple(sorted(forest_parameters(**params).items()))
-        if known not in tried:
-            tried[known] = fold_scores(prepared, label, task, **params)
-        if best is None or tried[known] > best[1]:
-            best = (dict(params), tried[known])
+    """The combination with the best mean score, the first of several.
+
+    Combinations that Spark cannot tell apart run once.  All combinations and folds are submitted together, ``SIDE_BY_SIDE`` at a
+    time, the largest forests first, over rows that are assembled and cached once.
+    """
+    prepared = prepared_folds(train, label, features, folds)
+    known = [tuple(sorted(forest_parameters(**params).items())) for params in grid]
+    first = {k: params for k, params in reversed(list(zip(known, grid, strict=True)))}
+    largest = sorted(first, key=lambda k: (-dict(k)["numTrees"], -dict(k)["maxDepth"]))
+
+    def one(params: Mapping[str, int | None], fold: Fold) -> float:
+        return score(forest(task, label, **params).fit(fold[0]).transform(fold[1]), label, task)
+
+    with ThreadPoolExecutor(max_workers=SIDE_BY_SIDE) as pool:
+        running = {k: [pool.submit(one, first[k], fold) for fold in prepared] for k in largest}
+        tried = {k: sum(f.result() for f in fits) / folds for k, fits in running.items()}
     released(prepared)
-    return best
+    best = max(range(len(grid)), key=lambda i: (tried[known[i]], -i))
+    return dict(grid[best]), tried[known[best]]
 
 
 def random_search(train: DataFrame, label: str, features: Sequence[str], task: str, space: Mapping[str, Sequence], n: int = 50, folds: int = 3, seed: int = 42) -> tuple[dict, float]:

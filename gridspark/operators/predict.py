@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -53,13 +55,25 @@ def kriging_uncertainty(df: DataFrame, variance: str = "kriging_variance", trees
     return df.withColumn("final_uncertainty", F.coalesce(F.sqrt(variance), F.col(trees)))
 
 
+#: Shares of the statistics of a layer by name.
+STATISTICS = {"median": 0.5, "q25": 0.25, "q75": 0.75} | {f"d{i}": i / 10 for i in range(1, 10)}
+
+
+def layers_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A row per column, ``layer``: min, max, mean, median, population deviation, quartiles and deciles of the valid cells, of all columns at once."""
+    found = quantiles(df, {c: list(STATISTICS.values()) for c in columns})
+    moments = df.agg(*(f(f"`{c}`").alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_pop))))
+    rows = []
+    for i, c in enumerate(columns):
+        exact = {n: F.lit(q).cast("double").alias(n) for n, q in zip(STATISTICS, found[c], strict=True)}
+        basic = {n: F.col(f"{n}_{i}").cast("double").alias(n) for n in ("min", "max", "mean", "std")}
+        rows.append(F.struct(F.lit(c).alias("layer"), basic["min"], basic["max"], basic["mean"], exact["median"], basic["std"], *(exact[n] for n in exact if n != "median")))
+    return moments.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def layer_statistics(df: DataFrame, column: str) -> DataFrame:
-    """One row: min, max, mean, median, population deviation, quartiles and deciles of the valid cells."""
-    q = {"median": 0.5, "q25": 0.25, "q75": 0.75} | {f"d{i}": i / 10 for i in range(1, 10)}
-    found = dict(zip(q, quantiles(df, {column: list(q.values())})[column], strict=True))
-    exact = lambda n: F.lit(found[n]).cast("double").alias(n)
-    return df.agg(F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std")).select(
-        "min", "max", "mean", exact("median"), "std", *(exact(n) for n in q if n != "median"))
+    """One row: the statistics of one layer, see :func:`layers_statistics`."""
+    return layers_statistics(df, [column]).drop("layer")
 
 
 def quantile_classes(df: DataFrame, column: str, shares: Sequence[float] = SHARES) -> DataFrame:
@@ -76,22 +90,81 @@ def quantile_legend(df: DataFrame, column: str, shares: Sequence[float] = SHARES
     return df.sparkSession.createDataFrame(rows, "class int, label string, lower double, upper double")
 
 
-def predict_all(models: Mapping[str, PipelineModel], wide: DataFrame, mask: DataFrame | None = None, grid: Grid | None = None) -> tuple[DataFrame | None, dict[str, str]]:
-    """``label, row, col, prediction, uncertainty, class`` of every model, and what went wrong with those that are left out.
+class Predicted(NamedTuple):
+    """What :func:`predict_all` gives; without any label that works there are no tables."""
+
+    cells: DataFrame | None
+    statistics: DataFrame | None
+    legend: DataFrame | None
+    failed: dict[str, str]
+
 
-    ``uncertainty`` is that of the forest's trees and ``class`` its quantile class.  Each label is written for itself, so one
-    that fails, before or while it is computed, leaves the others as they are; without any that works there is no table.
+def _together(models: Mapping[str, PipelineModel], inside: DataFrame) -> DataFrame:
+    """``row, col, prediction_<i>, uncertainty_<i>`` of several models in one pass over the cells; NULL where a model lacks a feature."""
+    out = inside
+    for i, model in enumerate(models.values()):
+        features = model.stages[0].getInputCols()
+        keeping = PipelineModel([model.stages[0].copy({model.stages[0].handleInvalid: "keep"}), *model.stages[1:]])
+        there = reduce(lambda a, b: a & b, (F.col(f"`{f}`").isNotNull() for f in features), F.lit(True))
+        found = tree_uncertainty(keeping, out)
+        out = found.select(*out.columns, *(F.when(there, F.col(c)).alias(f"{c}_{i}") for c in ("prediction", "uncertainty")))
+    return out.select("row", "col", *(f"{c}_{i}" for i in range(len(models)) for c in ("prediction", "uncertainty")))
+
+
+def predict_all(models: Mapping[str, PipelineModel], wide: DataFrame, mask: DataFrame | None = None, grid: Grid | None = None,
+                shares: Sequence[float] = SHARES, names: Sequence[str] = ("very low", "low", "medium", "high", "very high")) -> Predicted:
+    """Every model over the same cells, which are masked and read once for all of them.
+
+    ``cells``: ``label, row, col, prediction, uncertainty, class``; ``uncertainty`` is that of the forest's trees and ``class`` its
+    quantile class.  ``statistics``: a row per ``label`` and ``layer`` (prediction and uncertainty).  ``legend``: ``label, class, name, lower,
+    upper``.  ``failed`` tells what went wrong with the labels that are left out: those that lack a feature before anything
+    is computed; where the pass over all fails at run time, each label is computed for itself and the ones that fail are named.
     """
-    out, failed = None, {}
+    failed: dict[str, str] = {}
+
+    def attempt(some: Mapping[str, PipelineModel]) -> DataFrame:
+        needed = sorted({f for m in some.values() for f in m.stages[0].getInputCols()})
+        inside = wide.select("row", "col", *(f"`{f}`" for f in needed))
+        if mask is not None:
+            inside = study_area_mask(inside, mask, grid)
+        return written(wide.select("row", "col").join(_together(some, inside), ["row", "col"], "left"))
+
+    able = {}
     for label, model in models.items():
         try:
-            found = written(predict_with_uncertainty(model, wide, mask, grid))
-            one = quantile_classes(found, "uncertainty").select(F.lit(label).alias("label"), "row", "col", "prediction", "uncertainty", "class")
-        except (ValueError, PySparkException, Py4JJavaError) as error:
+            available_features(wide, model.stages[0].getInputCols())
+            able[label] = model
+        except ValueError as error:
             failed[label] = f"{type(error).__name__}: {error}"
-            continue
-        out = one if out is None else out.union(one)
-    return out, failed
+    errors = (ValueError, PySparkException, Py4JJavaError)
+    tables: list[tuple[list[str], DataFrame]] = []
+    try:
+        tables = [(list(able), attempt(able))] if able else []
+    except errors:
+        for label, model in able.items():
+            try:
+                tables.append(([label], attempt({label: model})))
+            except errors as error:
+                failed[label] = f"{type(error).__name__}: {error}"
+    parts = [_reported(labels, table, shares, names) for labels, table in tables]
+    return Predicted(*(reduce(DataFrame.union, p) for p in zip(*parts, strict=True)), failed) if parts else Predicted(None, None, None, failed)
+
+
+def _reported(labels: Sequence[str], table: DataFrame, shares: Sequence[float], names: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes, statistics and legend of the labels of one table; the quantiles of all of them are searched together."""
+    spark, each = table.sparkSession, range(len(labels))
+    edges = quantiles(table, {f"uncertainty_{i}": [0.0, *shares, 1.0] for i in each})
+    rows = []
+    for i in each:
+        u = F.col(f"uncertainty_{i}")
+        level = sum(((u >= F.lit(q)).cast("int") for q in edges[f"uncertainty_{i}"][1:-1] if q is not None), F.lit(0))
+        rows.append(F.struct(F.lit(labels[i]).alias("label"), F.col(f"prediction_{i}").alias("prediction"), u.alias("uncertainty"), F.when(u.isNotNull(), level).alias("class")))
+    cells = table.select("row", "col", F.explode(F.array(*rows)).alias("r")).select("r.label", "row", "col", "r.prediction", "r.uncertainty", "r.class")
+    layers = layers_statistics(table, [f"{c}_{i}" for i in each for c in ("prediction", "uncertainty")])
+    label = F.element_at(F.array(*(F.lit(x) for x in labels)), F.substring_index("layer", "_", -1).cast("int") + 1)
+    statistics = layers.select(label.alias("label"), F.substring_index("layer", "_", 1).alias("layer"), *(c for c in layers.columns if c != "layer"))
+    legend = [(labels[i], k, name, low, high) for i in each for k, (name, low, high) in enumerate(zip(names, edges[f"uncertainty_{i}"], edges[f"uncertainty_{i}"][1:], strict=False))]
+    return cells, statistics, spark.createDataFrame(legend, "label string, class int, name string, lower double, upper double")
 
 
 def decode_label(df: DataFrame, codes: DataFrame, column: str = "prediction", label: str = "label") -> DataFrame:

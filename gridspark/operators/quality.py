@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from ..functions.quantiles import medians, quantiles
 from .spatial import spatial_knn
 
-#: Bins of the values of a kernel estimate.
-KDE_BINS = 2048
+#: Bins of the kernel density along one bandwidth.
+BINS_PER_BANDWIDTH = 16
 
 NORMAL, MISSING, GLOBAL, SPATIAL, BOTH = "Normal", "Missing", "Global Outlier", "Spatial Outlier", "Global and Spatial Outlier"
 
@@ -97,20 +97,21 @@ def ks_normal(df: DataFrame, column: str, alpha: float = 0.05) -> DataFrame:
 def kde(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     """``x, density`` of a Gaussian kernel estimate (Scott's bandwidth) at equal steps from least to greatest.
 
-    Values are counted into ``KDE_BINS`` equal bins first, and stand at their bin's centre, so the work is points times bins.
+    Values are counted into bins of a sixteenth of the bandwidth, each with the first four moments around its centre; a kernel is
+    expanded to the fourth order there (Hermite polynomials).  What is left out is at most 2e-9 of a kernel's height, so the density is within 2e-9 of the
+    greatest possible one of the exact sum, whatever the values.  The work is points times bins with a value in them.
     """
-    whole = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
-    placed = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")).crossJoin(F.broadcast(whole))  # one row
-    width = (F.col("hi") - F.col("lo")) / KDE_BINS
-    index = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / F.when(width > 0, width)), F.lit(KDE_BINS - 1))).otherwise(0)
-    values = placed.groupBy(index.alias("b")).agg(F.count("*").alias("w"), F.first(F.col("lo")).alias("_lo"), F.first(width).alias("_width")).select(
-        (F.col("_lo") + (F.col("b") + 0.5) * F.col("_width")).alias("v"), "w")
-    stats = df.agg(F.count(column).alias("n"), F.stddev_samp(column).alias("s"), F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
-    steps = stats.withColumn("h", F.pow("n", F.lit(-0.2)) * F.col("s")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    v = F.col(column).cast("double")
+    values = df.select(F.nanvl(v, F.lit(None).cast("double")).alias("v")).filter("v is not null")
+    whole = values.agg(F.count("*").alias("n"), (F.pow(F.count("*"), F.lit(-0.2)) * F.stddev_samp("v")).alias("h"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    placed = values.crossJoin(F.broadcast(whole.filter("h > 0"))).withColumn("b", F.floor((F.col("v") - F.col("lo")) * BINS_PER_BANDWIDTH / F.col("h")))  # one row
+    centred = placed.withColumn("c", F.col("lo") + (F.col("b") + 0.5) * F.col("h") / BINS_PER_BANDWIDTH).withColumn("u", (F.col("v") - F.col("c")) / F.col("h"))
+    bins = centred.groupBy("b", "c").agg(F.count("*").alias("m0"), *(F.sum(F.pow("u", F.lit(float(k)))).alias(f"m{k}") for k in range(1, 5)))
+    steps = whole.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     at = steps.select("n", "h", (F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / (points - 1)).alias("x"), "i")
-    z = (F.col("x") - F.col("v")) / F.col("h")
-    return values.crossJoin(F.broadcast(at)).groupBy("i", "x").agg(  # ``points`` rows
-        (F.sum(F.col("w") * F.exp(-0.5 * z * z)) / F.first(F.col("n") * F.col("h") * F.sqrt(2 * F.pi()))).alias("density")).select("x", "density")
+    met = bins.crossJoin(F.broadcast(at)).withColumn("z", (F.col("x") - F.col("c")) / F.col("h"))  # ``points`` rows
+    kernel = F.expr("exp(-0.5 * z * z) * (m0 + z * m1 + (z * z - 1) * m2 / 2 + (z * z * z - 3 * z) * m3 / 6 + (z * z * z * z - 6 * z * z + 3) * m4 / 24)")
+    return met.groupBy("i", "x").agg((F.sum(kernel) / F.first(F.col("n") * F.col("h") * F.sqrt(2 * F.pi()))).alias("density")).select("x", "density")
 
 
 def _pairs(df: DataFrame, pairs: list[tuple[str, str]], value) -> DataFrame:

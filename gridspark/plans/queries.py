@@ -536,10 +536,9 @@ def c7_ks_normal(spark, sf_dir):
     return rounded(quality.ks_normal(adapters.points(spark, sf_dir), "l1"), "statistic", "p_value")
 
 
-@query("""--, s as (select pow(count(l1), -0.2) * stddev_samp(l1) as h, min(l1) as lo, max(l1) as hi, (max(l1) - min(l1)) / 2048 as w, count(l1) as total from points),
-b as (select least(floor((l1 - lo) / w), 2047)::int as b, count(*) as n from points, s where l1 is not null group by 1),
-v as (select lo + (b + 0.5) * w as v, n, s.* exclude (w) from b, s)
-select round(lo + i * (hi - lo) / 199, 5) as x, round(sum(n * exp(-0.5 * pow((lo + i * (hi - lo) / 199 - v) / h, 2))) / (any_value(total) * any_value(h) * sqrt(2 * pi())), 8) as density from v, range(200) r(i) group by i, lo, hi""", "points")
+@query("""--, s as (select pow(count(l1), -0.2) * stddev_samp(l1) as h, min(l1) as lo, max(l1) as hi, count(l1) as total from points)
+select round(lo + i * (hi - lo) / 199, 5) as x, round(sum(exp(-0.5 * pow((lo + i * (hi - lo) / 199 - l1) / h, 2))) / (any_value(total) * any_value(h) * sqrt(2 * pi())), 8) as density
+from (select l1 from points where l1 is not null), s, range(200) r(i) group by i, lo, hi""", "points")
 def c8_kde(spark, sf_dir):
     found = quality.kde(adapters.points(spark, sf_dir), "l1")
     return rounded(rounded(found, "x", digits=5), "density", digits=8)
@@ -874,7 +873,7 @@ def u3_kriging_uncertainty(spark, sf_dir):
     model = learn.fit(train, "l1", FEATURES, n_estimators=5, max_depth=5)
     held = learn.tree_uncertainty(model, test.select("point_id", "x", "y", "l1", *FEATURES)).select("point_id", "x", "y", "l1", "prediction", "uncertainty")
     fitted = model.transform(train).select("point_id", "x", "y", "l1", "prediction")
-    out = predict.kriging_uncertainty(krige.regression_kriging(fitted, held, "l1"))
+    out = predict.kriging_uncertainty(krige.kriging_or_forest(fitted, held, "l1")[0])
     return rounded(out.select("point_id", "uncertainty", "final_uncertainty"), "uncertainty", "final_uncertainty")
 
 
@@ -912,14 +911,30 @@ def u7_available_features(spark, sf_dir):
 @query()
 def u8_predict_all(spark, sf_dir):
     """Every stored model over the same cells; one that wants a feature which they lack is left out."""
+    out = _predicted(spark, sf_dir)
+    return rounded(out.cells.withColumn("left_out", F.lit(",".join(out.failed))), "prediction", "uncertainty")
+
+
+@query()
+def u8_statistics(spark, sf_dir):
+    """Statistics of the predictions and of their uncertainty, for each label."""
+    return _predicted(spark, sf_dir).statistics
+
+
+@query()
+def u8_legend(spark, sf_dir):
+    """What the classes of uncertainty mean, for each label."""
+    return _predicted(spark, sf_dir).legend
+
+
+def _predicted(spark, sf_dir) -> predict.Predicted:
     data, models = training(spark, sf_dir), {}
     for label, features in (("l1", FEATURES), ("l2", FEATURES), ("l3", ["b1", "kind_code"])):
         path = shared_path(spark, f"model-{label}")
         known = prep.label_encode(data, "kind") if "kind_code" in features else data
         tables.save_model(learn.fit(known, label, features, n_estimators=5, max_depth=5), features, path, label=label)
         models[label] = tables.load_model(spark, path)[0]
-    out, failed = predict.predict_all(models, adapters.cells(spark, sf_dir), adapters.polygons(spark, sf_dir), adapters.grid(spark, sf_dir))
-    return rounded(out.withColumn("left_out", F.lit(",".join(failed))), "prediction", "uncertainty")
+    return predict.predict_all(models, adapters.cells(spark, sf_dir), adapters.polygons(spark, sf_dir), adapters.grid(spark, sf_dir))
 
 
 def _types(spark, sf_dir) -> DataFrame:

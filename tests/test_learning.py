@@ -68,6 +68,48 @@ def test_elimination_and_search(train):
     assert {g["n_estimators"] for g in grid} == {10, 20, 70} and {g["max_depth"] for g in grid} == {None, 10, 20} and len(grid) == 3 * 3 * 2 * 2
 
 
+def test_no_fold_sees_its_test_rows(train):
+    """Elimination fold by fold by hand: rank and fit on the training rows only, mean negative RMSE chooses."""
+    import math
+
+    from pyspark.ml.feature import VectorAssembler
+    from gridspark.operators.prep import bucket
+
+    names, by_number = ["b", "y"], {2: [], 1: []}
+    for fold in range(3):
+        rows = train.withColumn("_f", bucket(F.col("point_id"), 7, 3))
+        inside, outside = learn.ordered(rows.filter(F.col("_f") != fold), "point_id"), rows.filter(F.col("_f") == fold)
+        left = list(names)
+        while left:
+            assembler = VectorAssembler(inputCols=[*left, "x"], outputCol="features")
+            model = learn.forest("regression", "v", n_estimators=3, max_depth=4).fit(assembler.transform(inside))
+            errors = [(r.v - r.prediction) ** 2 for r in model.transform(assembler.transform(outside)).collect()]
+            by_number[len(left)].append(-math.sqrt(sum(errors) / len(errors)))
+            importance = dict(zip(left, model.featureImportances.toArray()[:len(left)], strict=True))
+            left.remove(min(left, key=lambda n: (importance[n], n)))
+    expected = {n: sum(s) / 3 for n, s in by_number.items()}
+    chosen, history = learn.rfecv(train, "v", names, always=["x"], folds=3, n_estimators=3, max_depth=4)
+    assert dict(history) == pytest.approx(expected) and len(chosen) == max(expected, key=lambda n: (expected[n], -n))
+
+
+def test_statistics_and_legend_of_every_label(spark, train):
+    models = {k: learn.fit(train, "v", f, n_estimators=3, max_depth=4) for k, f in (("one", ["x", "b"]), ("two", ["x"]))}
+    wide = train.selectExpr("cast(point_id as int) as row", "0 as col", "x", "case when point_id % 5 = 0 then null else b end as b")
+    found = predict.predict_all(models, wide)
+    cells = found.cells.toPandas()
+    for label, part in cells.groupby("label"):
+        assert len(part) == wide.count() and part["prediction"].isna().sum() == (wide.filter("b is null").count() if label == "one" else 0)
+        lines = {r["layer"]: r for r in found.statistics.filter(F.col("label") == label).toPandas().to_dict("records")}
+        for layer in ("prediction", "uncertainty"):
+            values = part[layer].dropna()
+            assert lines[layer]["median"] == pytest.approx(values.median()) and lines[layer]["d3"] == pytest.approx(values.quantile(0.3))
+            assert lines[layer]["std"] == pytest.approx(values.std(ddof=0)) and lines[layer]["max"] == values.max()
+        legend = found.legend.filter(F.col("label") == label).orderBy("class").collect()
+        assert [r.upper for r in legend] == pytest.approx(part["uncertainty"].quantile([0.2, 0.4, 0.6, 0.8, 1.0]).tolist())
+        expected = part["uncertainty"].map(lambda u: None if u != u else sum(u >= r.upper for r in legend[:-1]))
+        assert part["class"].dropna().tolist() == expected.dropna().tolist()
+
+
 def test_leaderboard_and_importance(train):
     board = learn.leaderboard(train.filter("point_id % 4 > 0"), train.filter("point_id % 4 = 0"), "k", ["x", "b"], 2)
     assert len(board) == 5 and board[0][1] > 0.9
@@ -90,7 +132,8 @@ def test_prediction_is_null_where_a_feature_is_missing_or_outside(spark, train):
     square = spark.sql("select array(struct(0d as x, 1d as y), struct(2d as x, 1d as y), struct(2d as x, 2d as y), struct(0d as x, 2d as y), struct(0d as x, 1d as y)) as ring")
     got = {(r.row, r.col): r.prediction for r in predict.predict_cells(model, wide, square, Grid(0.0, 2.0, 1.0, 1.0, 2, 2)).collect()}
     assert got[0, 0] is not None and got[0, 1] is None and got[1, 1] is None
-    out, failed = predict.predict_all({"good": model, "bad": learn.fit(train, "v", ["y"], n_estimators=2)}, wide)
+    found = predict.predict_all({"good": model, "bad": learn.fit(train, "v", ["y"], n_estimators=2)}, wide)
+    out, failed = found.cells, found.failed
     assert out.select("label").distinct().collect()[0][0] == "good" and "bad" in failed
 
 
@@ -157,7 +200,8 @@ def test_kriging_that_fails_falls_back_on_the_forest(spark, train):
 def test_a_label_that_fails_in_its_job_leaves_the_others(spark, train):
     model, other = (learn.fit(train, "v", f, n_estimators=2, max_depth=3) for f in (["x"], ["b"]))
     wide = train.select("row", "col", "x", F.when(F.raise_error(F.lit("unreadable")).isNull(), F.col("b")).alias("b"))
-    out, failed = predict.predict_all({"good": model, "bad": other}, wide)
+    found = predict.predict_all({"good": model, "bad": other}, wide)
+    out, failed = found.cells, found.failed
     assert out.select("label").distinct().collect()[0][0] == "good" and "unreadable" in failed["bad"]
 
 

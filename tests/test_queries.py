@@ -59,7 +59,7 @@ PROPERTIES = {
     "c7_ks_normal": lambda r: len(r) == 1 and 0 < r[0].statistic < 1 and 0 <= r[0].p_value <= 1 and not r[0].is_normal,
     "m1_rf_regressor": lambda r: len(r) == 1 and r[0].R2 <= 1 and abs(r[0].RMSE ** 2 - r[0].MSE) < 1e-2 and r[0].MAE <= r[0].RMSE,
     "m2_rf_classifier": lambda r: len(r) == 1 and 0.15 < r[0].accuracy <= 1 and abs(r[0].accuracy - r[0].recall) < 1e-6,
-    "m3_rfecv": lambda r: sorted(x.n_features for x in r) == list(range(1, 13)) and sum(x.chosen for x in r) == 1 and max(r, key=lambda x: x.score).score == next(x.score for x in r if x.chosen),
+    "m3_rfecv": lambda r: sorted(x.n_features for x in r) == list(range(1, 13)) and sum(x.chosen for x in r) == 1 and max(r, key=lambda x: x.score).score == next(x.score for x in r if x.chosen) and all(x.score < 0 for x in r),
     "m4_random_search": lambda r: {x.parameter: x.value in plans.SPACE[x.parameter] for x in r} == dict.fromkeys(plans.SPACE, True) and len({x.score for x in r}) == 1,
     "m5_refine_grid": lambda r: all(x.n_grid == 54 for x in r) and {x.parameter: x.value for x in r}["max_depth"] in (1, 6, 11),
     "m10_feature_importance": lambda r: sorted(x.feature for x in r) == ["b1", "b2", "b3", "x", "y"] and abs(sum(x.l1 for x in r) - 1) < 1e-4 and abs(sum(x.l2 for x in r) - 1) < 1e-4
@@ -75,6 +75,9 @@ PROPERTIES = {
     "u3_kriging_uncertainty": lambda r: all(x.final_uncertainty >= 0 for x in r) and any(x.final_uncertainty != x.uncertainty for x in r),
     "u7_available_features": lambda r: {x.features for x in r} == {"b3,b1"} and all(x.prediction is not None for x in r),
     "u8_predict_all": lambda r: {x.label for x in r} == {"l1", "l2"} and {x.left_out for x in r} == {"l3"} and {x["class"] for x in r} <= {None, 0, 1, 2, 3, 4},
+    "u8_statistics": lambda r: sorted((x.label, x.layer) for x in r) == [(a, b) for a in ("l1", "l2") for b in ("prediction", "uncertainty")]
+    and all(x.min <= x.d1 <= x.q25 <= x.median <= x.q75 <= x.d9 <= x.max and x.min <= x.mean <= x.max and x.std >= 0 for x in r),
+    "u8_legend": lambda r: sorted((x.label, x["class"]) for x in r) == [(a, k) for a in ("l1", "l2") for k in range(5)] and all(x.lower <= x.upper for x in r),
     "u9_predict_type": lambda r: {x.prediction for x in r} <= {None, *map(float, range(10))} and any(x.prediction is not None for x in r),
 }
 
