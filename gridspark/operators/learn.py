@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .extra_trees import fit_extra_trees
 from .prep import bucket
 
 DEEPEST = 30
@@ -288,8 +289,9 @@ def leaderboard(train: DataFrame, test: DataFrame, label: str, features: Sequenc
     a, b = (assembler.transform(ordered(df, key)).persist() for df in (train, test))
     f1 = MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
     rows = []
-    for name, kind in kinds.items():
-        model = kind.fit(a)
+    models = {name: kind.fit(a) for name, kind in kinds.items()}
+    models |= {f"ExtraTrees{n}": fit_extra_trees(a, label, n_classes, criterion=c) for n, c in (("Gini", "gini"), ("Entr", "entropy"))}
+    for name, model in models.items():
         rows.append((name, float(f1.evaluate(model.transform(b))), float(f1.evaluate(model.transform(a)))))
     a.unpersist(), b.unpersist()
     return sorted(rows, key=lambda r: (-r[1], r[0]))

@@ -112,7 +112,8 @@ def test_statistics_and_legend_of_every_label(spark, train):
 
 def test_leaderboard_and_importance(train):
     board = learn.leaderboard(train.filter("point_id % 4 > 0"), train.filter("point_id % 4 = 0"), "k", ["x", "b"], 2)
-    assert len(board) == 5 and board[0][1] > 0.9
+    assert len(board) == 7 and board[0][1] > 0.9
+    assert {n for n, test, _ in board if test > 0.85} >= {"ExtraTreesGini", "ExtraTreesEntr"}
     model = learn.fit(train, "v", ["x", "b"], n_estimators=3, max_depth=5)
     lost = dict(learn.permutation_importance(model, train, "v", ["x", "b"]))
     assert lost["x"] > 0.5 > lost["b"]
@@ -263,3 +264,46 @@ def test_projection_of_known_places():
     east, north = crs.to_crs(F.col("lon"), F.col("lat"), 4326, 4544)
     rows = SparkSession.getActiveSession().createDataFrame([(105.0, 89.9999999999), (105.0, 0.0)], "lon double, lat double").select(east, north).collect()
     assert rows[0][1] == pytest.approx(10001965.7293, abs=0.01) and rows[1][0] == pytest.approx(500000) and abs(rows[1][1]) < 1e-6
+
+
+@pytest.mark.parametrize("criterion", ["gini", "entropy"])
+def test_extra_trees_split_between_the_values(spark, criterion):
+    """Every node's counts are those of the rows that reach it, thresholds lie between their values, leaves keep their least size."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from gridspark.operators import extra_trees
+
+    random.seed(5)
+    rows = [(random.gauss(0, 1), random.randint(0, 3), 1.0, 0.0) for _ in range(400)]
+    rows = [(a, float(b), c, float(int(a > 0.3) + int(b > 1))) for a, b, c, _ in rows]
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(spark.createDataFrame(rows, "a double, b double, c double, k double").repartition(3))
+    model = extra_trees.fit_extra_trees(df, "k", 3, trees=6, criterion=criterion, max_depth=8, min_samples_split=20, min_samples_leaf=4)
+    x, y = np.array([r[:3] for r in rows]), np.array([int(r[3]) for r in rows])
+    t = model.trees
+
+    def walk(k, inside):
+        assert (np.bincount(y[inside], minlength=3) == t.counts[k]).all() and len(inside) >= 4
+        if t.feature[k] < 0:
+            return
+        v = x[inside, t.feature[k]]
+        assert len(inside) >= 20 and v.min() <= t.threshold[k] < v.max() and t.feature[k] != 2  # a constant cannot be split
+        walk(t.left[k], inside[v <= t.threshold[k]])
+        walk(t.left[k] + 1, inside[v > t.threshold[k]])
+
+    for root in range(6):
+        walk(root, np.arange(len(rows)))
+    assert len({t.threshold[r] for r in range(6)}) == 6  # trees differ
+    predicted = model.transform(df).select("k", "prediction").collect()
+    assert sum(r.k == r.prediction for r in predicted) > 0.93 * len(rows)
+    one = extra_trees.fit_extra_trees(df.filter("k = 1"), "k", 3, trees=2)
+    assert {r.prediction for r in one.transform(df).collect()} == {1.0}
+    assert extra_trees.fit_extra_trees(df.limit(0), "k", 3, trees=2).transform(df.limit(0)).count() == 0
+
+
+def test_permutation_importance_is_the_loss_of_score(spark, train):
+    """The feature that the label is made of loses most; one that the model does not use loses nothing."""
+    model = learn.fit(train, "v", ["x", "b"], n_estimators=3, max_depth=5)
+    lost = dict(learn.permutation_importance(model, train.withColumn("unused", F.col("x") * 0), "v", ["x", "b", "unused"]))
+    base = learn.score(model.transform(train), "v", "regression")
+    constant = learn.score(model.transform(train.withColumn("x", F.lit(train.agg(F.avg("x")).first()[0]))), "v", "regression")
+    assert lost["x"] > max(lost["b"], 0.5 * (base - constant)) and lost["unused"] == pytest.approx(0, abs=1e-12)

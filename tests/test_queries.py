@@ -67,7 +67,7 @@ PROPERTIES = {
     "m13_hyperparameter_table": lambda r: sorted((x.label, x.parameter) for x in r) == [("l2", p) for p in sorted(plans.SPACE)] and all(x.value in plans.SPACE[x.parameter] for x in r),
     "m17_regression_kriging": lambda r: all(x.kriging_variance is None or x.kriging_variance >= 0 for x in r) and all(x.rfrk is not None for x in r),
     "m18_choose_model": lambda r: len(r) == 1 and r[0].model in ("RF", "RFRK") and r[0].R2 <= 1,
-    "m19_leaderboard": lambda r: len(r) == 5 and [x.score_test for x in r] == sorted((x.score_test for x in r), reverse=True),
+    "m19_leaderboard": lambda r: len(r) == 7 and all(0 < x.score_test <= 1 and 0 < x.score_train <= 1 for x in r) and [x.score_test for x in r] == sorted((x.score_test for x in r), reverse=True),
     "m20_permutation_importance": lambda r: [x.feature for x in r] == ["b1", "b2", "x"],
     "m21_explain_tree": lambda r: r[0].rule == "all" and r[0].depth == 0 and sum(x.n for x in r if x.depth == 1) == r[0].n,
     "u1_predict_cells": lambda r: any(x.prediction is None for x in r) and any(x.prediction is not None for x in r),
