@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import written
@@ -73,14 +72,17 @@ def with_targets(cells: DataFrame, dims: Sequence[str], power: float, targets: M
 def rake(cells: DataFrame, dims: Sequence[str], rounds: int) -> DataFrame:
     """Cells with ``share``: token weights, summing to one, raked to ``target_<dim>`` for each of ``dims``.
 
-    ``cells`` has ``tokens`` (not negative).  Every round is a window per dimension, so the whole of it is one plan.
+    ``cells`` has ``tokens`` (not negative).  A dimension's sums are aggregated, combined in each task first, and joined back, so cells
+    of one value never meet in a task; Spark broadcasts the sums where they are few.  Each round is written.
     """
     total = cells.agg(F.sum(F.col("tokens").cast("double")).alias("_total"))
     out = one_row(cells, total).withColumn("share", F.col("tokens") / F.when(F.col("_total") > 0, F.col("_total")))
     for _ in range(rounds):
         for d in dims:
-            found = F.sum("share").over(W.partitionBy(d))
-            out = out.withColumn("share", F.coalesce(F.col("share") * F.col(f"target_{d}") / F.when(found > 0, found), F.lit(0.0)))
+            sums = out.groupBy(F.col(d).alias("_value")).agg(F.sum("share").alias("_found"))
+            out = out.join(sums, F.col(d).eqNullSafe(F.col("_value")))
+            out = out.withColumn("share", F.coalesce(F.col("share") * F.col(f"target_{d}") / F.when(F.col("_found") > 0, F.col("_found")), F.lit(0.0))).drop("_value", "_found")
+        out = written(out)
     return out
 
 
@@ -97,7 +99,7 @@ def with_cells(docs: DataFrame, text_col: str, source_col: str, lang_col: str, t
 def cell_weights(celled: DataFrame, power: float, rounds: int, targets: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """``source, lang, topic, weight, probability`` for each cell that occurs."""
     cells = written(celled.groupBy(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("_tokens").alias("tokens")))
-    raked = written(rake(written(with_targets(cells, DIMENSIONS, power, targets)), DIMENSIONS, rounds))
+    raked = rake(written(with_targets(cells, DIMENSIONS, power, targets)), DIMENSIONS, rounds)
     weight = F.when(F.col("tokens") > 0, F.col("share") * F.col("_total") / F.col("tokens")).otherwise(0.0)
     weighed = raked.select(*DIMENSIONS, weight.alias("weight"))
     greatest = weighed.agg(F.max(F.when(F.col("weight") > 0, F.col("weight"))).alias("_greatest"))
