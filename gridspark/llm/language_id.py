@@ -17,19 +17,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_language`` rows of a language are expected in the sample (at most twice as many), texts of up to ``chars`` characters."""
+    """``per_language`` rows of a language are expected in the sample (at most twice as many on average), and of each ``per_text`` windows at most."""
 
     hidden: int = 12
     embedding: int = 12
     window: int = 64
     per_language: int = 150
-    languages: int = 200
-    chars: int = 20_000
+    per_text: int = 64
     steps: int = 250
     batch: int = 96
     rate: float = 0.01
@@ -193,15 +194,15 @@ def loss_gradient(rows: np.ndarray, target: np.ndarray, w: dict[str, np.ndarray]
     return loss, g
 
 
-def fit(texts: list[str], langs: list[str], s: Settings = Settings()) -> Model:
-    """Train on windows drawn at random, each language as often as any other."""
+def fit(texts: list[str | bytes], langs: list[str], s: Settings = Settings()) -> Model:
+    """Train on windows of texts, or of bytes, drawn at random, each language as often as any other."""
     names = tuple(sorted(set(langs)))
     w = initial(max(1, len(names)), s)
     if len(names) < 2:
         return Model(names, w, s.window)
     pools = []
     for name in names:
-        pool = [windows_of(t.encode("utf-8", "replace"), s.window)[0] for t, lang in zip(texts, langs, strict=True) if lang == name]
+        pool = [windows_of(t if isinstance(t, bytes) else t.encode("utf-8", "replace"), s.window)[0] for t, lang in zip(texts, langs, strict=True) if lang == name]
         pools.append(np.concatenate(pool))
     usable = [i for i, p in enumerate(pools) if len(p)]
     if not usable:
@@ -254,23 +255,41 @@ def pooled(texts: list[str | None], model: Model, block: int) -> np.ndarray:
     return total / np.maximum(counts, 1)[:, None]
 
 
+def some_windows(text: Column, key: Column, window: int, most: int, seed: int) -> Column:
+    """Bytes of up to ``most`` windows of a whole text, one after the other: all of them, or as many drawn by ``key``."""
+
+    @F.pandas_udf("binary")
+    def drawn(texts: pd.Series, keys: pd.Series) -> pd.Series:
+        out = []
+        for t, k in zip(texts, keys, strict=True):
+            data = t.encode("utf-8", "replace")
+            n = len(data) // window  # whole windows, and the rest of a text that has none
+            if n > most:
+                some = np.sort(np.random.default_rng([seed, int(k) & (1 << 63) - 1]).choice(n, most, replace=False))
+                data = b"".join(data[i * window:(i + 1) * window] for i in some.tolist())
+            out.append(data)
+        return pd.Series(out)
+
+    return drawn(text, key)
+
+
 def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           settings: Settings = Settings()) -> Model:
-    """Learn from rows where ``usable`` holds and text and language are not NULL.
+    """Learn every language that occurs, from rows where ``usable`` holds and text and language are not NULL.
 
-    The sample is drawn by a hash of the id, about as many rows of each language; of more than ``languages`` languages the
-    most frequent are learned.
+    The sample is drawn by a hash of the id, about as many rows of each language, and of a long text as many windows from all over
+    it.  The driver gets windows only: ``2 * per_language * per_text`` of a language at most.
     """
-    ok = docs.filter((F.lit(True) if usable is None else usable) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()
-                     & (F.length(text_col) <= settings.chars))
-    rows = ok.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
-    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(settings.languages).collect()
-    if not counts:
+    ok = docs.filter((F.lit(True) if usable is None else usable) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    rows = ok.select(F.xxhash64(F.col(id_col)).alias("_key"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
+    counts = written(rows.groupBy("_lang").count())  # a row per class of the model
+    languages = counts.count()
+    if not languages:
         return fit([], [], settings)
-    share = F.create_map(*(F.lit(x) for lang, n in counts for x in (lang, min(1.0, settings.per_language / n))))
-    drawn = rows.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) / float(1 << 40) <= share[F.col("_lang")])
-    sample = drawn.select("_text", "_lang").limit(2 * settings.per_language * len(counts)).collect()
-    return fit([r[0] for r in sample], [r[1] for r in sample], settings)
+    share = settings.per_language / F.col("count")
+    drawn = rows.join(counts, "_lang").filter(F.pmod("_key", F.lit(1 << 40)) / float(1 << 40) <= share)
+    sample = drawn.limit(2 * settings.per_language * languages).select(some_windows(F.col("_text"), F.col("_key"), settings.window, settings.per_text, settings.seed), "_lang").collect()
+    return fit([bytes(r[0]) for r in sample], [r[1] for r in sample], settings)
 
 
 def identify(text: Column, model: Model, settings: Settings = Settings()) -> Column:

@@ -609,3 +609,21 @@ def test_pivots_leave_out_distances_and_change_nothing():
     huge = parts.astype(object) * 10 ** 12
     index_huge, least_huge = vector_codes.nearest(huge, vector_codes.distances(huge, huge[:4]), entries.astype(object) * 10 ** 12, huge[:4])
     assert (index_huge == index).all() and (least_huge == least.astype(object) * 10 ** 24).all()
+
+
+# --- language: every language, windows from all over a text ---------------------------------------------------------
+
+def test_every_language_is_learned(spark):
+    random.seed(9)
+    rows = [(10 * k + i, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 40, f"l{k:03}") for k in range(230) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df, settings=language_id.Settings(steps=2, batch=8))
+    assert len(model.names) == 230
+
+
+def test_windows_are_drawn_from_whole_texts(spark):
+    text = "".join(f"{i:08d}" * 8 for i in range(1000))
+    df = spark.createDataFrame([(1, text), (2, "short"), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: bytes(r.w) for r in df.select("doc_id", language_id.some_windows(F.col("text"), F.col("doc_id"), 64, 10, 1).alias("w")).collect()}
+    places = [int(got[1][i:i + 8]) for i in range(0, 640, 64)]
+    assert len(got[1]) == 640 and places == sorted(set(places)) and places[-1] > 500 and got[2] == b"short" and got[3] == b""

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from gridspark.llm import queries, sentencepiece, toxicity, training_order
+from gridspark.llm import language_id, queries, sentencepiece, toxicity, training_order
 from gridspark.llm.common import table
 
 SMALL = "/root/testdata/sf0.001"
@@ -50,14 +50,28 @@ def test_op1_scores_every_text(spark, texts):
     assert set(got) == set(texts)
     docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
     model = toxicity.train(docs, labels, ~queries.held_out(3, 1))
-    weights = model.table()
+    weights = {int(s): float(w) for s, w in zip(model.slots, model.weights, strict=True)}
     for i, r in got.items():
-        found = toxicity.features(texts[i], lambda w: toxicity.word_slots(w, model.bits), toxicity.Settings().dense)
-        margin = model.bias + sum(weights.get(s, 0.0) * x for s, x in found.items())
+        words, margin, of = [w for w in re.findall("[^\\W\\d_]+", texts[i].lower())], model.bias, Counter()
+        for word in words:  # a word, and its beginnings of three to six letters
+            of[zlib.crc32(b"=" + word.encode()) % 2 ** 20] += 1
+            for n in (3, 4, 5, 6):
+                if n <= len(word):
+                    of[zlib.crc32(word[:n].encode()) % 2 ** 20] += 1
+        for s, n in of.items():
+            margin += weights.get(s, 0.0) * min(1.0, n / (0.015 * len(words)))
         assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(margin, -50, 50))), abs=1e-9)
         assert r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
 
 
+def test_op1_on_labels_that_it_has_not_seen(spark):
+    larger = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.QUERIES["op1_toxicity"](spark, larger).collect()}
+    marks = [(got[r.doc_id], r.toxic) for r in table(spark, larger, "labels").collect() if r.doc_id in got and got[r.doc_id].held_out]
+    toxic, clean = [r.predicted for r, t in marks if t], [r.predicted for r, t in marks if not t]
+    assert sum(toxic) >= 0.7 * len(toxic) > 0 and sum(clean) <= 0.05 * len(clean)
+
+
 def test_op3_fingerprints_and_components(spark, texts):
     def fingerprint(text: str) -> int:
         words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
@@ -123,6 +137,39 @@ def test_op7_names_a_learned_language(spark, texts):
         letters = any(map(str.isalpha, texts[i]))
         assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1
         assert r.lang_pred in learned if letters else r.lang_pred == "und"
+    model = language_id.train(table(spark, SMALL, "documents"), ~queries.held_out(4, 2))
+    for i in sorted(texts, key=lambda i: len(texts[i]))[::20]:  # byte by byte, unit by unit
+        if any(map(str.isalpha, texts[i])):
+            chance = plain_language(texts[i].encode(), model)
+            assert got[i].lang_pred == model.names[int(np.argmax(chance))] and got[i].score == pytest.approx(float(max(chance)), abs=1e-4)
+
+
+def plain_language(data: bytes, model) -> np.ndarray:
+    """Mean probabilities over the positions of all windows, one state after the other."""
+    w, total = {k: v.astype(float) for k, v in model.weights.items()}, 0
+    h, squash = len(w["uf"]), lambda x: 1 / (1 + np.exp(-x))
+    for start in range(0, len(data), model.window):
+        codes = [*data[start:start + model.window], *[256] * (model.window - len(data[start:start + model.window]))]
+        states = {}
+        for side, order in (("f", range(len(codes))), ("b", reversed(range(len(codes))))):
+            state = np.zeros(h)
+            for t in order:
+                x = w["embed"][codes[t]] @ w[f"w{side}"] + w[f"c{side}"]
+                u = w[f"u{side}"]
+                update, reset = squash(x[:h] + state @ u[:, :h]), squash(x[h:2 * h] + state @ u[:, h:2 * h])
+                state = state + update * (np.tanh(x[2 * h:] + (reset * state) @ u[:, 2 * h:]) - state)
+                states[side, t] = state
+        for t in range(len(data[start:start + model.window])):
+            logits = np.concatenate([states["f", t], states["b", t]]) @ w["out"] + w["bias"]
+            total = total + np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+    return total / len(data)
+
+
+def test_op7_on_languages_that_it_has_not_seen(spark):
+    larger = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.QUERIES["op7_language_id"](spark, larger).collect()}
+    unseen = [(got[r.doc_id].lang_pred, r.lang) for r in table(spark, larger, "documents").collect() if r.lang is not None and got[r.doc_id].held_out and got[r.doc_id].lang_pred != "und"]
+    assert len(unseen) > 100 and sum(a == b for a, b in unseen) >= 0.95 * len(unseen)
 
 
 def test_op8_counts_are_the_librarys(spark, texts):
