@@ -8,7 +8,8 @@ number into a global slot.  Its domain is the next power of four, and a value ou
 falls inside (cycle walking), so the order needs no shuffle buffer and no table of positions.  Each document's tokens are
 cut where sequences end and sent to the shards of their slots, those that go from one task to one shard as one
 compressed block; only that shuffle carries tokens.  Slots are dealt by ranges, and each range is written as a shard of
-fixed-stride binary records: slot ``s`` is record ``s mod per_shard`` of shard ``s div per_shard``, so a reader starts
+fixed-stride binary records (a task writes a run of consecutive shards, one after the other, so shuffle partitions do not
+grow with the number of shards): slot ``s`` is record ``s mod per_shard`` of shard ``s div per_shard``, so a reader starts
 again at any slot with one seek.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import scratch
+from .common import scratch, written
 
 #: The byte-level pre-token pattern, and the part of it that only matters for runs of white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,6 +42,10 @@ ROUNDS = 6
 BINS = 1 << 12
 #: Bytes of tokens that a task gathers before it sends blocks to the shards.
 GATHERED = 32 << 20
+#: Tokens of the consecutive shards that one task writes, where there are more than the session's shuffle partitions would take.
+RANGE = 1 << 31
+#: Folders at most that the places of rows are dealt into, by the task that tokenised them.
+FOLDERS = 1 << 12
 _U = np.uint64
 
 
@@ -142,9 +147,10 @@ def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 def _places_of(path: str, part: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows that one task has tokenised, in order, and where their tokens begin."""
-    fs, base = _open(f"{path}/part={part}")
+    fs, base = _open(f"{path}/folder={part % FOLDERS}")
     files = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(base)) if f.path.endswith(".parquet")]
-    found = pa.concat_tables([pyarrow.parquet.read_table(f, columns=["row", "start"], filesystem=fs, partitioning=None) for f in files]).sort_by("row")
+    mine = [("part", "=", part)]  # rows stand by part, so other row groups are not read
+    found = pa.concat_tables([pyarrow.parquet.read_table(f, columns=["row", "start"], filesystem=fs, partitioning=None, filters=mine) for f in files]).sort_by("row")
     return found["row"].to_numpy(), found["start"].to_numpy()
 
 
@@ -250,8 +256,8 @@ def materialise(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_
                 key: int = 42) -> DataFrame:
     """Write the shards below ``path`` (a folder that all executors share) and return the index of their records.
 
-    One row per sequence: ``slot, shard, byte_offset, n_tokens, sequence, sha256, path``; files are written when the result
-    is computed, and a task holds one shard.  Every text with a token is followed by the end identifier (the first free one);
+    One row per sequence: ``slot, shard, byte_offset, n_tokens, sequence, sha256, path``.  Files are written once, by this call, and the index
+    is a table; a task holds one shard at a time.  Every text with a token is followed by the end identifier (the first free one);
     the last sequence is filled up with it, ``n_tokens`` counts the ones before that.  NULL and empty texts add nothing,
     repeated rows are packed as often as they occur, a NULL id is a value like any other; other columns are ignored.  An empty
     table writes nothing and gives an empty result.  The same rows, key and lengths give the same shards in any partitioning.
@@ -259,10 +265,13 @@ def materialise(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_
     table = tokens_table(docs, vocabulary, id_col, text_col)
     found, total = place(table)
     places = scratch(docs.sparkSession)
-    found.repartition("part").write.partitionBy("part").parquet(places)
-    ranges = max(1, -(-total // (length * per_shard)))
-    ordered = blocks(table, places, total, key, length, per_shard).repartitionById(ranges, F.col("shard").cast("int")).sortWithinPartitions("shard")
-    index = ordered.mapInPandas(_writer(path, total, _vocabulary(vocabulary).end, length, per_shard), "slot long, shard long, sequence long, n_tokens int, sha256 string")
+    dealt = found.withColumn("folder", F.col("part") % FOLDERS).repartition("folder").sortWithinPartitions("folder", "part", "row")
+    dealt.write.option("parquet.block.size", 8 << 20).partitionBy("folder").parquet(places)
+    shards = max(1, -(-total // (length * per_shard)))
+    ranges = min(shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE)))
+    run = F.expr(f"cast(shard * {ranges} div {shards} as int)")
+    ordered = blocks(table, places, total, key, length, per_shard).repartitionById(ranges, run).sortWithinPartitions("shard")
+    index = written(ordered.mapInPandas(_writer(path, total, _vocabulary(vocabulary).end, length, per_shard), "slot long, shard long, sequence long, n_tokens int, sha256 string"))
     return index.select("slot", "shard", (F.col("slot") % per_shard * (2 * length)).alias("byte_offset"), "n_tokens", "sequence", "sha256",
                         F.concat(F.lit(f"{path}/shard-"), F.lpad(F.col("shard").cast("string"), 8, "0"), F.lit(".bin")).alias("path"))
 

@@ -627,3 +627,22 @@ def test_windows_are_drawn_from_whole_texts(spark):
     got = {r.doc_id: bytes(r.w) for r in df.select("doc_id", language_id.some_windows(F.col("text"), F.col("doc_id"), 64, 10, 1).alias("w")).collect()}
     places = [int(got[1][i:i + 8]) for i in range(0, 640, 64)]
     assert len(got[1]) == 640 and places == sorted(set(places)) and places[-1] > 500 and got[2] == b"short" and got[3] == b""
+
+
+# --- training order: few ranges, many shards --------------------------------------------------------------------------
+
+def test_a_task_writes_several_shards(spark, docs, texts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        path = scratch(spark)
+        index = training_order.materialise(docs.repartition(5), TIKTOKEN, path, length=128, per_shard=16)
+        rows = sorted(index.collect(), key=lambda r: r.sequence)
+        assert len({r.shard for r in rows}) > 30 and index.count() == len(rows)
+        read = list(training_order.read_from(path, 0, 128, 16))
+        tokens = training_order.Tokens(TIKTOKEN)
+        stream = [t for r in rows for t in read[r.slot][:r.n_tokens].tolist()]
+        assert len(stream) == sum(len(tokens.of(t)) + 1 for t in texts.values() if t)
+        assert [hashlib.sha256(read[r.slot].tobytes()).hexdigest() for r in rows] == [r.sha256 for r in rows]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
