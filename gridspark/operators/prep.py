@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.quantiles import medians
 from ..model import finite
+from ..sources.scratch import written
 
 
 def numeric_columns(df: DataFrame, besides: Sequence[str] = ()) -> list[str]:
@@ -60,14 +61,16 @@ def select_and_drop(df: DataFrame, label: str, features: Sequence[str], keys: Se
 def label_codes(df: DataFrame, label: str) -> DataFrame:
     """``label, code``: the distinct values as text in alphabetical order from 0; kept for decoding.
 
-    Values are dealt by their first two characters, and numbered behind the smaller beginnings: no task orders them all.
+    Values are dealt by ranges and sorted in each; a code is a value's place in its range behind the numbers of the ranges
+    before, of which there are as many as shuffle partitions.  No task orders all values, whatever they begin with.
     """
     values = df.filter(F.col(label).isNotNull()).select(F.col(label).cast("string").alias(label)).distinct()
-    begun = values.withColumn("_begin", F.left(F.col(label), F.lit(2)))
-    counts = begun.groupBy("_begin").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(W.orderBy("_begin")) - F.col("_n")).drop("_n")  # one row per beginning
-    place = F.row_number().over(W.partitionBy("_begin").orderBy(label))
-    return begun.join(before, "_begin").select(label, (F.col("_before") + place - 1).cast("int").alias("code"))
+    dealt = values.repartitionByRange(F.col(label)).sortWithinPartitions(label)
+    placed = written(dealt.withColumn("_id", F.monotonically_increasing_id()))  # the range, and the place in it
+    ranges = placed.groupBy(F.shiftright("_id", 33).alias("_range")).agg(F.count("*").alias("_n"))
+    before = ranges.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))  # one row per range
+    joined = placed.join(F.broadcast(before), F.shiftright("_id", 33) == F.col("_range"))
+    return joined.select(label, (F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).cast("int").alias("code"))
 
 
 def label_encode(df: DataFrame, label: str) -> DataFrame:

@@ -307,3 +307,12 @@ def test_permutation_importance_is_the_loss_of_score(spark, train):
     base = learn.score(model.transform(train), "v", "regression")
     constant = learn.score(model.transform(train.withColumn("x", F.lit(train.agg(F.avg("x")).first()[0]))), "v", "regression")
     assert lost["x"] > max(lost["b"], 0.5 * (base - constant)) and lost["unused"] == pytest.approx(0, abs=1e-12)
+
+
+def test_codes_are_alphabetical_over_all_ranges(spark):
+    """Values with a common beginning, in many partitions."""
+    values = [f"https://host/{i * 7919 % 5000:05d}" for i in range(5000)] + ["", "a", "é", None]
+    df = spark.createDataFrame([(v,) for v in values * 2], "v string").repartition(7)
+    got = {r.v: r.code for r in prep.label_codes(df, "v").collect()}
+    assert got == {v: i for i, v in enumerate(sorted({v for v in values if v is not None}, key=str.encode))}
+    assert prep.label_codes(df.limit(0), "v").count() == 0

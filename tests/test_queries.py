@@ -97,3 +97,20 @@ def test_every_cell_polygon_and_point_of_the_adapters_counts(spark):
     assert points.count() == spark.read.parquet(f"{SMALL}/events.parquet").count()
     assert points.select(grid.row(points.y)).distinct().count() == grid.height + 1
     assert adapters.polygons(spark, SMALL).count() == spark.read.parquet(f"{SMALL}/supplier.parquet").count()
+
+
+def test_types_are_predicted_where_a_polygon_touches(spark):
+    """Code of every cell by the forest alone, and none beyond the polygons by DuckDB's own mask."""
+    from gridspark.operators import learn
+    from gridspark.sources import adapters
+
+    cells = adapters.cells(spark, SMALL)
+    model = learn.fit(plans._coded(plans.training(spark, SMALL)), "code", plans.FEATURES, "classification", n_estimators=5, max_depth=8)
+    codes = {(r.row, r.col): r.prediction for r in model.transform(cells.dropna(subset=plans.FEATURES)).select("row", "col", "prediction").collect()}
+    duck = duckdb.connect()
+    for file in Path(SMALL).glob("*.parquet"):
+        duck.sql(f"create view {file.stem} as from '{file}'")
+    inside = {tuple(r) for r in duck.sql(f"""select "row", col from ({plans.ORACLES['g10_mask_all_touched']})""").fetchall()}
+    got = {(r.row, r.col): r.prediction for r in collected(spark, "u9_predict_type")}
+    assert set(got) == {(r.row, r.col) for r in cells.select("row", "col").collect()}
+    assert got == {at: codes.get(at) if at in inside else None for at in got}
