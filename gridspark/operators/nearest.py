@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -322,8 +323,8 @@ def knn(points: DataFrame, targets: DataFrame | None, k: int, key: str) -> DataF
     halo = np.zeros(len(found.starts), np.int64)
     halo[per_tile["tile"].to_numpy()] = -(-per_tile["count"].to_numpy() // TARGETS)
     halo = spark.sparkContext.broadcast(halo)
-    parts = F.udf(lambda t: int(halo.value[t]), "int") if (halo.value > 1).any() else None
-    share = F.lit(0) if parts is None else F.pmod(F.xxhash64(key, "x", "y"), parts("tile")).cast("int")
+    parts = F.pandas_udf(lambda tile: pd.Series(halo.value[tile.to_numpy()]), "long")
+    share = F.lit(0) if (halo.value <= 1).all() else F.pmod(F.xxhash64(key, "x", "y"), parts("tile")).cast("int")
     sent = again.select(F.explode("asks").alias("tile"), key, "x", "y", "reach").select("tile", share.alias("share"), F.lit(True).alias("asked"), key, "x", "y", "reach")
     more = _round(_dealt(pool, tiles, halo, False, key).union(sent), tiles, surely, k, own, key, True, int(halo.value.sum()))
     met = again.select(key, "found", "square").union(more.select(key, "found", "square"))

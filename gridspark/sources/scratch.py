@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,17 +26,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-_made: list[list[str]] = []
+#: What is written inside :func:`dropping_tables`, by thread, so that pipelines side by side drop their own tables.
+_made: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
 
 
 @contextmanager
 def dropping_tables(spark: SparkSession) -> Iterator[None]:
     """Delete what :func:`written` writes inside, at the end; results that need it must have been written elsewhere by then."""
-    _made.append([])
+    paths: list[str] = []
+    before = _made.set((*_made.get(), paths))
     try:
         yield
     finally:
-        for path in map(spark._jvm.org.apache.hadoop.fs.Path, _made.pop()):
+        _made.reset(before)
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -43,6 +47,6 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut the lineage: ``df`` written once and read back."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    if _made:
-        _made[-1].append(path)
+    if _made.get():
+        _made.get()[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

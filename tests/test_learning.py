@@ -316,3 +316,21 @@ def test_codes_are_alphabetical_over_all_ranges(spark):
     got = {r.v: r.code for r in prep.label_codes(df, "v").collect()}
     assert got == {v: i for i, v in enumerate(sorted({v for v in values if v is not None}, key=str.encode))}
     assert prep.label_codes(df.limit(0), "v").count() == 0
+
+
+def test_tables_of_a_block_are_dropped_with_it(spark):
+    """What a thread writes inside goes at the end of its own block; other threads' tables and later ones stay."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from gridspark.sources.scratch import dropping_tables, written
+
+    df, there = spark.range(3), lambda t: bool(t.inputFiles()) and t.count() == 3
+    before = written(df)
+    with dropping_tables(spark):
+        inside = written(df)
+        with ThreadPoolExecutor(1) as pool:
+            other = pool.submit(written, df).result()
+        assert there(inside)
+    assert there(before) and there(other) and there(written(df))
+    with pytest.raises(Exception):
+        inside.count()
