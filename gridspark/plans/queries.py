@@ -972,7 +972,7 @@ def u11_polygonize(spark, sf_dir):
 @query(REGIONS_SQL + """, placed as (select c.*, region from regions join cells c using (cell)),
 borders as (select p.region, count(*) as edges from placed p, (values (0, 1), (0, -1), (1, 0), (-1, 0)) d(r, c)
   where not exists (select 1 from placed o where o.region = p.region and o."row" = p."row" + d.r and o.col = p.col + d.c) group by 1)
-select region, any_value(v) as value, count(*) as n, round(count(*) * 2500.0, 6) as area, round(any_value(edges) * 50.0, 6) as perimeter,
+select region, any_value(v) as value, count(*) as n, round(count(*) * 2500.0::double, 6) as area, round(any_value(edges) * 50.0::double, 6) as perimeter,
  round(avg((col + 0.5) * 50), 6) as "Centroid_X", round(avg(1000 - ("row" + 0.5) * 50), 6) as "Centroid_Y", min(col) * 50.0::double as "XMin", 1000 - (max("row") + 1) * 50.0::double as "YMin",
  (max(col) + 1) * 50.0::double as "XMax", 1000 - min("row") * 50.0::double as "YMax" from placed join borders using (region) group by region""")
 def u11_region_shapes(spark, sf_dir):
