@@ -13,24 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from .lags import lag_sums
 from .spatial import spatial_knn
 
 
-def lag_table(points: DataFrame, value: str, max_lag: float, lags: int = 6, key: str = "point_id", x: str = "x", y: str = "y") -> DataFrame:
-    """``lag, distance, gamma, n`` over the pairs up to ``max_lag`` apart, in equal classes.
+def lag_table(points: DataFrame, value: str, max_lag: float, lags: int = 6, x: str = "x", y: str = "y") -> DataFrame:
+    """``lag, distance, gamma, n`` over all pairs of rows up to ``max_lag`` apart, in equal classes.
 
-    Pairs meet in square buckets of that side and their neighbours, so far pairs are never formed.
+    Counts and semivariances are those of all pairs, distances within a share of 0.0015 of them, without forming the
+    pairs: see :mod:`.lags`.  Rows without a finite place or value are left out; an empty table gives no rows.
     """
-    side = float(max_lag)
-    placed = points.filter(F.col(value).isNotNull()).select(F.col(key).alias("i"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(value).cast("double").alias("v"),
-                                                            F.floor(F.col(x) / side).cast("long").alias("bx"), F.floor(F.col(y) / side).cast("long").alias("by"))
-    steps = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1))))
-    asked = placed.select("i", "x", "y", "v", "bx", "by", steps.alias("o")).select(
-        F.col("i").alias("i2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("v").alias("v2"), (F.col("bx") + F.col("o.c")).alias("bx"), (F.col("by") + F.col("o.r")).alias("by"))
-    pairs = placed.join(asked, ["bx", "by"]).filter("i < i2").select(F.sqrt(F.pow(F.col("x") - F.col("x2"), F.lit(2)) + F.pow(F.col("y") - F.col("y2"), F.lit(2))).alias("d"),
-                                                                    (0.5 * F.pow(F.col("v") - F.col("v2"), F.lit(2))).alias("g"))
-    lag = F.least(F.floor(F.col("d") / (side / lags)) + 1, F.lit(lags))
-    return pairs.filter(F.col("d") <= side).groupBy(lag.cast("int").alias("lag")).agg(F.avg("d").alias("distance"), F.avg("g").alias("gamma"), F.count("*").alias("n"))
+    each = lag_sums(points, value, float(max_lag), lags, x, y)
+    return each.select(F.col("lag").cast("int").alias("lag"), (F.col("d") / F.col("n")).alias("distance"), (F.col("g") / F.col("n")).alias("gamma"), F.col("n").cast("long").alias("n"))
 
 
 def gamma(h: np.ndarray, kind: str, nugget: float, sill: float, reach: float) -> np.ndarray:
@@ -106,12 +100,10 @@ def ordinary_kriging(points: DataFrame, targets: DataFrame, value: str, variogra
     return ready.mapInPandas(_solved(kind, *variogram), f"target {kind_of}, kriged double, variance double").withColumnRenamed("target", target_key)
 
 
-def usual_lag(points: DataFrame, x: str = "x", y: str = "y", per_point: int = 200) -> float:
-    """An eighth of the diagonal, or less: the distance within which a point has ``per_point`` others on average, so that pairs grow with the points."""
-    w, h, n = points.agg(F.max(x) - F.min(x), F.max(y) - F.min(y), F.count("*")).first()
-    w, h = w or 0.0, h or 0.0
-    crowd = (per_point * max(w, 1e-9) * max(h, 1e-9) / (math.pi * max(n, 1))) ** 0.5
-    return max(min((w * w + h * h) ** 0.5 / 8, crowd) if w and h else (w + h) / 8, 1e-9)
+def usual_lag(points: DataFrame, x: str = "x", y: str = "y") -> float:
+    """An eighth of the diagonal of the points' box."""
+    w, h = points.agg(F.max(x) - F.min(x), F.max(y) - F.min(y)).first()
+    return max(math.hypot(w or 0.0, h or 0.0) / 8, 1e-9)
 
 
 def regression_kriging(train: DataFrame, targets: DataFrame, label: str, variogram_kind: str = "spherical", max_lag: float | None = None, k: int = 8,
@@ -124,7 +116,7 @@ def regression_kriging(train: DataFrame, targets: DataFrame, label: str, variogr
     residuals = train.withColumn("_residual", F.col(label) - F.col("prediction"))
     if max_lag is None:
         max_lag = usual_lag(residuals)
-    lags = [(r["distance"], r["gamma"], r["n"]) for r in lag_table(residuals, "_residual", max_lag, key=key).collect()]  # six rows
+    lags = [(r["distance"], r["gamma"], r["n"]) for r in lag_table(residuals, "_residual", max_lag).collect()]  # six rows
     variogram = fit_variogram(lags, variogram_kind) if lags else (0.0, 1.0, max_lag)
     kriged = ordinary_kriging(residuals, targets, "_residual", variogram, variogram_kind, k, key, key)
     return targets.join(kriged, key, "left").withColumn("rfrk", F.col("prediction") + F.coalesce("kriged", F.lit(0.0))).withColumnRenamed("variance", "kriging_variance").drop("kriged")
