@@ -15,13 +15,16 @@ share an anchor.
 4. The spans found are joined to the texts, merged and cut out.
 
 Copies are resolved inside a batch before anything is shuffled, so a passage that a third of all texts share costs one
-row per batch and kind of surroundings.  Anchors with more than ``HOT`` kinds of surroundings are not sorted in one
-task, however many such anchors there are: their passages are grouped by content, with partial aggregation.  Texts are
-looked through in blocks of ``SCANNED`` bytes, so a very long one does not fill a worker.
+row per batch and kind of surroundings.  An anchor with more than ``HOT`` kinds of surroundings, of which there may be many,
+is not sorted in one task: its passages are split into those with few and with many bytes before the anchor, each kind into
+groups that agree in the bytes that all of the kind hold, and again while a group is too large.  In the end a
+group holds one passage only, whose first place is an aggregate.  Texts are looked through in blocks of ``SCANNED`` bytes,
+so a very long one does not fill a worker.
 """
 
 from __future__ import annotations
 
+import functools
 import secrets
 from collections.abc import Iterator
 
@@ -39,7 +42,7 @@ ANCHOR = 32
 SHALLOW = 16
 #: Rows that a task sorts at once at least, if that many groups of an anchor are there.
 BLOCK = 8192
-#: Kinds of surroundings of one anchor beyond which it is left to aggregation.
+#: Kinds of surroundings that are sorted as one group.
 HOT = 100_000
 #: Bytes whose anchors are looked for at once, and bytes whose repeated anchors are resolved before anything is sent.
 SCANNED, RESOLVED = 1 << 20, 8 << 20
@@ -288,10 +291,10 @@ def deep_shallow(group: np.ndarray, rows: np.ndarray, shallow: int = SHALLOW) ->
 
 
 def repeated_places(group: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray,
-                    length: int) -> tuple[np.ndarray, np.ndarray]:
+                    length: int, low: np.ndarray | int = 0, high: np.ndarray | int = 1 << 30) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest number of bytes before the anchor with which a row's passage repeats an earlier row's; -1 if none.
 
-    Rows are in order of place within a group; ``left`` has the bytes before the anchor, nearest first.
+    A row's passages have ``low`` to ``high`` bytes before the anchor. Rows are in order of place within a group; ``left`` has the bytes before the anchor, nearest first.
     """
     n, reach = len(group), length - ANCHOR
     (order_l, prefix_l), (order_r, prefix_r) = deep_shallow(group, left), deep_shallow(group, right)
@@ -299,7 +302,7 @@ def repeated_places(group: np.ndarray, left: np.ndarray, right: np.ndarray, n_le
     rank_l[order_l], rank_r[order_r] = np.arange(n), np.arange(n)
     least, most = np.full(n, -1), np.full(n, -1)
     for before in range(reach + 1):
-        use = np.flatnonzero((n_left >= before) & (n_right >= length - ANCHOR - before))
+        use = np.flatnonzero((n_left >= before) & (n_right >= length - ANCHOR - before) & (low <= before) & (before <= high))
         if len(use) < 2:
             continue
         class_l = np.cumsum(prefix_l < before)[rank_l[use]]
@@ -312,12 +315,13 @@ def repeated_places(group: np.ndarray, left: np.ndarray, right: np.ndarray, n_le
 
 
 def _compared(length: int):
-    """Over rows sorted by (hash, doc, at): spans that repeat an earlier row's."""
+    """Over rows sorted by (hash, doc, at): spans that repeat an earlier row's, of passages in the range of ``low, high`` if rows have one."""
     reach = length - ANCHOR
     size_l, size_r = -(-reach // 8) * 8, -(-reach // 8) * 8
 
     def spans(block: pd.DataFrame) -> pd.DataFrame | None:
-        block = block.drop_duplicates(["hash", "doc", "at"])  # rows that the table has twice
+        ranged = "low" in block.columns
+        block = block.drop_duplicates(["hash", "doc", "at", *["low"] * ranged])  # rows that the table has twice
         h = block["hash"].to_numpy()
         group = np.cumsum(np.append(0, h[1:] != h[:-1]))
         n_left = block["left"].to_numpy()
@@ -331,7 +335,8 @@ def _compared(length: int):
         n_right = np.array([len(a) for a in around]) - n_left - ANCHOR
         left = np.frombuffer(b"".join(a[:n][::-1].ljust(size_l, b"\0") for a, n in zip(around, n_left.tolist(), strict=True)), np.uint8).reshape(-1, size_l)
         right = np.frombuffer(b"".join(a[n + ANCHOR:].ljust(size_r, b"\0") for a, n in zip(around, n_left.tolist(), strict=True)), np.uint8).reshape(-1, size_r)
-        least, most = repeated_places(group, left, right, n_left, n_right, length)
+        limits = (block["low"].to_numpy(), block["high"].to_numpy()) if ranged else ()
+        least, most = repeated_places(group, left, right, n_left, n_right, length, *limits)
         hit = least >= 0
         at = block["at"].to_numpy()[hit]
         place = at >> 32
@@ -359,21 +364,41 @@ def _compared(length: int):
     return run
 
 
-def _hot_spans(cuts: DataFrame, length: int) -> DataFrame:
-    """Spans of anchors with very many kinds of surroundings: passages grouped by content, the first of each spared."""
-    reach = length - ANCHOR
-    starts = F.sequence(F.lit(0), F.octet_length("around") - length)
-    each = cuts.select("doc", "at", "left", "around", F.explode(starts).alias("start")).filter(
-        (F.col("start") <= F.col("left")) & (F.col("left") - F.col("start") <= reach))
-    keyed = each.select("doc", "at", (F.col("left") - F.col("start")).alias("before"),
-                        F.sha2(F.substring("around", F.col("start") + 1, F.lit(length)), 256).alias("content"))
-    first = keyed.groupBy("content").agg(F.min(F.struct("doc", (F.col("at") - F.shiftleft(F.col("before").cast("long"), 32)).alias("at"))).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    begin = F.col("at") - F.shiftleft(F.col("before").cast("long"), 32)
-    again = keyed.join(first.select("content", "first"), "content").filter(F.struct("doc", begin.alias("at")) > F.col("first"))
-    place = F.shiftright(begin, 32)
+def _first_spared(rows: DataFrame, length: int) -> DataFrame:
+    """Spans of single passages, with ``low`` bytes before the anchor, but for the first of each content."""
+    begin = F.col("at") - F.shiftleft(F.col("low").cast("long"), 32)
+    keyed = rows.select("doc", begin.alias("at"), F.sha2(F.substring("around", F.col("left") - F.col("low") + 1, F.lit(length)), 256).alias("content"))
+    first = keyed.groupBy("content").agg(F.min(F.struct("doc", "at")).alias("first"))
+    again = keyed.join(first, "content").filter(F.struct("doc", "at") > F.col("first"))
+    place = F.shiftright("at", 32)
     return again.select("doc", F.col("at").bitwiseAND(0xFFFFFFFF).alias("check"), F.shiftleft(place, 32).bitwiseOR(place + length).alias("span"))
 
 
+def _hot_spans(cuts: DataFrame, length: int, hot: int) -> DataFrame:
+    """Spans of anchors with over ``hot`` kinds of surroundings.
+
+    Passages with ``low`` to ``high`` bytes before the anchor all hold the ``low`` bytes before it and those after it that
+    the longest still has, so equal ones meet in groups of equal such bytes. The range starts as a whole and is halved in every round, for
+    the groups that are too large; a row that is alone in its group repeats nothing.
+    """
+    reach, spans = length - ANCHOR, []
+    rows = cuts.dropDuplicates(["hash", "doc", "at"]).withColumns({"low": F.lit(0), "high": F.lit(reach)})
+    while not rows.isEmpty():  # at most seven rounds at 100 bytes
+        middle = F.expr("(low + high) div 2").cast("int")
+        halves = F.explode(F.array(F.struct(F.col("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high")))).alias("half")
+        each = rows.select("doc", "at", "left", "around", halves).select("doc", "at", "left", "around", "half.low", "half.high")
+        held = F.substring("around", F.col("left") - F.col("low") + 1, F.col("low") + ANCHOR + reach - F.col("high"))
+        fits = (F.col("left") >= F.col("low")) & (F.octet_length("around") - F.col("left") - ANCHOR >= reach - F.col("high"))
+        each = written(each.filter(fits).withColumn("hash", F.xxhash64("low", "high", held)))
+        counts = written(each.groupBy("hash").count().filter("count > 1"))
+        sorted_ = each.join(counts.filter(F.col("count") <= hot), "hash", "left_semi")
+        spans.append(sorted_.repartition("hash").sortWithinPartitions("hash", "low", "doc", "at").mapInPandas(_compared(length), "doc long, check long, span long"))
+        large = each.join(counts.filter(F.col("count") > hot), "hash", "left_semi")
+        spans.append(_first_spared(large.filter("low = high"), length))
+        rows = large.filter("low < high")
+    return functools.reduce(DataFrame.union, spans)
+
+
 def cut_spans(text: Column, spans: Column) -> Column:
     """Struct of the merged ``spans`` and the bytes ``kept`` of a binary column, from packed spans in any order."""
 
@@ -422,7 +447,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = spans_known(judged)
     if not crowded.isEmpty():  # most inputs have none
         cuts = written(cuts)
-        known = known.union(_hot_spans(cuts.join(crowded, "hash", "left_semi").dropDuplicates(["hash", "doc", "at"]), length))
+        known = known.union(_hot_spans(cuts.join(crowded, "hash", "left_semi"), length, hot))
         cuts = cuts.join(crowded, "hash", "left_anti")
     compared = (cuts.repartition("hash").sortWithinPartitions("hash", "doc", "at").mapInPandas(_compared(length), "doc long, check long, span long"))
     spans = known.union(compared).groupBy("doc", "check").agg(F.collect_list("span").alias("packed"))

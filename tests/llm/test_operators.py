@@ -144,6 +144,22 @@ def test_anchors_with_one_hash_are_told_apart(spark):
         assert got == {1: [], 2: [], 3: [(0, 100)], 4: [(1, 168)]}
 
 
+@pytest.mark.parametrize("hot", [4, 60])
+def test_a_phrase_with_many_surroundings(spark, hot):
+    """A phrase of 90 bytes, of which alone nothing goes, in texts that share some bytes on one side, on both or on none; some repeat the text."""
+    random.seed(9)
+    phrase, ends = "".join(random.choice("abcdefgh ") for _ in range(90)), ["".join(random.choice("abcdefgh ") for _ in range(70)) for _ in range(5)]
+    piece = lambda n: "".join(random.choice("xyz ") for _ in range(random.randint(0, n)))
+    rows = [(i, piece(30) + random.choice(ends)[random.randint(40, 70):] + phrase + random.choice(ends)[:random.randint(0, 30)] + piece(30)) for i in range(300)]
+    rows += [(300 + i, rows[i * 7][1] + piece(5)) for i in range(30)]
+    expected = plain_removal([(i, t.encode()) for i, t in rows])
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=hot).collect()
+    assert len(got) == 330 and 50 < sum(any(gone) for gone in expected.values())
+    for r in got:
+        data = rows[r.doc_id][1].encode()
+        assert bytes(r.kept) == bytes(b for b, gone in zip(data, expected[r.doc_id], strict=True) if not gone)
+
+
 def test_long_texts_are_looked_through_in_blocks(monkeypatch):
     random.seed(2)
     texts = [bytes(random.choice(b"ab ") for _ in range(n)) for n in (5000, 90, 100, 3000)] + [b"xy" * 900]
