@@ -6,8 +6,6 @@ are taken as the same datum.
 
 from __future__ import annotations
 
-from math import radians
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,28 +22,28 @@ _delta = (2 * _n - 2 * _n ** 2 / 3 - 2 * _n ** 3, 7 * _n ** 2 / 3 - 8 * _n ** 3
 _e = 2 * _n ** 0.5 / (1 + _n)
 
 
-def _series(terms: tuple[float, ...], first, second, x: Column, y: Column) -> Column:
-    total = F.lit(0.0)
+def _series(start: Column, terms: tuple[float, ...], first, second, x: Column, y: Column) -> Column:
+    total = start
     for j, k in enumerate(terms, 1):
         total = total + k * first(2 * j * x) * second(2 * j * y)
     return total
 
 
 def project(lon: Column, lat: Column, epsg: int) -> tuple[Column, Column]:
-    """Easting and northing in a zone."""
-    d, s = F.radians(lon) - radians(MERIDIANS[epsg]), F.sin(F.radians(lat))
+    """Easting and northing in a zone; a latitude beyond a pole counts as the one with the same sine."""
+    d, s = F.radians(lon - MERIDIANS[epsg]), F.sin(F.radians(lat))  # the difference of degrees is exact near the meridian
     t = F.sinh(F.atanh(s) - _e * F.atanh(_e * s))
     xi, eta = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
-    east = FALSE_EASTING + _radius * (eta + _series(_alpha, F.cos, F.sinh, xi, eta))
-    return east, _radius * (xi + _series(_alpha, F.sin, F.cosh, xi, eta))
+    east = FALSE_EASTING + _radius * _series(eta, _alpha, F.cos, F.sinh, xi, eta)
+    return east, _radius * _series(xi, _alpha, F.sin, F.cosh, xi, eta)
 
 
 def unproject(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
     """Longitude and latitude of a point in a zone."""
     xi, eta = y / _radius, (x - FALSE_EASTING) / _radius
-    a = xi - _series(_beta, F.sin, F.cosh, xi, eta)
-    b = eta - _series(_beta, F.cos, F.sinh, xi, eta)
-    chi = F.asin(F.sin(a) / F.cosh(b))
+    back = tuple(-k for k in _beta)
+    a, b = _series(xi, back, F.sin, F.cosh, xi, eta), _series(eta, back, F.cos, F.sinh, xi, eta)
+    chi = F.atan2(F.sin(a), F.hypot(F.sinh(b), F.cos(a)))  # an arc sine would lose half the digits near the poles
     lat = chi
     for j, k in enumerate(_delta, 1):
         lat = lat + k * F.sin(2 * j * chi)

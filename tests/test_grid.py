@@ -14,6 +14,7 @@ from gridspark.model import Grid, missing
 from gridspark.operators import cells as V
 from gridspark.operators import grid as G
 from gridspark.operators import regions, scenes, spatial
+from gridspark.plans.queries import QUERIES
 
 FIVE = Grid(0.0, 5.0, 1.0, 1.0, 5, 5)
 
@@ -199,3 +200,14 @@ def test_centroid_of_a_square(spark):
     x, y = geometry.centroid(F.col("ring"))
     assert tuple(shapes(spark, [ring((0, 0), (2, 0), (2, 2), (0, 2), (0, 0))]).select(x, y).first()) == (1.0, 1.0)
     assert math.isclose(shapes(spark, [SHAPES[0]]).select(geometry.area(F.col("ring"))).first()[0], 10)
+
+
+def test_projection_of_a_grid_beyond_the_pole(spark, tmp_path):
+    """A tall grid has latitudes beyond the pole; there and back again gives the same place on the ground, at the pole too."""
+    path = str(tmp_path)
+    spark.createDataFrame([(i, "view", 1.0) for i in range(3000)], "event_id long, event_type string, value double").write.parquet(f"{path}/events.parquet")
+    spark.createDataFrame([(100_000, [0.0] * 13, 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    found = QUERIES["g1_to_crs"](spark, path)
+    assert found.count() == 3000 and found.filter("lon_error <> 0 or lat_error <> 0").count() == 0
+    pole = spark.range(1).select(*(c.alias(n) for n, c in zip("xy", to_crs(F.lit(105.5), F.lit(89.9999), 4326, 4544), strict=True)))
+    assert abs(pole.select(unproject(F.col("x"), F.col("y"), 4544)[1]).first()[0] - 89.9999) < 1e-9
