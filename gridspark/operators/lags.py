@@ -20,7 +20,9 @@ from ..sources.scratch import written
 from .nearest import LEAST, SAMPLE, Tiles, _codes, _drawn, tiles_of
 
 #: Places of a tile: the lower bound, and the upper bound of what grows with the table, which is a share of all places.
-TILE, TILE_MOST, TILE_SHARE = 2048, 1 << 20, 256
+TILE, TILE_MOST, TILE_SHARE = 2048, 1 << 20, 32
+#: Places that a task packs together before it sends them.
+PACKED = 1 << 19
 #: Places of a leaf, runs of a run of the level above, pairs of runs looked at together and pairs of places held at once.
 LEAF, FAN, CHUNK, HELD = 32, 4, 1 << 14, 1 << 16
 #: Two runs are counted at once only if they are this many times farther apart than both are large: a mean distance from third moments is then
@@ -188,6 +190,20 @@ def _partners(tiles: Tiles, tile: int, side: float) -> np.ndarray:
     return np.flatnonzero(np.hypot(dx, dy) <= side * (1 + SLACK))
 
 
+def _packed(places: np.ndarray) -> bytes:
+    """Places in few bytes: by column and by byte of its numbers, and the sum of squares only where it does not follow from the sum."""
+    x, y, n, s, q = places
+    whole = np.stack([x, y, n, s, np.where(n == 1, 0.0, q)])
+    return pa.compress(np.ascontiguousarray(whole.view(np.uint8).reshape(5, -1, 8).transpose(0, 2, 1)).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    each = np.frombuffer(pa.decompress(packed, 40 * n, codec="zstd", asbytes=True), np.uint8).reshape(5, 8, n)
+    places = each.transpose(0, 2, 1).copy().view(np.float64).reshape(5, n)
+    places[4] = np.where(places[2] == 1, places[3] * places[3], places[4])
+    return places
+
+
 def lag_sums(points: DataFrame, value: str, side: float, lags: int, x: str, y: str) -> DataFrame:
     """``lag, n, g, d``: pairs of rows up to ``side`` apart by class from 1, sums of half their squared differences and of their distances.
 
@@ -209,18 +225,29 @@ def lag_sums(points: DataFrame, value: str, side: float, lags: int, x: str, y: s
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * (4 if n > TILE else 1)  # tile pairs differ much in work
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partners = {}
-        for batch in batches:
-            tile = tiles.value.of(batch.column("x").to_numpy(), batch.column("y").to_numpy())
+        partners, held, size = {}, [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            values = np.concatenate(held, axis=1)
+            tile = tiles.value.of(values[0], values[1])
             order = np.argsort(tile, kind="stable")
             found, begins = np.unique(tile[order], return_index=True)
             for t, some in zip(found.tolist(), np.split(order, begins[1:]), strict=True):
                 if t not in partners:
                     partners[t] = _partners(tiles.value, t, side)
-                columns = batch.take(pa.array(some)).columns
-                for u in partners[t].tolist():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), c, np.int32)) for c in (min(t, u), max(t, u), int(t > u))] + columns,
-                                                     ["one", "other", "second", "x", "y", "n", "s", "q"])
+                near, packed = partners[t], _packed(values[:, some])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(near, t).astype(np.int32)), pa.array(np.maximum(near, t).astype(np.int32)), pa.array((t > near).astype(np.int32)),
+                                                  pa.array(np.full(len(near), len(some), np.int32)), pa.array([packed] * len(near), pa.binary())],
+                                                 ["one", "other", "second", "size", "packed"])
+
+        for batch in batches:
+            held.append(np.stack([batch.column(c).to_numpy() for c in ("x", "y", "n", "s", "q")]))
+            size += batch.num_rows
+            if size >= PACKED:
+                yield from sent()
+                held, size = [], 0
+        if size:
+            yield from sent()
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, at, sides = np.zeros((3, lags)), None, ([], [])
@@ -233,7 +260,6 @@ def lag_sums(points: DataFrame, value: str, side: float, lags: int, x: str, y: s
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in ("one", "other", "second")])
             cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
-            values = np.stack([batch.column(c).to_numpy() for c in ("x", "y", "n", "s", "q")])
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a < b:
                     *pair, second = keys[:, a].tolist()
@@ -241,11 +267,11 @@ def lag_sums(points: DataFrame, value: str, side: float, lags: int, x: str, y: s
                         if at:
                             close()
                         at, sides = pair, ([], [])
-                    sides[second].append(values[:, a:b])
+                    sides[second].extend(_unpacked(batch.column("packed")[i].as_py(), batch.column("size")[i].as_py()) for i in range(a, b))
         if at:
             close()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, lags + 1, dtype=np.int32)), *map(pa.array, total)], ["lag", "n", "g", "d"])
 
-    sent = places.mapInArrow(dealt, "one int, other int, second int, x double, y double, n double, s double, q double")
+    sent = places.mapInArrow(dealt, "one int, other int, second int, size int, packed binary")
     sums = sent.repartition(parts, "one", "other").sortWithinPartitions("one", "other", "second").mapInArrow(met, "lag int, n double, g double, d double")
     return sums.union(here).groupBy("lag").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("d").alias("d")).filter("n > 0")

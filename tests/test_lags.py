@@ -63,3 +63,17 @@ def test_lags_of_odd_rows(spark):
     assert [tuple(r) for r in found] == [(4, 3.0, 2.0, 1)]
     assert krige.lag_table(spark.createDataFrame(odd[:1], FIELDS), "v", 6.0).count() == 0
     assert krige.lag_table(spark.createDataFrame([], FIELDS), "v", 6.0).count() == 0
+
+
+def test_places_are_sent_in_few_copies_and_bytes():
+    """What a place costs on the way to its partners does not grow with their number."""
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 1009, 30000).astype(float), rng.integers(0, 40000, 30000).astype(float)
+    s, n = rng.normal(0, 1, 30000), 1.0 + (rng.uniform(size=30000) < 0.1)
+    places = np.stack([x, y, n, s, np.where(n == 1, s * s, s * s + 1)])
+    packed = lags._packed(places)
+    assert np.array_equal(lags._unpacked(packed, 30000), places) and len(packed) < 20 * 30000
+    side = float(np.hypot(1009, 40000)) / 8
+    tiles = lags.tiles_of(x, y, len(x) // lags.TILE_SHARE, (0.0, 0.0, 1009.0, 40000.0))
+    copies = np.mean([len(lags._partners(tiles, t, side)) for t in tiles.of(x, y)[:500].tolist()])
+    assert copies < 30  # a quarter of the tiles lies within reach
