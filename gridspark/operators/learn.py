@@ -36,14 +36,19 @@ def forest(task: str, label: str, **params: int | None) -> Estimator:
     return kind(featuresCol="features", labelCol=label, seed=42, **forest_parameters(**params))
 
 
-def parts(rows: int) -> int:
-    """Partitions of training rows, by their number alone: ten thousand in each up to 64 of them, a million from there on."""
-    return max(1, min(ceil(rows / 10_000), max(64, ceil(rows / 1_000_000))))
+#: Training rows of a partition, and of one where many fits run side by side: every partition sends its own statistics of each open node, which
+#: for deep trees are far more than the rows, so fits that fill the cluster together take few partitions each.
+PER_PART, PER_PART_OF_MANY = 10_000, 250_000
 
 
-def ordered(df: DataFrame, key: str) -> DataFrame:
+def parts(rows: int, per: int = PER_PART) -> int:
+    """Partitions of training rows, by their number alone: ``per`` in each up to 64 of them, a million from there on."""
+    return max(1, min(ceil(rows / per), max(64, ceil(rows / 1_000_000))))
+
+
+def ordered(df: DataFrame, key: str, per: int = PER_PART) -> DataFrame:
     """Rows dealt and ordered by key into :func:`parts` partitions, so that a fit can be repeated on any cluster."""
-    return df.repartition(parts(df.count()), key).sortWithinPartitions(key)
+    return df.repartition(parts(df.count(), per), key).sortWithinPartitions(key)
 
 
 def fit(train: DataFrame, label: str, features: Sequence[str], task: str = "regression", key: str = "point_id", **params: int | None) -> PipelineModel:
@@ -70,11 +75,11 @@ def score(predicted: DataFrame, label: str, task: str) -> float:
 Fold = tuple[DataFrame, DataFrame]
 
 
-def prepared_folds(train: DataFrame, label: str, features: Sequence[str], folds: int, key: str = "point_id") -> list[Fold]:
+def prepared_folds(train: DataFrame, label: str, features: Sequence[str], folds: int, key: str = "point_id", per: int = PER_PART) -> list[Fold]:
     """Training and test rows of each fold by a hash of the key, assembled, ordered and cached: every fit over them shares the work."""
     assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(train).select(key, label, "features")
     folded = assembled.withColumn("_fold", bucket(F.col(key), 7, folds))
-    return [(ordered(folded.filter(F.col("_fold") != i), key).persist(), folded.filter(F.col("_fold") == i).persist()) for i in range(folds)]
+    return [(ordered(folded.filter(F.col("_fold") != i), key, per).persist(), folded.filter(F.col("_fold") == i).persist()) for i in range(folds)]
 
 
 def released(folds: list[Fold]) -> None:
@@ -157,7 +162,7 @@ def search(train: DataFrame, label: str, features: Sequence[str], task: str, gri
     Combinations that Spark cannot tell apart run once.  All combinations and folds are submitted together, ``SIDE_BY_SIDE`` at a
     time, the largest forests first, over rows that are assembled and cached once.
     """
-    prepared = prepared_folds(train, label, features, folds)
+    prepared = prepared_folds(train, label, features, folds, per=PER_PART_OF_MANY)
     known = [tuple(sorted(forest_parameters(**params).items())) for params in grid]
     first = {k: params for k, params in reversed(list(zip(known, grid, strict=True)))}
     largest = sorted(first, key=lambda k: (-dict(k)["numTrees"], -dict(k)["maxDepth"]))

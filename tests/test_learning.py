@@ -334,3 +334,12 @@ def test_tables_of_a_block_are_dropped_with_it(spark):
     assert there(before) and there(other) and there(written(df))
     with pytest.raises(Exception):
         inside.count()
+
+
+def test_fits_side_by_side_take_few_partitions(spark, monkeypatch):
+    """Each partition sends statistics of all open nodes: a search of many fits has a partition for 250,000 rows, not for 10,000."""
+    rows = spark.range(30000).selectExpr("id as point_id", "cast(id % 97 as double) as a", "cast(id % 13 as double) as y")
+    seen, real = [], learn.prepared_folds
+    monkeypatch.setattr(learn, "prepared_folds", lambda *a, **k: [seen.append(f[0].rdd.getNumPartitions()) or f for f in real(*a, **k)])
+    learn.search(rows, "y", ["a"], "regression", [{"n_estimators": 1, "max_depth": 1, "min_samples_split": 2, "min_samples_leaf": 1}])
+    assert seen == [1, 1, 1] and learn.parts(4_000_000, learn.PER_PART_OF_MANY) == 16
