@@ -26,6 +26,8 @@ from ..sources.scratch import written
 SAMPLE, LEAST = 1 << 17, 8
 #: Points or targets of a tile that is not cut further; a tile's targets beyond the second number are dealt over several tasks.
 LEAF, TARGETS = 4096, 1 << 16
+#: Points and targets that a task sorts, about.
+SORTED = 1 << 20
 #: Cuts of the plane in half, both ways, at most.
 DEPTH = 31
 #: Points of a block inside a tile, and distances held at once.
@@ -234,9 +236,10 @@ def _dealt(rows: DataFrame, tiles, shares, asked: bool, key: str) -> DataFrame:
     return rows.mapInArrow(place, schema)
 
 
-def _round(rows: DataFrame, tiles, surely, k: int, own: bool, key: str, last: bool, shares: int) -> DataFrame:
+def _round(rows: DataFrame, tiles, surely, k: int, own: bool, key: str, last: bool, shares: int, size: int) -> DataFrame:
     """``key, x, y, found, square, asks, reach`` of each target of ``rows``: its nearest points in this tile and the tiles to ask."""
-    parts = max(1, min(shares, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))  # by work, which the size of the rows does not tell
+    # by work, which the size of the rows does not tell; by their number where they are many
+    parts = max(1, min(shares, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SORTED))))
     ids = T.ArrayType(rows.schema[key].dataType)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +317,7 @@ def knn(points: DataFrame, targets: DataFrame | None, k: int, key: str) -> DataF
         surely[tile] = _surely(found, counts["points"], tile, k + own)
     shares, surely = spark.sparkContext.broadcast(-(-counts["targets"] // TARGETS) + (counts["targets"] == 0)), spark.sparkContext.broadcast(surely)
     rows = _dealt(pool, tiles, shares, False, key).union(_dealt(asked, tiles, shares, True, key))
-    first = written(_round(rows, tiles, surely, k, own, key, False, int(shares.value.sum())))
+    first = written(_round(rows, tiles, surely, k, own, key, False, int(shares.value.sum()), n + m))
     result = _ranked(first.filter(F.size("asks") == 0), key)
     again = first.filter(F.size("asks") > 0)
     per_tile = again.select(F.explode("asks").alias("tile")).groupBy("tile").count().toArrow()  # a row per tile
@@ -326,7 +329,7 @@ def knn(points: DataFrame, targets: DataFrame | None, k: int, key: str) -> DataF
     parts = F.pandas_udf(lambda tile: pd.Series(halo.value[tile.to_numpy()]), "long")
     share = F.lit(0) if (halo.value <= 1).all() else F.pmod(F.xxhash64(key, "x", "y"), parts("tile")).cast("int")
     sent = again.select(F.explode("asks").alias("tile"), key, "x", "y", "reach").select("tile", share.alias("share"), F.lit(True).alias("asked"), key, "x", "y", "reach")
-    more = _round(_dealt(pool, tiles, halo, False, key).union(sent), tiles, surely, k, own, key, True, int(halo.value.sum()))
+    more = _round(_dealt(pool, tiles, halo, False, key).union(sent), tiles, surely, k, own, key, True, int(halo.value.sum()), n + m)
     met = again.select(key, "found", "square").union(more.select(key, "found", "square"))
     near = met.select(key, F.explode(F.arrays_zip("found", "square")).alias("_n")).select(key, F.col("_n.found").alias("neighbour"), F.col("_n.square").alias("_d2"))
     merged = near.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("_d2", "neighbour"))).filter(F.col("rank") <= k)

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from ..functions.quantiles import medians, quantiles
 from .spatial import spatial_knn
 
+#: Rows of points and neighbours that one task joins or adds up, about.
+NEAR_ROWS = 1_000_000
 #: Bins of the kernel density along one bandwidth.
 BINS_PER_BANDWIDTH = 16
 
@@ -37,9 +39,19 @@ def global_outlier(points: DataFrame, column: str, width: float = 5.0) -> DataFr
 
 
 def neighbour_stats(points: DataFrame, columns: Sequence[str], k: int = 8, key: str = "point_id") -> DataFrame:
-    """``key`` and mean and standard deviation of each column over the k nearest other points, whose NULLs do not count."""
+    """``key`` and mean and standard deviation of each column over the k nearest other points, whose NULLs do not count.
+
+    Beyond ``NEAR_ROWS`` a shuffle partition, rows are dealt into as many partitions as their number asks for, and by key before they are added up:
+    behind the join nearly every row of a task is of another key, so sums made there would be as many as the rows, and larger.
+    """
     values = points.select(F.col(key).alias("neighbour"), *columns)
-    return spatial_knn(points, k, key=key).join(values, "neighbour").groupBy(key).agg(
+    near = spatial_knn(points, k, key=key).select(key, "neighbour")
+    parts = -(-points.count() * k // NEAR_ROWS)
+    if parts > int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        met = near.repartition(parts, "neighbour").join(values.repartition(parts, "neighbour"), "neighbour").repartition(parts, key)
+    else:
+        met = near.join(values, "neighbour")
+    return met.groupBy(key).agg(
         *(f(c).alias(f"{c}_{n}") for c in columns for n, f in (("near", F.avg), ("near_std", F.stddev_pop))))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from gridspark.operators import nearest, spatial
+from gridspark.operators import nearest, quality, spatial
 
 
 def every_pair(px, py, pid, tx, ty, tid, k, own):
@@ -101,3 +101,14 @@ def test_tiles_cover_the_square():
     assert (tiles.width[full] == tiles.side / 2 ** nearest.DEPTH).all() and np.isclose((tiles.width ** 2).sum(), tiles.side ** 2)
     slack = 1e-6 * tiles.side
     assert ((xy[:, 0] >= tiles.left[at] - slack) & (xy[:, 0] <= tiles.left[at] + tiles.width[at] + slack)).all()
+
+
+def test_neighbour_statistics_in_more_partitions(spark, monkeypatch):
+    """Many rows are dealt into partitions by their number, and nothing is added up before they are dealt by key; results stay."""
+    rows = spark.range(600).selectExpr("id as point_id", "cast(id * 37 % 101 as double) as x", "cast(id * 53 % 89 as double) as y", "cast(id % 7 as double) as v")
+    want = {r[0]: r[1:] for r in quality.neighbour_stats(rows, ["v"]).collect()}
+    monkeypatch.setattr(quality, "NEAR_ROWS", 400)
+    found = quality.neighbour_stats(rows, ["v"])
+    assert "hashpartitioning(point_id#" in (plan := found._jdf.queryExecution().toString()) and ", 12)" in plan
+    got = {r[0]: r[1:] for r in found.collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
