@@ -12,6 +12,8 @@ from ..model import Grid
 from ..sources.scratch import written
 
 TILE = 64
+#: Joins of tables that grow with the cells: no side goes through the driver, however few bytes its file has.
+SHUFFLED = "shuffle_merge"
 
 
 def _local_labels(tile: pd.DataFrame) -> pd.DataFrame:
@@ -51,20 +53,20 @@ def label_regions(cells: DataFrame, value: str, width: int, tile: int = TILE) ->
         axis = "row" if dr else "col"
         here = local.filter(F.col(axis) % tile == tile - 1).select((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"), "value", F.col("label").alias("a"))
         there = local.filter(F.col(axis) % tile == 0).select("row", "col", "value", F.col("label").alias("b"))
-        return here.join(there, ["row", "col", "value"]).select("a", "b")
+        return here.join(there.hint(SHUFFLED), ["row", "col", "value"]).select("a", "b")
 
     links = border(1, 0).union(border(0, 1)).filter("a <> b").distinct()
     links = written(links.union(links.select("b", "a")).distinct())
     roots = written(links.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
     while True:
-        near = links.join(roots, links["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("least"))
-        passed = roots.join(near, roots["node"] == near["a"], "left").select("node", F.least("root", "least").alias("root"), F.col("root").alias("_old"))
+        near = links.join(roots.hint(SHUFFLED), links["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("least"))
+        passed = roots.join(near.hint(SHUFFLED), roots["node"] == near["a"], "left").select("node", F.least("root", "least").alias("root"), F.col("root").alias("_old"))
         jump = passed.select(F.col("node").alias("_n"), F.col("root").alias("_r"))  # and the root's own root
-        new = written(passed.join(jump, passed["root"] == jump["_n"], "left").select("node", F.least("root", "_r").alias("root"), "_old"))
+        new = written(passed.join(jump.hint(SHUFFLED), passed["root"] == jump["_n"], "left").select("node", F.least("root", "_r").alias("root"), "_old"))
         roots, changed = new.select("node", "root"), new.filter("root <> _old").limit(1).count()
         if not changed:
             break
-    return local.join(roots, local["label"] == roots["node"], "left").select("row", "col", "value", F.coalesce("root", "label").alias("region"))
+    return local.join(roots.hint(SHUFFLED), local["label"] == roots["node"], "left").select("row", "col", "value", F.coalesce("root", "label").alias("region"))
 
 
 def polygonize(cells: DataFrame, value: str, width: int, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +80,7 @@ def polygonize(cells: DataFrame, value: str, width: int, tile: int = TILE) -> tu
     sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.lit(r).alias("r"), F.lit(c).alias("c")) for s, r, c in (("N", -1, 0), ("S", 1, 0), ("W", 0, -1), ("E", 0, 1)))))
     looked = labelled.select("region", "row", "col", sides.alias("s")).select("region", "row", "col", "s.side", (F.col("row") + F.col("s.r")).alias("_r"), (F.col("col") + F.col("s.c")).alias("_c"))
     other = labelled.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("region").alias("_region"))
-    edges = looked.join(other, ["_r", "_c"], "left").filter(~F.col("region").eqNullSafe(F.col("_region"))).select("region", "row", "col", "side")
+    edges = looked.join(other.hint(SHUFFLED), ["_r", "_c"], "left").filter(~F.col("region").eqNullSafe(F.col("_region"))).select("region", "row", "col", "side")
     return regions, edges
 
 
@@ -103,7 +105,7 @@ def _following(edges: DataFrame) -> DataFrame:
     number = lambda row, col, s: F.struct(row.cast("long"), col.cast("long"), F.element_at(F.create_map(*(F.lit(x) for p in at.items() for x in p)), s))
     tried = edges.select("region", "row", "col", "side", F.explode(F.coalesce(*steps)).alias("t"))
     there = edges.select(F.col("region").alias("_region"), F.col("row").alias("_row"), F.col("col").alias("_col"), F.col("side").alias("_side"))
-    met = tried.join(there, (F.col("region") == F.col("_region")) & (F.col("t.row") == F.col("_row")) & (F.col("t.col") == F.col("_col")) & (F.col("t.side") == F.col("_side")))
+    met = tried.join(there.hint(SHUFFLED), (F.col("region") == F.col("_region")) & (F.col("t.row") == F.col("_row")) & (F.col("t.col") == F.col("_col")) & (F.col("t.side") == F.col("_side")))
     first = met.groupBy("region", "row", "col", "side").agg(F.min("t.k").alias("turns"), F.min_by(F.struct("t.row", "t.col", "t.side"), "t.k").alias("n"))
     return first.select("region", number(F.col("row"), F.col("col"), side).alias("id"), number(F.col("n.row"), F.col("n.col"), F.col("n.side")).alias("next"), "row", "col", "side",
                         (F.col("n.side") != side).alias("turns"))
@@ -116,7 +118,7 @@ def _doubled(links: DataFrame, least: bool) -> DataFrame:
     """
     while True:
         ahead = links.select(F.col("id").alias("_id"), F.col("to").alias("_to"), F.col("best").alias("_best"), F.col("steps").alias("_steps"))
-        joined = links.join(ahead, F.col("to") == F.col("_id"), "left")
+        joined = links.join(ahead.hint(SHUFFLED), F.col("to") == F.col("_id"), "left")
         better = F.least("best", F.coalesce("_best", "best"))
         new = written(joined.select("id", F.col("_to").alias("to"), better.alias("best"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
                                     (F.col("to").isNotNull() if not least else better != F.col("best")).alias("_moved")))
@@ -133,12 +135,12 @@ def region_rings(edges: DataFrame) -> DataFrame:
     """
     following = written(_following(edges))
     named = _doubled(following.select("id", F.col("next").alias("to"), F.least("id", "next").alias("best"), F.lit(1).cast("long").alias("steps")), True)
-    rings = written(following.join(named.select("id", F.col("best").alias("ring")), "id"))
+    rings = written(following.join(named.select("id", F.col("best").alias("ring")).hint(SHUFFLED), "id"))
     last = F.col("next") == F.col("ring")
     order = _doubled(rings.select("id", F.when(~last, F.col("next")).alias("to"), F.col("id").alias("best"), F.lit(1).cast("long").alias("steps")), False)
     begins = F.coalesce(*(F.when(F.col("side") == s, F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col"))) for s, _, (r, c) in
                           ((s, None, _SIDES[(i + 1) % 4][2]) for i, (s, _, _) in enumerate(_SIDES))))  # where the edge ends
-    corners = rings.join(order.select("id", "steps"), "id").filter("turns").select("region", "ring", F.struct((-F.col("steps")).alias("at"), begins.alias("corner")).alias("c"))
+    corners = rings.join(order.select("id", "steps").hint(SHUFFLED), "id").filter("turns").select("region", "ring", F.struct((-F.col("steps")).alias("at"), begins.alias("corner")).alias("c"))
     found = corners.groupBy("region", "ring").agg(F.sort_array(F.collect_list("c")).alias("c"))
     ordered = F.transform("c", lambda c: c["corner"])
     return found.select("region", "ring", F.concat(ordered, F.slice(ordered, 1, 1)).alias("corners"))
@@ -154,4 +156,4 @@ def region_shapes(cells: DataFrame, value: str, grid: Grid, tile: int = TILE) ->
     rings = region_rings(edges).select("region", F.transform("corners", point).alias("ring"))
     placed = F.struct(signed_area(F.col("ring")).alias("area"), F.col("ring")).alias("r")
     shapes = rings.select("region", placed).groupBy("region").agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["ring"]).alias("rings"))
-    return regions.select("region", "value", "n").join(shapes, "region")
+    return regions.select("region", "value", "n").join(shapes.hint(SHUFFLED), "region")

@@ -61,3 +61,11 @@ def test_random_pictures(spark):
 
 def test_no_cells(spark):
     assert regions.region_shapes(cells_of(spark, "..\n..")[1], "v", Grid(0, 0, 1, 1, 2, 2)).count() == 0
+
+
+def test_no_table_of_edges_goes_through_the_driver(spark):
+    cells = spark.range(400).selectExpr("cast(id div 20 as int) as row", "cast(id % 20 as int) as col", "cast(id * 7 % 3 as int) as v")
+    labelled, edges = regions.polygonize(cells, "v", 20, 8)
+    for df in (edges, regions._following(edges), regions.region_rings(edges)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan
