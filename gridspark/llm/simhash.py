@@ -169,18 +169,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-# --- similar texts: buckets of equal minimum hashes, the same comparison inside them, exact similarity decides ---------
+# --- similar texts: tiles of fingerprints that agree in some bits, exclusive-or and bit counts inside them, exact similarity decides ---
 
-#: 64-bit words of a long fingerprint.
-WORDS = 16
+#: 64-bit words of a long fingerprint; the first so many of them travel to the tiles, bits of the others say to which.
+WORDS, NARROW = 16, 2
 _U = np.uint64
-#: Keys of a set, of so many minimum hashes each: two sets of similarity s share one with probability 1 - (1 - s^6)^24, 0.9993 at 0.8.
-BANDS, ROWS = 24, 6
-#: Sets of fewer shingles are compared without fingerprints, which tell little about them.
+#: Least chance that fingerprints which differ in as many bits as expected share a tile.
+REACH = 0.9993
+#: Sets of fewer shingles differ in up to a quarter more bits than larger ones (four shingles of five: 3/16 of them, where 0.15 is expected).
 FEW = 64
-#: Members of a bucket that are compared in one task; larger buckets are cut, see :func:`_units`.
+#: Members of a tile that are compared in one task; tiles have half of them on average, larger ones are cut, see :func:`_tiles`.
 FULL = 4096
-_factor, _mask = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) << _U(1) | _U(1)
 
 
 def _further(hashes: np.ndarray) -> np.ndarray:
@@ -210,48 +209,85 @@ def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """Signed keys of a shingle set, one a band."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(hashes), 1024):
-        np.minimum(least, ((hashes[None, start:start + 1024] ^ _mask) * _factor).min(axis=1), out=least)
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+def differing_share(similarity: float) -> float:
+    """Share of differing bits that is expected between sets of a Jaccard similarity: their angle over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def most_bits(similarity: float, words: int = WORDS, few: bool = False) -> int:
+    """Differing bits beyond which texts are not held against each other: those expected and three standard errors (four for the narrow fingerprint)."""
+    n, share = 64 * words, min(0.5, differing_share(similarity) * (1.25 if few else 1))
+    return math.floor(n * share + (3 if words == WORDS else 4) * math.sqrt(n * share * (1 - share)))
+
+
+def tile_bits(nodes: int, full: int = FULL) -> int:
+    """Bits that the fingerprints of a tile agree in, so that tiles hold ``full / 2`` of ``nodes`` on average; none for few nodes, which all meet."""
+    return max(0, math.ceil(math.log2(max(1, nodes) / (full / 2))))
+
+
+def deals(similarity: float, bits: int) -> int:
+    """How often fingerprints are dealt into tiles, each time by other bits, so that similar ones meet."""
+    if not bits:
+        return 1
+    return math.ceil(math.log(1 - REACH) / math.log(1 - (1 - differing_share(similarity)) ** bits))
+
+
+def tile_keys(words: np.ndarray, bits: int, times: int) -> np.ndarray:
+    """The tiles of long fingerprints (a row each), one for each time they are dealt: its number and the bits sampled for it."""
+    ones = np.unpackbits(np.ascontiguousarray(words[:, NARROW:]).view(np.uint8), axis=1, bitorder="little")
+    place = 1 << np.arange(bits, dtype=np.int64)
+    sampled = (np.random.default_rng([SEED, t]).choice(ones.shape[1], bits, replace=False) for t in range(times))
+    return np.stack([(t << bits) + ones[:, at] @ place for t, at in enumerate(sampled)], axis=1)
+
+
+def band_keys(hashes: np.ndarray, bits: int = 8, similarity: float = 0.8) -> np.ndarray:
+    """The tiles of a shingle set."""
+    return tile_keys(long_fingerprint(hashes)[None], bits, deals(similarity, bits))[0]
 
 
 def sketch(text: Column, shingle: int) -> Column:
-    """Struct of the hash of a text's whole shingle set, its size, its long fingerprint and its keys."""
+    """Struct of the hash of a text's whole shingle set, its size and its long fingerprint."""
 
-    @F.pandas_udf("node long, n int, words binary, bands array<long>")
+    @F.pandas_udf("node long, n int, words binary")
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingle_set(t, shingle) for t in texts]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"node": nodes, "n": np.array([len(s) for s in sets], np.int32), "words": [long_fingerprint(s).tobytes() for s in sets],
-                                "bands": [band_keys(s) for s in sets]})
+            yield pd.DataFrame({"node": nodes, "n": np.array([len(s) for s in sets], np.int32), "words": [long_fingerprint(s).tobytes() for s in sets]})
 
     return sketched(text)
 
 
-def differing_share(similarity: float) -> float:
-    """Share of differing bits that is expected between sets of a Jaccard similarity: their angle over pi."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+def _unpacked(words: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(words), "<u8").reshape(-1, WORDS)
 
 
-def most_bits(similarity: float) -> int:
-    """Differing bits of long fingerprints beyond which texts are not held against each other: those expected and three standard errors."""
-    n, share = 64 * WORDS, differing_share(similarity)
-    return math.floor(n * share + 3 * math.sqrt(n * share * (1 - share)))
+def _within(bits: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float, words: int) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles whose fingerprints differ in ``bits`` may be as similar as ``similarity``."""
+    small = np.minimum(n, m)
+    return (bits <= np.where(small < FEW, most_bits(similarity, words, True), most_bits(similarity, words))) & (small >= similarity * np.maximum(n, m))
 
 
 def _apart(words: np.ndarray, n: np.ndarray, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
-    """Differing bits of one fingerprint to others, -1 if they cannot be as similar as ``similarity``; 0 for sets too small to tell."""
+    """Differing bits of one fingerprint to others, -1 if they cannot be as similar as ``similarity``."""
     bits = np.bitwise_count(words[others] ^ words[i]).sum(axis=1, dtype=np.int64)
-    small = np.minimum(n[others], n[i])
-    bits[small < FEW] = 0
-    bits[(bits > most_bits(similarity)) | (small < similarity * np.maximum(n[others], n[i]))] = -1
+    bits[~_within(bits, n[others], n[i], similarity, words.shape[1])] = -1
     return bits
 
 
+def _meeting(words: np.ndarray, n: np.ndarray, root: np.ndarray, similarity: float) -> np.ndarray:
+    """Members that may be similar to one of another root: all pairs by exclusive-or and bit counts, a strip at a time."""
+    out, most, columns = np.zeros(len(n), bool), most_bits(similarity, words.shape[1], True), [np.ascontiguousarray(c) for c in words.T]
+    for start in range(0, len(n), STRIP):
+        bits = sum(np.bitwise_count(c[start:start + STRIP, None] ^ c[None, start:]) for c in columns)
+        i, j = np.nonzero(bits <= most)
+        found = bits[i, j]
+        i, j = i + start, j + start
+        near = (i < j) & (root[i] != root[j]) & _within(found, n[i], n[j], similarity, words.shape[1])
+        out[i[near]] = out[j[near]] = True
+    return np.flatnonzero(out)
+
+
 def _forest(words: np.ndarray, n: np.ndarray, root: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs that may be similar, the nearest first; members of one root are together already."""
     size = len(n)
@@ -282,13 +318,15 @@ def _every(words: np.ndarray, n: np.ndarray, root: np.ndarray, similarity: float
 
 
 def _proposed(units: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """Distinct pairs ``a < b`` to look at, of ``units(unit, node, root, n, words)``; a task holds one unit."""
+    """Distinct pairs ``a < b`` to look at, of ``units(unit, node, root, n, words...)``; a task holds one unit."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(rows: list[pd.DataFrame]) -> pd.DataFrame:
             held = pd.concat(rows).drop_duplicates("node")
-            node, words = held["node"].to_numpy(), np.frombuffer(b"".join(held["words"]), "<u8").reshape(-1, WORDS)
-            pairs = (_every if every else _forest)(words, held["n"].to_numpy(), held["root"].to_numpy(), similarity)
-            ends = node[np.array(pairs, np.int64).reshape(-1, 2)]
+            node, n, root = (held[c].to_numpy() for c in ("node", "n", "root"))
+            words = np.stack([held[f"w{i}"].to_numpy() for i in range(NARROW)], axis=1).view(np.uint64)
+            at = _meeting(words, n, root, similarity)
+            pairs = (_every if every else _forest)(words[at], n[at], root[at], similarity)
+            ends = node[at][np.array(pairs, np.int64).reshape(-1, 2)]
             return pd.DataFrame({"a": ends.min(axis=1, initial=2 ** 63 - 1), "b": ends.max(axis=1, initial=-2 ** 63)})
 
         at, held = None, []
@@ -310,14 +348,36 @@ def _proposed(units: DataFrame, similarity: float, every: bool) -> DataFrame:
     return units.repartition("unit").sortWithinPartitions("unit").mapInPandas(run, "a long, b long").distinct()
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
-    """``bucket, node, size`` of the sets that share a key with another one; buckets of the same members are one."""
-    keyed = rows.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
-    shared = keyed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket")
-    members = written(keyed.join(shared, "bucket").distinct())
-    each = members.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("two"))
-    different = each.groupBy("size", "one", "two").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
-    return written(members.join(different, "bucket"))
+#: Columns of the narrow fingerprint.
+_SHORT = [f"w{i}" for i in range(NARROW)]
+
+
+def _shortened(words: Column) -> Column:
+    """Struct of the narrow fingerprint's words; exclusive-or and bit counts do not mind their byte order."""
+    word = lambda i: F.conv(F.hex(F.substring(words, 8 * i + 1, 8)), 16, -10).cast("long")
+    return F.struct(*(word(i).alias(c) for i, c in enumerate(_SHORT)))
+
+
+def _dealt(nodes: DataFrame, bits: int, similarity: float, *columns: str) -> DataFrame:
+    """``unit`` and ``columns`` of each fingerprint in each of its tiles."""
+
+    @F.pandas_udf("array<long>")
+    def tiles(words: pd.Series) -> pd.Series:
+        return pd.Series(list(tile_keys(_unpacked(words), bits, deals(similarity, bits))))
+
+    return nodes.select(*columns, F.explode(tiles("words")).alias("unit"))
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` whose long fingerprints are near enough to be looked at."""
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        bits = np.bitwise_count(_unpacked(a) ^ _unpacked(b)).sum(axis=1, dtype=np.int64)
+        return pd.Series(_within(bits, n.to_numpy(), m.to_numpy(), similarity, WORDS))
+
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("words").alias(f"words_{c}")).hint("merge")
+    return written(pairs.join(side("a"), "a").join(side("b"), "b").filter(near("words_a", "words_b", "n_a", "n_b")).select("a", "b"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, asked: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -343,62 +403,72 @@ def _verified(pairs: DataFrame, texts: DataFrame, asked: DataFrame, similarity:
     return written(both.select("a", "b", similar("set_a", "set_b").alias("similar")))
 
 
-def _units(members: DataFrame, nodes: DataFrame, check, full: int) -> tuple[DataFrame, DataFrame | None]:
-    """``unit, node`` of the members to be compared in one task, and links found on the way.
+def _parts(large: DataFrame, check, full: int) -> tuple[DataFrame, DataFrame]:
+    """``unit, node`` of the members of tiles of over ``full`` members, and links found on the way.
 
-    Buckets of up to ``full`` members are a unit each.  In a larger one all members are held against its least node first, so that a
-    group of near copies costs as many comparisons as it has members; the others, which are *open*, then meet each
-    other and the rest part by part, two parts to a unit.
+    All members are held against one that has most of them near it, of three drawn, so that a group of near copies costs as many comparisons
+    as it has members; the others, which are *open*, then meet each other and the rest part by part, two parts to a unit.
     """
-    small, large = members.filter(F.col("size") <= full).select(F.col("bucket").alias("unit"), "node"), members.filter(F.col("size") > full)
-    if large.isEmpty():
-        return small, None
-    led = large.join(large.groupBy("bucket").agg(F.min("node").alias("leader")), "bucket")
-    near = check(written(led.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()))
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(i), "node"), "node"))["node"] for i in range(3)]
+    heads = large.groupBy("unit").agg(F.array_distinct(F.array(*drawn)).alias("leaders")).select("unit", F.explode("leaders").alias("leader"))
+    led = large.join(heads, "unit")
+    near = check(written(led.filter("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()))
     links = near.filter("similar").select("a", "b")
-    marks = led.join(links.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.lit(True).alias("near")), ["leader", "node"], "left")
-    marks = written(marks.select("bucket", "node", (F.col("near").isNull() & (F.col("node") != F.col("leader"))).alias("open")))
+    both = links.union(links.select("b", "a")).select(F.col("a").alias("leader"), F.col("b").alias("node"), F.lit(True).alias("near"))
+    marks = written(led.join(both, ["leader", "node"], "left"))
+    chosen = marks.groupBy("unit", "leader").agg(F.count("near").alias("near")).groupBy("unit").agg(F.max_by("leader", F.struct("near", "leader")).alias("leader"))
+    marks = written(marks.join(chosen, ["unit", "leader"]).select("unit", "node", (F.col("near").isNull() & (F.col("node") != F.col("leader"))).alias("open")))
     half = full // 2
-    sizes = marks.groupBy("bucket").agg(F.ceil(F.count_if("open") / half).cast("int").alias("opens"), F.ceil(F.count_if(~F.col("open")) / half).cast("int").alias("nears"))
-    dealt = marks.join(sizes.filter("opens > 0"), "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("open"), F.col("opens")).otherwise(F.col("nears"))).cast("int"))
+    sizes = marks.groupBy("unit").agg(F.ceil(F.count_if("open") / half).cast("int").alias("opens"), F.ceil(F.count_if(~F.col("open")) / half).cast("int").alias("nears"))
+    dealt = marks.join(sizes.filter("opens > 0"), "unit").withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("open"), F.col("opens")).otherwise(F.col("nears"))).cast("int"))
     other = F.when(F.col("open"), F.sequence(F.lit(0), F.col("opens") + F.col("nears") - 1)).otherwise(F.sequence(F.lit(0), F.col("opens") - 1))
     met = dealt.withColumn("part", F.when(F.col("open"), F.col("part")).otherwise(F.col("part") + F.col("opens"))).withColumn("other", F.explode(other))
-    units = met.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"), F.lit("parts")).alias("unit"), "node")
-    return small.union(units), links
+    return written(met.select(F.xxhash64("unit", F.least("part", "other"), F.greatest("part", "other"), F.lit("parts")).alias("unit"), "node")), links
 
 
 def similar_links(rows: DataFrame, texts: DataFrame, similarity: float = 0.8, shingle: int = 5, full: int = FULL) -> DataFrame:
-    """Links ``a, b`` between nodes of ``rows(key, node, n, words, bands)`` whose shingle sets have ``similarity`` or more, enough to connect all that are.
+    """Links ``a, b`` between nodes of ``rows(key, node, n, words)`` whose shingle sets have ``similarity`` or more, enough to connect all that are.
 
-    Sets that share a key meet in a unit, where long fingerprints are compared by exclusive-or and bit counts.  First a forest
-    of the nearest pairs is verified by whole sets of ``texts(key, text)``, then every pair between what that left apart.
-    Keys, fingerprints and ids are shuffled for sets that share a key, whole texts only for pairs that are verified.
+    Fingerprints are dealt into tiles by sampled bits, :func:`deals` times; those of a tile are compared by exclusive-or and bit counts, all
+    pairs, first in 128 bits, then, for pairs that pass, in all 1,024.  First a forest of the nearest pairs is verified by whole sets of
+    ``texts(key, text)``, then every pair between what that left apart.  Few fingerprints make one tile, where all meet.
+    Ids and narrow fingerprints are shuffled for all sets, whole texts only for pairs that are verified.
     """
-    members = _buckets(rows)
-    asked = written(rows.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "key", "n", "words"))
-    check = lambda pairs: _verified(pairs, texts, asked.select("node", "key"), similarity, shingle)
-    units, links = _units(members, asked, check, full)
-    units = written(units.join(asked.select("node", "n", "words"), "node"))
-    seen = None
-    for every in (False, True):
-        roots = components(links) if links is not None else None
-        placed = units.withColumn("root", F.col("node")) if roots is None else units.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if every:
-            mixed = placed.groupBy("unit").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("unit")
-            placed = placed.join(mixed, "unit", "left_semi")
-        pairs = _proposed(placed.select("unit", "node", "root", "n", "words"), similarity, every)
-        found = check(written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")))
-        seen = found.select("a", "b")
-        more = found.filter("similar").select("a", "b")
-        links = more if links is None else links.union(more)
-    return links
+    # a set of fewer shingles cannot be as similar to another one
+    able = rows.filter(F.col("n") + 1e-9 >= similarity * (F.col("n") + 1))
+    nodes = written(able.dropDuplicates(["node"]).select("node", "key", "n", "words", _shortened(F.col("words")).alias("short")).select("node", "key", "n", "words", "short.*"))
+    bits = tile_bits(nodes.count(), full)
+    check = lambda pairs: _verified(_close(pairs, nodes, similarity), texts, nodes.select("node", "key"), similarity, shingle)
+    members = _dealt(nodes, bits, similarity, "node")
+    crowded = written(members.groupBy("unit").count().filter(F.col("count") > full).select("unit"))
+    cut, links = (None, None) if crowded.isEmpty() else _parts(written(members.join(crowded, "unit", "left_semi")), check, full)
+    carried = ["node", "root", "n", *_SHORT]
+
+    def units(some: DataFrame) -> DataFrame:
+        dealt = _dealt(some, bits, similarity, *carried)
+        return dealt if cut is None else dealt.join(crowded, "unit", "left_anti").unionByName(cut.join(some.select(*carried), "node"))
+
+    def placed() -> DataFrame:
+        if links is None:
+            return nodes.withColumn("root", F.col("node"))
+        return nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    pairs = written(_proposed(units(placed()), similarity, every=False))
+    found = check(pairs).filter("similar").select("a", "b")
+    links = found if links is None else links.union(found)
+    # members of classes that the forest has a pair of; all others have none
+    every = written(placed())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    roots = every.join(ends, "node", "left_semi").select("root").distinct()
+    rest = _proposed(units(written(every.join(roots, "root", "left_semi"))), similarity, every=True)
+    return links.union(check(rest.join(pairs, ["a", "b"], "left_anti")).filter("similar").select("a", "b"))
 
 
 def without_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", full: int = FULL) -> DataFrame:
     """The rows of ``docs`` but those that are near copies of another: of each component the row with the least id stays.
 
-    Rows link when the Jaccard similarity of their sets of word shingles is ``similarity`` or more, counted over the whole sets.  A pair at
-    0.8 is looked at with a probability of 0.998, one at 0.85 of 0.99998; nothing below ``similarity`` links.  Texts without a
+    Rows link when the Jaccard similarity of their sets of word shingles is ``similarity`` or more, counted over the whole sets.  Pairs are
+    found by their fingerprints, see :func:`similar_links`.  A pair at 0.8 is looked at with a probability of 0.998, one at 0.85 of 0.99998; nothing below ``similarity`` links.  Texts without a
     word link with each other, texts of fewer words than a shingle has are one shingle.  The verdict is a row's own: of rows
     that repeat an id only those go whose text is a copy, one of whole rows that are repeated stays, and a row with a NULL id
     stays only where its component has no other.  An empty table gives an empty result; all columns are kept.

@@ -510,6 +510,32 @@ def test_keys_find_similar_sets():
     assert sum(found) >= 0.98 * len(found)
 
 
+def test_tiles_are_cut_by_bits_of_the_fingerprint():
+    """Fingerprints as far apart as 0.8 is expected to be meet in a tile; few fingerprints make one tile, where all pairs meet."""
+    rng = np.random.default_rng(4)
+    for nodes in (300_000, 20_000_000):
+        bits = simhash.tile_bits(nodes)
+        times = simhash.deals(0.8, bits)
+        one = rng.integers(0, 1 << 63, (500, simhash.WORDS), np.uint64)
+        flips = np.packbits(rng.random((500, 64 * simhash.WORDS)) < simhash.differing_share(0.8), axis=1).view("<u8")
+        keys, other = (simhash.tile_keys(w, bits, times) for w in (one, one ^ flips))
+        assert (keys == other).any(axis=1).mean() >= 0.995
+        assert (keys[:-1] == other[1:]).mean() < 4 / 2 ** bits  # strangers meet by chance only
+    assert simhash.tile_bits(2048) == 0 and simhash.deals(0.8, 0) == 1 and not simhash.tile_keys(one, 0, 1).any()
+
+
+def test_fingerprints_of_small_sets_tell_enough():
+    """Four shingles of five: more bits differ than in large sets, and still the pair is looked at, strangers are not."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, 5, np.uint64)) for _ in range(200)]
+    wide = np.stack([simhash.long_fingerprint(s) for s in sets])
+    less = np.stack([simhash.long_fingerprint(s[:4]) for s in sets])
+    for words in (simhash.NARROW, simhash.WORDS):
+        bits = lambda a, b, k=words: np.bitwise_count(a[:, :k] ^ b[:, :k]).sum(axis=1, dtype=np.int64)
+        near = lambda d, k=words: simhash._within(d, np.full(len(d), 5), np.full(len(d), 4), 0.8, k)
+        assert near(bits(wide, less)).mean() >= 0.99 and near(bits(wide[1:], less[:-1])).mean() < 0.05
+
+
 def test_share_of_differing_bits():
     random.seed(3)
     for n in (4, 12, 30):
