@@ -1,8 +1,8 @@
 """Extremely randomised trees for classification, grown level by level, all trees at once.
 
 Every tree sees all rows (no bagging).  A node draws a few features and one threshold for each, evenly between the least and the
-greatest value that its rows have, and splits by the one that lowers the impurity most.  A level takes two aggregates over
-the rows: ranges of the drawn features by node, then class counts on either side of the thresholds.  Both are combined in each
+greatest value that its rows have, and splits by the one that lowers the impurity most.  Rows that agree in all features and the class
+are one row with their number, which changes no range and no count.  A level takes two aggregates over the rows: ranges of the drawn features by node, then class counts on either side of the thresholds.  Both are combined in each
 task and by Spark, so the driver gets numbers for the open nodes only: at most ``trees * 2 ** max_depth`` of them, however many rows there are.
 """
 
@@ -19,6 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a partition at least, where there are so many.
+PER_PART = 10_000
+
+
 def _impurity(counts: np.ndarray, criterion: str) -> np.ndarray:
     """Gini impurity or entropy of class counts along the last axis, times the rows."""
     n = counts.sum(axis=-1, keepdims=True)
@@ -61,10 +65,10 @@ def _reached(x: np.ndarray, root: int, feature: np.ndarray, threshold: np.ndarra
         at = np.where(inner, left[at] + (x[rows, np.maximum(f, 0)] > threshold[at]), at)
 
 
-def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
         if len(batch):
-            yield np.stack(batch["x"].to_numpy()).astype(float), batch["y"].to_numpy()
+            yield np.stack(batch["x"].to_numpy()).astype(float), batch["y"].to_numpy(), batch["n"].to_numpy()
 
 
 class ExtraTrees:
@@ -96,11 +100,13 @@ def fit_extra_trees(df: DataFrame, label: str, n_classes: int, trees: int = 20,
     """
     if criterion not in ("gini", "entropy"):
         raise ValueError(f"unknown criterion: {criterion}")
-    rows = df.filter(F.col(features).isNotNull() & F.col(label).isNotNull()).select(vector_to_array(features).alias("x"), F.col(label).cast("int").alias("y")).persist()
+    rows = df.filter(F.col(features).isNotNull() & F.col(label).isNotNull()).select(vector_to_array(features).alias("x"), F.col(label).cast("int").alias("y"))
+    grouped = rows.groupBy("x", "y").agg(F.count("*").alias("n")).persist()
+    rows = grouped.coalesce(ceil(max(1, grouped.count()) / PER_PART))  # few rows, few tasks
     first = rows.first()
     found, rng = Trees(trees), np.random.default_rng(seed)
     whole = np.zeros(n_classes)
-    for y, n in rows.groupBy("y").count().collect():  # a row per class
+    for y, n in rows.groupBy("y").agg(F.sum("n")).collect():  # a row per class
         whole[y] = n
     open_ = [found.add(whole.copy()) for _ in range(trees)]
     width = len(first["x"]) if first else 0
@@ -124,7 +130,7 @@ def fit_extra_trees(df: DataFrame, label: str, n_classes: int, trees: int = 20,
                 found.feature[k], found.threshold[k] = int(chosen[i, best]), float(at[i, best])
                 found.left[k] = found.add(lefts[i, best])
                 open_ += [found.left[k], found.add(right[best])]
-    rows.unpersist()
+    grouped.unpersist()
     return ExtraTrees(found, n_classes, features)
 
 
@@ -141,7 +147,7 @@ def _ranges(rows: DataFrame, found: Trees, nodes: list[int], chosen: np.ndarray)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         low, high = np.full(chosen.shape, np.inf), np.full(chosen.shape, -np.inf)
-        for x, _ in _batches(batches):
+        for x, _, _ in _batches(batches):
             for root in range(roots):
                 at = slot[_reached(x, root, *arrays)]
                 order = np.argsort(at, kind="stable")
@@ -169,14 +175,14 @@ def _left_counts(rows: DataFrame, found: Trees, nodes: list[int], chosen: np.nda
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(int(np.prod(shape)))
-        for x, y in _batches(batches):
+        for x, y, n in _batches(batches):
             for root in range(roots):
                 place = slot[_reached(x, root, *arrays)]
                 some = np.flatnonzero(place >= 0)
                 for j in range(drawn):
                     own = place[some]
                     below = some[x[some, chosen[own, j]] <= at[own, j]]
-                    total += np.bincount((place[below] * drawn + j) * n_classes + y[below], minlength=len(total))
+                    total += np.bincount((place[below] * drawn + j) * n_classes + y[below], weights=n[below], minlength=len(total))
         k = np.flatnonzero(total)
         yield pd.DataFrame({"k": k, "n": total[k].astype(np.int64)})
 

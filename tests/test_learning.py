@@ -343,3 +343,19 @@ def test_fits_side_by_side_take_few_partitions(spark, monkeypatch):
     monkeypatch.setattr(learn, "prepared_folds", lambda *a, **k: [seen.append(f[0].rdd.getNumPartitions()) or f for f in real(*a, **k)])
     learn.search(rows, "y", ["a"], "regression", [{"n_estimators": 1, "max_depth": 1, "min_samples_split": 2, "min_samples_leaf": 1}])
     assert seen == [1, 1, 1] and learn.parts(4_000_000, learn.PER_PART_OF_MANY) == 16
+
+
+def test_extra_trees_read_equal_rows_once(spark, monkeypatch):
+    """Rows that agree in features and class are one row with their number; the trees are those of all rows."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from gridspark.operators import extra_trees
+
+    read, ranges = [], extra_trees._ranges
+    monkeypatch.setattr(extra_trees, "_ranges", lambda rows, *a: (read.append(rows.count()), ranges(rows, *a))[1])
+    few = spark.range(60).selectExpr("double(id % 7) as a", "double(id % 4) as b", "double(id % 3) as y")
+    many = few.crossJoin(spark.range(20).select("id")).repartition(5)
+    fitted = [extra_trees.fit_extra_trees(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(d), "y", 3, trees=2, max_depth=3).trees for d in (few, many)]
+    assert max(read) <= 60
+    assert fitted[0].feature == fitted[1].feature and fitted[0].threshold == fitted[1].threshold
+    assert all((20 * a == b).all() for a, b in zip(fitted[0].counts, fitted[1].counts, strict=True))
