@@ -359,3 +359,12 @@ def test_extra_trees_read_equal_rows_once(spark, monkeypatch):
     assert max(read) <= 60
     assert fitted[0].feature == fitted[1].feature and fitted[0].threshold == fitted[1].threshold
     assert all((20 * a == b).all() for a, b in zip(fitted[0].counts, fitted[1].counts, strict=True))
+
+
+def test_folds_share_one_table(spark):
+    """The rows of the folds are made once, whatever plan they come from."""
+    few = spark.range(50).selectExpr("id as point_id", "double(id % 7) as a", "double(id) as y")
+    folds = learn.prepared_folds(few.join(spark.range(50).selectExpr("id as point_id", "double(id) as b"), "point_id"), "y", ["a", "b"], 3)
+    assert not any("Join" in df._jdf.queryExecution().logical().toString() for fold in folds for df in fold)
+    assert [sorted(r.point_id for df in fold for r in df.collect()) for fold in folds] == [list(range(50))] * 3
+    learn.released(folds)
