@@ -180,6 +180,8 @@ REACH = 0.9993
 FEW = 64
 #: Members of a tile that are compared in one task; tiles have half of them on average, larger ones are cut, see :func:`_tiles`.
 FULL = 4096
+#: Shingles of the sets that are held in memory together, see :func:`_grouped`; a pair of larger sets is held whatever its size.
+HOLD = 1 << 21
 
 
 def _further(hashes: np.ndarray) -> np.ndarray:
@@ -275,16 +277,24 @@ def _apart(words: np.ndarray, n: np.ndarray, i: int, others: np.ndarray, similar
     return bits
 
 
-def _meeting(words: np.ndarray, n: np.ndarray, root: np.ndarray, similarity: float) -> np.ndarray:
-    """Members that may be similar to one of another root: all pairs by exclusive-or and bit counts, a strip at a time."""
-    out, most, columns = np.zeros(len(n), bool), most_bits(similarity, words.shape[1], True), [np.ascontiguousarray(c) for c in words.T]
+def _near(words: np.ndarray, n: np.ndarray, root: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members of different roots that may be similar: all pairs by exclusive-or and bit counts, a strip at a time."""
+    most, columns = most_bits(similarity, words.shape[1], True), [np.ascontiguousarray(c) for c in words.T]
+    count = np.uint8 if words.shape[1] < 4 else np.uint16
     for start in range(0, len(n), STRIP):
-        bits = sum(np.bitwise_count(c[start:start + STRIP, None] ^ c[None, start:]) for c in columns)
+        bits = sum(np.bitwise_count(c[start:start + STRIP, None] ^ c[None, start:]).astype(count, copy=False) for c in columns)
         i, j = np.nonzero(bits <= most)
         found = bits[i, j]
         i, j = i + start, j + start
         near = (i < j) & (root[i] != root[j]) & _within(found, n[i], n[j], similarity, words.shape[1])
-        out[i[near]] = out[j[near]] = True
+        yield i[near], j[near]
+
+
+def _meeting(words: np.ndarray, n: np.ndarray, root: np.ndarray, similarity: float) -> np.ndarray:
+    """Members that may be similar to one of another root."""
+    out = np.zeros(len(n), bool)
+    for i, j in _near(words, n, root, similarity):
+        out[i] = out[j] = True
     return np.flatnonzero(out)
 
 
@@ -308,44 +318,139 @@ def _forest(words: np.ndarray, n: np.ndarray, root: np.ndarray, similarity: floa
     return out
 
 
-def _every(words: np.ndarray, n: np.ndarray, root: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """All pairs of different roots that may be similar."""
-    out = []
-    for i in range(len(n) - 1):
-        others = np.flatnonzero(root[i + 1:] != root[i]) + i + 1
-        out += [(i, j) for j in others[_apart(words, n, i, others, similarity) >= 0].tolist()]
-    return out
+def _connected(near: np.ndarray) -> Iterator[np.ndarray]:
+    """The members of each component of a symmetric table of pairs, neighbours one after the other; none for members without a pair."""
+    todo = near.any(axis=0)
+    while todo.any():
+        reached = [np.array([todo.argmax()])]
+        while len(reached[-1]):
+            todo[reached[-1]] = False
+            reached.append(np.flatnonzero(near[reached[-1]].any(axis=0) & todo))
+        yield np.concatenate(reached)
 
 
-def _proposed(units: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """Distinct pairs ``a < b`` to look at, of ``units(unit, node, root, n, words...)``; a task holds one unit."""
+def _by(key: str, columns: tuple[str, ...], done, schema: str):
+    """For ``mapInPandas`` over rows sorted by ``key``: ``done(key, *arrays)`` of each key's rows gives the arrays of ``schema``."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def done(rows: list[pd.DataFrame]) -> pd.DataFrame:
-            held = pd.concat(rows).drop_duplicates("node")
-            node, n, root = (held[c].to_numpy() for c in ("node", "n", "root"))
-            words = np.stack([held[f"w{i}"].to_numpy() for i in range(NARROW)], axis=1).view(np.uint64)
-            at = _meeting(words, n, root, similarity)
-            pairs = (_every if every else _forest)(words[at], n[at], root[at], similarity)
-            ends = node[at][np.array(pairs, np.int64).reshape(-1, 2)]
-            return pd.DataFrame({"a": ends.min(axis=1, initial=2 ** 63 - 1), "b": ends.max(axis=1, initial=-2 ** 63)})
+        def result(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+            return done(at, *(np.concatenate(c) if len(c) > 1 else c[0] for c in zip(*parts, strict=True)))
+
+        def table(found: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+            return pd.DataFrame({c: np.concatenate(v) for c, v in zip(names, zip(*found, strict=True), strict=True)})
 
         at, held = None, []
         for batch in batches:
-            unit = batch["unit"].to_numpy()
-            cuts, found = [0, *(np.flatnonzero(np.diff(unit)) + 1).tolist(), len(unit)], []
+            keys, arrays = batch[key].to_numpy(), [batch[c].to_numpy() for c in columns]
+            cuts, found = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)], []
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if lo < hi:
-                    if held and unit[lo] != at:
-                        found.append(done(held))
+                    if held and keys[lo] != at:
+                        found.append(result(held))
                         held = []
-                    at = unit[lo]
-                    held.append(batch.iloc[lo:hi])
+                    at = keys[lo]
+                    held.append([c[lo:hi] for c in arrays])
             if found:
-                yield pd.concat(found)
+                yield table(found)
         if held:
-            yield done(held)
+            yield table([result(held)])
+
+    return run
+
+
+def _each(rows: DataFrame, key: str, columns: tuple[str, ...], done, schema: str) -> DataFrame:
+    """``done`` over the rows of each ``key``, a key in one task, see :func:`_by`."""
+    return rows.repartition(key).sortWithinPartitions(key).mapInPandas(_by(key, columns, done, schema), schema)
+
+
+def _proposed(units: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs ``a < b`` to look at first, a forest in each of ``units(unit, node, root, n, words...)``."""
+    def done(_, node: np.ndarray, root: np.ndarray, n: np.ndarray, *words: np.ndarray) -> tuple[np.ndarray, ...]:
+        words = np.stack(words, axis=1).view(np.uint64)
+        at = _meeting(words, n, root, similarity)
+        ends = node[at][np.array(_forest(words[at], n[at], root[at], similarity), np.int64).reshape(-1, 2)]
+        return ends.min(axis=1, initial=2 ** 63 - 1), ends.max(axis=1, initial=-2 ** 63)
+
+    return _each(units, "unit", ("node", "root", "n", *_SHORT), done, "a long, b long").distinct()
+
+
+def _unsettled(units: DataFrame, similarity: float) -> DataFrame:
+    """``unit, node`` of the members that may, by their narrow fingerprints, be similar to one of another root in their unit."""
+    def done(unit: int, node: np.ndarray, root: np.ndarray, n: np.ndarray, *words: np.ndarray) -> tuple[np.ndarray, ...]:
+        found = node[_meeting(np.stack(words, axis=1).view(np.uint64), n, root, similarity)]
+        return np.full(len(found), unit), found
 
-    return units.repartition("unit").sortWithinPartitions("unit").mapInPandas(run, "a long, b long").distinct()
+    return _each(units, "unit", ("node", "root", "n", *_SHORT), done, "unit long, node long")
+
+
+def _groups(node: np.ndarray, n: np.ndarray, near: np.ndarray, hold: int) -> list[np.ndarray]:
+    """Members to hold against each other so that each pair of ``near`` meets: components, or parts of a large one two by two."""
+    out = []
+    for some in _connected(near):
+        if n[some].sum() <= hold:
+            out.append(some)
+            continue
+        part = (np.cumsum(n[some]) - n[some]) // (hold // 2)
+        parts = [some[part == p] for p in np.unique(part)]
+        for k, one in enumerate(parts):
+            for other in parts[k:]:
+                both = one if other is one else np.concatenate([one, other])
+                pairs = near[np.ix_(one, other)]
+                if pairs.any():
+                    out.append(both[near[np.ix_(both, both)].any(axis=1)])
+    return out
+
+
+def _grouped(units: DataFrame, similarity: float, bits: int, hold: int) -> DataFrame:
+    """Distinct ``group, node``: of ``units(unit, node, root, n, words)`` the members whose whole sets are to be held against each other.
+
+    A pair is looked at in the first tile that it shares.  Groups hold some ``hold`` shingles at most, or two members.
+    """
+    def done(unit: int, node: np.ndarray, root: np.ndarray, n: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+        words, near = _unpacked(words), np.zeros((len(node), len(node)), bool)
+        before = int(unit) >> bits  # parts of large tiles have numbers below zero
+        keys = tile_keys(words, bits, before).T if before > 0 else ()
+        for i, j in _near(words, n, root, similarity):
+            met = np.zeros(len(i), bool)
+            for k in keys:
+                met |= k[i] == k[j]
+            near[i[~met], j[~met]] = near[j[~met], i[~met]] = True
+        found = [np.sort(node[some]) for some in _groups(node, n, near, hold)]
+        names = np.array([xxhash.xxh64_intdigest(some.tobytes(), SEED) for some in found], np.uint64).view(np.int64)
+        return np.repeat(names, [len(some) for some in found]), np.concatenate([node[:0], *found])
+
+    return _each(units, "unit", ("node", "root", "n", "words"), done, "group long, node long").distinct()
+
+
+def _joined(root: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of sets that are similar, as many as connect the roots that such pairs connect."""
+    n, out = np.array([len(s) for s in sets]), []
+    starts, codes = np.cumsum(n) - n, np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark, label = np.zeros(codes.max() + 1, np.uint8), np.unique(root, return_inverse=True)[1]
+    for i in range(len(n) - 1):
+        rest, m = label[i + 1:], n[i + 1:]
+        able = (rest != label[i]) & (np.minimum(m, n[i]) >= similarity * np.maximum(m, n[i]))
+        if not able.any():
+            continue
+        own = codes[starts[i]:starts[i] + n[i]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[codes[starts[i + 1]:]], starts[i + 1:] - starts[i + 1], dtype=np.int64)
+        mark[own] = 0
+        for j in (np.flatnonzero(able & (common >= similarity * (m + n[i] - common))) + i + 1).tolist():
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _settled(groups: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` between the roots of each of ``groups(group, node, root, set)``, by whole sets; fewer than a group has members."""
+    def done(_, node: np.ndarray, root: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, ...]:
+        pairs = np.array(_joined(root, [np.frombuffer(s, "<u8") for s in sets], similarity), np.int64).reshape(-1, 2)
+        return node[pairs[:, 0]], node[pairs[:, 1]]
+
+    return _each(groups, "group", ("node", "root", "set"), done, "a long, b long")
 
 
 #: Columns of the narrow fingerprint.
@@ -380,13 +485,20 @@ def _close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     return written(pairs.join(side("a"), "a").join(side("b"), "b").filter(near("words_a", "words_b", "n_a", "n_b")).select("a", "b"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, asked: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """``a, b, similar`` of distinct pairs of nodes by their whole shingle sets; ``asked(node, key)`` names a text of each node by its hash."""
+def _sets(texts: DataFrame, asked: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
+    """``node, set`` of the distinct nodes ``needed(node)``, their whole shingle sets; ``asked(node, key)`` names a text of each by its hash."""
 
     @F.pandas_udf("binary")
     def whole(found: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, shingle).tobytes() for t in found])
 
+    named = asked.join(needed, "node", "left_semi").hint("merge")
+    return written(texts.join(named, "key").dropDuplicates(["node"]).select("node", whole("text").alias("set")))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, asked: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``a, b, similar`` of distinct pairs of nodes by their whole shingle sets, see :func:`_sets`."""
+
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
@@ -396,15 +508,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, asked: DataFrame, similarity:
             out.append(common >= similarity * (len(x) + len(y) - common))
         return pd.Series(out, dtype=bool)
 
-    needed = asked.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").hint("merge")
-    sets = written(texts.join(needed, "key").dropDuplicates(["node"]).select("node", whole("text").alias("set")))
+    sets = _sets(texts, asked, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle)
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")).hint("merge"), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")).hint("merge"), "b"))
     return written(both.select("a", "b", similar("set_a", "set_b").alias("similar")))
 
 
 def _parts(large: DataFrame, check, full: int) -> tuple[DataFrame, DataFrame]:
-    """``unit, node`` of the members of tiles of over ``full`` members, and links found on the way.
+    """``unit, node`` of the members of tiles of over ``full`` members, units below zero, and links found on the way.
 
     All members are held against one that has most of them near it, of three drawn, so that a group of near copies costs as many comparisons
     as it has members; the others, which are *open*, then meet each other and the rest part by part, two parts to a unit.
@@ -423,16 +534,17 @@ def _parts(large: DataFrame, check, full: int) -> tuple[DataFrame, DataFrame]:
     dealt = marks.join(sizes.filter("opens > 0"), "unit").withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("open"), F.col("opens")).otherwise(F.col("nears"))).cast("int"))
     other = F.when(F.col("open"), F.sequence(F.lit(0), F.col("opens") + F.col("nears") - 1)).otherwise(F.sequence(F.lit(0), F.col("opens") - 1))
     met = dealt.withColumn("part", F.when(F.col("open"), F.col("part")).otherwise(F.col("part") + F.col("opens"))).withColumn("other", F.explode(other))
-    return written(met.select(F.xxhash64("unit", F.least("part", "other"), F.greatest("part", "other"), F.lit("parts")).alias("unit"), "node")), links
+    return written(met.select(F.xxhash64("unit", F.least("part", "other"), F.greatest("part", "other"), F.lit("parts")).bitwiseOR(F.lit(-1 << 63)).alias("unit"), "node")), links
 
 
-def similar_links(rows: DataFrame, texts: DataFrame, similarity: float = 0.8, shingle: int = 5, full: int = FULL) -> DataFrame:
+def similar_links(rows: DataFrame, texts: DataFrame, similarity: float = 0.8, shingle: int = 5, full: int = FULL, hold: int = HOLD) -> DataFrame:
     """Links ``a, b`` between nodes of ``rows(key, node, n, words)`` whose shingle sets have ``similarity`` or more, enough to connect all that are.
 
     Fingerprints are dealt into tiles by sampled bits, :func:`deals` times; those of a tile are compared by exclusive-or and bit counts, all
     pairs, first in 128 bits, then, for pairs that pass, in all 1,024.  First a forest of the nearest pairs is verified by whole sets of
-    ``texts(key, text)``, then every pair between what that left apart.  Few fingerprints make one tile, where all meet.
-    Ids and narrow fingerprints are shuffled for all sets, whole texts only for pairs that are verified.
+    ``texts(key, text)``, then every pair between what that left apart: the whole sets of the members that have such a pair meet in
+    groups, which give a forest of what is similar, so that no pair that is not becomes a row.  Few fingerprints make one tile, where all meet.
+    Ids and narrow fingerprints are shuffled for all sets, whole texts only for members that are verified.
     """
     # a set of fewer shingles cannot be as similar to another one
     able = rows.filter(F.col("n") + 1e-9 >= similarity * (F.col("n") + 1))
@@ -453,15 +565,18 @@ def similar_links(rows: DataFrame, texts: DataFrame, similarity: float = 0.8, sh
             return nodes.withColumn("root", F.col("node"))
         return nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    pairs = written(_proposed(units(placed()), similarity, every=False))
+    pairs = written(_proposed(units(placed()), similarity))
     found = check(pairs).filter("similar").select("a", "b")
     links = found if links is None else links.union(found)
     # members of classes that the forest has a pair of; all others have none
     every = written(placed())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     roots = every.join(ends, "node", "left_semi").select("root").distinct()
-    rest = _proposed(units(written(every.join(roots, "root", "left_semi"))), similarity, every=True)
-    return links.union(check(rest.join(pairs, ["a", "b"], "left_anti")).filter("similar").select("a", "b"))
+    rest = written(_unsettled(units(written(every.join(roots, "root", "left_semi"))), similarity))
+    groups = written(_grouped(rest.join(every.select("node", "root", "n", "words"), "node"), similarity, bits, hold))
+    sets = _sets(texts, nodes.select("node", "key"), groups.select("node").distinct(), shingle)
+    met = groups.join(every.select("node", "root").join(sets, "node"), "node")
+    return links.union(written(_settled(met, similarity)))
 
 
 def without_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", full: int = FULL) -> DataFrame:

@@ -497,6 +497,62 @@ def test_near_copies_against_all_pairs(spark, full):
     assert sum(0.7 < jaccard(sets[i], sets[j]) < 0.8 for i in range(len(rows)) for j in range(i)) > 20
 
 
+def test_pairs_that_are_not_similar_make_no_rows(spark, monkeypatch):
+    """150 texts alike by 0.65 to 0.8 but for four pairs: what is written grows with the texts, not with their pairs."""
+    random.seed(31)
+    base, made, write = [f"w{random.randint(0, 9999)}" for _ in range(300)], [], simhash.written
+    texts = [" ".join(changed(base, 5)) for _ in range(150)]
+    sets = [shingle_set(t) for t in texts]
+    alike = {(i, j): jaccard(a, b) for i, a in enumerate(sets) for j, b in enumerate(sets[:i])}
+    assert sum(0.65 < s < 0.8 for s in alike.values()) > 11_000
+
+    def counted(df, *rest):
+        made.append(write(df, *rest))
+        return made[-1]
+
+    monkeypatch.setattr(simhash, "written", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sketches = docs.select(F.sha2("text", 256).alias("key"), "doc_id", simhash.sketch(F.col("text"), 5).alias("s")).select("key", "doc_id", "s.*")
+    ids = {r.node: r.doc_id for r in sketches.collect()}
+    # sets of so few shingles together that the group is cut into eight parts
+    links = simhash.similar_links(sketches, docs.select(F.sha2("text", 256).alias("key"), "text"), hold=12_000).collect()
+    assert {tuple(sorted((ids[r.a], ids[r.b]), reverse=True)) for r in links} == {p for p, s in alike.items() if s >= 0.8}
+    assert max(t.count() for t in made) <= 10 * len(texts)
+
+
+@pytest.mark.parametrize("hold", [10, 200, 10 ** 6])
+def test_groups_hold_every_pair(hold):
+    rng = np.random.default_rng(hold)
+    near = np.triu(rng.random((120, 120)) < 0.01, 1)
+    near, n = near | near.T, rng.integers(4, 12, 120)
+    groups = simhash._groups(np.arange(120), n, near, hold)
+    met = np.zeros_like(near)
+    for some in groups:
+        assert len(set(some.tolist())) == len(some) > 1
+        assert len(some) == 2 or n[some].sum() <= hold + 2 * 12
+        met[np.ix_(some, some)] = True
+    assert (near <= met).all()
+    assert not simhash._groups(np.arange(3), n[:3], np.zeros((3, 3), bool), hold)
+
+
+def test_joined_sets_against_all_pairs():
+    """Links connect what similar pairs connect, also through members that are of one root already."""
+    rng = np.random.default_rng(17)
+    base = [rng.integers(0, 1 << 63, 60, np.uint64) for _ in range(4)]
+    sets = [np.unique(np.concatenate([b[rng.permutation(60)[:rng.integers(50, 60)]], rng.integers(0, 1 << 63, rng.integers(0, 6), np.uint64)])) for b in base for _ in range(12)]
+    root = np.where(rng.random(48) < 0.3, -1, np.arange(48)).astype(np.int64)
+    similar = {(i, j) for i in range(48) for j in range(i + 1, 48) if jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8}
+
+    def classes(pairs):
+        label = root.tolist()
+        for i, j in pairs:
+            label = [label[i] if x == label[j] else x for x in label]
+        return [label.index(x) for x in label]
+
+    found = simhash._joined(root, sets, 0.8)
+    assert set(found) <= similar and len(found) < 48 and classes(found) == classes(similar) != classes([])
+
+
 def test_keys_find_similar_sets():
     """Of pairs at 0.8 to 0.82 nearly all share a key and are near by their fingerprints."""
     random.seed(2)
