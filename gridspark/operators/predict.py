@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
-from typing import NamedTuple
+from collections.abc import Iterable, Mapping, Sequence
+from functools import cached_property, reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -90,13 +89,31 @@ def quantile_legend(df: DataFrame, column: str, shares: Sequence[float] = SHARES
     return df.sparkSession.createDataFrame(rows, "class int, label string, lower double, upper double")
 
 
-class Predicted(NamedTuple):
-    """What :func:`predict_all` gives; without any label that works there are no tables."""
+class Predicted:
+    """What :func:`predict_all` gives, each table made when it is asked for; without any label that works they are None."""
 
-    cells: DataFrame | None
-    statistics: DataFrame | None
-    legend: DataFrame | None
-    failed: dict[str, str]
+    def __init__(self, tables: Sequence[tuple[list[str], DataFrame]], shares: Sequence[float], names: Sequence[str], failed: dict[str, str]) -> None:
+        self._tables, self._shares, self._names, self.failed = tables, shares, names, failed
+
+    @cached_property
+    def _edges(self) -> list[dict[str, list[float | None]]]:
+        return [quantiles(table, {f"uncertainty_{i}": [0.0, *self._shares, 1.0] for i in range(len(labels))}) for labels, table in self._tables]
+
+    @cached_property
+    def cells(self) -> DataFrame | None:
+        return self._all(_cells(labels, table, edges) for (labels, table), edges in zip(self._tables, self._edges, strict=True))
+
+    @cached_property
+    def statistics(self) -> DataFrame | None:
+        return self._all(_statistics(labels, table) for labels, table in self._tables)
+
+    @cached_property
+    def legend(self) -> DataFrame | None:
+        return self._all(_legend(labels, table, edges, self._names) for (labels, table), edges in zip(self._tables, self._edges, strict=True))
+
+    @staticmethod
+    def _all(parts: Iterable[DataFrame]) -> DataFrame | None:
+        return reduce(lambda a, b: a.union(b) if a is not None else b, parts, None)
 
 
 def _together(models: Mapping[str, PipelineModel], inside: DataFrame) -> DataFrame:
@@ -146,25 +163,31 @@ def predict_all(models: Mapping[str, PipelineModel], wide: DataFrame, mask: Data
                 tables.append(([label], attempt({label: model})))
             except errors as error:
                 failed[label] = f"{type(error).__name__}: {error}"
-    parts = [_reported(labels, table, shares, names) for labels, table in tables]
-    return Predicted(*(reduce(DataFrame.union, p) for p in zip(*parts, strict=True)), failed) if parts else Predicted(None, None, None, failed)
+    return Predicted(tables, shares, names, failed)
 
 
-def _reported(labels: Sequence[str], table: DataFrame, shares: Sequence[float], names: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes, statistics and legend of the labels of one table; the quantiles of all of them are searched together."""
-    spark, each = table.sparkSession, range(len(labels))
-    edges = quantiles(table, {f"uncertainty_{i}": [0.0, *shares, 1.0] for i in each})
+def _cells(labels: Sequence[str], table: DataFrame, edges: Mapping[str, Sequence[float | None]]) -> DataFrame:
+    """The cells of the labels of one table with their classes."""
     rows = []
-    for i in each:
+    for i, label in enumerate(labels):
         u = F.col(f"uncertainty_{i}")
         level = sum(((u >= F.lit(q)).cast("int") for q in edges[f"uncertainty_{i}"][1:-1] if q is not None), F.lit(0))
-        rows.append(F.struct(F.lit(labels[i]).alias("label"), F.col(f"prediction_{i}").alias("prediction"), u.alias("uncertainty"), F.when(u.isNotNull(), level).alias("class")))
-    cells = table.select("row", "col", F.explode(F.array(*rows)).alias("r")).select("r.label", "row", "col", "r.prediction", "r.uncertainty", "r.class")
-    layers = layers_statistics(table, [f"{c}_{i}" for i in each for c in ("prediction", "uncertainty")])
+        rows.append(F.struct(F.lit(label).alias("label"), F.col(f"prediction_{i}").alias("prediction"), u.alias("uncertainty"), F.when(u.isNotNull(), level).alias("class")))
+    return table.select("row", "col", F.explode(F.array(*rows)).alias("r")).select("r.label", "row", "col", "r.prediction", "r.uncertainty", "r.class")
+
+
+def _statistics(labels: Sequence[str], table: DataFrame) -> DataFrame:
+    """Statistics of the labels of one table; the quantiles of all of them are searched together."""
+    layers = layers_statistics(table, [f"{c}_{i}" for i in range(len(labels)) for c in ("prediction", "uncertainty")])
     label = F.element_at(F.array(*(F.lit(x) for x in labels)), F.substring_index("layer", "_", -1).cast("int") + 1)
-    statistics = layers.select(label.alias("label"), F.substring_index("layer", "_", 1).alias("layer"), *(c for c in layers.columns if c != "layer"))
-    legend = [(labels[i], k, name, low, high) for i in each for k, (name, low, high) in enumerate(zip(names, edges[f"uncertainty_{i}"], edges[f"uncertainty_{i}"][1:], strict=False))]
-    return cells, statistics, spark.createDataFrame(legend, "label string, class int, name string, lower double, upper double")
+    return layers.select(label.alias("label"), F.substring_index("layer", "_", 1).alias("layer"), *(c for c in layers.columns if c != "layer"))
+
+
+def _legend(labels: Sequence[str], table: DataFrame, edges: Mapping[str, Sequence[float | None]], names: Sequence[str]) -> DataFrame:
+    """What the classes of the labels of one table mean."""
+    rows = [(label, k, name, low, high) for i, label in enumerate(labels)
+            for k, (name, low, high) in enumerate(zip(names, edges[f"uncertainty_{i}"], edges[f"uncertainty_{i}"][1:], strict=False))]
+    return table.sparkSession.createDataFrame(rows, "label string, class int, name string, lower double, upper double")
 
 
 def decode_label(df: DataFrame, codes: DataFrame, column: str = "prediction", label: str = "label") -> DataFrame:

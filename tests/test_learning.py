@@ -92,6 +92,19 @@ def test_no_fold_sees_its_test_rows(train):
     assert dict(history) == pytest.approx(expected) and len(chosen) == max(expected, key=lambda n: (expected[n], -n))
 
 
+def test_tables_are_made_when_asked_for(spark, train, monkeypatch):
+    """A legend takes no statistics, and statistics no class limits."""
+    wide, model = train.selectExpr("cast(point_id as int) as row", "0 as col", "x"), learn.fit(train, "v", ["x"], n_estimators=2, max_depth=3)
+    asked, search = [], predict.quantiles
+    monkeypatch.setattr(predict, "quantiles", lambda df, shares: asked.append(sorted(shares)) or search(df, shares))
+    found = predict.predict_all({"one": model}, wide)
+    assert not asked and found.legend.count() == 5 and asked == [["uncertainty_0"]]
+    assert found.statistics.count() == 2 and asked[1:] == [["prediction_0", "uncertainty_0"]]
+    assert found.cells.count() == wide.count() and len(asked) == 2
+    none = predict.predict_all({}, wide)
+    assert none.cells is none.statistics is none.legend is None
+
+
 def test_statistics_and_legend_of_every_label(spark, train):
     models = {k: learn.fit(train, "v", f, n_estimators=3, max_depth=4) for k, f in (("one", ["x", "b"]), ("two", ["x"]))}
     wide = train.selectExpr("cast(point_id as int) as row", "0 as col", "x", "case when point_id % 5 = 0 then null else b end as b")
