@@ -123,9 +123,14 @@ def regression_kriging(train: DataFrame, targets: DataFrame, label: str, variogr
 
 
 def kriging_or_forest(train: DataFrame, targets: DataFrame, label: str, **settings) -> tuple[DataFrame, str | None]:
-    """:func:`regression_kriging`, written; where it fails, at run time too, the forest's prediction as ``rfrk`` without a variance, and why."""
+    """:func:`regression_kriging`, written; where it fails, at run time too, the forest's prediction as ``rfrk`` without a variance, and why.
+
+    Every row says so too: ``kriging_error`` is why there is no kriging, and NULL where there was no failure. No registered query calls this;
+    theirs fail with the kriging.
+    """
+    reason = lambda why: F.lit(why).cast("string")
     try:
-        return written(regression_kriging(train, targets, label, **settings)), None
+        return written(regression_kriging(train, targets, label, **settings)).withColumn("kriging_error", reason(None)), None
     except (ValueError, np.linalg.LinAlgError, PySparkException, Py4JJavaError) as error:
-        nothing = F.lit(None).cast("double")
-        return targets.withColumns({"rfrk": F.col("prediction"), "kriging_variance": nothing}), f"{type(error).__name__}: {error}"
+        nothing, why = F.lit(None).cast("double"), f"{type(error).__name__}: {error}"
+        return targets.withColumns({"rfrk": F.col("prediction"), "kriging_variance": nothing, "kriging_error": reason(why)}), why

@@ -381,3 +381,23 @@ def test_folds_share_one_table(spark):
     assert not any("Join" in df._jdf.queryExecution().logical().toString() for fold in folds for df in fold)
     assert [sorted(r.point_id for df in fold for r in df.collect()) for fold in folds] == [list(range(50))] * 3
     learn.released(folds)
+
+
+def test_kriging_that_fails_says_so_in_its_rows(spark, train):
+    fitted = train.withColumn("prediction", F.col("v") + F.when(F.col("x") > 5, 0.1).otherwise(-0.1))
+    out, _ = krige.kriging_or_forest(fitted, fitted, "v", k=4)
+    assert out.filter("kriging_error is null").count() == 240
+    broken = fitted.withColumn("x", F.when(F.raise_error(F.lit("no place")).isNull(), F.col("x")))
+    out, error = krige.kriging_or_forest(broken, fitted, "v", k=4)
+    assert out.filter(F.col("kriging_error") == error).count() == 240
+
+
+@pytest.mark.parametrize("name", ["m17_regression_kriging", "u3_kriging_uncertainty"])
+def test_queries_fail_where_kriging_fails(spark, monkeypatch, name):
+    """A failure in the plan or in a job is no result."""
+    def broken(points, *_, **__):
+        return points.select(F.raise_error(F.lit("no variogram")).cast("double").alias("distance"), F.lit(0.0).alias("gamma"), F.lit(1).alias("n"))
+
+    monkeypatch.setattr(krige, "lag_table", broken)
+    with pytest.raises(Exception, match="no variogram"):
+        plans.QUERIES[name](spark, SMALL).collect()
