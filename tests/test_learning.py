@@ -392,7 +392,7 @@ def test_kriging_that_fails_says_so_in_its_rows(spark, train):
     assert out.filter(F.col("kriging_error") == error).count() == 240
 
 
-@pytest.mark.parametrize("name", ["m17_regression_kriging", "u3_kriging_uncertainty"])
+@pytest.mark.parametrize("name", ["m17_regression_kriging", "m18_choose_model", "u3_kriging_uncertainty"])
 def test_queries_fail_where_kriging_fails(spark, monkeypatch, name):
     """A failure in the plan or in a job is no result."""
     def broken(points, *_, **__):
